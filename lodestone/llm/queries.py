@@ -7,9 +7,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm import bpe, packing, token_files
+from lodestone.llm import bpe, packing, quality, secrets, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +39,42 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), derive=digests, derived="n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op4_bpe": op4_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kind = lambda k: F.size(F.filter("findings", lambda f: f["kind"] == k)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    base = F.filter("findings", lambda f: f["kind"] != "literal")
+    return found.select("doc_id", kind("assign").alias("n_assign"), kind("access").alias("n_access"), kind("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
+def held_out(id_col: str) -> Column:
+    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned from documents that are not held out."""
+    return quality.fit(docs, labels.where(~held_out("doc_id")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model).drop("text")
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder, files, data=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op4_bpe": op4_bpe, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op9_warc": op9_warc}
+ORACLE_SQL = {
+    "op9_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+        f as (select d, min(page_id) as first from p where n >= 100 group by d)
+        select page_id, n as payload_bytes, p.d as payload_digest,
+               case when page_id > first then 'revisit' else 'response' end as record_type,
+               case when page_id > first then first end as refers_to
+        from p left join f on p.d = f.d and n >= 100""",
+}

@@ -7,12 +7,16 @@ is given to the library once (a cache of bounded size). Other tokenizers get who
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 
 import numpy as np
 
-from lodestone.llm.pretokenise import PieceCache, slices
+from lodestone.llm.pretokenise import PieceCache, cut
+
+#: New slices that go to the library in one call.
+TOGETHER = 256
 
 
 class LibraryEncoder:
@@ -27,17 +31,50 @@ class LibraryEncoder:
         before = told.get("pre_tokenizer") or {}
         self.sliced = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and told.get("normalizer") is None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
         self.cache = PieceCache(lambda piece: np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes())
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, then the id ``end``."""
         last = np.array([end], self.dtype).tobytes()
         if self.sliced:
-            find = self.cache.__getitem__
-            return [np.frombuffer(b"".join(map(find, pieces)) + last, self.dtype) for pieces in slices(texts)]
+            pieces, ends = cut(texts)
+            found = list(map(self.cache.get, pieces))
+            if None in found:
+                new = [i for i, v in enumerate(found) if v is None]
+                known = self._learned({pieces[i] for i in new})
+                for i in new:
+                    found[i] = known[pieces[i]]
+            return [np.frombuffer(b"".join(found[a:b]) + last, self.dtype) for a, b in itertools.pairwise([0, *ends])]
         return [np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], self.dtype) for t in texts]
 
 
+    def _learned(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of slices that the cache's young generation lacks. New slices of a space and
+        letters go to the library many in one call: laid end to end, it cuts them at their
+        spaces, and tokens that begin with a space tell where."""
+        old = self.cache.old
+        known = {p: v for p in pieces if (v := old.get(p)) is not None}
+        words = []
+        for piece in pieces.difference(known):
+            if len(piece) > 1 and piece[0] == " " and piece[1:].isalpha():
+                words.append(piece)
+            else:
+                known[piece] = self.cache.encode(piece)
+        for a in range(0, len(words), TOGETHER):
+            some = words[a : a + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            size = ids.itemsize
+            edges = [*(np.flatnonzero(self.spaced[ids]) * size).tolist(), len(ids) * size]
+            if len(edges) != len(some) + 1:
+                raise ValueError("slices do not begin with a token that begins with a space")
+            raw = ids.tobytes()
+            known.update(zip(some, (raw[x:y] for x, y in itertools.pairwise(edges)), strict=True))
+        self.cache.add(known)
+        return known
+
+
 @functools.cache
 def encoder(path: str) -> LibraryEncoder:
     """One for each worker process."""

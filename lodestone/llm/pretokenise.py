@@ -106,18 +106,27 @@ def boundaries(points: np.ndarray, resets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def slices(texts: list[str]) -> list[list[str]]:
-    """The slices of each text, in order; an empty text has none."""
+def cut(texts: list[str]) -> tuple[list[str], list[int]]:
+    """The slices of all texts in order, and where those of each text end among them."""
     if not texts:
-        return []
+        return [], []
     joined = "\0" + "\0".join(texts)
     resets = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     begins = boundaries(points, resets)
-    edges = np.append(begins, len(points)).tolist()
-    pieces = [joined[a:b] for a, b in itertools.pairwise(edges)]
-    at = np.append(np.searchsorted(begins, resets), len(begins)).tolist()
-    return [pieces[a + 1 : b] for a, b in itertools.pairwise(at)]
+    ends = np.append(begins[1:], len(points))
+    # separators are slices of one code point of their own: left out
+    at = np.searchsorted(begins, resets)
+    keep = np.ones(len(begins), bool)
+    keep[at] = False
+    pieces = [joined[a:b] for a, b in zip(begins[keep].tolist(), ends[keep].tolist(), strict=True)]
+    return pieces, (np.append(at[1:], len(begins)) - np.arange(1, len(texts) + 1)).tolist()
+
+
+def slices(texts: list[str]) -> list[list[str]]:
+    """The slices of each text, in order; an empty text has none."""
+    pieces, ends = cut(texts)
+    return [pieces[a:b] for a, b in itertools.pairwise([0, *ends])]
 
 
 def portions(texts: list[str], most: int = 1 << 20):
@@ -136,7 +145,7 @@ class PieceCache(dict):
     """Encoded slices, at most two generations of ``most`` entries each: when the young
     one is full it becomes the old one, so frequent slices stay."""
 
-    def __init__(self, encode, most: int = 200_000):
+    def __init__(self, encode, most: int = 400_000):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
@@ -144,9 +153,11 @@ class PieceCache(dict):
         found = self.old.get(piece)
         if found is None:
             found = self.encode(piece)
+        self.add({piece: found} if len(piece) <= 64 else {})
+        return found
+
+    def add(self, found: dict) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
+        self.update(found)

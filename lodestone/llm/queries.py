@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm import bpe, packing, quality, secrets, token_files, warc
+from lodestone.llm import bagminhash, bpe, packing, quality, secrets, token_files, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, files, data=False).where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op4_bpe": op4_bpe, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op9_warc": op9_warc}
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op3_cross_polytope": op3_cross_polytope, "op4_bpe": op4_bpe, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op9_warc": op9_warc, "op10_bagminhash": op10_bagminhash}
 ORACLE_SQL = {
     "op9_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),

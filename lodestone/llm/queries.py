@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm import bagminhash, bpe, packing, quality, secrets, token_files, vectors, warc
+from lodestone.llm import bagminhash, bpe, packing, pivots, quality, secrets, token_files, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +72,23 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), 5, "id % 50 = 0")
+
+
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op3_cross_polytope": op3_cross_polytope, "op4_bpe": op4_bpe, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op9_warc": op9_warc, "op10_bagminhash": op10_bagminhash}
+QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op3_cross_polytope": op3_cross_polytope, "op4_bpe": op4_bpe, "op5_pivots": op5_pivots, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op9_warc": op9_warc, "op10_bagminhash": op10_bagminhash}
 ORACLE_SQL = {
+    "op5_pivots": """
+        with v as (select vec_id as id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+        s as (select q.id as query_id, c.id as vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+              from v q join v c on q.id % 50 = 0 and c.id <> q.id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
     "op9_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
         f as (select d, min(page_id) as first from p where n >= 100 group by d)

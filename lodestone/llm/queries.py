@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm import bagminhash, bpe, packing, pivots, quality, secrets, token_files, vectors, warc
+from lodestone.llm import bagminhash, bpe, html_text, packing, pivots, quality, secrets, token_files, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +76,16 @@ def op5_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), 5, "id % 50 = 0")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op3_cross_polytope": op3_cross_polytope, "op4_bpe": op4_bpe, "op5_pivots": op5_pivots, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op9_warc": op9_warc, "op10_bagminhash": op10_bagminhash}
+QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op3_cross_polytope": op3_cross_polytope, "op4_bpe": op4_bpe, "op5_pivots": op5_pivots, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_html": op8_html, "op9_warc": op9_warc, "op10_bagminhash": op10_bagminhash}
 ORACLE_SQL = {
     "op5_pivots": """
         with v as (select vec_id as id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings

@@ -1,0 +1 @@
+"""Lodestone: document analytics and hybrid retrieval on Spark DataFrames."""

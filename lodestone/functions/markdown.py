@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from lodestone.functions.text import strip
@@ -60,16 +64,15 @@ def code_blocks(content: Column) -> Column:
 
 
 def frequent(words: Column, least: int) -> Column:
-    """Words that occur ``least`` times or more, by first occurrence. Sorted occurrences
-    make runs, so a text of n words takes n log n steps."""
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    # a word counts if the same word stands least - 1 places further in sorted order and not one before
-    n = F.size(placed)
-    firsts = F.filter(
-        F.transform(placed, lambda p, i: F.struct(p["i"].alias("i"), p["w"].alias("w"), ((i == 0) | (F.get(placed, i - 1)["w"] != p["w"])).alias("first"), ((i + least - 1 < n) & (F.get(placed, i + least - 1)["w"] == p["w"])).alias("many"))),
-        lambda p: p["first"] & F.coalesce(p["many"], F.lit(False)),
-    )
-    return F.transform(F.array_sort(F.transform(firsts, lambda p: F.struct(p["i"], p["w"]))), lambda p: p["w"])
+    """Words that occur ``least`` times or more, by first occurrence. Counting needs a table
+    of words, which array expressions do not have: Arrow batches, one pass a text."""
+
+    @F.pandas_udf("array<string>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield lists.map(lambda x: [w for w, n in Counter(x).items() if n >= least] if x is not None else [])
+
+    return count(words)
 
 
 def key_terms(content: Column, most: int = 50) -> Column:

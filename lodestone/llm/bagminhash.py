@@ -13,9 +13,11 @@ shingle and a bounded number of points.
 
 Signatures are banded; candidates are verified on their whole multisets. Exact copies (of
 the words) are one node throughout. Buckets of at most SMALL nodes give all their pairs.
-Larger ones give a star first; once links are verified, members of such a bucket that are
-not in its dominant component are compared with all its members, in blocks, so no pair of
-a bucket is lost, and pairs of texts that are linked already are not listed.
+Larger ones give a star first; those that share members are one family. Once links are
+verified, members of a family that are not in its dominant component are compared with
+all its members, in blocks: products of occurrence matrices give all similarities of two
+blocks exactly, and only who reaches whom leaves a task. So no pair of a bucket is lost,
+and no list grows with the square of a group.
 
 Documents without words (null, empty, punctuation) are classes of their own, as are rows
 without id (class null). Rows that repeat an id are one document.
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm.pretokenise import PieceCache, portions
-from lodestone.llm.shared import components, written
+from lodestone.llm.shared import components, joined, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -39,7 +41,9 @@ SIZE = BANDS * ROWS
 #: Agreement of signatures below which a pair is not verified: four deviations (a chance
 #: of 3e-5 for a pair at 0.8) below the threshold.
 LIKELY = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / SIZE) ** 0.5
-SMALL, BLOCK = 24, 256
+SMALL, BLOCK = 24, 512
+#: Columns of an occurrence matrix held at once.
+COLUMNS = 4096
 WORDS = re.compile(r"\w+")
 GOLDEN, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -95,11 +99,11 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         keep = todo[owner]
         own, val, wgt = owner[keep], values[keep], weights[keep]
         while len(own):
-            state = mix(val + np.uint64(block + 1) * GOLDEN)
+            state = mix(val + GOLDEN * np.array([block + 1], np.uint64))
             o, w, t, k = own, wgt, np.zeros(len(own)), 0
             while len(o):
                 k += 1
-                draw = mix(state + np.uint64(k) * GOLDEN)
+                draw = mix(state + GOLDEN * np.array([k], np.uint64))
                 t = t - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (SIZE * width)
                 alive = t <= reach[o]
                 o, w, t, state, draw = o[alive], w[alive], t[alive], state[alive], draw[alive]
@@ -212,36 +216,75 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def crossed(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of buckets (key, id) that lie in several components: members
-    outside a bucket's dominant component against all its members, in blocks."""
-    held = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    held = written(held, "held")
-    parts = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("large"), F.sum("n").alias("n"))
-    parts = parts.where("n > large")
-    rows = held.join(parts, "key").join(nodes.select("id", "weight", "signature"), "id")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("others", F.ceil((F.col("n") - F.col("large")) / BLOCK).cast("int"))
+def occurrences(text: str) -> np.ndarray:
+    """A 64-bit hash of each shingle and the number of its occurrence: sets of these have
+    the size of the multiset, and its overlaps."""
+    values, counts = np.unique(shingles(text), return_counts=True)
+    first = np.cumsum(counts) - counts
+    k = np.arange(counts.sum()) - np.repeat(first, counts)
+    return mix(np.repeat(values, counts) + k.astype(np.uint64) * GOLDEN)
+
+
+def similarities(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard similarity of every bag of x (its occurrences) with every one of y."""
+    bags = [*x, *y]
+    sizes = np.array([len(b) for b in bags], np.float64)
+    owner = np.repeat(np.arange(len(bags)), sizes.astype(np.int64))
+    _, column, counts = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    shared = counts > 1  # what one bag alone has overlaps with nothing
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+        held = np.zeros((len(bags), COLUMNS), np.float32)
+        held[owner[lo:hi], column[lo:hi] - a] = 1
+        both += held[: len(x)] @ held[len(x) :].T
+    every = sizes[: len(x), None] + sizes[None, len(x) :] - both
+    return both / np.maximum(every, 1)
+
+
+def families(large: DataFrame, labels: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) that lead from each member (key, id, star of its bucket) to one that
+    stands for those it reaches, where its family lies in several components."""
+    tied = components(large.select(F.col("id").alias("a"), F.col("star").alias("b")), "families")
+    held = tied.select(F.col("node").alias("id"), F.col("component").alias("family")).join(labels.withColumnRenamed("node", "id"), "id", "left")
+    held = written(held.select("id", "family", F.coalesce("component", "id").alias("component")), "held")
+    parts = held.groupBy("family", "component").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("large"), F.sum("n").alias("n")).where("n > large")
+    rows = held.join(parts, "family")
+    kind = dict(held.dtypes)["id"]
+
+    def read(batches):
+        for batch in batches:
+            for first, some in portions(batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array([occurrences(t).tobytes() for t in some], pa.binary())], ["id", "bag"])
+
+    bags = written(texts.join(rows.select("id"), "id", "left_semi").select("id", "text").mapInArrow(read, f"id {kind}, bag binary"), "bags")
+    rows = rows.join(bags, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("others", F.ceil((F.col("n") - F.col("large")) / BLOCK).cast("int"))
     place = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-    column = ["key", "id", "component", "weight", "signature"]
+    column = ["family", "id", "component", "bag"]
     inside = rows.select(*column, F.lit(False).alias("out"), place("blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"))
     out = rows.where("component <> most").select(*column, F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), place("others").alias("j"))
-    kind = dict(nodes.dtypes)["id"]
 
     def compare(pdf):
         import pandas as pd
 
         x, y = pdf[pdf["out"]], pdf[~pdf["out"]]
-        sx, sy = (np.frombuffer(b"".join(p["signature"]), "<u2").reshape(-1, SIZE) for p in (x, y))
-        found = []
-        for k in range(len(x)):
-            w, v = x["weight"].iloc[k], y["weight"].to_numpy()
-            ok = (np.minimum(w, v) >= SIMILAR * np.maximum(w, v)) & (y["component"].to_numpy() != x["component"].iloc[k])
-            ok &= (sy == sx[k]).mean(1) >= LIKELY
-            found += [(min(x["id"].iloc[k], o), max(x["id"].iloc[k], o)) for o in y["id"].to_numpy()[ok]]
-        return pd.DataFrame(found, columns=["a", "b"])
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype=pdf["id"].dtype)
+        bag = lambda p: [np.frombuffer(b, np.uint64) for b in p["bag"]]
+        good = similarities(bag(x), bag(y)) >= similar
+        good &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None]
+        i, j = np.nonzero(good)
+        nodes = np.concatenate([x["id"].to_numpy(), y["id"].to_numpy()])
+        low = joined(len(nodes), i, j + len(x))
+        some = np.unique(np.concatenate([i, j + len(x)]))
+        return pd.DataFrame({"a": nodes[some], "b": nodes[low[some]]})
 
-    return inside.unionByName(out).groupBy("key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    return inside.unionByName(out).groupBy("family", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").where("a <> b")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,8 +317,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     labels = components(links)
     named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    rest = rest.unionByName(crossed(large.select("key", "id"), nodes, labels)).distinct()
-    more = written(verified(written(rest, "rest"), texts), "links")
+    more = verified(written(rest, "rest"), texts)
+    if not large.isEmpty():
+        more = more.unionByName(families(large, labels, texts))
+    more = written(more, "links")
     final = components(links.unionByName(more)) if more.take(1) else labels
     out = df.select(F.col(id_col).alias("id")).join(final.withColumnRenamed("node", "id"), "id", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("class_id"))

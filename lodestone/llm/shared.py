@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -75,3 +76,15 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         before = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def joined(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``size`` places, the smallest place that the links a-b reach."""
+    low = np.arange(size)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, a, low[b])
+        np.minimum.at(low, b, low[a])
+        low = low[low]
+        if (low == before).all():
+            return low

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm.bagminhash import GOLDEN, mix
-from lodestone.llm.shared import components, width, written
+from lodestone.llm.shared import components, joined, width, written
 
 SIMILAR = 0.93
 TABLES, PROBES = 6, 6
@@ -56,7 +56,7 @@ def codes(unit: np.ndarray, rotations: int) -> np.ndarray:
     size = 1 << max(0, (d - 1).bit_length())
     x = np.zeros((n, size), np.float32)
     x[:, :d] = unit
-    near = 3 if size > 1 else 1  # axes of each rotation that probes may take
+    near = min(3, size)  # axes of each rotation that probes may take
     combos = sorted(itertools.product(range(near), repeat=rotations), key=sum)[: 4 * PROBES]
     out = np.zeros((n, TABLES, PROBES), np.int64)
     for t in range(TABLES):
@@ -126,18 +126,6 @@ def normal(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def joined(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of ``size`` places, the smallest place that the links a-b reach."""
-    low = np.arange(size)
-    while True:
-        before = low.copy()
-        np.minimum.at(low, a, low[b])
-        np.minimum.at(low, b, low[a])
-        low = low[low]
-        if (low == before).all():
-            return low
-
-
 def compare(code: int, table: int, x: dict, y: dict | None, kind: str):
     """Links between the rows of x (or of x and y) that meet in a bucket, as arrays: nodes
     with one, copies linked that are counted here, a node that stands for those reached."""

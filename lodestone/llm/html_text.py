@@ -57,7 +57,7 @@ BAD_WORDS = frozenset(
 WORD_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 BAD, GOOD, HIDDEN = -9.0, 2.0, -20.0
-LINKED, LENGTH, SENTENCE, BASE = -6.0, 0.6, 0.5, -1.5
+LINKED, LENGTH, SENTENCE, BASE = -2.5, 0.6, 0.5, -1.5
 #: Smoothness of neighbours by tree distance d: NEAR / (1 + d); least evidence that counts.
 NEAR, LEAST = 2.0, 1e-9
 

@@ -50,6 +50,12 @@ def domain(text: Column, mode: str = "auto", manual: str | None = None) -> Colum
     return F.when(blank | (best["n"] == 0), told("general", 0)).otherwise(found)
 
 
+def both(text: Column, mode: str = "auto", manual: str | None = None) -> Column:
+    """struct<domain, language, domain_confidence, language_confidence>."""
+    d, l = domain(text, mode, manual), language(text)
+    return F.struct(d["domain"].alias("domain"), l["language"].alias("language"), d["confidence"].alias("domain_confidence"), l["confidence"].alias("language_confidence"))
+
+
 def model_domain(answer: Column) -> Column:
     """Domain in a model's answer: the answer itself, else the first that it contains."""
     low = F.lower(strip(answer))

@@ -94,3 +94,11 @@ def front_matter(content: Column, domain: Column, language: Column, source: Colu
     """Content with a YAML head, unless it has one."""
     head = F.concat(F.lit("---\ndomain: "), domain, F.lit("\nlanguage: "), language, F.lit("\nsource_pdf: "), source, F.lit(f"\nprocessed_date: {processed}\n---\n\n"))
     return F.when(content.rlike(r"(?s)^---\s*\n.*?\n---\s*\n"), content).otherwise(F.concat(head, content))
+
+
+def auto_key_terms(content: Column, thai_tokens: Column | None = None, most: int = 50) -> Column:
+    """Thai key terms where Thai is over a tenth of what is no space, if tokens are given."""
+    if thai_tokens is None:
+        return key_terms(content, most)
+    share = F.regexp_count(content, F.lit(r"[\x{0E00}-\x{0E7F}]")) / F.nullif(F.char_length(F.regexp_replace(content, "[ \n]", "")), F.lit(0))
+    return F.when(F.coalesce(share, F.lit(0.0)) > 0.1, thai_key_terms(thai_tokens, most)).otherwise(key_terms(content, most))

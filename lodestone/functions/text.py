@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -115,3 +115,15 @@ def check_chunking(most: int, ratio: float, overlap: int | None) -> None:
 def query_tokens(text: Column) -> Column:
     """Lower-cased words of three or more word characters (letters, numbers, underscore)."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
+
+
+def segmented(text: Column, tokenizer: Callable[[], Callable[[str], list[str]]]) -> Column:
+    """Parts of a text by a tokenizer that ``tokenizer()`` makes once a task."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cut = tokenizer()
+        for texts in batches:
+            yield texts.map(lambda t: [p.strip() for p in cut(t) if p.strip()] if t else [])
+
+    return run(text)

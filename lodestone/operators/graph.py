@@ -67,14 +67,19 @@ def build(docs: DataFrame, most: int = 50, max_df: int | None = None) -> dict[st
     return {"documents": documents, "sections": parts, "code_blocks": code.drop("code"), "links": refs, "terms": terms(found), "mentions": found, "edges": edges}
 
 
-def related(found: DataFrame, max_df: int | None = None) -> DataFrame:
+def related(found: DataFrame, max_df: int | None = None, order: DataFrame | None = None) -> DataFrame:
     """(src, dst, via_term) of all ordered pairs of documents that share a term. Pairs of a
-    term grow with the square of its documents: ``max_df`` leaves more frequent ones out."""
+    term grow with the square of its documents: ``max_df`` leaves more frequent ones out.
+    With ``order`` (doc_id, seq), only from a document to those ingested before it."""
     held = found.select("doc_id", "term").distinct()
     if max_df is not None:
         held = held.join(held.groupBy("term").count().where(F.col("count").between(2, max_df)).select("term"), "term", "left_semi")
     a, b = held.select("term", F.col("doc_id").alias("src")), held.select("term", F.col("doc_id").alias("dst"))
-    return a.join(b, "term").where("src <> dst").select("src", "dst", F.col("term").alias("via_term"))
+    if order is not None:
+        a = a.join(order.select(F.col("doc_id").alias("src"), F.col("seq").alias("sa")), "src")
+        b = b.join(order.select(F.col("doc_id").alias("dst"), F.col("seq").alias("sb")), "dst")
+    both = a.join(b, "term").where("src <> dst" if order is None else "sb < sa")
+    return both.select("src", "dst", F.col("term").alias("via_term"))
 
 
 def related_documents(found: DataFrame, doc_id, hops: int = 2, limit: int = 20) -> DataFrame:
@@ -111,17 +116,20 @@ def keyword_search(documents: DataFrame, nodes: DataFrame, query: str, per_term:
     return counts.groupBy("doc_id", "title").agg(F.sum("n").alias("related_count")).orderBy(F.col("related_count").desc(), "doc_id").limit(limit)
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 50) -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 50, compat: bool = False) -> DataFrame:
     """(id, hops, chain) of the nodes within ``hops`` (held to 1..3) of the seeds (id), over
     edges (src, dst, type) in either direction; seeds and blank ids are left out. Of the
     shortest paths to a node the least chain stays: steps TYPE:direction, joined by ">".
-    Each hop is an equi-join with the frontier and an anti-join with what is known."""
+    Each hop is an equi-join with the frontier and an anti-join with what is known.
+    With ``compat``, steps after the first are all incoming, as none leaves the seed."""
     hops = max(1, min(MAX_HOPS, hops))
     step = edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.concat("type", F.lit(":outgoing")).alias("step"))
     step = step.unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"), F.concat("type", F.lit(":incoming")).alias("step"))).where("id <> to and id <> '' and to <> ''")
     known = seeds.where("id is not null and id <> ''").select("id").distinct().withColumn("hops", F.lit(0)).withColumn("chain", F.lit(""))
     front = known
     for k in range(1, hops + 1):
+        if compat and k == 2:
+            step = step.withColumn("step", F.regexp_replace("step", ":outgoing$", ":incoming"))
         reached = front.join(step, "id").select(F.col("to").alias("id"), F.concat_ws(">", F.nullif("chain", F.lit("")), "step").alias("chain"))
         front = reached.join(known.select("id"), "id", "left_anti").groupBy("id").agg(F.min("chain").alias("chain")).select("id", F.lit(k).alias("hops"), "chain")
         known = known.unionByName(front)

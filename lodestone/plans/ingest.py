@@ -112,3 +112,10 @@ def stages(df: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame
             step(df).write.mode("overwrite").parquet(path)
         df = spark.read.parquet(path)
     return df
+
+
+def embed_nodes(nodes: DataFrame, texts: DataFrame, model=vectors.HashingEmbedder) -> DataFrame:
+    """Nodes with the embeddings of ``texts`` (id, content) attached, and whether one was."""
+    from lodestone.operators.mutation import set_embeddings
+
+    return set_embeddings(nodes, texts.select("id", vectors.embed(F.col("content"), model).alias("embedding")))

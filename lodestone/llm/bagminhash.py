@@ -59,7 +59,7 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-_hashes = PieceCache(_word_hash)
+_hashes = PieceCache(_word_hash, 100_000)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -149,7 +149,7 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, some in portions(batch.column(1).to_pylist()):
+            for first, some in portions(batch.column(1)):
                 rows, bags, digests = [], [], []
                 for i, text in enumerate(some):
                     s = shingles(text)
@@ -259,7 +259,7 @@ def families(large: DataFrame, labels: DataFrame, texts: DataFrame, similar: flo
 
     def read(batches):
         for batch in batches:
-            for first, some in portions(batch.column(1).to_pylist()):
+            for first, some in portions(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array([occurrences(t).tobytes() for t in some], pa.binary())], ["id", "bag"])
 
     bags = written(texts.join(rows.select("id"), "id", "left_semi").select("id", "text").mapInArrow(read, f"id {kind}, bag binary"), "bags")

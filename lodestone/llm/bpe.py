@@ -121,8 +121,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, some in portions(texts):
+            for first, some in portions(batch.column(1)):
                 rows = [derive(vocab, ids) for ids in vocab.encode(some)]
                 columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), *columns], [id_col, *fields])

@@ -25,6 +25,8 @@ from lodestone.llm.pretokenise import portions
 from lodestone.llm.shared import written
 
 ROUNDS = 120
+#: Most bytes of rank bases that are broadcast; more of them are joined by a shuffle.
+BROADCAST = 32 << 20
 
 
 def combinations(window: int, have: np.ndarray) -> np.ndarray:
@@ -182,7 +184,7 @@ def tokenised(df: DataFrame, path: str, end: int, window: int, id_col: str, text
         part = TaskContext.get().partitionId()
         ranks, full = np.zeros(window, np.int64), 0
         for batch in batches:
-            for first, some in portions([t or "" for t in batch.column(1).to_pylist()]):
+            for first, some in portions(batch.column(1)):
                 rows = encode.encode(some, end)
                 tokens = [len(r) for r in rows]
                 rank, windows = [], []
@@ -223,7 +225,10 @@ def pack(df: DataFrame, path: str, window: int = 2048, end: int = 1, id_col: str
     parts = by.groupBy("part").agg(F.sum("full").alias("full"))  # one row for each task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("full").over(before), F.lit(0)).alias("window_base"))
-    placed = held.join(ranks.join(parts, "part"), ["part", "rest"])
+    bases = ranks.join(parts, "part")
+    # at most a row for each task and length: sent to all tasks while that is small
+    small = parts.count() * window * 24 <= BROADCAST
+    placed = held.join(F.broadcast(bases) if small else bases.hint("merge"), ["part", "rest"])
     placed = placed.select("id", "tokens", "rest", (F.col("rank") + F.col("rank_base")).alias("rank"), (F.col("windows") + F.col("window_base")).alias("windows"), "ids")
     shared = spark.sparkContext.broadcast(plan)  # bounded by the window
     derive = derive or (lambda ids: ids.astype(np.int64))

@@ -33,6 +33,19 @@ def _symbol_functions() -> list[tuple[int, ...]]:
     return [constant(OTHER), letter, constant(NUMBER), constant(WHITESPACE), constant(SPACE), opened(ONE_LEFT), opened(TWO_LEFT), constant(START)]
 
 
+def _newer(kind: str) -> list[int]:
+    """Code points that this Python's Unicode data lacks and the tokenizers library's, which
+    are newer, count to the general category."""
+    from tokenizers import Regex, pre_tokenizers
+
+    lacking = [c for c in range(0x40000) if unicodedata.category(chr(c)) == "Cn"]
+    others = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}"), "removed").pre_tokenize_str("".join(map(chr, lacking)))
+    left = np.ones(len(lacking), bool)
+    for _, (a, b) in others:
+        left[a:b] = False
+    return [lacking[i] for i in np.flatnonzero(left)]
+
+
 @functools.cache
 def _tables():
     """Class of each code point; composition in the closure of the symbol functions
@@ -45,6 +58,8 @@ def _tables():
             classes[c] = S_LETTER
         elif kind == "N":
             classes[c] = S_NUMBER
+    for kind, symbol in (("L", S_LETTER), ("N", S_NUMBER)):
+        classes[_newer(kind)] = symbol
     classes[[*range(9, 14), *WHITE]] = S_WHITE
     classes[32] = S_SPACE
     functions = _symbol_functions()
@@ -129,23 +144,30 @@ def slices(texts: list[str]) -> list[list[str]]:
     return [pieces[a:b] for a, b in itertools.pairwise([0, *ends])]
 
 
-def portions(texts: list[str], most: int = 1 << 20):
-    """Runs of texts of about ``most`` characters, as (first index, texts)."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield first, texts[first:i]
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, texts[first:]
+def portions(column, most: int = 1 << 20, rows: int = 256):
+    """Runs of the texts of an Arrow column of about ``most`` characters, as (first index,
+    texts), null as empty. Texts become Python strings a few rows at a time."""
+    first, size, held = 0, 0, []
+    for a in range(0, len(column), rows):
+        for t in column.slice(a, rows).to_pylist():
+            t = t or ""
+            if held and size + len(t) > most:
+                yield first, held
+                first, size, held = first + len(held), 0, []
+            held.append(t)
+            size += len(t)
+    if held:
+        yield first, held
 
 
 class PieceCache(dict):
     """Encoded slices, at most two generations of ``most`` entries each: when the young
-    one is full it becomes the old one, so frequent slices stay."""
+    one is full it becomes the old one, so frequent slices stay. A worker process keeps one
+    such cache at a time: another operator's is emptied when this one is added to."""
+
+    current: PieceCache | None = None
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 200_000):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
@@ -157,6 +179,11 @@ class PieceCache(dict):
         return found
 
     def add(self, found: dict) -> None:
+        if PieceCache.current is not self:
+            if PieceCache.current is not None:
+                PieceCache.current.clear()
+                PieceCache.current.old = {}
+            PieceCache.current = self
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.pretokenise import PieceCache
+from lodestone.llm.pretokenise import PieceCache, portions
 
 BUCKETS, DIM, GRAMS = 1 << 18, 12, (2, 3, 4)
 #: Most labelled documents to learn from; those of smallest hashed id are taken.
@@ -78,7 +78,7 @@ class Model:
                 got = features(w)
                 return complex(float(logits[got].sum(dtype=np.float64)), len(got))
 
-            self.cache = PieceCache(word)
+            self.cache = PieceCache(word, 100_000)
         words = (text or "").split()
         again = REPEAT * repeated(words)
         total = sum(map(self.cache.__getitem__, words), complex(again * float(self.logits[SAME]), again))
@@ -142,8 +142,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
     column ``name``; a column of df that has that name already is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # 1 MB
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        return texts.map(shared.value.score).astype("float64")
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t) for _, some in portions(texts) for t in some], pa.float64())
 
     return df.withColumn(name, scored(F.coalesce(F.col(text_col), F.lit(""))))

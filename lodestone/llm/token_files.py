@@ -48,7 +48,7 @@ def write(df: DataFrame, path: str, folder: str | None = None, end: int = 0, id_
             idx.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
                 keys.write(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                for _, some in portions([t or "" for t in batch.column(1).to_pylist()]):
+                for _, some in portions(batch.column(1)):
                     rows = encode.encode(some, end)
                     ends = tokens + np.cumsum([len(r) for r in rows], dtype="<i8")
                     idx.write(ends.tobytes())

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 # Upper bounds of duration buckets.
 BUCKETS = (0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
+# Names and help texts of the exposition format, in its order.
+GAUGES = {"service_up": "Whether the service is up.", "active_requests": "Number of currently active requests."}
+COUNTERS = {"requests_total": "Total number of HTTP requests.", "requests_success_total": "Total number of successful requests.", "requests_failed_total": "Total number of failed requests."}
+ERROR_RATE = "Current error rate (failed / total requests)."
+DURATION = "conversion_duration_seconds"
 
 
 def by_endpoint(requests: DataFrame) -> DataFrame:
@@ -29,16 +34,14 @@ def histogram(requests: DataFrame, value: str = "duration", by: tuple[str, ...]
 def prometheus(requests: DataFrame, active: int = 0) -> DataFrame:
     """(pos, line): the metrics in text exposition format."""
     t = totals(requests)
-    told = [("requests_total", "Total number of HTTP requests.", "total"), ("requests_success_total", "Total number of successful requests.", "success"), ("requests_failed_total", "Total number of failed requests.", "failed")]
-    fixed = [("service_up", "Whether the service is up.", "1"), ("active_requests", "Number of currently active requests.", str(active))]
     lines = []
-    for name, text, value in fixed:
+    for (name, text), value in zip(GAUGES.items(), ("1", str(active)), strict=True):
         lines += [F.lit(f"# HELP {name} {text}"), F.lit(f"# TYPE {name} gauge"), F.lit(f"{name} {value}")]
-    for name, text, c in told:
+    for (name, text), c in zip(COUNTERS.items(), ("total", "success", "failed"), strict=True):
         lines += [F.lit(f"# HELP {name} {text}"), F.lit(f"# TYPE {name} counter"), F.concat(F.lit(f"{name} "), F.col(c).cast("string"))]
-    lines += [F.lit("# HELP error_rate Current error rate (failed / total requests)."), F.lit("# TYPE error_rate gauge"), F.concat(F.lit("error_rate "), F.format_string("%.6f", "error_rate"))]
+    lines += [F.lit(f"# HELP error_rate {ERROR_RATE}"), F.lit("# TYPE error_rate gauge"), F.concat(F.lit("error_rate "), F.format_string("%.6f", "error_rate"))]
     head = t.select(F.posexplode(F.array(*lines)).alias("pos", "line"))
-    name = "conversion_duration_seconds"
+    name = DURATION
     h = histogram(requests)
     rows = h.select((F.lit(100) + F.col("ord")).alias("pos"), F.concat(F.lit(f'{name}_bucket{{le="'), "le", F.lit('"} '), F.col("bucket").cast("string")).alias("line"))
     last = h.where("le = '+Inf'").select(F.posexplode(F.array(F.concat(F.lit(f"{name}_count "), F.col("count").cast("string")), F.concat(F.lit(f"{name}_sum "), F.format_string("%.6f", "sum")))).alias("p", "line")).select((F.lit(200) + F.col("p")).alias("pos"), "line")

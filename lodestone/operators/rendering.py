@@ -36,6 +36,8 @@ RELATIONS = {
     "conflicts_with": {"th": "ขัดแย้งกับ", "en": "conflicts with"},
     "similar_to": {"th": "คล้ายกับ", "en": "similar to"},
 }
+# Headings and messages of search results.
+RESULTS, EMPTY_QUERY, NO_MATCH = "# Search Results", "> **Empty query provided.** Please provide a search term.", "> No results matched your query. Try rephrasing or using different keywords."
 SECTIONS = {"KnowledgeConcept": "concept_header", "Hardware": "hardware_header", "Strategy": "strategy_header", "Narrative": "narrative_header"}
 ABSENT = "N/A"
 
@@ -72,7 +74,7 @@ def context_block(vectors: DataFrame, expanded: DataFrame, by: str = "query") ->
         field("Simple Explanation", "layman_explanation"), field("Analogy", "analogy"), field("Creative Seed", "fiction_seed"), F.lit("---\n"),
     )
     blocks = rows.select(by, "idx", block.alias("block"))
-    return blocks.groupBy(by).agg(F.concat(F.lit("# Search Results\n\n"), joined(F.col("block"), F.col("idx"), "\n")).alias("context_block"), F.count("*").alias("total_nodes"))
+    return blocks.groupBy(by).agg(F.concat(F.lit(f"{RESULTS}\n\n"), joined(F.col("block"), F.col("idx"), "\n")).alias("context_block"), F.count("*").alias("total_nodes"))
 
 
 def concept_block(df: DataFrame, language: str = "th", creative: bool = True) -> Column:
@@ -117,9 +119,9 @@ def assemble(nodes: DataFrame, language: str = "th", creative: bool = True, by:
 def tool_response(query: Column, total: Column, block: Column) -> Column:
     """A search tool's answer; blank queries are told so."""
     asked = F.trim(query)
-    head = F.concat(F.lit('# Search Results for: "'), asked, F.lit('"\n\n**Found '), F.coalesce(total, F.lit(0)).cast("string"), F.lit(" related nodes**\n\n"))
-    body = F.coalesce(F.nullif(block, F.lit("")), F.lit("> No results matched your query. Try rephrasing or using different keywords.\n"))
-    return F.when(F.coalesce(asked, F.lit("")) == "", F.lit("# Search Results\n\n> **Empty query provided.** Please provide a search term.")).otherwise(F.concat(head, body))
+    head = F.concat(F.lit(f'{RESULTS} for: "'), asked, F.lit('"\n\n**Found '), F.coalesce(total, F.lit(0)).cast("string"), F.lit(" related nodes**\n\n"))
+    body = F.coalesce(F.nullif(block, F.lit("")), F.lit(f"{NO_MATCH}\n"))
+    return F.when(F.coalesce(asked, F.lit("")) == "", F.lit(f"{RESULTS}\n\n{EMPTY_QUERY}")).otherwise(F.concat(head, body))
 
 
 def short_message(message: Column, most: int = 500) -> Column:

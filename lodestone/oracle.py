@@ -9,7 +9,7 @@ import re
 from lodestone.functions.classify import DOMAIN_KEYWORDS, MODEL_DOMAINS
 from lodestone.functions.markdown import HTML_STEPS
 from lodestone.operators.llm_json import TEMPLATES
-from lodestone.operators.metrics import BUCKETS
+from lodestone.operators.metrics import BUCKETS, COUNTERS, DURATION, ERROR_RATE, GAUGES
 from lodestone.operators.rendering import RELATIONS, SECTIONS, label
 
 
@@ -276,17 +276,17 @@ TOTALS = "t as (select count(*) as total, count(*) filter (status >= 200 and sta
 sql("metrics_totals", f"with @requests@, {TOTALS} select total, success, failed, round(coalesce(failed / nullif(total, 0)::double, 0), 6) as error_rate from t")
 _BOUNDS = "(values " + ", ".join(f"({k}, '{b}', {b})" for k, b in enumerate(BUCKETS)) + f", ({len(BUCKETS)}, '+Inf', 1e300)) as b(ord, le, bound)"
 sql("metrics_histogram", f"with @requests@ select endpoint, ord::int as ord, le, count(*) filter (duration <= bound) as bucket, count(duration) as count, round(sum(duration), 2) as sum from r, {_BOUNDS} group by endpoint, ord, le")
-_LINES = [f"# HELP {n} {t}|# TYPE {n} gauge|{n} {v}" for n, t, v in (("service_up", "Whether the service is up.", "1"), ("active_requests", "Number of currently active requests.", "0"))]
-_TOLD = (("requests_total", "Total number of HTTP requests.", "total"), ("requests_success_total", "Total number of successful requests.", "success"), ("requests_failed_total", "Total number of failed requests.", "failed"))
-_HEAD = [_quoted(x) for line in _LINES for x in line.split("|")]
-for _n, _t, _c in _TOLD:
+_HEAD: list[str] = []
+for (_n, _t), _v in zip(GAUGES.items(), ("1", "0"), strict=True):
+    _HEAD += [_quoted(f"# HELP {_n} {_t}"), _quoted(f"# TYPE {_n} gauge"), _quoted(f"{_n} {_v}")]
+for (_n, _t), _c in zip(COUNTERS.items(), ("total", "success", "failed"), strict=True):
     _HEAD += [_quoted(f"# HELP {_n} {_t}"), _quoted(f"# TYPE {_n} counter"), f"'{_n} ' || {_c}"]
-_HEAD += ["'# HELP error_rate Current error rate (failed / total requests).'", "'# TYPE error_rate gauge'", "'error_rate ' || printf('%.6f', failed / total::double)"]
+_HEAD += [_quoted(f"# HELP error_rate {ERROR_RATE}"), "'# TYPE error_rate gauge'", "'error_rate ' || printf('%.6f', failed / total::double)"]
 sql(
     "prometheus_text",
     f"""with @requests@, {TOTALS}, d as (select round(duration) as duration from r), h as (select unnest(range({len(_HEAD)}))::int as pos, unnest([{", ".join(_HEAD)}]) as line from t)
-    select * from h union all select (100 + ord)::int, 'conversion_duration_seconds_bucket{{le="' || le || '"}} ' || count(*) filter (duration <= bound) from d, {_BOUNDS} group by ord, le
-    union all select 200, 'conversion_duration_seconds_count ' || count(duration) from d union all select 201, 'conversion_duration_seconds_sum ' || printf('%.6f', sum(duration)) from d""",
+    select * from h union all select (100 + ord)::int, '{DURATION}_bucket{{le="' || le || '"}} ' || count(*) filter (duration <= bound) from d, {_BOUNDS} group by ord, le
+    union all select 200, '{DURATION}_count ' || count(duration) from d union all select 201, '{DURATION}_sum ' || printf('%.6f', sum(duration)) from d""",
 )
 sql("latency_stats", "with @requests@, s as (select endpoint, list_sort(list(duration) filter (duration is not null)) as l from r group by 1) select endpoint, round(list_avg(l), 4) as mean, round(l[1], 4) as least, round(l[-1], 4) as most, round(l[floor(len(l) * 0.95)::int + 1], 4) as p95 from s")
 sql("history_ring", "with @requests@ select id, user_id from r order by ts desc, id desc limit 1000")

@@ -33,7 +33,7 @@ class LibraryEncoder:
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
-        self.cache = PieceCache(lambda piece: np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes())
+        self.cache = PieceCache(lambda piece: np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes(), 400_000)
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, then the id ``end``."""

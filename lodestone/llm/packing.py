@@ -15,6 +15,8 @@ of equal length come from prefix sums over the tasks that tokenised them.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -135,14 +137,14 @@ class Plan:
                     used[length] += n
                     at += length
             sequence += n
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        self.length = np.array([keys[i][0] for i in order], np.int64)
-        self.rank = np.array([keys[i][1] for i in order], np.int64)
-        self.first = np.array([first[i] for i in order], np.int64)
-        self.offset = np.array([offset[i] for i in order], np.int64)
-        self.packed = used
+        # of each length: where ranges of ranks begin, the sequence of the first, the offset
+        self.ranges: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        for (length, rank), sequence_id, at in sorted(zip(keys, first, offset, strict=True)):
+            for held, value in zip(self.ranges.setdefault(length, ([], [], [])), (rank, sequence_id, at), strict=True):
+                held.append(value)
+        self.packed = used.tolist()
         sizes = np.arange(self.window) * left
-        self.stream = np.cumsum(sizes) - sizes  # where each length's pieces begin in the stream
+        self.stream = (np.cumsum(sizes) - sizes).tolist()  # where each length's pieces begin in the stream
         self.base, total = sequence, int(sizes.sum())
         self.whole = total // self.window * self.window  # of the stream that makes full windows
         tail, at, ends = total - self.whole, self.whole, []
@@ -150,25 +152,25 @@ class Plan:
             if tail >> bit & 1:
                 at += 1 << bit
                 ends.append(at)
-        self.ends = np.array(ends, np.int64)  # of the short sequences
+        self.ends = ends  # of the short sequences
         self.sequences = sequence + self.whole // self.window + len(ends)
 
     def place(self, length: int, rank: int) -> list[tuple[int, int, int]]:
         """(sequence, offset, tokens) of each cut of a piece, in order."""
         if rank < self.packed[length]:
-            lo, hi = np.searchsorted(self.length, (length, length + 1))
-            k = lo + int(np.searchsorted(self.rank[lo:hi], rank, "right")) - 1
-            return [(int(self.first[k] + rank - self.rank[k]), int(self.offset[k]), length)]
-        at = int(self.stream[length] + (rank - self.packed[length]) * length)
+            ranks, first, offset = self.ranges[length]
+            k = bisect.bisect_right(ranks, rank) - 1
+            return [(first[k] + rank - ranks[k], offset[k], length)]
+        at = self.stream[length] + (rank - self.packed[length]) * length
         out = []
         while length:
             if at < self.whole:
                 sequence, start = divmod(at, self.window)
                 room = self.window - start
             else:
-                k = int(np.searchsorted(self.ends, at, "right"))
-                begin = self.whole if k == 0 else int(self.ends[k - 1])
-                sequence, start, room = self.whole // self.window + k, at - begin, int(self.ends[k]) - at
+                k = bisect.bisect_right(self.ends, at)
+                begin = self.whole if k == 0 else self.ends[k - 1]
+                sequence, start, room = self.whole // self.window + k, at - begin, self.ends[k] - at
             take = min(room, length)
             out.append((self.base + sequence, start, take))
             at, length = at + take, length - take

@@ -30,21 +30,31 @@ SAMPLE = 4000
 EPOCHS, RATE = 6, 0.4
 #: Bucket and weight of the bigram of a word with itself; zero vectors in every mean.
 SAME, REPEAT, PRIOR = 0, 8, 32
-#: Longest word whose n-grams all count; of a longer one, this many from either end do.
-WORD = 40
-
-
-def features(word: str) -> list[int]:
-    """Hash buckets of a word and of its character n-grams."""
-    raw = f"<{word}>"
-    if len(raw) > 2 * WORD + 2:
-        raw = raw[: WORD + 1] + "\0" + raw[-WORD - 1 :]
-    mask, crc = BUCKETS - 1, zlib.crc32
-    out = [crc(raw.encode("utf-8", "surrogatepass"), 1) & mask]
-    wide = raw.encode("utf-32-le", "surrogatepass")
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Words that are hashed together.
+TOGETHER = 8192
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of words and of their character n-grams, as (place of the word, bucket),
+    for many words at once: n-grams are windows of one array of code points."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    raw = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(r) for r in raw])
+    word = np.repeat(np.arange(len(words)), sizes)
+    owners = [np.arange(len(words))]
+    hashes = [np.array([zlib.crc32(r.encode("utf-8", "surrogatepass"), 1) for r in raw], np.int64) & (BUCKETS - 1)]
     for n in GRAMS:
-        out += [crc(wide[i : i + 4 * n], n) & mask for i in range(0, len(wide) - 4 * n + 4, 4)]
-    return out
+        inside = np.flatnonzero(word[: len(codes) - n + 1] == word[n - 1 :])
+        h = np.full(len(inside), n, np.uint64)
+        for k in range(n):
+            h = (h ^ codes[inside + k]) * PRIME
+            h ^= h >> np.uint64(29)
+        owners.append(word[inside])
+        hashes.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
+    return np.concatenate(owners), np.concatenate(hashes)
 
 
 def repeated(words: list[str]) -> int:
@@ -55,10 +65,8 @@ def repeated(words: list[str]) -> int:
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text, and how often each occurs."""
     words = (text or "").split()
-    got = [SAME] * (REPEAT * repeated(words))
-    for word in words:
-        got += features(word)
-    return np.unique(np.array(got, np.int64), return_counts=True)
+    again = np.full(REPEAT * repeated(words), SAME, np.int64)
+    return np.unique(np.concatenate([again, features(words)[1]]), return_counts=True)
 
 
 class Model:
@@ -70,20 +78,31 @@ class Model:
     def __getstate__(self):
         return {"logits": self.logits, "bias": self.bias, "cache": None}
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str]) -> list[float]:
+        """Scores of texts; words that are not known yet are hashed together."""
         if self.cache is None:
-            logits = self.logits
-
-            def word(w):
-                got = features(w)
-                return complex(float(logits[got].sum(dtype=np.float64)), len(got))
+            self.cache = PieceCache(None, 150_000)
+        known, logits = self.cache, self.logits
+        cut = [t.split() for t in texts]
+        new = list(set(itertools.chain.from_iterable(cut)).difference(known))
+        found = {w: v for w in new if (v := known.old.get(w)) is not None}
+        lacking = [w for w in new if w not in found]
+        for a in range(0, len(lacking), TOGETHER):
+            some = lacking[a : a + TOGETHER]
+            owner, bucket = features(some)
+            sums, counts = np.bincount(owner, logits[bucket], len(some)), np.bincount(owner, minlength=len(some))
+            found.update(zip(some, (sums + 1j * counts).tolist(), strict=True))
+        held = {w: known[w] for w in set(itertools.chain.from_iterable(cut)).difference(found)} | found
+        known.add({w: v for w, v in found.items() if len(w) <= 64})
+        out = []
+        for words in cut:
+            again = REPEAT * repeated(words)
+            total = sum(map(held.__getitem__, words), complex(again * float(logits[SAME]), again))
+            out.append(float(1 / (1 + np.exp(-np.clip(total.real / (total.imag + PRIOR) + self.bias, -60, 60)))))
+        return out
 
-            self.cache = PieceCache(word, 100_000)
-        words = (text or "").split()
-        again = REPEAT * repeated(words)
-        total = sum(map(self.cache.__getitem__, words), complex(again * float(self.logits[SAME]), again))
-        mean = total.real / (total.imag + PRIOR)
-        return float(1 / (1 + np.exp(-np.clip(mean + self.bias, -60, 60))))
+    def score(self, text: str | None) -> float:
+        return self.scores([text or ""])[0]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
@@ -144,6 +163,6 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(t) for _, some in portions(texts) for t in some], pa.float64())
+        return pa.array([x for _, some in portions(texts) for x in shared.value.scores(some)], pa.float64())
 
     return df.withColumn(name, scored(F.coalesce(F.col(text_col), F.lit(""))))

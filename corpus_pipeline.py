@@ -28,12 +28,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near copies, and one row of each id.
+    """The document of smallest id of each class of near copies, and one row of each id
+    (of the smallest text, then of the smallest other columns).
     Texts without words are near copies of none; rows without id stay."""
     kept = bagminhash.classes(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     some = docs.join(kept, "doc_id", "left_semi")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        some = some.dropDuplicates(["doc_id"])
+        rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+        some = some.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("__none"), "text", *rest)).alias("row")).select("doc_id", "row.*").drop("__none")
     return some.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 

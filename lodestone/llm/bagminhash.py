@@ -20,7 +20,7 @@ blocks exactly, and only who reaches whom leaves a task. So no pair of a bucket
 and no list grows with the square of a group.
 
 Documents without words (null, empty, punctuation) are classes of their own, as are rows
-without id (class null). Rows that repeat an id are one document.
+without id (class null). Rows that repeat an id are one document, of the smallest text.
 """
 
 from __future__ import annotations
@@ -290,14 +290,14 @@ def families(large: DataFrame, labels: DataFrame, texts: DataFrame, similar: flo
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, kept) for each row of df: class_id is the smallest id of the
     documents that links of similarity SIMILAR reach, kept says that it is the row's own."""
-    sigs = signed(df, id_col, text_col)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    if docs.groupBy("id").count().where("count > 1").take(1):
+        docs = docs.groupBy("id").agg(F.min("text").alias("text"))
+    sigs = signed(docs, "id", "text")
     copies = sigs.groupBy("words").agg(F.min("id").alias("node"))
-    copies = written(sigs.select("id", "words").join(copies, "words").select("id", "node").distinct(), "copies")
-    # an id that repeats with other words lies in several groups of copies: those are linked
+    copies = written(sigs.select("id", "words").join(copies, "words").select("id", "node"), "copies")
     copies_links = copies.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    nodes = sigs.join(copies.where("id = node").select("id"), "id", "left_semi").dropDuplicates(["id", "words"])
-    first = nodes.groupBy("id").agg(F.min_by(F.struct("weight", "bands", "signature"), "words").alias("s"))
-    nodes = written(first.select("id", "s.*"), "nodes")
+    nodes = written(sigs.join(copies.where("id = node").select("id"), "id", "left_semi").select("id", "weight", "bands", "signature"), "nodes")
     rows = nodes.select("id", "weight", F.explode("bands").alias("key"))
     many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64("id"), "id")).alias("star")).where("n > 1")
     rows = written(rows.join(many, "key"), "buckets")
@@ -309,8 +309,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     star = large.where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct()
     pairs = pairs.where(f"least(wa, wb) >= {SIMILAR} * greatest(wa, wb)").select("a", "b").unionByName(star).distinct()
     pairs = written(likely(pairs, nodes), "likely")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(nodes.select("id"), "id", "left_semi")
-    texts = texts.groupBy("id").agg(F.min("text").alias("text")) if sigs.count() != sigs.select("id").distinct().count() else texts
+    texts = docs.join(nodes.select("id"), "id", "left_semi")
     # one partner for each node first; pairs that this leaves in different components after it
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b")
     links = written(verified(best, texts), "links").unionByName(copies_links)

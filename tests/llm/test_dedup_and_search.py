@@ -64,6 +64,12 @@ def test_classes_are_components_of_all_links(spark, monkeypatch, small, block):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in found)
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    same, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    out = bagminhash.classes(spark.createDataFrame([(1, other), (2, same), (2, other), (2, other)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["kept"]) for r in out) == [(1, 1, True), (2, 1, False), (2, 1, False), (2, 1, False)]
+
+
 def test_classes_of_nothing(spark):
     assert bagminhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     out = bagminhash.classes(spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, None)], "doc_id long, text string")).collect()

@@ -12,9 +12,13 @@ SPEECH_END = r"(?U)(?<=[.!?।])\s+|(?<=\n)\s*|(?<=۔)"
 MAX_CHUNK, OVERLAP_RATIO, OVERLAP_CHARS, SPEECH_CHARS = 500, 0.15, 75, 300
 
 
+#: Code points with the White_Space property.
+WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    """Without white space at the ends, of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at the ends, of any kind; looks at the ends alone."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def sentences(text: Column, pattern: str = SENTENCE_END) -> Column:

@@ -120,18 +120,20 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None
     """(id, hops, chain) of the nodes within ``hops`` (held to 1..3) of the seeds (id), over
     edges (src, dst, type) in either direction; seeds and blank ids are left out. Of the
     shortest paths to a node the least chain stays: steps TYPE:direction, joined by ">".
-    Each hop is an equi-join with the frontier and an anti-join with what is known.
+    Each hop is an equi-join with the frontier and a grouped minimum; one more minimum over
+    the hops leaves the shortest paths.
     With ``compat``, steps after the first are all incoming, as none leaves the seed."""
     hops = max(1, min(MAX_HOPS, hops))
     step = edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.concat("type", F.lit(":outgoing")).alias("step"))
     step = step.unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"), F.concat("type", F.lit(":incoming")).alias("step"))).where("id <> to and id <> '' and to <> ''")
-    known = seeds.where("id is not null and id <> ''").select("id").distinct().withColumn("hops", F.lit(0)).withColumn("chain", F.lit(""))
-    front = known
+    known = seeds.where("id is not null and id <> ''").select("id").distinct()
+    front, reached = known.withColumn("chain", F.lit("")), None
     for k in range(1, hops + 1):
         if compat and k == 2:
             step = step.withColumn("step", F.regexp_replace("step", ":outgoing$", ":incoming"))
-        reached = front.join(step, "id").select(F.col("to").alias("id"), F.concat_ws(">", F.nullif("chain", F.lit("")), "step").alias("chain"))
-        front = reached.join(known.select("id"), "id", "left_anti").groupBy("id").agg(F.min("chain").alias("chain")).select("id", F.lit(k).alias("hops"), "chain")
-        known = known.unionByName(front)
-    found = known.where("hops > 0")
+        front = front.join(step, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.concat_ws(">", F.nullif("chain", F.lit("")), "step")).alias("chain"))
+        rows = front.select("id", F.lit(k).alias("hops"), "chain")
+        reached = rows if reached is None else reached.unionByName(rows)
+    # what a hop comes back to has fewer hops already, so the least (hops, chain) is right
+    found = reached.groupBy("id").agg(F.min(F.struct("hops", "chain")).alias("m")).select("id", "m.*").join(known, "id", "left_anti")
     return found.orderBy("hops", "id").limit(limit) if limit else found

@@ -87,6 +87,16 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op3_cross_polytope": op3_cross_polytope, "op4_bpe": op4_bpe, "op5_pivots": op5_pivots, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_html": op8_html, "op9_warc": op9_warc, "op10_bagminhash": op10_bagminhash}
 ORACLE_SQL = {
+    "op3_cross_polytope": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+                   where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+                     and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+              where list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from r join l on r.y = l.x),
+        c as (select x, min(y) as low from r group by x), n as (select x, count(*) as n from l group by x)
+        select vec_id, coalesce(n, 0) as n_links, low as component_id, vec_id = low as kept
+        from embeddings join c on c.x = vec_id left join n on n.x = vec_id""",
     "op5_pivots": """
         with v as (select vec_id as id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
                    where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),

@@ -26,9 +26,13 @@ from lodestone.llm.bagminhash import GOLDEN, mix
 from lodestone.llm.shared import components, joined, width, written
 
 SIMILAR = 0.93
-TABLES, PROBES = 6, 6
-#: Vectors that a bucket should hold on average, at most: more rotations split larger tables.
-LOAD = 4
+PROBES = 6
+#: Tables by rotations: so many that a pair at the threshold meets in one with a chance of
+#: 0.999 or more (a table's own is 0.92, 0.78, 0.56 and 0.36).
+TABLES = {1: 4, 2: 6, 3: 10, 4: 16, 5: 28, 6: 48}
+#: Vectors that a bucket should hold on average, at most: more rotations split larger
+#: tables, so chance meetings stay rare and work grows with the rows.
+LOAD = 0.05
 #: Rows of a bucket that one product compares with another such block.
 BLOCK = 512
 
@@ -36,7 +40,7 @@ BLOCK = 512
 @functools.cache
 def signs(size: int, rotations: int, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return rng.choice(np.array([-1.0, 1.0], np.float32), (TABLES, rotations, 3, size))
+    return rng.choice(np.array([-1.0, 1.0], np.float32), (TABLES[rotations], rotations, 3, size))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -51,15 +55,16 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def codes(unit: np.ndarray, rotations: int) -> np.ndarray:
-    """(rows, TABLES, PROBES) bucket codes, the first of each table the row's own."""
+    """(rows, tables, PROBES) bucket codes, the first of each table the row's own."""
     n, d = unit.shape
     size = 1 << max(0, (d - 1).bit_length())
     x = np.zeros((n, size), np.float32)
     x[:, :d] = unit
     near = min(3, size)  # axes of each rotation that probes may take
     combos = sorted(itertools.product(range(near), repeat=rotations), key=sum)[: 4 * PROBES]
-    out = np.zeros((n, TABLES, PROBES), np.int64)
-    for t in range(TABLES):
+    tables = TABLES[rotations]
+    out = np.zeros((n, tables, PROBES), np.int64)
+    for t in range(tables):
         axes, loss = [], []
         for r in range(rotations):
             y = x
@@ -99,7 +104,7 @@ def hashed(nodes: DataFrame, rotations: int, kind: str) -> DataFrame:
                 for d in np.unique(sizes):
                     rows = np.flatnonzero(sizes == d)
                     c = codes(normal(np.stack([vectors[i] for i in rows])).astype(np.float32), rotations)
-                    base = mix(mix(labels[rows].view(np.uint64) * GOLDEN + np.uint64(d))[:, None] + np.arange(TABLES, dtype=np.uint64) * GOLDEN)
+                    base = mix(mix(labels[rows].view(np.uint64) * GOLDEN + np.uint64(d))[:, None] + np.arange(TABLES[rotations], dtype=np.uint64) * GOLDEN)
                     keys = mix(base[:, :, None] ^ mix(c.view(np.uint64) + GOLDEN)).view(np.int64)
                     # a probe that equals an earlier one of the same table is no bucket more
                     new = np.ones(keys.shape, bool)
@@ -126,7 +131,7 @@ def normal(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def compare(code: int, table: int, x: dict, y: dict | None, kind: str):
+def compare(code: int, table: int, x: dict, y: dict | None, kind: str, tables: int):
     """Links between the rows of x (or of x and y) that meet in a bucket, as arrays: nodes
     with one, copies linked that are counted here, a node that stands for those reached."""
     other = y or x
@@ -136,7 +141,7 @@ def compare(code: int, table: int, x: dict, y: dict | None, kind: str):
     i, j = np.nonzero(np.triu(good, 1) if y is None else good)
     if not len(i):
         return None
-    coded = lambda g: np.frombuffer(b"".join(g["codes"]), f"<u{len(g['codes'][0]) // (TABLES * PROBES)}").reshape(-1, TABLES, PROBES)
+    coded = lambda g: np.frombuffer(b"".join(g["codes"]), f"<u{len(g['codes'][0]) // (tables * PROBES)}").reshape(-1, tables, PROBES)
     all_x, all_y = coded(x), coded(other)
     # where each linked pair meets first: a table in which the own bucket of one is a
     # bucket of the other, and there the smaller node's own bucket if the other visits it
@@ -159,7 +164,7 @@ def compare(code: int, table: int, x: dict, y: dict | None, kind: str):
     return nodes[some], links[some].astype(np.int64), nodes[joined(len(nodes), i, j)][some]
 
 
-def met(nodes: DataFrame, kind: str) -> DataFrame:
+def met(nodes: DataFrame, kind: str, tables: int) -> DataFrame:
     """(node, links, low): links counted, and a node that is reached, by bucket and pair
     of blocks. Buckets are counted first, so a vector goes only where another one is."""
     light = nodes.select("node", F.explode("buckets").alias("b")).select("node", "b.*")
@@ -204,7 +209,7 @@ def met(nodes: DataFrame, kind: str) -> DataFrame:
             i, j = int(g["i"][0]), int(g["j"][0])
             part = lambda k: {c: (np.asarray(g[c])[k] if c not in ("vector", "codes") else [g[c][r] for r in np.flatnonzero(k)]) for c in names}  # noqa: B023, E731
             x, y = (g, None) if i == j else (part(g["block"] == i), part(g["block"] == j))
-            if len(x["node"]) and (y is None or len(y["node"])) and (found := compare(int(g["code"][0]), int(g["t"][0]), x, y, kind)):
+            if len(x["node"]) and (y is None or len(y["node"])) and (found := compare(int(g["code"][0]), int(g["t"][0]), x, y, kind, tables)):
                 rows.append(found)
                 size += len(found[0])
             if size > 20000:
@@ -229,7 +234,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     while rotations < 6 and (most[0] or 0) > LOAD * d**rotations:
         rotations += 1
     kind = "<f4" if dict(df.dtypes)[vector_col] == "array<float>" else "<f8"
-    links = written(met(written(hashed(nodes, rotations, kind), "hashed"), kind), "met")
+    links = written(met(written(hashed(nodes, rotations, kind), "hashed"), kind, TABLES[rotations]), "met")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     tree = components(links.select(F.col("node").alias("a"), F.col("low").alias("b")))
     told = nodes.select("x", "y", "node", "n").join(counts, "node", "left").join(tree, "node", "left")

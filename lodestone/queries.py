@@ -1,4 +1,4 @@
-"""Queries of the reference operators on the test tables, one an operator family; their
+"""Queries of the retrieval operators on the test tables, one an operator family; their
 SQL is in ``oracle``."""
 
 from __future__ import annotations

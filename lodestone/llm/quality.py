@@ -26,7 +26,7 @@ from lodestone.llm.pretokenise import PieceCache, portions
 
 BUCKETS, DIM, GRAMS = 1 << 18, 12, (2, 3, 4)
 #: Most labelled documents to learn from; those of smallest hashed id are taken.
-SAMPLE = 4000
+SAMPLE = 3000
 EPOCHS, RATE = 6, 0.4
 #: Bucket and weight of the bigram of a word with itself; zero vectors in every mean.
 SAME, REPEAT, PRIOR = 0, 8, 32

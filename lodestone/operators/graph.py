@@ -82,6 +82,25 @@ def related(found: DataFrame, max_df: int | None = None, order: DataFrame | None
     return both.select("src", "dst", F.col("term").alias("via_term"))
 
 
+def related_members(found: DataFrame) -> DataFrame:
+    """(via_term, doc_id, n_docs): the documents of each term that at least two share. All
+    RELATED_TO edges, unlisted: the ordered pairs of a term's documents. Terms of any
+    frequency stay, and a term gives as many rows as it has documents."""
+    held = found.select("doc_id", "term").distinct()
+    sizes = held.groupBy("term").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
+    return held.join(sizes, "term").select(F.col("term").alias("via_term"), "doc_id", "n_docs")
+
+
+def edge_counts(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(type, n, sources, targets) of edges without RELATED_TO, and of all RELATED_TO edges
+    of ``found``. These are summed over terms, not listed: every document that shares a term
+    is both source and target."""
+    out = edges.where("type <> 'RELATED_TO'").groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    ends = related_members(found).groupBy("doc_id").agg(F.sum(F.col("n_docs") - 1).alias("n"))
+    near = ends.agg(F.sum("n").alias("n"), F.count("*").alias("sources")).where("sources > 0")
+    return out.unionByName(near.select(F.lit("RELATED_TO").alias("type"), "n", "sources", F.col("sources").alias("targets")))
+
+
 def related_documents(found: DataFrame, doc_id, hops: int = 2, limit: int = 20) -> DataFrame:
     """(doc_id, strength): directed RELATED_TO paths of at most ``hops`` (1 or 2) from a
     document to each other one, one edge a shared term. Paths are counted, not listed:

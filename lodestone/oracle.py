@@ -154,6 +154,15 @@ sql(
     select type, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from e group by 1""",
 )
 sql("related_edges", f"with @docs@, @terms@, {RELATED.format(df=10)} select * from rel")
+sql(
+    "graph_edges_all",
+    """with @pages@, @sections@, @terms@, held as (select distinct doc_id, term from mentions),
+    lk as (select doc_id, unnest(range(len(regexp_extract_all(content, '\\[([^\\]]+)\\]\\(([^)]+)\\)')))) as i from docs),
+    e as (select doc_id::varchar as src, section_id as dst, 'HAS_SECTION' as type from sec union all select parent_id, section_id, 'CONTAINS_SECTION' from sec where parent_id <> '' union all select doc_id::varchar, term, 'MENTIONS_TERM' from held
+      union all select doc_id::varchar, doc_id || '_link_' || i, 'REFERENCES_URL' from lk union all select a.doc_id::varchar, b.doc_id::varchar, 'RELATED_TO' from held a join held b using (term) where a.doc_id <> b.doc_id)
+    select type, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from e group by 1""",
+)
+sql("related_members", "with @docs@, @terms@, held as (select distinct doc_id, term from mentions) select term as via_term, doc_id, count(*) over (partition by term) as n_docs from held qualify n_docs > 1")
 sql(
     "graph_search",
     """with @pages@, @sections@, @terms@, @titled@,

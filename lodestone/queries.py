@@ -152,6 +152,18 @@ def related_edges(spark, d):
     return graph.related(graph.mentions(_docs(spark, d)), max_df=10)
 
 
+@query
+def graph_edges_all(spark, d):
+    # max_df=1: build lists no RELATED_TO edges, edge_counts counts all of them
+    made = graph.build(_pages(spark, d), max_df=1)
+    return graph.edge_counts(made["edges"], made["mentions"])
+
+
+@query
+def related_members(spark, d):
+    return graph.related_members(graph.mentions(_docs(spark, d)))
+
+
 @query
 def graph_search(spark, d):
     docs = _pages(spark, d)

@@ -33,6 +33,19 @@ def test_expand_chain_diamond_and_loops(spark):
     assert got(graph.expand(edges, seeds, 3, 2), "id") == [("b",), ("c",)]
 
 
+def test_related_members_hold_every_pair(spark):
+    held = [*((d, "common") for d in range(25)), (3, "rare"), (4, "rare"), (5, "alone"), (3, "rare")]
+    found = spark.createDataFrame(held, "doc_id long, term string")
+    pairs = {(r["src"], r["dst"], r["via_term"]) for r in graph.related(found).collect()}
+    of = {}
+    for r in graph.related_members(found).collect():
+        of.setdefault(r["via_term"], []).append(r["doc_id"])
+        assert r["n_docs"] == {"common": 25, "rare": 2}[r["via_term"]]
+    assert {(a, b, t) for t, ids in of.items() for a in ids for b in ids if a != b} == pairs and len(pairs) == 25 * 24 + 2
+    edges = spark.createDataFrame([("1", "x", "MENTIONS_TERM"), ("1", "2", "RELATED_TO")], "src string, dst string, type string")
+    assert sorted(map(tuple, graph.edge_counts(edges, found).collect())) == [("MENTIONS_TERM", 1, 1, 1), ("RELATED_TO", len(pairs), 25, 25)]
+
+
 def test_related_documents_counts_paths(spark):
     random.seed(2)
     held = sorted({(random.randrange(7), f"t{random.randrange(6)}") for _ in range(25)})

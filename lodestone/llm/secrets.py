@@ -44,8 +44,6 @@ LEX = re.compile(
 NAME = re.compile(r"[A-Za-z_][\w.-]*", re.A)
 PLACEHOLDER = re.compile(r"\$\{|\{\{|<[a-z]|^%|^\$|example|changeme|placeholder|x{4,}|\*{3,}|^(?:none|null|true|false|undefined)$", re.I)
 LITERAL_SCORE = 0.5
-#: Literals that a name can hold; a chain that adds more keeps the first ones it met.
-HELD = 64
 
 
 def sensitivity(name: str) -> float:
@@ -119,22 +117,34 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     """Literals that reach sensitive names, with their scores."""
     if not TARGET.search(text):
         return []
-    held: dict[str, list[tuple[int, int, bool]]] = {}
-    found: dict[tuple[int, int], float] = {}
+    made: list[tuple[str, list[tuple[int, int, bool]], list[int]]] = []  # name, own literals, assignments that it takes from
+    last: dict[str, int] = {}
     for name, parts in pairs(text):
         own: list[tuple[int, int, bool]] = []
+        taken: list[int] = []
         for part in parts:
             if part[0] == "literal":
                 own.append(part[1:])
-            elif part[1] in held:
-                own += held[part[1]]
+            elif part[1] in last:
+                taken.append(last[part[1]])
             else:  # a bare word that no assignment defines is a value
                 own.append((part[2], part[3], False))
-        own = list(dict.fromkeys(own))[:HELD]
-        held[name] = own
-        if weight := sensitivity(name):
-            for start, end, quoted in own:
-                score = weight * plausibility(text[start:end], quoted)
+        last[name] = len(made)
+        made.append((name, own, taken))
+    found: dict[tuple[int, int], float] = {}
+    seen: set[int] = set()
+    weights = [sensitivity(name) for name, _, _ in made]
+    # from the most sensitive names on: what one has reached, others need not walk again
+    for first in sorted((k for k, w in enumerate(weights) if w), key=lambda k: -weights[k]):
+        todo = [first]
+        while todo:
+            k = todo.pop()
+            if k in seen:
+                continue
+            seen.add(k)
+            todo += made[k][2]
+            for start, end, quoted in made[k][1]:
+                score = weights[first] * plausibility(text[start:end], quoted)
                 if score >= LITERAL_SCORE:
                     found[start, end] = max(score, found.get((start, end), 0))
     return [(a, b, s) for (a, b), s in found.items()]

@@ -27,9 +27,6 @@ LEAST = 8
 
 # How sensitive a name is by the part that it holds.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.8, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "credential": 0.8, "auth": 0.5}
-ANY = re.compile(r"password|passwd|passphrase|pwd|secret|token|api[_.-]?key|private[_.-]?key|access[_.-]?key|credential|auth", re.I | re.A)
-#: Something sensitive is assigned: without it no literal can be reported.
-TARGET = re.compile(rf"(?:{ANY.pattern})[\w.-]*[\"']?\]?[ \t]*(?::[ \t]*[\w.\[\]]+[ \t]*=|:=|=>|[:=])", re.I | re.A)
 LEX = re.compile(
     r"""(?P<comment>(?:(?<=^)|(?<=\s))(?:\#|//)(?=\s)[^\n]*)
     |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
@@ -47,7 +44,8 @@ LITERAL_SCORE = 0.5
 
 
 def sensitivity(name: str) -> float:
-    flat = re.sub(r"[_.\-]", "", name.lower())
+    """Of a whole text: no less than that of any name in it."""
+    flat = name.lower().replace("_", "").replace(".", "").replace("-", "")
     return max((v for k, v in SENSITIVE.items() if k in flat), default=0.0)
 
 
@@ -115,8 +113,6 @@ def pairs(text: str):
 
 def literals(text: str) -> list[tuple[int, int, float]]:
     """Literals that reach sensitive names, with their scores."""
-    if not TARGET.search(text):
-        return []
     made: list[tuple[str, list[tuple[int, int, bool]], list[int]]] = []  # name, own literals, assignments that it takes from
     last: dict[str, int] = {}
     for name, parts in pairs(text):
@@ -159,7 +155,7 @@ def scan(text: str) -> list[tuple[str, int, int, int, float]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m.start(), 1.0) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), m.start(), 1.0) for m in HEX.finditer(text)]
-    if ("=" in text or ":" in text) and ANY.search(lower):
+    if ("=" in text or ":" in text) and sensitivity(text):  # else no literal reaches a sensitive name
         out += [("literal", a, b, a, s) for a, b, s in literals(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -63,28 +63,39 @@ def plausibility(value: str, quoted: bool) -> float:
 
 def pairs(text: str):
     """(name, [parts]) of each assignment; a part is ("literal", start, end, quoted) or
-    ("name", name)."""
+    ("name", name, start, end). Each element of a list in [ ] or ( ) is an assignment to
+    the list's name."""
     name = kind = None  # what stands before an assignment sign
     target, parts, joined = None, [], False
+    opened: list[tuple[str, str | None]] = []  # brackets, and the name that their elements go to
+    element = False  # the target is that of a list, after a comma
     for m in LEX.finditer(text):
         kind = m.lastgroup
         if kind == "comment":
             continue
-        if kind == "assign" and name and (not target or not parts or (m[0] != ":" and parts[-1][0] == "name")):
+        if kind == "assign" and name and element and parts:
+            # a key or keyword inside a list is a name of its own
+            target, parts, joined, name, element = name, [], True, None, False
+        elif kind == "assign" and name and (not target or not parts or (m[0] != ":" and parts[-1][0] == "name")):
             # "name: Type = ..." keeps the first name
             if not (target and parts and m[0] == "="):
                 if target and parts:
                     yield target, parts
                 target = name
-            parts, joined, name = [], True, None
+            parts, joined, name, element = [], True, None, False
         elif kind in ("line", "end"):
-            if kind == "line" and parts and joined:
-                continue  # a join that goes on in the next line
+            inside = opened[-1][1] if opened else None
+            if kind == "line" and target and (inside or (parts and joined)):
+                continue  # a list or a join that goes on in the next line
             if target and parts:
                 yield target, parts
-            target, parts = None, []
+            target, parts, element = None, [], False
             if m[0] != "]":  # as in names["KEY"] = ...
                 name = None
+            if m[0] == "," and inside:
+                target, joined, element = inside, True, True
+            elif opened and opened[-1][0] + m[0] in ("[]", "()", "{}"):
+                opened.pop()
         elif kind == "plus":
             joined = True
         elif kind == "string":
@@ -101,46 +112,49 @@ def pairs(text: str):
                 joined = False
             elif target and parts:
                 yield target, parts
-                target, parts = None, []
+                target, parts, element = None, [], False
             name = m[0] if NAME.fullmatch(m[0]) else None
-        elif kind == "other" and m[0] not in "[({$@":
-            if target and parts:
-                yield target, parts
-                target, parts = None, []
+        elif kind == "other":
+            if m[0] in "[({":
+                # a list where a value is due; what follows a name is a call or a place
+                opened.append((m[0], target if joined and m[0] != "{" else None))
+                if m[0] == "{" and element:
+                    target, parts, element = None, [], False
+            elif m[0] not in "$@":
+                if target and parts:
+                    yield target, parts
+                    target, parts, element = None, [], False
     if target and parts:
         yield target, parts
 
 
 def literals(text: str) -> list[tuple[int, int, float]]:
     """Literals that reach sensitive names, with their scores."""
-    made: list[tuple[str, list[tuple[int, int, bool]], list[int]]] = []  # name, own literals, assignments that it takes from
-    last: dict[str, int] = {}
+    held: dict[str, tuple[list, list]] = {}  # of each name its literals, and the names that it takes
     for name, parts in pairs(text):
-        own: list[tuple[int, int, bool]] = []
-        taken: list[int] = []
+        own, taken = held.setdefault(name, ([], []))
         for part in parts:
-            if part[0] == "literal":
-                own.append(part[1:])
-            elif part[1] in last:
-                taken.append(last[part[1]])
-            else:  # a bare word that no assignment defines is a value
-                own.append((part[2], part[3], False))
-        last[name] = len(made)
-        made.append((name, own, taken))
+            (own if part[0] == "literal" else taken).append(part[1:])
     found: dict[tuple[int, int], float] = {}
-    seen: set[int] = set()
-    weights = [sensitivity(name) for name, _, _ in made]
+    seen: set[str] = set()
     # from the most sensitive names on: what one has reached, others need not walk again
-    for first in sorted((k for k, w in enumerate(weights) if w), key=lambda k: -weights[k]):
+    for first in sorted(held, key=lambda n: -sensitivity(n)):
+        if not (weight := sensitivity(first)):
+            break
         todo = [first]
         while todo:
-            k = todo.pop()
-            if k in seen:
+            name = todo.pop()
+            if name in seen:
                 continue
-            seen.add(k)
-            todo += made[k][2]
-            for start, end, quoted in made[k][1]:
-                score = weights[first] * plausibility(text[start:end], quoted)
+            seen.add(name)
+            spans = list(held[name][0])
+            for other, start, end in held[name][1]:
+                if other in held and other != name:
+                    todo.append(other)
+                else:  # a bare word that no assignment defines is a value
+                    spans.append((start, end, False))
+            for start, end, quoted in spans:
+                score = weight * plausibility(text[start:end], quoted)
                 if score >= LITERAL_SCORE:
                     found[start, end] = max(score, found.get((start, end), 0))
     return [(a, b, s) for (a, b), s in found.items()]

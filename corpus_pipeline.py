@@ -28,15 +28,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near copies, and one row of each id
-    (of the smallest text, then of the smallest other columns).
+    """The document of smallest id of each class of near copies. Where rows repeat an id,
+    one row of each id and text (of the smallest other columns) whose own text is no near
+    copy of one of a smaller id, or of a smaller one of the same id.
     Texts without words are near copies of none; rows without id stay."""
-    kept = bagminhash.classes(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    some = docs.join(kept, "doc_id", "left_semi")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+    if bagminhash.repeated(docs.where("doc_id is not null"), "doc_id"):
         rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-        some = some.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("__none"), "text", *rest)).alias("row")).select("doc_id", "row.*").drop("__none")
-    return some.unionByName(docs.where("doc_id is null")).select(docs.columns)
+        some = docs.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__none"), *rest)).alias("row")).select("doc_id", "text", "row.*")
+        some = some.withColumn("__none", F.coalesce(bagminhash.text_key("doc_id", "text"), F.lit("")))
+        some = some.join(bagminhash.copies(docs).withColumnRenamed("key", "__none"), "__none", "left_anti")
+    else:
+        kept = bagminhash.classes(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+        some = docs.join(kept, "doc_id", "left_semi")
+    return some.select(docs.columns).unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

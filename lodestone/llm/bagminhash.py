@@ -20,7 +20,9 @@ blocks exactly, and only who reaches whom leaves a task. So no pair of a bucket
 and no list grows with the square of a group.
 
 Documents without words (null, empty, punctuation) are classes of their own, as are rows
-without id (class null). Rows that repeat an id are one document, of the smallest text.
+without id (class null). Rows that repeat an id are one document, which a link of any of
+its texts links: each distinct (id, text) is signed and compared. ``copies`` tells such
+rows apart by their texts.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.llm.pretokenise import PieceCache, portions
 from lodestone.llm.shared import components, joined, written
@@ -287,12 +289,25 @@ def families(large: DataFrame, labels: DataFrame, texts: DataFrame, similar: flo
     return inside.unionByName(out).groupBy("family", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").where("a <> b")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, kept) for each row of df: class_id is the smallest id of the
-    documents that links of similarity SIMILAR reach, kept says that it is the row's own."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    if docs.groupBy("id").count().where("count > 1").take(1):
-        docs = docs.groupBy("id").agg(F.min("text").alias("text"))
+def repeated(docs: DataFrame, id_col: str) -> bool:
+    return bool(docs.groupBy(id_col).count().where("count > 1").take(1))
+
+
+def text_key(id_col: str, text_col: str) -> Column:
+    """One value for each pair of an id and a text."""
+    name = F.col(id_col).cast("string")
+    return F.md5(F.concat(F.char_length(name).cast("string"), F.lit(" "), name, F.lit(" "), F.col(text_col)))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(id, doc, text) of each distinct (id, text) of docs, ``id`` a key and ``doc`` the id."""
+    rows = docs.where("text is not null").distinct()
+    return written(rows.select(text_key("id", "text").alias("id"), F.col("id").alias("doc"), "text"), "texts")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """(node, component) of the ids that links of similarity SIMILAR reach. ``docs`` (id,
+    text) has each id once."""
     sigs = signed(docs, "id", "text")
     copies = sigs.groupBy("words").agg(F.min("id").alias("node"))
     copies = written(sigs.select("id", "words").join(copies, "words").select("id", "node"), "copies")
@@ -320,7 +335,30 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if not large.isEmpty():
         more = more.unionByName(families(large, labels, texts))
     more = written(more, "links")
-    final = components(links.unionByName(more)) if more.take(1) else labels
+    return components(links.unionByName(more)) if more.take(1) else labels
+
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key) of each text_key of df whose text links of similarity SIMILAR lead to one of a
+    smaller id, or to a smaller text of the same id."""
+    docs = keyed(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null"))
+    held = linked(docs.select("id", "text")).join(docs.withColumnRenamed("id", "node"), "node")
+    first = held.groupBy("component").agg(F.min(F.struct("doc", "text", "node")).alias("m")).select(F.col("m.node").alias("node"))
+    return held.join(first, "node", "left_anti").select(F.col("node").alias("key"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, kept) for each row of df: class_id is the smallest id of the
+    documents that links of similarity SIMILAR reach, kept says that it is the row's own."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    if repeated(docs, "id"):
+        texts = keyed(docs)
+        ends = linked(texts.select("id", "text")).join(texts.select(F.col("id").alias("node"), "doc"), "node")
+        ends = written(ends.select("doc", "component").distinct(), "ends")
+        low = ends.groupBy("component").agg(F.min("doc").alias("low"))
+        final = components(ends.join(low, "component").select(F.col("doc").alias("a"), F.col("low").alias("b")))
+    else:
+        final = linked(docs)
     out = df.select(F.col(id_col).alias("id")).join(final.withColumnRenamed("node", "id"), "id", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import bagminhash, pivots, vectors
 from lodestone.llm.shared import components, joined
 
@@ -70,6 +71,17 @@ def test_rows_that_repeat_an_id_are_one_document(spark):
     assert sorted((r["doc_id"], r["class_id"], r["kept"]) for r in out) == [(1, 1, True), (2, 1, False), (2, 1, False), (2, 1, False)]
 
 
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, b), (2, a), (2, b), (3, c), (4, b), (4, d), (4, d), (5, d + " end"), (6, None), (6, a + " end"), (7, None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["class_id"], r["kept"]) for r in bagminhash.classes(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 1, False), (5, 1, False), (6, 1, False), (7, 7, True), (None, None, True)}
+    left = corpus_pipeline.near_duplicate_stage(spark, df.withColumn("n_chars", F.length("text")), "")
+    want = [(1, b), (2, a), (3, c), (4, d), (6, None), (7, None), (None, a)]
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str((i, t, t and len(t))) for i, t in want)
+
+
 def test_classes_of_nothing(spark):
     assert bagminhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     out = bagminhash.classes(spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, None)], "doc_id long, text string")).collect()

@@ -221,10 +221,11 @@ def top_k(df: DataFrame, k: int = 5, query: str = "id % 50 = 0", id_col: str = "
     condition ``query`` on ``id`` holds for; candidates are all rows."""
     spark = df.sparkSession
     rows = prepared(df, id_col, vector_col)
-    sizes = [r[0] for r in rows.select(F.size("v").alias("n")).distinct().limit(1000).collect()]
+    # every length that a query has; candidates of other lengths meet none
+    sizes = [r[0] for r in rows.where(query).select(F.size("v").alias("n")).distinct().collect()]
     out = None
     for size in sizes or [1]:
-        same = rows.where(F.size("v") == size) if len(sizes) > 1 else rows
+        same = rows.where(F.size("v") == size)
         norm = F.aggregate(F.transform("v", lambda x: F.floor(x * SCALE).cast("double")), F.lit(0.0), lambda a, x: a + x * x)
         top = same.agg(F.max(norm)).first()[0] or 0.0
         some = same.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()

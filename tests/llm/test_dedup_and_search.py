@@ -171,3 +171,10 @@ def test_top_k_of_few(spark):
     assert pivots.top_k(spark.createDataFrame([], schema)).count() == 0
     assert pivots.top_k(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
     assert [tuple(r) for r in pivots.top_k(spark.createDataFrame([(0, [1.0]), (1, [-1.0])], schema)).collect()] == [(0, 1, 1, -65536)]
+
+
+def test_top_k_of_many_lengths(spark):
+    other = spark.range(3000).select((F.col("id") * 50 + 1).alias("vec_id"), F.expr("array_repeat(float(1), int(id) + 1)").alias("embedding"))
+    own = spark.createDataFrame([(50 * n, [0.5] * n) for n in (700, 1400, 2100, 2800)], "vec_id long, embedding array<float>")
+    found = {tuple(r) for r in pivots.top_k(other.unionByName(own)).collect()}
+    assert found == {(50 * n, 1, 50 * (n - 1) + 1, n * 128 * 256) for n in (700, 1400, 2100, 2800)}

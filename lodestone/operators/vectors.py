@@ -47,18 +47,13 @@ def top_k(points: DataFrame, query: list[float], k: int = 10, id_col: str = "id"
     return rows.where("score is not null").orderBy(F.col("score").desc(), id_col).limit(k)
 
 
-def top_k_many(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "embedding", mode: str = "cosine") -> DataFrame:
-    """(query, id, score, rank) for the query vectors in ``queries`` (query, embedding), at
-    most MAX_QUERIES: each task multiplies its points with all of them and keeps k a
-    query, and those are ranked."""
-    asked = queries.select("query", F.col("embedding").cast("array<double>")).orderBy("query").limit(MAX_QUERIES + 1).toArrow()
-    if asked.num_rows > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one call")
+def _best(points: DataFrame, asked: pa.Table, query_kind: str, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """(query, id, score) of at least the k best points of each task for each query."""
     names = asked.column(0).to_pylist()
     q = np.array(asked.column(1).to_pylist(), np.float64).reshape(len(names), -1)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     held = points.sparkSession.sparkContext.broadcast(q)
-    kind, query_kind = dict(points.dtypes)[id_col], dict(queries.dtypes)["query"]
+    kind = dict(points.dtypes)[id_col]
     id_type = None
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -87,7 +82,18 @@ def top_k_many(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
         if best:
             yield pa.RecordBatch.from_arrays([pa.array([names[b[0]] for b in best]), pa.array([b[2] for b in best], id_type), pa.array([-b[1] for b in best])], ["query", "id", "score"])
 
-    found = points.where(F.col(vector_col).isNotNull()).select(id_col, F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, f"query {query_kind}, id {kind}, score double")
+    return points.where(F.col(vector_col).isNotNull()).select(id_col, F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, f"query {query_kind}, id {kind}, score double")
+
+
+def top_k_many(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "embedding", mode: str = "cosine") -> DataFrame:
+    """(query, id, score, rank) for the query vectors in ``queries`` (query, embedding),
+    which the driver holds: each task multiplies its points with MAX_QUERIES of them at a
+    time, a scan of the points for each such block, and keeps k a query; those are ranked."""
+    asked = queries.select("query", F.col("embedding").cast("array<double>")).orderBy("query").toArrow()
+    found, query_kind = None, dict(queries.dtypes)["query"]
+    for first in range(0, max(1, asked.num_rows), MAX_QUERIES):
+        some = _best(points, asked.slice(first, MAX_QUERIES), query_kind, k, id_col, vector_col)
+        found = some if found is None else found.unionByName(some)
     found = found.withColumn("score", scored(F.col("score"), mode))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -190,6 +190,7 @@ sql("expand_hops", f"with @star@, {_hops("'nation:3', 'region:1'", 2)} select *
 sql("expand_limit", f"with @star@, {_hops("'nation:3'", 3)} select * from found order by hops, id limit 50")
 sql("vector_topk", f"with q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id as id, {_cosine('embedding', 'e')} as s from embeddings, q) select id, round(s, 6) as score from s order by s desc, id limit 10")
 sql("vector_topk_many", f"with q as (select vec_id as query, embedding as e from embeddings where vec_id < 5), s as (select query, vec_id as id, (1 + {_cosine('embedding', 'e')}) / 2 as s from embeddings, q), r as (select *, row_number() over (partition by query order by s desc, id)::int as rank from s) select query, id, round(s, 6) as score, rank from r where rank <= 10")
+sql("vector_topk_twentieth", f"with q as (select vec_id as query, embedding as e from embeddings where vec_id % 20 = 0), s as (select query, vec_id as id, (1 + {_cosine('embedding', 'e')}) / 2 as s from embeddings, q), r as (select *, row_number() over (partition by query order by s desc, id)::int as rank from s) select query, id, round(s, 6) as score, rank from r where rank <= 10")
 sql("semantic_groups", f"with l as (select vec_id as id, label, embedding as a, lag(embedding) over (partition by label order by vec_id) as b from embeddings), k as (select id, label, case when b is null then 0 when {_cosine('a', 'b')} >= 0.1 then 0 else 1 end as br from l) select id, label, sum(br) over (partition by label order by id)::bigint as \"group\" from k")
 sql(
     "hybrid_fusion",

@@ -208,6 +208,13 @@ def vector_topk_many(spark, d):
     return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("int"))
 
 
+@query
+def vector_topk_twentieth(spark, d):
+    points = _points(spark, d)
+    found = vectors.top_k_many(points, points.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding"), 10, mode="unit")
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("int"))
+
+
 @query
 def semantic_groups(spark, d):
     return vectors.semantic_groups(_points(spark, d), "label", "id", "embedding", 0.1).select("id", "label", F.col("group").cast("long").alias("group"))

@@ -59,6 +59,16 @@ def test_related_documents_counts_paths(spark):
         assert found == {k: v for k, v in want.items() if v}
 
 
+def test_top_k_many_takes_any_number_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(40, 4)).tolist())], "id long, embedding array<double>")
+    queries = points.withColumnRenamed("id", "query")
+    want = sorted(map(tuple, vectors.top_k_many(points, queries, 3).collect()))
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 16)
+    found = sorted(map(tuple, vectors.top_k_many(points, queries, 3).collect()))
+    assert len(found) == 120 and [f[:2] + f[3:] for f in found] == [w[:2] + w[3:] for w in want]
+
+
 def test_combine_and_order(spark):
     rows = spark.createDataFrame([("a", 0.5, 0), ("b", 0.9, 1), ("a", 0.95, 2), ("", 1.0, 3), (None, 1.0, 4), ("c", 0.9, 5), ("b", 0.9, 6)], "id string, score double, pos int")
     assert got(ranking.combine(rows), "id", "score", "pos") == [("a", 0.95, 2), ("b", 0.9, 1), ("c", 0.9, 5)]

@@ -243,6 +243,7 @@ sql(
     c as (select '# Search Results' || chr(10) || chr(10) || string_agg(b, chr(10) order by idx) as c, count(*) as n from b)
     select 0 as query, md5(c) as digest, n as total_nodes, length(c)::int as n from c""",
 )
+sql("context_block_all", ORACLE_SQL["context_block"].replace("pos <= 100 union", "pos % 3 < 2 union").replace("pos > 60 and pos <= 150", "pos % 3 > 0"))
 _HEADS = " ".join(f"when '{k}' then {_quoted(label(v, 'en'))}" for k, v in SECTIONS.items())
 _RANKS = " ".join(f"when '{k}' then {i}" for i, k in enumerate(SECTIONS))
 _FIELDS = [("domain", "domain"), ("description", "technical_desc_en"), ("layman", "layman_explanation"), ("analogy", "analogy"), ("fiction_seed", "null"), ("visual_concept", "null")]

@@ -13,12 +13,13 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.pretokenise import PieceCache, portions, slices
+from lodestone.llm.pretokenise import PieceCache, cut, gathered, runs
 
 #: Slices longer than this merge through a heap instead of a scan for the least rank.
 LONG = 100
@@ -35,8 +36,9 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.names = [str(i) for i in range(len(self.tokens))]
-        self.cache = PieceCache(lambda piece: np.array(self.merge(piece.encode("utf-8", "surrogatepass")), np.uint32).tobytes())
+        self.names = pa.array([b"%d " % i for i in range(len(self.tokens))], pa.large_binary())
+        self.bytes = pa.array(self.tokens, pa.large_binary())
+        self.cache = PieceCache(lambda piece: np.array(self.merge(piece), np.uint32).tobytes(), 400_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one slice: the pair of least rank merges first, the leftmost of equals."""
@@ -87,13 +89,27 @@ class Vocabulary:
             i = after[i]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        find = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(find, pieces)), np.uint32) for pieces in slices(texts)]
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (an Arrow array or a list) laid end to end, and where those of
+        each text end. Each distinct slice is looked up once."""
+        pieces, ends = cut(texts)
+        told = pieces.dictionary_encode()
+        found = list(map(self.cache.__getitem__, told.dictionary.to_pylist()))
+        return gathered(found, told.indices.to_numpy(), ends, np.uint32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def joined(self, values: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+        """For each text, the ``values`` (one for each token) of its ids laid end to end."""
+        taken = values.take(pa.array(ids))
+        if not len(ids):
+            return [memoryview(b"")] * len(ends)
+        _, places, raw = taken.buffers()
+        at = np.frombuffer(places, np.int64)[taken.offset :][np.append(0, ends)].tolist()
+        held = memoryview(raw)
+        return [held[a:b] for a, b in itertools.pairwise(at)]
+
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Where each token starts in the text's bytes."""
         ends = np.cumsum(self.lengths[ids])
@@ -106,13 +122,19 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def plain(vocab: Vocabulary, ids: np.ndarray) -> tuple:
-    return len(ids), ids.astype(np.int32), vocab.offsets(ids).astype(np.int32)
+def plain(vocab: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list:
+    """Of each text its token count, its ids, and where in its bytes each token starts."""
+    places, begins = vocab.offsets(ids), np.append(0, ends)
+    lengths = np.diff(begins)
+    first = np.append(places, 0)[begins[:-1]]  # where each text's bytes begin in the run
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(x.astype(np.int32)))
+    return [pa.array(lengths), lists(ids), lists(places - np.repeat(first, lengths))]
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", derive=plain, derived: str = "n_tokens long, ids array<int>, offsets array<int>") -> DataFrame:
-    """One row for each row of df: its id, and what ``derive(vocabulary, ids)`` returns,
-    as the columns that ``derived`` declares. By default token count, ids, byte offsets.
+    """One row for each row of df: its id, and what ``derive(vocabulary, ids, ends)`` returns
+    for a run of texts (their ids laid end to end, and where those of each end): a column
+    for each that ``derived`` declares. By default token count, ids, byte offsets.
     A text longer than 2 GiB of bytes does not fit Spark's strings, so int offsets do."""
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     fields = [f.strip().split(" ")[0] for f in derived.split(", ")]
@@ -121,9 +143,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            for first, some in portions(batch.column(1)):
-                rows = [derive(vocab, ids) for ids in vocab.encode(some)]
-                columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
+            for first, some in runs(batch.column(1)):
+                columns = derive(vocab, *vocab.encode(some))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), *columns], [id_col, *fields])
 
     return source.mapInArrow(run, out)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.llm.library import encoder
-from lodestone.llm.pretokenise import portions
+from lodestone.llm.pretokenise import runs
 from lodestone.llm.shared import written
 
 ROUNDS = 120
@@ -186,17 +186,25 @@ def tokenised(df: DataFrame, path: str, end: int, window: int, id_col: str, text
         part = TaskContext.get().partitionId()
         ranks, full = np.zeros(window, np.int64), 0
         for batch in batches:
-            for first, some in portions(batch.column(1)):
-                rows = encode.encode(some, end)
-                tokens = [len(r) for r in rows]
-                rank, windows = [], []
-                for n in tokens:
-                    rank.append(int(ranks[n % window]))
-                    windows.append(full)
-                    ranks[n % window] += 1
-                    full += n // window
+            for first, some in runs(batch.column(1)):
+                flat, ends = encode.encoded(some, end)
+                tokens = np.diff(ends, prepend=0)
+                rest, full_ = tokens % window, np.cumsum(tokens // window)
+                # ranks among equal rests: of this run by a stable sort, after those before it
+                order = np.argsort(rest, kind="stable")
+                begins = np.searchsorted(rest[order], rest[order])
+                rank = np.empty(len(rest), np.int64)
+                rank[order] = np.arange(len(rest)) - begins
+                rank += ranks[rest]
+                windows = full + full_ - tokens // window
+                ranks += np.bincount(rest, minlength=window)
+                full += int(full_[-1])
+                # a batch's binary column holds less than 2 GiB: a run is short or one text
+                raw = flat.astype(flat.dtype.newbyteorder("<"), copy=False)
+                at = (np.append(0, ends) * raw.itemsize).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(at), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(some)), pa.array([part] * len(some), pa.int32()), pa.array(tokens, pa.int64()), pa.array([n % window for n in tokens], pa.int32()), pa.array(rank, pa.int64()), pa.array(windows, pa.int64()), pa.array([r.astype("<u4" if r.dtype.itemsize == 4 else "<u2").tobytes() for r in rows], pa.binary())],
+                    [batch.column(0).slice(first, len(some)), pa.array(np.full(len(some), part, np.int32)), pa.array(tokens), pa.array(rest.astype(np.int32)), pa.array(rank), pa.array(windows), ids],
                     ["id", "part", "tokens", "rest", "rank", "windows", "ids"],
                 )
 

@@ -1,10 +1,13 @@
-"""Pre-tokenisation without regex: code points become classes, classes become
-transition functions of a small automaton, and an associative scan over function
-composition gives the automaton's state everywhere at once. A look at (state before,
-symbol) then says whether a slice starts there.
+"""Pre-tokenisation without regex: the UTF-8 bytes of many texts become symbols (classes
+of code points), symbols are transition functions of a small automaton, and an associative
+scan over function composition gives the automaton's state everywhere at once. A look at
+(state before, symbol) then says whether a slice starts there.
 
 The slices are those of the pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
+
+They stay ranges of the texts' own buffer: an Arrow array that copies nothing, whose
+distinct values Arrow finds, so no Python object is made for a slice that is known.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ from __future__ import annotations
 import functools
 import itertools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 # Code points with the White_Space property, besides 9-13 and 32.
 WHITE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -21,16 +26,22 @@ WHITE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x2
 SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
 
 STATES = START, LETTER, NUMBER, OTHER, SPACE, WHITESPACE, TWO_LEFT, ONE_LEFT, ENDED = range(9)
-SYMBOLS = S_OTHER, S_LETTER, S_NUMBER, S_WHITE, S_SPACE, S_SHORT, S_LONG, S_RESET = range(8)
+#: S_LETTER stands where no contraction can be open, S_NEAR for the letters that may be part
+#: of one; S_INNER is a byte inside a code point. A text's first symbol counts FIRST more.
+SYMBOLS = S_OTHER, S_LETTER, S_NUMBER, S_WHITE, S_SPACE, S_SHORT, S_LONG, S_NEAR, S_INNER = range(9)
+FIRST = 9
+#: Bytes that one scan takes.
+STRIDE = 1 << 21
 
 
 def _symbol_functions() -> list[tuple[int, ...]]:
-    """For each symbol, the state that follows each state."""
+    """For each symbol, the state that follows each state; then for each that opens a text."""
     constant = lambda s: tuple(s for _ in STATES)
     letter = tuple(ONE_LEFT if s == TWO_LEFT else ENDED if s == ONE_LEFT else LETTER for s in STATES)
     # an apostrophe inside a run of other characters, or joined to a space, starts no contraction
     opened = lambda to: tuple(OTHER if s in (OTHER, SPACE) else to for s in STATES)
-    return [constant(OTHER), letter, constant(NUMBER), constant(WHITESPACE), constant(SPACE), opened(ONE_LEFT), opened(TWO_LEFT), constant(START)]
+    own = [constant(OTHER), constant(LETTER), constant(NUMBER), constant(WHITESPACE), constant(SPACE), opened(ONE_LEFT), opened(TWO_LEFT), letter, tuple(STATES)]
+    return own + [constant(f[START]) for f in own[:7]]
 
 
 def _newer(kind: str) -> list[int]:
@@ -48,9 +59,10 @@ def _newer(kind: str) -> list[int]:
 
 @functools.cache
 def _tables():
-    """Class of each code point; composition in the closure of the symbol functions
-    (row first, column after it); the state that a constant function yields, or 255;
-    whether a slice starts, by symbol and state before."""
+    """Symbol of each code point; symbol of each byte (0 for those that open a longer code
+    point); composition in the closure of the symbol functions (row first, column after
+    it); the state that a constant function yields, or 255; whether a slice starts, by
+    symbol and state before (16 states a row)."""
     classes = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         kind = unicodedata.category(chr(c))[0]
@@ -62,6 +74,7 @@ def _tables():
         classes[_newer(kind)] = symbol
     classes[[*range(9, 14), *WHITE]] = S_WHITE
     classes[32] = S_SPACE
+    plain = np.concatenate([classes[:128], np.full(64, S_INNER, np.uint8), np.zeros(64, np.uint8)]).tobytes()
     functions = _symbol_functions()
     ids = {f: i for i, f in reversed(list(enumerate(functions)))}
     grown = True
@@ -75,73 +88,118 @@ def _tables():
     n = len(functions)
     after = np.array([[ids[tuple(g[s] for s in f)] for g in functions] for f in functions], np.uint8)
     fixed = np.array([f[0] if len(set(f)) == 1 else 255 for f in functions], np.uint8)
-    starts = np.zeros((len(SYMBOLS), len(STATES)), bool)
-    starts[S_RESET] = True
+    starts = np.zeros((16, 16), np.uint8)
+    starts[FIRST:] = 1
     for s in STATES:
-        starts[S_LETTER, s] = s not in (LETTER, SPACE, TWO_LEFT, ONE_LEFT)
+        starts[[S_LETTER, S_NEAR], s] = s not in (LETTER, SPACE, TWO_LEFT, ONE_LEFT)
         starts[S_NUMBER, s] = s not in (NUMBER, SPACE)
         starts[[S_OTHER, S_SHORT, S_LONG], s] = s not in (OTHER, SPACE)
         starts[[S_WHITE, S_SPACE], s] = s not in (SPACE, WHITESPACE)
-    return classes, after.ravel(), n, fixed, starts.ravel()
+    return classes, plain, after.ravel(), n, fixed, np.pad(fixed, (0, 256 - n)).tobytes(), starts.tobytes()
+
 
+def _mapped(x: np.ndarray, table: bytes) -> np.ndarray:
+    """Bytes by a table of 256."""
+    return np.frombuffer(x.tobytes().translate(table), np.uint8)
 
-def boundaries(points: np.ndarray, resets: np.ndarray) -> np.ndarray:
-    """Positions at which slices start, for code points of many texts laid end to end.
-    ``resets`` are positions of separators, the first at 0; each is a slice of its own."""
-    classes, after, n, fixed, starts = _tables()
-    symbols = classes[points]
-    quotes = np.flatnonzero(points == 39)
-    symbols[resets] = S_RESET
+
+def symbols(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """A symbol for each byte. ``firsts`` are the places where texts begin."""
+    classes, plain, *_ = _tables()
+    out = _mapped(data, plain).copy()
+    leads = np.flatnonzero(data >= 0xC0)
+    if len(leads):
+        at = [data[np.minimum(leads + k, len(data) - 1)].astype(np.int32) & 0x3F for k in range(4)]
+        lead = data[leads].astype(np.int32)
+        two, three = (lead & 0x1F) << 6 | at[1], (lead & 0x0F) << 12 | at[1] << 6 | at[2]
+        four = (lead & 0x07) << 18 | at[1] << 12 | at[2] << 6 | at[3]
+        out[leads] = classes[np.minimum(np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four)), 0x10FFFF)]
+    opening = np.zeros(len(data) + 2, bool)
+    opening[firsts] = True
+    quotes = np.flatnonzero(data == 39)
     if len(quotes):
-        quotes = quotes[symbols[quotes] == S_OTHER]
-        end = len(points)
-        one, two = np.minimum(quotes + 1, end - 1), np.minimum(quotes + 2, end - 1)
-        a = np.where((quotes + 1 < end) & (symbols[one] == S_LETTER), points[one], 0)
-        b = np.where((quotes + 2 < end) & (symbols[two] == S_LETTER), points[two], 0)
-        symbols[quotes[np.isin(a, [ord(x) for x in SHORT])]] = S_SHORT
-        pair = a.astype(np.int64) << 21 | b
-        symbols[quotes[np.isin(pair, [ord(x) << 21 | ord(y) for x, y in LONG])]] = S_LONG
-    scan, step = symbols.copy(), 1
-    while True:
-        if step == 1:
-            scan[1:] = after[scan[:-1].astype(np.intp) * n + scan[1:]]
-        else:
-            open_ = np.flatnonzero(fixed[scan] == 255)
-            if not len(open_):
-                break
-            scan[open_] = after[scan[open_ - step].astype(np.intp) * n + scan[open_]]
-        step *= 2
-    before = np.empty(len(scan), np.uint8)
-    before[0] = START
-    before[1:] = fixed[scan[:-1]]
-    begins = starts[symbols.astype(np.intp) * len(STATES) + before]
-    white = (symbols == S_SPACE) | (symbols == S_WHITE)
+        one = np.where(opening[quotes + 1], 0, data[np.minimum(quotes + 1, len(data) - 1)])
+        two = np.where(opening[quotes + 1] | opening[quotes + 2], 0, data[np.minimum(quotes + 2, len(data) - 1)])
+        one[quotes + 1 >= len(data)] = 0
+        two[quotes + 2 >= len(data)] = 0
+        short = quotes[np.isin(one, [ord(x) for x in SHORT])]
+        long = quotes[np.isin(one.astype(np.int32) << 8 | two, [ord(x) << 8 | ord(y) for x, y in LONG])]
+        out[short], out[long] = S_SHORT, S_LONG
+        out[np.concatenate([short + 1, long + 1, long + 2])] = S_NEAR
+    own = out[firsts]
+    out[firsts] = FIRST + np.where(own == S_NEAR, S_LETTER, np.where(own == S_INNER, S_OTHER, own))
+    return out
+
+
+def boundaries(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Places at which slices start in the UTF-8 bytes of texts laid end to end; ``firsts``
+    are those where texts begin (distinct, ascending, the first at 0)."""
+    _, _, after, n, fixed, known, starts = _tables()
+    symbol, state, found = symbols(data, firsts), START, []
+    for a in range(0, len(data), STRIDE):
+        some = symbol[a : a + STRIDE]
+        scan, step = some, 1
+        open_ = np.flatnonzero((some >= S_SHORT) & (some <= S_INNER))  # functions that are not constant
+        if len(open_):
+            scan = some.copy()
+            if open_[0] == 0:  # the state that the scan before left makes the first function constant
+                scan[0] = after[int(np.flatnonzero(fixed == state)[0]) * n + int(scan[0])]
+                open_ = open_[1:]
+            while len(open_):
+                open_ = open_[open_ >= step]
+                scan[open_] = after[scan[open_ - step].astype(np.intp) * n + scan[open_]]
+                open_ = open_[fixed[scan[open_]] == 255]
+                step *= 2
+        states = _mapped(scan, known)
+        code = some << 4
+        code[1:] |= states[:-1]
+        code[0] |= state
+        begins = _mapped(code, starts)
+        state = int(states[-1])
+        found.append(np.flatnonzero(begins) + a)
+    begins = np.zeros(len(data), bool)
+    begins[np.concatenate(found)] = True
     # the last white space before other text parts from the rest of its run
-    begins[:-1] |= white[:-1] & ~white[1:] & (symbols[1:] != S_RESET)
+    white = (symbol == S_SPACE) | (symbol == S_WHITE) | (symbol == FIRST + S_SPACE) | (symbol == FIRST + S_WHITE)
+    follows = ~white & (symbol < FIRST)
+    begins[:-1] |= white[:-1] & follows[1:] & (symbol[1:] != S_INNER)
+    wide = np.flatnonzero(white & (data >= 0xC0))
+    after_ = wide + 2 + (data[wide] >= 0xE0)
+    wide, after_ = wide[after_ < len(data)], after_[after_ < len(data)]
+    begins[wide[follows[after_]]] = True
     return np.flatnonzero(begins)
 
 
-def cut(texts: list[str]) -> tuple[list[str], list[int]]:
-    """The slices of all texts in order, and where those of each text end among them."""
-    if not texts:
-        return [], []
-    joined = "\0" + "\0".join(texts)
-    resets = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    begins = boundaries(points, resets)
-    ends = np.append(begins[1:], len(points))
-    # separators are slices of one code point of their own: left out
-    at = np.searchsorted(begins, resets)
-    keep = np.ones(len(begins), bool)
-    keep[at] = False
-    pieces = [joined[a:b] for a, b in zip(begins[keep].tolist(), ends[keep].tolist(), strict=True)]
-    return pieces, (np.append(at[1:], len(begins)) - np.arange(1, len(texts) + 1)).tolist()
-
-
-def slices(texts: list[str]) -> list[list[str]]:
+def strings(texts) -> pa.Array:
+    """An Arrow string array without nulls, of an Arrow array or a list of strings."""
+    if not isinstance(texts, pa.Array):
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        return pa.array(raw, pa.binary())
+    texts = texts.cast(pa.string()) if pa.types.is_large_string(texts.type) else texts
+    return texts.fill_null("") if texts.null_count else texts
+
+
+def cut(texts) -> tuple[pa.Array, np.ndarray]:
+    """The slices of all texts (an Arrow array or a list) in order, as an array of binary
+    that shares their buffer, and where those of each text end among them."""
+    column = strings(texts)
+    _, places, raw = column.buffers()
+    offsets = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    low, high = int(offsets[0]), int(offsets[-1])
+    if low == high:
+        return pa.array([], pa.binary()), np.zeros(len(column), np.int64)
+    data = np.frombuffer(raw, np.uint8)[low:high]
+    ends = offsets.astype(np.int64) - low
+    begins = boundaries(data, np.unique(ends[:-1][ends[:-1] < ends[1:]]))
+    pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(np.append(begins, high - low).astype(np.int32)), raw.slice(low, high - low)])
+    return pieces, np.searchsorted(begins, ends[1:])
+
+
+def slices(texts) -> list[list[str]]:
     """The slices of each text, in order; an empty text has none."""
     pieces, ends = cut(texts)
-    return [pieces[a:b] for a, b in itertools.pairwise([0, *ends])]
+    words = [p.decode("utf-8", "surrogatepass") for p in pieces.to_pylist()]
+    return [words[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])]
 
 
 def portions(column, most: int = 1 << 20, rows: int = 256):
@@ -160,6 +218,43 @@ def portions(column, most: int = 1 << 20, rows: int = 256):
         yield first, held
 
 
+def runs(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """The same without Python strings: runs of about ``most`` bytes, as (first index, array)."""
+    column = strings(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else []
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, int(offsets[a]) + most, "right")) - 1)
+        yield a, column.slice(a, b - a)
+        a = b
+
+
+def gathered(values: list[bytes], indices: np.ndarray, ends: np.ndarray, dtype, last: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts from those of their distinct slices: the runs ``values[i]`` for i in
+    ``indices`` laid end to end, ``last`` after each text; and where each text's ids end.
+    ``ends`` tells where each text's indices end."""
+    size = np.dtype(dtype).itemsize
+    if last:
+        indices, ends = np.insert(indices, ends, len(values)), ends + np.arange(1, len(ends) + 1)
+        values = [*values, last]
+    lengths = np.fromiter(map(len, values), np.int64, len(values)) // size
+    flat, begin = np.frombuffer(b"".join(values), dtype), np.cumsum(lengths) - lengths
+    single = lengths == 1
+    each = lengths[indices]
+    stop = np.cumsum(each)
+    out = np.empty(int(stop[-1]) if len(stop) else 0, dtype)
+    # slices of one id, most of all, are one take; the others are spread
+    at = begin[indices]
+    one = single[indices]
+    out[(stop - 1)[one]] = flat[at[one]]
+    more = np.flatnonzero(~one)
+    if len(more):
+        n = each[more]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(stop[more] - n, n) + inner] = flat[np.repeat(at[more], n) + inner]
+    return out, np.append(0, stop)[ends]
+
+
 class PieceCache(dict):
     """Encoded slices, at most two generations of ``most`` entries each: when the young
     one is full it becomes the old one, so frequent slices stay. A worker process keeps one

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.llm import bagminhash, bpe, html_text, packing, pivots, quality, secrets, token_files, vectors, warc
@@ -31,10 +32,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digests(vocab, ids):
-        listed = ids.tolist()
-        text = " ".join(map(vocab.names.__getitem__, listed))
-        return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(vocab.decode(listed)).hexdigest()
+    def digests(vocab, ids, ends):
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        names = [sha(x[:-1]) for x in vocab.joined(vocab.names, ids, ends)]  # the last space goes
+        return [pa.array(np.diff(ends, prepend=0)), pa.array(names), pa.array([sha(x) for x in vocab.joined(vocab.bytes, ids, ends)])]
 
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), derive=digests, derived="n_tokens long, ids_sha256 string, decoded_sha256 string")
 

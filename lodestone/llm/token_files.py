@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.library import encoder
-from lodestone.llm.pretokenise import portions
+from lodestone.llm.pretokenise import runs
 from lodestone.llm.shared import file_system, make_dirs, scratch, width, written
 
 NULL_ID = -(1 << 63)
@@ -48,12 +48,12 @@ def write(df: DataFrame, path: str, folder: str | None = None, end: int = 0, id_
             idx.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
                 keys.write(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                for _, some in portions(batch.column(1)):
-                    rows = encode.encode(some, end)
-                    ends = tokens + np.cumsum([len(r) for r in rows], dtype="<i8")
-                    idx.write(ends.tobytes())
-                    ids.write(b"".join(r.astype(r.dtype.newbyteorder("<")).tobytes() for r in rows))
-                    docs, tokens = docs + len(rows), int(ends[-1])
+                for _, some in runs(batch.column(1)):
+                    flat, ends = encode.encoded(some, end)
+                    ends = tokens + ends
+                    idx.write(ends.astype("<i8").tobytes())
+                    ids.write(flat.astype(flat.dtype.newbyteorder("<"), copy=False).tobytes())
+                    docs, tokens = docs + len(some), int(ends[-1])
         yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "docs": docs, "tokens": tokens, "dtype": np.dtype(encode.dtype).name}])
 
     parts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(width(spark), "id").sortWithinPartitions("id", "text")

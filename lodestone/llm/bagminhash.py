@@ -27,15 +27,15 @@ rows apart by their texts.
 
 from __future__ import annotations
 
-import re
+import itertools
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm.pretokenise import PieceCache, portions
-from lodestone.llm.shared import components, joined, written
+from lodestone.llm.pretokenise import portions, words
+from lodestone.llm.shared import components, dropped, held, joined, looked_up, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -43,10 +43,11 @@ SIZE = BANDS * ROWS
 #: Agreement of signatures below which a pair is not verified: four deviations (a chance
 #: of 3e-5 for a pair at 0.8) below the threshold.
 LIKELY = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / SIZE) ** 0.5
-SMALL, BLOCK = 24, 512
+SMALL = 24
+#: Most documents, and shingles of documents, that a block should hold.
+BLOCK, WEIGHT = 512, 1 << 20
 #: Columns of an occurrence matrix held at once.
 COLUMNS = 4096
-WORDS = re.compile(r"\w+")
 GOLDEN, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -57,24 +58,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
-_hashes = PieceCache(_word_hash, 100_000)
+def bagged(texts: list[str]) -> list[np.ndarray]:
+    """Of each text a 64-bit hash of each shingle, in order, repeats included."""
+    distinct, numbers, ends = words([t.lower() for t in texts])
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))[numbers]
+    out = h[: max(0, len(h) - SHINGLE + 1)].copy()
+    for k in range(1, SHINGLE):
+        out = mix(out * GOLDEN + h[k : len(out) + k])
+    found = []
+    for a, b in itertools.pairwise([0, *ends.tolist()]):
+        if b - a >= SHINGLE:
+            found.append(out[a : b - SHINGLE + 1])
+        else:
+            found.append(np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes())], np.uint64) if b > a else h[:0])
+    return found
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each shingle of a text, in order, repeats included."""
-    words = WORDS.findall((text or "").lower())
-    h = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
-    n = len(h) - SHINGLE + 1
-    if n < 1:
-        return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64) if len(h) else h
-    out = h[:n].copy()
-    for k in range(1, SHINGLE):
-        out = mix(out * GOLDEN + h[k : n + k])
-    return out
+    return bagged([text or ""])[0]
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -136,7 +137,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
     """64-bit bucket keys of signatures, one a band."""
     out = np.empty((len(signature), BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(signature), np.uint64(b + 1) * GOLDEN)
+        key = np.full(len(signature), b + 1, np.uint64) * GOLDEN
         for k in range(ROWS):
             key = mix(key * GOLDEN + signature[:, b * ROWS + k])
         out[:, b] = key
@@ -153,8 +154,7 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for first, some in portions(batch.column(1)):
                 rows, bags, digests = [], [], []
-                for i, text in enumerate(some):
-                    s = shingles(text)
+                for i, s in enumerate(bagged(some)):
                     if len(s):
                         rows.append(first + i)
                         bags.append(np.unique(s, return_counts=True))
@@ -192,36 +192,44 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}, share double")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b) whose whole shingle multisets have a weighted Jaccard similarity of
-    ``similar`` or more. ``texts`` (id, text) has each id once."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(texts.join(wanted, "id", "left_semi"), "candidates")
-    joined = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    joined = joined.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def bags_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, size, bag) of the texts (id, text) whose id is in ``wanted``, written: the
+    occurrences of their shingles, sorted."""
+    some = held(texts.select("id", "text"), wanted, "id")
     kind = dict(texts.dtypes)["id"]
 
     def run(batches):
         for batch in batches:
-            held: dict[str, tuple] = {}
+            for first, texts in portions(batch.column(1)):
+                bags = [np.sort(occurrences(s)) for s in bagged(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(b) for b in bags], pa.int64()), pa.array([b.tobytes() for b in bags], pa.binary())], ["id", "size", "bag"])
+
+    return written(some.mapInArrow(run, f"id {kind}, size long, bag binary"), "bags")
 
-            def bag(text):
-                if text not in held:
-                    if len(held) > 64:
-                        held.clear()
-                    held[text] = np.unique(shingles(text), return_counts=True)
-                return held[text]
 
-            some = [overlap(bag(batch.column(2)[k].as_py()), bag(batch.column(3)[k].as_py())) >= similar for k in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(some, pa.bool_()))
+def verified(pairs: DataFrame, bags: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) whose whole shingle multisets have a weighted Jaccard similarity of
+    ``similar`` or more. ``bags`` (id, bag) has each id once."""
+    joined = pairs.select("a", "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a")
+    joined = joined.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
+    kind = dict(bags.dtypes)["id"]
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similar * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def occurrences(text: str) -> np.ndarray:
+def occurrences(shingles: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each shingle and the number of its occurrence: sets of these have
     the size of the multiset, and its overlaps."""
-    values, counts = np.unique(shingles(text), return_counts=True)
+    values, counts = np.unique(shingles, return_counts=True)
     first = np.cumsum(counts) - counts
     k = np.arange(counts.sum()) - np.repeat(first, counts)
     return mix(np.repeat(values, counts) + k.astype(np.uint64) * GOLDEN)
@@ -248,24 +256,22 @@ def similarities(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return both / np.maximum(every, 1)
 
 
-def families(large: DataFrame, labels: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) that lead from each member (key, id, star of its bucket) to one that
-    stands for those it reaches, where its family lies in several components."""
+def families(large: DataFrame, labels: DataFrame, bags: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) that lead from each member (id, star of its bucket) to one that stands
+    for those it reaches, where its family lies in several components."""
     tied = components(large.select(F.col("id").alias("a"), F.col("star").alias("b")), "families")
-    held = tied.select(F.col("node").alias("id"), F.col("component").alias("family")).join(labels.withColumnRenamed("node", "id"), "id", "left")
-    held = written(held.select("id", "family", F.coalesce("component", "id").alias("component")), "held")
-    parts = held.groupBy("family", "component").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("large"), F.sum("n").alias("n")).where("n > large")
-    rows = held.join(parts, "family")
-    kind = dict(held.dtypes)["id"]
-
-    def read(batches):
-        for batch in batches:
-            for first, some in portions(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array([occurrences(t).tobytes() for t in some], pa.binary())], ["id", "bag"])
-
-    bags = written(texts.join(rows.select("id"), "id", "left_semi").select("id", "text").mapInArrow(read, f"id {kind}, bag binary"), "bags")
-    rows = rows.join(bags, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("others", F.ceil((F.col("n") - F.col("large")) / BLOCK).cast("int"))
+    members = tied.select(F.col("node").alias("id"), F.col("component").alias("family")).join(labels.withColumnRenamed("node", "id"), "id", "left")
+    members = members.join(bags.select("id", "size"), "id")
+    members = written(members.select("id", "family", F.coalesce("component", "id").alias("component"), "size"), "members")
+    parts = members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = F.struct("n", "component")
+    parts = parts.groupBy("family").agg(F.max_by("component", most).alias("most"), F.max("n").alias("large"), F.max_by("size", most).alias("large_size"), F.sum("n").alias("n"), F.sum("size").alias("all_size")).where("n > large")
+    # a family of one component needs no more; the number of the others is small beside the members
+    parts = written(parts, "parts")
+    rows = looked_up(members, parts, "family", members.count()).join(bags.select("id", "bag"), "id")
+    kind = dict(members.dtypes)["id"]
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / WEIGHT)).cast("int")
+    rows = rows.withColumn("blocks", blocks(F.col("n"), F.col("all_size"))).withColumn("others", blocks(F.col("n") - F.col("large"), F.col("all_size") - F.col("large_size")))
     place = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
     column = ["family", "id", "component", "bag"]
     inside = rows.select(*column, F.lit(False).alias("out"), place("blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"))
@@ -309,33 +315,39 @@ def linked(docs: DataFrame) -> DataFrame:
     """(node, component) of the ids that links of similarity SIMILAR reach. ``docs`` (id,
     text) has each id once."""
     sigs = signed(docs, "id", "text")
-    copies = sigs.groupBy("words").agg(F.min("id").alias("node"))
-    copies = written(sigs.select("id", "words").join(copies, "words").select("id", "node"), "copies")
-    copies_links = copies.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    nodes = written(sigs.join(copies.where("id = node").select("id"), "id", "left_semi").select("id", "weight", "bands", "signature"), "nodes")
+    total = sigs.count()
+    same = written(sigs.groupBy("words").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1"), "same")
+    copies = written(looked_up(sigs.select("id", "words"), same, "words", total).where("id <> node").select("id", F.col("node").alias("b")), "copies")
+    nodes = held(sigs, copies, "id", "left_anti").select("id", "weight", "bands", "signature")
     rows = nodes.select("id", "weight", F.explode("bands").alias("key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64("id"), "id")).alias("star")).where("n > 1")
-    rows = written(rows.join(many, "key"), "buckets")
+    many = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("star")).where("n > 1"), "many")
+    rows = written(looked_up(rows, many, "key", total * BANDS), "buckets")
     # small buckets: equal sets of members meet in many bands and are listed once
     small = rows.where(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("m")).select("m").distinct()
     pairs = small.select("m", F.posexplode("m").alias("k", "x")).select("x", F.explode(F.expr("slice(m, k + 2, size(m))")).alias("y"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.weight").alias("wa"), F.col("y.id").alias("b"), F.col("y.weight").alias("wb"))
-    large = rows.where(f"n > {SMALL}")
-    star = large.where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct()
+    large = rows.where(f"n > {SMALL}").select("id", "star").distinct()
+    star = large.where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b"))
     pairs = pairs.where(f"least(wa, wb) >= {SIMILAR} * greatest(wa, wb)").select("a", "b").unionByName(star).distinct()
-    pairs = written(likely(pairs, nodes), "likely")
-    texts = docs.join(nodes.select("id"), "id", "left_semi")
-    # one partner for each node first; pairs that this leaves in different components after it
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b")
-    links = written(verified(best, texts), "links").unionByName(copies_links)
+    ends = written(rows.select("id").distinct(), "ends")
+    some = written(held(nodes, ends, "id").select("id", "signature"), "some")
+    pairs = written(likely(pairs, some), "likely")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id"))
+    wanted = written(wanted.distinct(), "wanted")
+    bags = bags_of(docs, wanted)
+    links = written(verified(pairs, bags).unionByName(copies.select(F.col("id").alias("a"), "b")), "links")
     labels = components(links)
-    named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    rest = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = verified(written(rest, "rest"), texts)
     if not large.isEmpty():
-        more = more.unionByName(families(large, labels, texts))
-    more = written(more, "links")
-    return components(links.unionByName(more)) if more.take(1) else labels
+        # what families add links whole components
+        name = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        more = families(large, labels, bags).join(name[0], "a", "left").join(name[1], "b", "left")
+        more = written(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "more")
+        if more.take(1):
+            joint = components(more).select(F.col("node").alias("component"), F.col("component").alias("low"))
+            alone = joint.select(F.col("component").alias("node"), F.col("component")).join(labels, "node", "left_anti")
+            labels = labels.unionByName(alone.select("node", "component")).join(joint, "component", "left").select("node", F.coalesce("low", "component").alias("component"))
+    dropped(sigs, same, many, rows, ends, some, pairs, wanted, bags, links)
+    return labels
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

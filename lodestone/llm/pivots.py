@@ -137,7 +137,7 @@ def blocks(rows: DataFrame, index, size: int) -> DataFrame:
 
     keyed = rows.mapInArrow(key, "id long, pivot int, r double, v binary")
     keyed = written(keyed, "keyed")  # ranges are sampled from it
-    ordered = keyed.repartitionByRange(width(rows.sparkSession), "pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
+    ordered = keyed.repartitionByRange(width(keyed), "pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
     return ordered.mapInArrow(pack, "pivot int, inner double, outer double, ids binary, vectors binary")
 
 
@@ -233,7 +233,7 @@ def top_k(df: DataFrame, k: int = 5, query: str = "id % 50 = 0", id_col: str = "
         index = spark.sparkContext.broadcast(Index(some.column("id").to_numpy(), held, top * (1 + 1e-12), k))
         annuli = blocks(same, index, size).alias("c")
         wanted = same.where(query).withColumn("near", F.hash("v")).drop("near")
-        questions = asked(wanted.coalesce(max(1, width(spark) // 4)), index, size).alias("q")
+        questions = asked(wanted.coalesce(max(1, width(wanted) // 4)), index, size).alias("q")
         joined = annuli.join(questions, "pivot").where("c.inner <= q.high and c.outer >= q.low")
         joined = joined.select("pivot", "block", "queries", "points", "least", "inner", "outer", "ids", "vectors", F.greatest(F.col("inner") - F.col("high"), F.col("low") - F.col("outer")).alias("gap"))
         found = search(joined.sortWithinPartitions("block", "queries", "gap", "inner"), index, size, k)

@@ -103,17 +103,22 @@ def _mapped(x: np.ndarray, table: bytes) -> np.ndarray:
     return np.frombuffer(x.tobytes().translate(table), np.uint8)
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the code points of several UTF-8 bytes each: where they begin, and their values."""
+    leads = np.flatnonzero(data >= 0xC0)
+    at = [data[np.minimum(leads + k, len(data) - 1)].astype(np.int32) & 0x3F for k in range(4)]
+    lead = data[leads].astype(np.int32)
+    two, three = (lead & 0x1F) << 6 | at[1], (lead & 0x0F) << 12 | at[1] << 6 | at[2]
+    four = (lead & 0x07) << 18 | at[1] << 12 | at[2] << 6 | at[3]
+    return leads, np.minimum(np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four)), 0x10FFFF)
+
+
 def symbols(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """A symbol for each byte. ``firsts`` are the places where texts begin."""
     classes, plain, *_ = _tables()
     out = _mapped(data, plain).copy()
-    leads = np.flatnonzero(data >= 0xC0)
-    if len(leads):
-        at = [data[np.minimum(leads + k, len(data) - 1)].astype(np.int32) & 0x3F for k in range(4)]
-        lead = data[leads].astype(np.int32)
-        two, three = (lead & 0x1F) << 6 | at[1], (lead & 0x0F) << 12 | at[1] << 6 | at[2]
-        four = (lead & 0x07) << 18 | at[1] << 12 | at[2] << 6 | at[3]
-        out[leads] = classes[np.minimum(np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four)), 0x10FFFF)]
+    leads, points = code_points(data)
+    out[leads] = classes[points]
     opening = np.zeros(len(data) + 2, bool)
     opening[firsts] = True
     quotes = np.flatnonzero(data == 39)
@@ -195,6 +200,40 @@ def cut(texts) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.searchsorted(begins, ends[1:])
 
 
+@functools.cache
+def _word_bytes() -> tuple[np.ndarray, bytes]:
+    """Whether a code point is a word character, and a byte of one."""
+    word = np.array([chr(c).isalnum() for c in range(0x110000)])
+    word[95] = True
+    return word, bytes(word[:128].tolist()) + bytes(128)
+
+
+def words(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The runs of word characters (letters, digits, _) of all texts, in order: distinct
+    ones, the number of each run's among them, and where the runs of each text end."""
+    column = pa.array(texts, pa.string())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[: len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    if not offsets[-1]:
+        return pa.array([], pa.binary()), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[: offsets[-1]]
+    known, plain = _word_bytes()
+    inside = _mapped(data, plain).astype(bool)
+    leads, points = code_points(data)
+    if len(leads):
+        yes = leads[known[points]]
+        for k, least in enumerate((0xC0, 0xC0, 0xE0, 0xF0)):
+            inside[np.minimum(yes[data[yes] >= least] + k, len(data) - 1)] = True
+    edge = np.ones(len(data) + 1, bool)  # between bytes: where a run may begin or end
+    edge[1:-1] = inside[1:] != inside[:-1]
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    is_word = inside[np.minimum(at[:-1], len(data) - 1)]
+    pieces = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), raw.slice(0, len(data))])
+    told = pieces.dictionary_encode()
+    return told.dictionary, told.indices.to_numpy()[is_word], np.searchsorted(at[:-1][is_word], offsets[1:])
+
+
 def slices(texts) -> list[list[str]]:
     """The slices of each text, in order; an empty text has none."""
     pieces, ends = cut(texts)

@@ -56,7 +56,9 @@ def write(df: DataFrame, path: str, folder: str | None = None, end: int = 0, id_
                     docs, tokens = docs + len(some), int(ends[-1])
         yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "docs": docs, "tokens": tokens, "dtype": np.dtype(encode.dtype).name}])
 
-    parts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(width(spark), "id").sortWithinPartitions("id", "text")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # one id, or one text of it, may have many rows: ranges go on through both
+    parts = rows.repartitionByRange(width(df), "id", F.substring("text", 1, 32), "row").sortWithinPartitions("id", "text", "row").select("id", "text")
     done = written(parts.mapInArrow(run, "shard long, name string, docs long, tokens long, dtype string"), "manifest")
     base, shards = 0, []
     for row in done.orderBy("shard").collect():  # one row for each shard

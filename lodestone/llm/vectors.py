@@ -173,7 +173,7 @@ def met(nodes: DataFrame, kind: str, tables: int) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select("key", "t", "own", "node", "n", "label", "vector", "codes", "block", "code", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
     rows = rows.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k")).drop("k")
-    rows = rows.repartition(width(nodes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.repartition(width(nodes), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     names = ["key", "t", "own", "node", "n", "label", "vector", "codes", "block", "code", "i", "j"]
 
     def run(batches):

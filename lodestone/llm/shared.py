@@ -77,7 +77,7 @@ def width(df: DataFrame) -> int:
     return max(least, min(MOST, int(str(plan.stats().sizeInBytes())) // TASK))
 
 
-def looked_up(rows: DataFrame, told: DataFrame, on: str, total: int, most: int | None = None, count: str = "n") -> DataFrame:
+def looked_up(rows: DataFrame, told: DataFrame, on: str | list[str], total: int, most: int | None = None, count: str = "n") -> DataFrame:
     """rows joined with ``told``, a written table with one row for each key and the number
     ``count`` of rows that have it (``most`` is the largest, if known). A small told is
     broadcast. Else keys of more than total / HOT rows, HOT of them at most, are, so that no

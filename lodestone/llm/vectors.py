@@ -1,9 +1,9 @@
 """Near-duplicate vectors by cross-polytope hashing.
 
-Vectors with equal labels are hashed in several tables. Each table rotates a vector
-ROTATIONS times by signs and fast Hadamard transforms (three rounds each); a rotation's
-code is the closest of the signed axes, and the table's code joins those of its
-rotations. A vector lies in its own bucket and also visits the next-likeliest ones
+Vectors with equal labels are hashed in several tables. Each table rotates a vector by
+signs and fast Hadamard transforms (three rounds each), more than once where the label has
+many vectors; a rotation's code is the closest of the signed axes, and the table's code
+joins those of its rotations. A vector lies in its own bucket and also visits the next-likeliest ones
 (multiprobe). Vectors that meet in a bucket are verified by their cosine in double
 precision, in blocks of matrix products; nothing is listed pair by pair. A pair that
 meets several times counts where it meets first: each row carries its codes.
@@ -20,10 +20,10 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.llm.bagminhash import GOLDEN, mix
-from lodestone.llm.shared import components, joined, width, written
+from lodestone.llm.shared import components, dropped, joined, looked_up, width, written
 
 SIMILAR = 0.93
 PROBES = 6
@@ -90,9 +90,15 @@ def code_type(size: int, rotations: int) -> str:
 BUCKET = pa.list_(pa.struct([("key", pa.int64()), ("t", pa.int32()), ("own", pa.bool_()), ("code", pa.int64())]))
 
 
-def hashed(nodes: DataFrame, rotations: int, kind: str) -> DataFrame:
-    """A row for each node: node, n, label, its vector (as ``kind`` of float), its codes,
-    and the buckets that it lies in or visits."""
+def rotations(vectors: str, size: str) -> Column:
+    """For a label with so many vectors of at most ``size`` components."""
+    axes = F.pow(F.lit(2.0), F.ceil(F.log2(F.col(size))) + 1)
+    return sum(((F.col(vectors) > LOAD * F.pow(axes, F.lit(r))).cast("int") for r in range(1, max(TABLES))), F.lit(1))
+
+
+def hashed(nodes: DataFrame, kind: str) -> DataFrame:
+    """A row for each node (node, n, label, embedding, rotations): node, n, label, rotations,
+    its vector (as ``kind`` of float), its codes, and the buckets it lies in or visits."""
 
     def run(batches):
         for batch in batches:
@@ -100,11 +106,11 @@ def hashed(nodes: DataFrame, rotations: int, kind: str) -> DataFrame:
                 part = batch.slice(a, 2048)
                 vectors = [np.array(v, kind) for v in part.column(3).to_pylist()]
                 labels = np.array(part.column(2).to_pylist(), np.int64)
-                sizes = np.array([len(v) for v in vectors])
-                for d in np.unique(sizes):
-                    rows = np.flatnonzero(sizes == d)
-                    c = codes(normal(np.stack([vectors[i] for i in rows])).astype(np.float32), rotations)
-                    base = mix(mix(labels[rows].view(np.uint64) * GOLDEN + np.uint64(d))[:, None] + np.arange(TABLES[rotations], dtype=np.uint64) * GOLDEN)
+                sizes, turns = np.array([len(v) for v in vectors]), np.array(part.column(4).to_pylist())
+                for d, r in np.unique(np.stack([sizes, turns]), axis=1).T.tolist():
+                    rows = np.flatnonzero((sizes == d) & (turns == r))
+                    c = codes(normal(np.stack([vectors[i] for i in rows])).astype(np.float32), r)
+                    base = mix(mix(labels[rows].view(np.uint64) * GOLDEN + np.uint64(d))[:, None] + np.arange(TABLES[r], dtype=np.uint64) * GOLDEN)
                     keys = mix(base[:, :, None] ^ mix(c.view(np.uint64) + GOLDEN)).view(np.int64)
                     # a probe that equals an earlier one of the same table is no bucket more
                     new = np.ones(keys.shape, bool)
@@ -115,13 +121,13 @@ def hashed(nodes: DataFrame, rotations: int, kind: str) -> DataFrame:
                     fields = [pa.array(keys[who, table, probe]), pa.array(table.astype(np.int32)), pa.array(probe == 0), pa.array(c[who, table, probe])]
                     buckets = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, fields=list(BUCKET.value_type)))
                     take = pa.array(rows)
-                    small = c.astype(code_type(1 << max(0, (int(d) - 1).bit_length()), rotations))
+                    small = c.astype(code_type(1 << max(0, (d - 1).bit_length()), r))
                     yield pa.RecordBatch.from_arrays(
-                        [*(part.column(k).take(take) for k in range(3)), pa.array([vectors[i].tobytes() for i in rows], pa.binary()), pa.array([x.tobytes() for x in small], pa.binary()), buckets],
-                        ["node", "n", "label", "vector", "codes", "buckets"],
+                        [*(part.column(k).take(take) for k in (0, 1, 2, 4)), pa.array([vectors[i].tobytes() for i in rows], pa.binary()), pa.array([x.tobytes() for x in small], pa.binary()), buckets],
+                        ["node", "n", "label", "rotations", "vector", "codes", "buckets"],
                     )
 
-    return nodes.select("node", "n", "label", "embedding").mapInArrow(run, "node long, n long, label long, vector binary, codes binary, buckets array<struct<key:long,t:int,own:boolean,code:long>>")
+    return nodes.select("node", "n", "label", "embedding", "rotations").mapInArrow(run, "node long, n long, label long, rotations int, vector binary, codes binary, buckets array<struct<key:long,t:int,own:boolean,code:long>>")
 
 
 def normal(x: np.ndarray) -> np.ndarray:
@@ -164,29 +170,30 @@ def compare(code: int, table: int, x: dict, y: dict | None, kind: str, tables: i
     return nodes[some], links[some].astype(np.int64), nodes[joined(len(nodes), i, j)][some]
 
 
-def met(nodes: DataFrame, kind: str, tables: int) -> DataFrame:
+def met(nodes: DataFrame, kind: str) -> DataFrame:
     """(node, links, low): links counted, and a node that is reached, by bucket and pair
     of blocks. Buckets are counted first, so a vector goes only where another one is."""
     light = nodes.select("node", F.explode("buckets").alias("b")).select("node", "b.*")
     sizes = light.groupBy("key").agg(F.count("*").alias("rows"), F.max("own").alias("some")).where("rows > 1 and some").drop("some")
-    rows = light.join(sizes, "key").join(nodes.drop("buckets"), "node").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    sizes = written(sizes, "sizes")
+    rows = looked_up(light, sizes, "key", nodes.count() * max(TABLES.values()), count="rows")
+    rows = rows.join(nodes.drop("buckets"), "node").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "t", "own", "node", "n", "label", "vector", "codes", "block", "code", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    rows = rows.select("key", "t", "own", "node", "n", "label", "rotations", "vector", "codes", "block", "code", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
     rows = rows.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k")).drop("k")
-    rows = rows.repartition(width(nodes), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    names = ["key", "t", "own", "node", "n", "label", "vector", "codes", "block", "code", "i", "j"]
+    rows = rows.repartition(width(nodes), "key", "i", "j").sortWithinPartitions("key", "i", "j", "label")
+    names = ["key", "t", "own", "node", "n", "label", "rotations", "vector", "codes", "block", "code", "i", "j"]
 
     def run(batches):
         def groups():
-            """Runs of equal (key, i, j) across batches, each at most two blocks."""
+            """Runs of equal (key, i, j, label) across batches, each at most two blocks."""
             held: list = []
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 held.append(batch)
                 table = pa.Table.from_batches(held)
-                cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j")}
-                change = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
+                change = np.flatnonzero(np.any([np.diff(table.column(c).to_numpy()) != 0 for c in ("key", "i", "j", "label")], 0)) + 1
                 edges = [0, *change.tolist()]
                 if len(edges) > 1:
                     yield from cut(table, edges)
@@ -209,7 +216,7 @@ def met(nodes: DataFrame, kind: str, tables: int) -> DataFrame:
             i, j = int(g["i"][0]), int(g["j"][0])
             part = lambda k: {c: (np.asarray(g[c])[k] if c not in ("vector", "codes") else [g[c][r] for r in np.flatnonzero(k)]) for c in names}  # noqa: B023, E731
             x, y = (g, None) if i == j else (part(g["block"] == i), part(g["block"] == j))
-            if len(x["node"]) and (y is None or len(y["node"])) and (found := compare(int(g["code"][0]), int(g["t"][0]), x, y, kind, tables)):
+            if len(x["node"]) and (y is None or len(y["node"])) and (found := compare(int(g["code"][0]), int(g["t"][0]), x, y, kind, TABLES[int(g["rotations"][0])])):
                 rows.append(found)
                 size += len(found[0])
             if size > 20000:
@@ -228,18 +235,20 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = rows.withColumn("x", F.xxhash64("label", "embedding")).withColumn("y", F.xxhash64(F.lit(1), "embedding", "label"))
     good = rows.where(finite)
     nodes = written(good.groupBy("x", "y").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "nodes")
-    most = nodes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).agg(F.max("n"), F.max("d")).first()
-    d = 2 << max(0, ((most[1] or 1) - 1).bit_length())
-    rotations = 1
-    while rotations < 6 and (most[0] or 0) > LOAD * d**rotations:
-        rotations += 1
+    total = nodes.count()
     kind = "<f4" if dict(df.dtypes)[vector_col] == "array<float>" else "<f8"
-    links = written(met(written(hashed(nodes, rotations, kind), "hashed"), kind, TABLES[rotations]), "met")
+    labels = nodes.groupBy("label").agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("d"))
+    labels = written(labels.select("label", "rows", rotations("rows", "d").alias("rotations")), "labels")
+    turned = looked_up(nodes, labels, "label", total, count="rows")
+    buckets = written(hashed(turned, kind), "hashed")
+    links = written(met(buckets, kind), "met")
+    dropped(buckets, labels)
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     tree = components(links.select(F.col("node").alias("a"), F.col("low").alias("b")))
     told = nodes.select("x", "y", "node", "n").join(counts, "node", "left").join(tree, "node", "left")
-    told = told.select("x", "y", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    out = good.select("id", "x", "y").join(told, ["x", "y"]).select("id", "links", "component")
+    told = written(told.select("x", "y", "n", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "told")
+    dropped(nodes, links)
+    out = looked_up(good.select("id", "x", "y"), told, ["x", "y"], good.count()).select("id", "links", "component")
     alone = rows.where(f"coalesce(not ({finite}), true)").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     out = out.unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -1,17 +1,21 @@
 """Main text of HTML pages by minimum cut.
 
 A page becomes text blocks (runs of text between block-level tags). A linear classifier
-scores each block from its element path (tags, roles, class and id words), link density,
-length and punctuation; positive scores are evidence for content. Evidence becomes the
-capacity of a block's edge to the source (content) or the sink (boilerplate); blocks next
-to each other, and next siblings of the same parent, are joined by smoothness edges that
-are stronger the nearer they lie in the DOM. Maximum flow gives the cut of least total
-cost, and blocks on the source side are the text. Blocks whose evidence exceeds all their
-smoothness edges are decided before (they are so in every minimum cut), which leaves
-small graphs for the flow.
-
-Character references are decoded, white space inside a block becomes one space, and
-blocks are joined by one newline. Null, empty and text-less pages give an empty text.
+gives each block its log-odds of being content, from its element path (tags, roles, class
+and id words), link density, length and punctuation. They become the capacity of the
+block's edge to the source (content) or the sink (boilerplate). Blocks next to each other,
+and next siblings of the same parent, are joined by smoothness edges, which are stronger
+the nearer the blocks lie in the DOM; an element that speaks for or against content by
+itself counts as a longer way. Log-odds are held to MOST and edges are of the same order, so
+a block whose own words tell little (a short paragraph, a label) goes with those around it.
+Maximum flow gives the cut of least total cost, and blocks on the source side are the
+text. Blocks whose log-odds exceed all their edges are decided before (they are so in every
+minimum cut), which leaves small graphs for the flow.
+
+The content of hidden elements and of head is no text of the page. Character references
+are decoded, white space inside a block becomes one space, and blocks are joined by one
+newline. Null, empty and text-less pages give an empty text. Every row is extracted by
+itself, so repeated rows give equal texts.
 """
 
 from __future__ import annotations
@@ -40,48 +44,58 @@ RAW = frozenset("script style title textarea noscript template iframe object svg
 #: What a start tag ends if it is open: an item by its like, a paragraph by any block.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 
-# Weights of the classifier: evidence for content (positive) or boilerplate.
+# Log-odds of the classifier: for content (positive) or boilerplate.
 TAG_WEIGHT = {
-    "article": 4.0, "main": 4.0, "nav": -9.0, "menu": -9.0, "header": -6.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "fieldset": -6.0, "button": -6.0,
-    "select": -9.0, "label": -4.0, "dialog": -9.0, "legend": -4.0, "head": -20.0,
+    "article": 2.5, "main": 2.0, "nav": -4.0, "menu": -4.0, "header": -3.0, "footer": -4.0, "aside": -4.0, "form": -4.0, "fieldset": -3.0, "button": -3.0,
+    "select": -4.0, "label": -2.0, "dialog": -4.0, "legend": -2.0,
 }
 #: What a block's own element adds.
-OWN_WEIGHT = {"h1": 2.5, "h2": 1.5, "h3": 1.0, "h4": 1.0, "p": 1.0, "blockquote": 0.5, "pre": 0.5}
-ROLE_WEIGHT = {"main": 4.0, "article": 4.0, "navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "form": -9.0, "dialog": -9.0, "alert": -9.0, "menu": -9.0, "menubar": -9.0}
+OWN_WEIGHT = {"h1": 1.5, "h2": 1.0, "h3": 0.75, "h4": 0.75, "p": 0.75, "blockquote": 0.5, "pre": 0.5}
+ROLE_WEIGHT = {"main": 2.0, "article": 2.5, "navigation": -4.0, "banner": -4.0, "contentinfo": -4.0, "complementary": -4.0, "search": -4.0, "form": -4.0, "dialog": -4.0, "alert": -4.0, "menu": -4.0, "menubar": -4.0}
 GOOD_WORDS = frozenset("article content entry main post story text".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer discussion "
     "disqus feedback foot footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay paging pagination "
     "popup promo promoted promotion recommend recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget widgets".split()
 )
-WORD_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: A word after one of these tells what a layout has beside its content, or lacks.
+BESIDE = frozenset("has no with without".split())
+WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-BAD, GOOD, HIDDEN = -9.0, 2.0, -20.0
-LINKED, LENGTH, SENTENCE, BASE = -2.5, 0.6, 0.5, -1.5
-#: Smoothness of neighbours by tree distance d: NEAR / (1 + d); least evidence that counts.
-NEAR, LEAST = 2.0, 1e-9
+BAD, GOOD = -4.0, 1.5
+LINKED, LENGTH, SENTENCE, BASE, MOST = -2.5, 0.8, 0.5, -1.0, 6.0
+#: Smoothness of neighbours: NEAR / (1 + steps in the tree + WALL for each element between
+#: them that has log-odds of its own); least capacity that counts.
+NEAR, WALL, LEAST = 3.0, 4, 1e-9
+#: Elements whose class words speak of the page as a whole.
+WHOLE = ("html", "body")
 
 
 @functools.lru_cache(8192)
-def weight(tag: str, attrs: str) -> tuple[float, float]:
-    """Evidence for content and for boilerplate that an element gives the blocks in it."""
-    told = [TAG_WEIGHT.get(tag, 0.0)]
+def weight(tag: str, attrs: str) -> tuple[float, float, bool, bool]:
+    """Log-odds for content and for boilerplate that an element gives the blocks in it,
+    whether its tag or role speaks against content, and whether it is hidden."""
+    told, hidden, role = [TAG_WEIGHT.get(tag, 0.0)], False, 0.0
     if attrs:
         found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)}
-        named = html.unescape(f"{found.get('class', '')} {found.get('id', '')}")
-        words = set(WORD_SPLIT.split(CAMEL.sub(" ", named).lower()))
-        told += [BAD * bool(words & BAD_WORDS), GOOD * bool(words & GOOD_WORDS), ROLE_WEIGHT.get(found.get("role", "").lower(), 0.0)]
+        words = WORD_SPLIT.split(CAMEL.sub(" ", html.unescape(f"{found.get('class', '')} {found.get('id', '')}")).lower()) if tag not in WHOLE else []
+        named = {w for before, w in zip(["", *words], words, strict=False) if before not in BESIDE}
+        role = ROLE_WEIGHT.get(found.get("role", "").lower(), 0.0)
+        told += [BAD * bool(named & BAD_WORDS), GOOD * bool(named & GOOD_WORDS), role]
         style = found.get("style", "").replace(" ", "").lower()
-        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-            told.append(HIDDEN)
-    return max(0.0, *told) if len(told) > 1 else max(0.0, told[0]), sum(x for x in told if x < 0)
+        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+    return max(0.0, *told, 0.0), sum(x for x in told if x < 0), min(told[0], role) < 0, hidden
 
 
-def blocks(page: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
-    """(text, score, parent element, path of elements) of each block in order."""
+def blocks(page: str) -> tuple[list[tuple[str, float, int, tuple[int, ...]]], set[int]]:
+    """(text, log-odds, parent element, path of elements) of each block in order, and the
+    elements that have log-odds of their own."""
     out: list = []
-    stack: list[tuple[str, int, float, float]] = [("", 0, 0.0, 0.0)]
+    # of each open element: tag, number, log-odds for and against, whether it is hidden,
+    # whether a tag or role on its path speaks against content
+    stack: list[tuple[str, int, float, float, bool, bool]] = [("", 0, 0.0, 0.0, False, False)]
     open_: dict[str, int] = {}
+    walls: set[int] = set()
     serial, linked = 0, False
     parts: list[str] = []
     chars = links = 0
@@ -89,12 +103,12 @@ def blocks(page: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
 
     def flush():
         nonlocal parts, chars, links
-        if parts:
+        if parts and not stack[-1][4]:
             text = " ".join("".join(parts).split())
             if text:
                 density = links / chars if chars else 0.0
                 score = BASE + stack[-1][2] + stack[-1][3] + OWN_WEIGHT.get(stack[-1][0], 0.0) + LINKED * density + LENGTH * min(len(text) / 60, 3.0) + SENTENCE * (text[-1] in ".!?…:")
-                out.append((text, score, stack[-1][1], tuple(e[1] for e in stack)))
+                out.append((text, max(-MOST, min(MOST, score)), stack[-1][1], tuple(e[1] for e in stack)))
         parts, chars, links = [], 0, 0
 
     def take(raw):
@@ -148,6 +162,8 @@ def blocks(page: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
             linked = True
         elif tag in BLOCK:
             flush()
+            if tag != "head" and open_.get("head"):
+                close("head")
             if open_.get("p"):
                 close("p")
             for other in ENDS.get(tag, ()):
@@ -155,11 +171,17 @@ def blocks(page: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
                     close(other)
             if tag not in VOID:
                 serial += 1
-                good, bad = weight(tag, m["attrs"])
-                stack.append((tag, serial, max(stack[-1][2], good), stack[-1][3] + bad))
+                good, bad, firm, hidden = weight(tag, m["attrs"])
+                if good or bad:
+                    walls.add(serial)
+                # inside what speaks against content, what is around it no longer speaks for
+                # it; an article in an aside or a footer is a teaser
+                _, _, around, against, covered, within = stack[-1]
+                good = 0.0 if firm or within else good if bad else max(around, good)
+                stack.append((tag, serial, good, against + bad, covered or hidden or tag == "head", firm or within))
                 open_[tag] = open_.get(tag, 0) + 1
     flush()
-    return out
+    return out, walls
 
 
 @functools.cache
@@ -177,14 +199,15 @@ def _inner(stack: list, other: str, tag: str) -> bool:
     return False
 
 
-def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps between two elements of the tree, by their paths."""
+def distance(a: tuple[int, ...], b: tuple[int, ...], walls: set[int] = frozenset()) -> int:
+    """Steps between two elements of the tree, by their paths; WALL more for each of
+    ``walls`` that the way leaves or enters."""
     same = 0
     for x, y in zip(a, b, strict=False):
         if x != y:
             break
         same += 1
-    return len(a) + len(b) - 2 * same
+    return len(a) + len(b) - 2 * same + WALL * sum(x in walls for x in (*a[same:], *b[same:]))
 
 
 def cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -265,20 +288,23 @@ def source_side(core: list[int], score: list[float], near: list[dict[int, float]
                     steps[path[-1]].pop()
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
+def labelled(page: str | None) -> list[tuple[str, float, bool]]:
+    """(text, log-odds, whether it is content) of each block of a page."""
+    found, walls = blocks(page or "")
     edges, last = [], {}
     for i, (_, _, parent, path) in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEAR / (1 + distance(found[i - 1][3], path))))
+            edges.append((i - 1, i, NEAR / (1 + distance(found[i - 1][3], path, walls))))
         up = path[-2] if len(path) > 1 else parent
         if up in last and last[up] != i - 1:
-            edges.append((last[up], i, NEAR / (1 + distance(found[last[up]][3], path))))
+            edges.append((last[up], i, NEAR / (1 + distance(found[last[up]][3], path, walls))))
         last[up] = i
     labels = cut([b[1] for b in found], edges)
-    return "\n".join(b[0] for b, keep in zip(found, labels, strict=True) if keep)
+    return [(b[0], b[1], keep) for b, keep in zip(found, labels, strict=True)]
+
+
+def main_text(page: str | None) -> str:
+    return "\n".join(text for text, _, keep in labelled(page) if keep)
 
 
 def extract(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

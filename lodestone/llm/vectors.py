@@ -34,7 +34,7 @@ TABLES = {1: 4, 2: 6, 3: 10, 4: 16, 5: 28, 6: 48}
 #: tables, so chance meetings stay rare and work grows with the rows.
 LOAD = 0.05
 #: Rows of a bucket that one product compares with another such block.
-BLOCK = 512
+BLOCK = 256
 
 
 @functools.cache

@@ -1,9 +1,11 @@
 """HTML extraction and WARC archives."""
 
+import gzip
 import hashlib
 import io
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,8 +80,30 @@ def test_broken_archive_is_told(spark):
     name = next(r["name"] for r in files.collect() if r["records"])
     with where.open_input_stream(f"{at}/{name}", compression=None) as f:
         raw = f.read()
-    import gzip
-
     bad = gzip.compress(gzip.decompress(raw).replace(b"xxxx", b"yyyy", 1))
     with pytest.raises(ValueError, match="digest"):
         list(warc.records(io.BytesIO(bad)))
+
+
+def test_archive_is_one_of_responses_and_revisits(spark):
+    rows = [(i, "u", "p" * 200 if i % 2 else f"page {i}") for i in range(12)] + [(1, "u", "p" * 200), (None, "u", "p" * 200)]
+    folder, files = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    where, at = file_system(folder)
+    ids, types = [], []
+    for r in files.collect():
+        with where.open_input_stream(f"{at}/{r['name']}", compression=None) as f:
+            raw = gzip.decompress(f.read()).decode()
+        ids += re.findall("WARC-Record-ID: <(urn:uuid:[0-9a-f-]{36})>", raw)
+        types += re.findall("WARC-Type: (.*)\r", raw)
+        for n, block in re.findall("Content-Length: ([0-9]+)\r\n\r\n(.*?)\r\n\r\n(?=WARC/|$)", raw, re.S):
+            assert int(n) in (len(block), 0) or "HTTP/1.1 200 OK" in block
+    assert len(ids) == len(set(ids)) == len(rows) and sorted(types) == ["response"] * 9 + ["revisit"] * 5
+
+
+def test_a_payload_of_many_mebibytes(spark):
+    df = spark.range(2).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("repeat('0123456789abcdef', 4 << 20)").alias("html")).coalesce(1)
+    folder, files = warc.write(df)
+    got = warc.read(spark, folder, files, data=False).where("last").orderBy("page_id").collect()
+    want = hashlib.sha256(b"0123456789abcdef" * (4 << 20)).hexdigest()
+    assert [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in got] == [(0, "response", None, 64 << 20, want), (1, "revisit", 0, 64 << 20, want)]
+    assert warc.read(spark, folder, files, data=False).where("page_id = 0").count() == 64

@@ -1,15 +1,18 @@
 """Quality classifier: supervised subword embeddings.
 
-Each word has a hashed vector, and so has each of its character n-grams; a word that
-follows itself adds a word bigram (one vector for all such pairs, REPEAT times, as a word
-brings many n-grams). A document is the mean of all of them and of PRIOR zero vectors,
-so that a few words decide little; a softmax layer on the mean gives its class. Vectors and
-layer are learned by stochastic gradient descent in numpy on a bounded sample of
-labelled documents. A linear layer on a mean is a mean of per-feature logits, so scoring
-folds the model to one number for each hash bucket: a word costs one cache lookup.
+Each word has a hashed vector, and so has each of its character n-grams; of word bigrams
+those of a word with itself have one (one vector for all such pairs, REPEAT times, as a word
+brings many n-grams): a bigram's own vector would say nothing of other words' repeats. A
+document is the mean of all of them and of PRIOR zero vectors, so that a few words decide
+little; a softmax layer on the mean gives its class. Vectors and layer are learned by
+stochastic gradient descent in numpy on a bounded sample of labelled documents, in one task,
+so that the driver gets the model alone. A linear layer on a mean is a mean of per-feature
+logits, so scoring folds the model to one number for each hash bucket: a word costs one
+cache lookup.
 
 Null and empty texts (no words) get the score of the layer's bias alone. Repeated rows
-get equal scores; rows with a null id are scored and never learned from.
+get equal scores; rows with a null id are scored and never learned from; of the texts of a
+repeated id the smallest is learned from.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.llm.pretokenise import PieceCache, portions
 
 BUCKETS, DIM, GRAMS = 1 << 18, 12, (2, 3, 4)
-#: Most labelled documents to learn from; those of smallest hashed id are taken.
-SAMPLE = 3000
+#: Most labelled documents to learn from; those of smallest hashed id are taken, as long as
+#: they have no more than FEATURES distinct buckets together.
+SAMPLE, FEATURES = 3000, 1 << 24
 EPOCHS, RATE = 6, 0.4
 #: Bucket and weight of the bigram of a word with itself; zero vectors in every mean.
 SAME, REPEAT, PRIOR = 0, 8, 32
@@ -139,21 +143,34 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Model:
     """Learns from documents whose id has a label 0 or 1, at most ``most`` of them. Their
-    features are counted on executors; the driver gets bucket counts, of bounded size."""
+    features are counted where they lie, and one task of bounded size learns from them."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    known = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("id", "text", "label")
+    known = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")
+    kind = dict(texts.dtypes)["id"]
 
     def run(batches):
         for batch in batches:
-            ids, texts, labels = (c.to_pylist() for c in batch.columns)
-            for i, t, y in zip(ids, texts, labels, strict=True):
-                buckets, counts = counted(t)
-                yield pa.RecordBatch.from_arrays([pa.array([str(i)]), pa.array([buckets.astype("<i4").tobytes()], pa.binary()), pa.array([counts.astype("<i4").tobytes()], pa.binary()), pa.array([y], pa.int32())], ["id", "buckets", "counts", "label"])
-
-    rows = texts.mapInArrow(run, "id string, buckets binary, counts binary, label int").collect()
-    rows.sort(key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], r["buckets"], r["counts"]))
-    return train([(np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4"), r["label"]) for r in rows])
+            for k in range(batch.num_rows):
+                buckets, counts = counted(batch.column(1)[k].as_py())
+                raw = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (buckets, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *raw, batch.column(2).slice(k, 1)], ["id", "buckets", "counts", "label"])
+
+    def learn(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for buckets, counts, label in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                size += len(buckets) // 4
+                if size <= FEATURES:
+                    rows.append((np.frombuffer(buckets, "<i4"), np.frombuffer(counts, "<i4"), label))
+        model = train(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([model.logits.tobytes()], pa.binary()), pa.array([model.bias])], ["logits", "bias"])
+
+    counts = texts.mapInArrow(run, f"id {kind}, buckets binary, counts binary, label int")
+    one = counts.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(learn, "logits binary, bias double")
+    told = one.first()
+    return Model(np.frombuffer(told["logits"], np.float32), told["bias"]) if told else train([])
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -1,19 +1,25 @@
 """Secret scan: fixed patterns, and assignment-aware lexing.
 
-The lexer reads source and configuration syntax (``name = "literal"``, ``name: value``,
-``"name": "value"``, ``name := ...``, ``name => ...``, ``export NAME=value``) into
-name-literal pairs. A name assigned from other names or joined from parts (``+`` or
-juxtaposed strings) takes their literals, wherever in the text those are written, so
-``k = "..."`` and later ``password = k`` reports the literal of ``k``. A literal is
-scored by how sensitive the names are that it reaches and by how much it looks like a
-credential. Spans are code points, ends exclusive. Null and empty texts have none.
+The lexer reads source and configuration syntax into name-literal pairs: ``name = "literal"``,
+``name: value``, ``"name": "value"``, ``name := ...``, ``name => ...``, ``export
+NAME=value``, elements of lists, keys inside objects, blocks below ``name: |`` and
+``name: >``, ``<name>value</name>``, ``name="key" value="literal"``, ``${NAME:-value}``,
+``set_name("literal")`` and ``put("name", "literal")``; comments are lexed as text of their
+own. A name assigned from other names or joined from parts (``+`` or juxtaposed strings)
+takes their literals, wherever in the text those are written, so ``k = "..."`` and later
+``password = k`` reports the literal of ``k``. A literal is scored by how sensitive the names
+are that it reaches and by how much it, or the value that it is joined into, looks like a
+credential. Spans are code points, ends exclusive. Null and empty texts have none. Every
+row is scanned by itself, so repeated rows have equal findings.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +35,7 @@ LEAST = 8
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.8, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "credential": 0.8, "auth": 0.5}
 LEX = re.compile(
     r"""(?P<comment>(?:(?<=^)|(?<=\s))(?:\#|//)(?=\s)[^\n]*)
+    |(?P<shell>\$\{[A-Za-z_]\w*:?[-=][^{}\s]*\})
     |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
     |(?P<assign>:=|=>|=(?!=)|:(?!:))
     |(?P<plus>\+|\.\.(?=\s))
@@ -41,6 +48,13 @@ LEX = re.compile(
 NAME = re.compile(r"[A-Za-z_][\w.-]*", re.A)
 PLACEHOLDER = re.compile(r"\$\{|\{\{|<[a-z]|^%|^\$|example|changeme|placeholder|x{4,}|\*{3,}|^(?:none|null|true|false|undefined)$", re.I)
 LITERAL_SCORE = 0.5
+# Syntax that the lexer's assignments do not cover.
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>", re.A)
+KEYED = re.compile(r"""\b(?:key|name)\s*=\s*(["'])([\w.:-]+)\1\s+value\s*=\s*(["'])([^"'\n]+)\3""", re.A | re.I)
+DEFAULT = re.compile(r"\$\{([A-Za-z_]\w*):?[-=]([^{}\s]+)\}", re.A)
+CALL = re.compile(r"""(?<![\w.])([A-Za-z_][\w.]*+)\(\s*(["'])([^"'\n]*)\2\s*(?:,\s*(["'])([^"'\n]*)\4\s*)?(?=[,)])""", re.A)
+HANGING = re.compile(r"""^([ \t]*)(?:-[ \t]+)?["']?([\w.-]+)["']?[ \t]*:[ \t]*[|>][+-]?[0-9]*[ \t]*\n((?:[ \t]*\n)*(\1[ \t]+)[^\s][^\n]*(?:\n(?:\4[^\n]*|[ \t]*(?=\n|\Z)))*)""", re.A | re.M)
+SETTER = re.compile(r"^(?:set|with|put|use|add)[_A-Z]|(?:^|[._])set[A-Z_]")
 
 
 def sensitivity(name: str) -> float:
@@ -49,29 +63,72 @@ def sensitivity(name: str) -> float:
     return max((v for k, v in SENSITIVE.items() if k in flat), default=0.0)
 
 
-def plausibility(value: str, quoted: bool) -> float:
-    """From 0 to 1: length, kinds of characters and entropy of what may be a credential."""
-    if len(value) < LEAST or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
-        return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    if not quoted and not re.search(r"[0-9]", value):
-        return 0.0  # prose after a colon
-    return min(1.0, 0.35 + 0.1 * kinds + 0.1 * min(entropy, 4.0))
+class Value:
+    """What scoring needs to know of a value: it joins with others without being built."""
 
+    __slots__ = ("counts", "open", "quoted")
 
-def pairs(text: str):
-    """(name, [parts]) of each assignment; a part is ("literal", start, end, quoted) or
-    ("name", name, start, end). Each element of a list in [ ] or ( ) is an assignment to
-    the list's name."""
+    def __init__(self, counts: Counter, quoted: bool, open: bool):
+        self.counts, self.quoted, self.open = counts, quoted, open
+
+    @classmethod
+    def of(cls, text: str, quoted: bool) -> Value:
+        return cls(Counter(text), quoted, not PLACEHOLDER.search(text) and not any(c.isspace() for c in text))
+
+    def plausibility(self) -> float:
+        """From 0 to 1: length, kinds of characters and entropy of what may be a credential."""
+        size = sum(self.counts.values())
+        if size < LEAST or not self.open:
+            return 0.0
+        kinds = {0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in self.counts}
+        if not self.quoted and 2 not in kinds:
+            return 0.0  # prose after a colon
+        entropy = -sum(n / size * math.log2(n / size) for n in self.counts.values())
+        return min(1.0, 0.35 + 0.1 * len(kinds) + 0.1 * min(entropy, 4.0))
+
+
+Part = tuple
+Pairs = Iterator[tuple[str, list[Part]]]
+
+
+def pairs(text: str) -> Pairs:
+    """(name, [parts]) of each name-literal pair of a text; a part is ("literal", start,
+    end, quoted) or ("name", name, start, end)."""
+    yield from assignments(text, 0, len(text), True)
+    if "<" in text:
+        for m in ELEMENT.finditer(text):
+            if value := m[2].strip():
+                at = m.start(2) + m[2].index(value)
+                yield m[1], [("literal", at, at + len(value), False)]
+        for m in KEYED.finditer(text):
+            yield m[2], [("literal", m.start(4), m.end(4), True)]
+    for m in DEFAULT.finditer(text):
+        yield m[1], [("literal", m.start(2), m.end(2), False)]
+    for m in CALL.finditer(text):
+        value = [("literal", m.start(5), m.end(5), True)] if m[4] else [("literal", m.start(3), m.end(3), True)]
+        if m[4] and NAME.fullmatch(m[3]):
+            yield m[3], value
+        if SETTER.search(m[1]):
+            yield m[1], value
+    for m in HANGING.finditer(text):
+        lines = [("literal", m.start(3) + x.start(), m.start(3) + x.end(), False) for x in re.finditer(r"[^\s](?:[^\n]*[^\s])?", m[3])]
+        yield m[2], lines
+
+
+def assignments(text: str, begin: int, stop: int, code: bool) -> Pairs:
+    """Those of the assignments between two places, of ``code`` or of a comment. Each
+    element of a list in [ ] or ( ) is an assignment to the list's name."""
     name = kind = None  # what stands before an assignment sign
     target, parts, joined = None, [], False
     opened: list[tuple[str, str | None]] = []  # brackets, and the name that their elements go to
     element = False  # the target is that of a list, after a comma
-    for m in LEX.finditer(text):
+    for m in LEX.finditer(text, begin, stop):
         kind = m.lastgroup
         if kind == "comment":
+            if code:
+                yield from assignments(text, m.end() - len(m[0].lstrip("#/ \t")), m.end(), False)
+            continue
+        if kind == "shell":
             continue
         if kind == "assign" and name and element and parts:
             # a key or keyword inside a list is a name of its own
@@ -130,33 +187,64 @@ def pairs(text: str):
 
 def literals(text: str) -> list[tuple[int, int, float]]:
     """Literals that reach sensitive names, with their scores."""
-    held: dict[str, tuple[list, list]] = {}  # of each name its literals, and the names that it takes
+    held: dict[str, list[list]] = {}  # of each name its assignments, as lists of parts
     for name, parts in pairs(text):
-        own, taken = held.setdefault(name, ([], []))
+        held.setdefault(name, []).append(parts)
+    values: dict[str, Value | None] = {}
+
+    def value(parts: list) -> Value:
+        """What the parts join to; names that lead back, or have several values, are empty."""
+        counts, quoted, good = Counter(), False, True
         for part in parts:
-            (own if part[0] == "literal" else taken).append(part[1:])
-    found: dict[tuple[int, int], float] = {}
-    seen: set[str] = set()
-    # from the most sensitive names on: what one has reached, others need not walk again
-    for first in sorted(held, key=lambda n: -sensitivity(n)):
-        if not (weight := sensitivity(first)):
-            break
+            if part[0] == "name" and part[1] in held:
+                got = values.get(part[1])
+            else:
+                a, b, q = span(part)
+                got = Value.of(text[a:b], q)
+            if got:
+                counts, quoted, good = counts + got.counts, quoted or got.quoted, good and got.open
+        return Value(counts, quoted, good)
+
+    def span(part: Part) -> tuple[int, int, bool]:
+        """Of a literal, or of a bare word that no assignment defines and so is a value."""
+        return part[1:] if part[0] == "literal" else (*part[2:], False)
+
+    def evaluate(first: str) -> None:
+        """Values of a name and of those that it is made of, these first."""
         todo = [first]
         while todo:
-            name = todo.pop()
-            if name in seen:
-                continue
-            seen.add(name)
-            spans = list(held[name][0])
-            for other, start, end in held[name][1]:
-                if other in held and other != name:
-                    todo.append(other)
-                else:  # a bare word that no assignment defines is a value
-                    spans.append((start, end, False))
-            for start, end, quoted in spans:
-                score = weight * plausibility(text[start:end], quoted)
-                if score >= LITERAL_SCORE:
-                    found[start, end] = max(score, found.get((start, end), 0))
+            name = todo[-1]
+            if name not in values:
+                values[name] = None  # until it is known: a name inside itself is empty
+                todo += [p[1] for parts in held[name] for p in parts if p[0] == "name" and p[1] in held and p[1] not in values]
+            else:
+                todo.pop()
+                if values[name] is None and len(held[name]) == 1:
+                    values[name] = value(held[name][0])
+
+    found: dict[tuple[int, int], float] = {}
+    # names by the sensitivity that they take over, most first, and whether what they are
+    # joined into looks like a credential: few values, so a name is walked a few times at most
+    todo = [(-w, True, 0.0, name) for name in held if (w := sensitivity(name))]
+    heapq.heapify(todo)
+    seen: dict[str, bool] = {}
+    while todo:
+        weight, alone, joint, name = heapq.heappop(todo)
+        if name in seen and (alone or not seen[name]):
+            continue
+        seen[name], weight = alone, -weight
+        evaluate(name)
+        for parts in held[name]:
+            whole = max(joint, value(parts).plausibility() if len(parts) > 1 else 0.0)
+            for part in parts:
+                if part[0] == "name" and part[1] in held:
+                    if part[1] != name:
+                        heapq.heappush(todo, (-weight, whole * weight < LITERAL_SCORE, whole, part[1]))
+                    continue
+                a, b, quoted = span(part)
+                score = weight * max(Value.of(text[a:b], quoted).plausibility(), whole)
+                if score >= LITERAL_SCORE and b > a:
+                    found[a, b] = max(score, found.get((a, b), 0))
     return [(a, b, s) for (a, b), s in found.items()]
 
 
@@ -169,7 +257,7 @@ def scan(text: str) -> list[tuple[str, int, int, int, float]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m.start(), 1.0) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), m.start(), 1.0) for m in HEX.finditer(text)]
-    if ("=" in text or ":" in text) and sensitivity(text):  # else no literal reaches a sensitive name
+    if any(c in text for c in "=:(<") and sensitivity(text):  # else no literal reaches a sensitive name
         out += [("literal", a, b, a, s) for a, b, s in literals(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -105,6 +105,17 @@ ORACLE_SQL = {
               from v q join v c on q.id % 50 = 0 and c.id <> q.id),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op10_bagminhash": """
+        with recursive w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') as w from documents),
+        s as (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+                                         when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+        c as (select doc_id, g, count(*) as n from s group by doc_id, g),
+        t as (select doc_id, sum(n) as n from c group by doc_id),
+        p as (select a.doc_id as x, b.doc_id as y, sum(least(a.n, b.n)) as shared from c a join c b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+        l as (select x, y from p join t a on a.doc_id = x join t b on b.doc_id = y where shared >= 0.8 * (a.n + b.n - shared)),
+        r(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from r join l on r.y = l.x),
+        f as (select x, min(y) as low from r group by x)
+        select doc_id, low as class_id, doc_id = low as kept from documents join f on f.x = doc_id""",
     "op9_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
         f as (select d, min(page_id) as first from p where n >= 100 group by d)

@@ -67,7 +67,7 @@ def test_sql_of_the_operators(spark, data):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         c.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got, want = queries.QUERIES[name](spark, data).toPandas(), c.execute(sql).df()[list(queries.QUERIES[name](spark, data).columns)]

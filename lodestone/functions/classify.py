@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from lodestone.functions.text import strip
+from lodestone.functions.text import once, strip
 
 #: Code points that count as Thai, and as Latin (with the six signs between Z and a).
 THAI, LATIN = "".join(map(chr, range(0x0E00, 0x0E80))), "".join(map(chr, range(0x41, 0x7B)))
@@ -39,11 +38,6 @@ def language(text: Column) -> Column:
     return once(F.struct(thai.alias("thai"), latin.alias("latin"), F.char_length(strip(text)).alias("n")), told)
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def domain(text: Column, mode: str = "auto", manual: str | None = None) -> Column:
     """struct<domain, confidence>: the domain of which most keywords occur in the text, the
     first of equals; "manual" gives the one named."""

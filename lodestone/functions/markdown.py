@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from lodestone.functions.text import strip
+from lodestone.functions.text import once, strip
 
+# Patterns of the Markdown that is understood, and of key terms.
 HEADING = r"(?d)^(#{1,6})\s+(.+)$"
 FENCE = r"(?s)```(\w*)\s*\n(.*?)```"
 LINK = r"\[([^\]]+)\]\(([^)]+)\)"
@@ -64,15 +61,13 @@ def code_blocks(content: Column) -> Column:
 
 
 def frequent(words: Column, least: int) -> Column:
-    """Words that occur ``least`` times or more, by first occurrence. Counting needs a table
-    of words, which array expressions do not have: Arrow batches, one pass a text."""
+    """Words that occur ``least`` times or more, by first occurrence. In sorted order equal
+    words are neighbours, so a run tells its length at its first word."""
 
-    @F.pandas_udf("array<string>")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in batches:
-            yield lists.map(lambda x: [w for w, n in Counter(x).items() if n >= least] if x is not None else [])
+    def runs(x: Column) -> Column:
+        return F.filter(x, lambda w, i: F.equal_null(F.get(x, i + least - 1), w) & ~F.equal_null(F.get(x, i - 1), w))
 
-    return count(words)
+    return F.coalesce(F.array_intersect(words, once(F.array_sort(words), runs)), F.array().cast("array<string>"))
 
 
 def key_terms(content: Column, most: int = 50) -> Column:

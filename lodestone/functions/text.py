@@ -43,15 +43,16 @@ def _words(sentence: str, most: int) -> str:
         a -> if(a.cur is null, a.out, array_append(a.out, a.cur)))"""
 
 
-def pack(parts: str, most: int = MAX_CHUNK, overlap: int = OVERLAP_CHARS, carry: str = "word") -> Column:
+def pack(parts: str, most: int = MAX_CHUNK, overlap: int | str = OVERLAP_CHARS, carry: str = "word") -> Column:
     """Chunks of the sentences in array column ``parts``: sentences are joined while they
-    fit; a new chunk begins with the last word of the one before (the whole tail of
-    ``overlap`` characters with carry="tail"). A sentence that does not fit alone is
-    split at words and shares nothing with its neighbours. Folded in the JVM."""
+    fit; a new chunk begins with what the last ``overlap`` characters of the one before (a
+    number, or a column's name) hold behind their last space (all of them with
+    carry="tail"). A sentence that does not fit alone is split at words and shares nothing
+    with its neighbours. Folded in the JVM."""
     tail = f"if({overlap} < length(a.cur), right(a.cur, {overlap}), a.cur)"
     kept = f"element_at(split({tail}, ' '), -1)" if carry == "word" else tail
-    carried = f"concat({kept}, ' ', s)" if overlap > 0 else "s"
-    carried_n = f"length({kept}) + length(s) + 1" if overlap > 0 else "length(s) + 1"
+    carried = f"if({overlap} > 0, concat({kept}, ' ', s), s)"
+    carried_n = f"if({overlap} > 0, length({kept}), 0) + length(s) + 1"
     return F.expr(f"""aggregate({parts},
         named_struct('out', cast(array() as array<string>), 'cur', cast(null as string), 'n', 0),
         (a, s) -> case
@@ -75,36 +76,42 @@ def speech_chunks(text: str, most: int = SPEECH_CHARS) -> Column:
     return F.expr(f"case when length({text}) <= {most} then array({text}) when size({folded}) > 0 then {folded} else {hard} end")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def byte_split(text: Column, most: int) -> Column:
     """A text cut every ``most`` UTF-8 bytes, never inside a character; a character wider
-    than that is dropped. Null and empty texts have no pieces."""
+    than that is dropped. Null and empty texts have no pieces. Folded in the JVM, a step a
+    piece."""
     if most <= 0:
         raise ValueError("most must be positive")
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: _pieces(t, most))
-
-    return cut(text)
-
-
-def _pieces(text: str | None, most: int) -> list[str]:
-    if not text:
-        return []
-    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
-    while at < len(raw):
-        end = min(at + most, len(raw))
-        while end < len(raw) and end > at and raw[end] & 0xC0 == 0x80:
-            end -= 1
-        if end > at:
-            out.append(raw[at:end].decode("utf-8", "ignore"))
-        else:  # wider than a piece: passed over whole
-            end = at + 1
-            while end < len(raw) and raw[end] & 0xC0 == 0x80:
-                end += 1
-        at = end
-    return [p for p in out if p]
+    def cut(raw: Column) -> Column:
+        size = F.octet_length(raw)
+        byte = lambda i: F.hex(F.substring(raw, i + 1, F.lit(1)))
+        inner = lambda i: byte(i).between("80", "BF")
+
+        def step(a: Column, _: Column) -> Column:
+            at, stop = a["at"], F.least(a["at"] + most, size)
+            end = F.when((stop >= size) | ~inner(stop), stop).when(~inner(stop - 1), stop - 1).when(~inner(stop - 2), stop - 2).otherwise(stop - 3)
+            lead = byte(at)
+            width = F.when(lead >= "F0", 4).when(lead >= "E0", 3).when(lead >= "C0", 2).otherwise(1)
+            piece = F.decode(F.substring(raw, at + 1, end - at), "UTF-8")
+            out = F.when(end > at, F.array_append(a["out"], piece)).otherwise(a["out"])
+            return F.when(at >= size, a).otherwise(F.struct(out.alias("out"), F.when(end > at, end).otherwise(at + width).alias("at")))
+
+        steps = F.sequence(F.lit(1), F.ceil(size / max(1, most - 3)).cast("int"))
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+        return F.when(size > 0, F.aggregate(steps, start, step, lambda a: a["out"]))
+
+    return F.coalesce(once(F.encode(text, "UTF-8"), cut), F.array().cast("array<string>"))
+
+
+def byte_safe(parts: Column, most: int) -> Column:
+    """Sentences, those of more than three bytes a character of a chunk cut at that."""
+    return F.flatten(F.transform(parts, lambda s: F.when(F.octet_length(s) <= 3 * most, F.array(s)).otherwise(byte_split(s, 3 * most))))
 
 
 def check_chunking(most: int, ratio: float, overlap: int | None) -> None:

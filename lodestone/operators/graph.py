@@ -11,6 +11,8 @@ from lodestone.functions.text import query_tokens, strip
 LABELS = ("KnowledgeConcept", "Hardware", "Strategy", "Narrative", "ContentAsset")
 EDGE_TYPES = ("PREDICTS", "APPLIES_TO", "CORRELATES_WITH", "REQUIRES_INFRA", "INSPIRES_PLOT", "IS_EXAMPLE_OF", "CONTRADICTS", "HAS_CHAPTER", "NEXT_CHAPTER", "REFERENCES_CONCEPT")
 MAX_HOPS = 3
+#: Most rows of a frontier that the driver holds for a hop.
+FRONTIER = 20_000
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
@@ -47,24 +49,35 @@ def terms(found: DataFrame) -> DataFrame:
     return found.groupBy(F.col("term").alias("name")).agg(F.count("*").alias("count"))
 
 
-def build(docs: DataFrame, most: int = 50, max_df: int | None = None) -> dict[str, DataFrame]:
-    """Tables of the graph of a corpus (doc_id, content): documents, sections, code_blocks,
-    links, terms, mentions, edges. Extraction reads the corpus; cache or write it first if
-    it is dear. ``max_df`` leaves RELATED_TO edges of more frequent terms out."""
+def extracted(docs: DataFrame, most: int = 50) -> dict[str, DataFrame]:
+    """Tables of a corpus (doc_id, content) that have rows by document: documents, sections,
+    code_blocks, links, mentions."""
     content = F.coalesce(F.col("content"), F.lit(""))
-    documents = docs.select("doc_id", markdown.title(content).alias("title"))
-    parts = sections(docs)
-    code, refs, found = items(docs, markdown.code_blocks(content), "code"), items(docs, markdown.links(content), "link"), mentions(docs, most)
+    code, refs = items(docs, markdown.code_blocks(content), "code"), items(docs, markdown.links(content), "link")
+    return {"documents": docs.select("doc_id", markdown.title(content).alias("title")), "sections": sections(docs), "code_blocks": code.drop("code"), "links": refs, "mentions": mentions(docs, most)}
+
+
+def derived(held: dict[str, DataFrame], max_df: int | None = None, pairs: bool = True) -> dict[str, DataFrame]:
+    """Terms and edges of extracted tables. With ``pairs``, RELATED_TO edges are listed, all
+    of them or those of terms that at most ``max_df`` documents share."""
     text = lambda c: F.col(c).cast("string")
     edge = lambda src, dst, kind, via=None: (src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), (via if via is not None else F.lit("")).alias("via"))
+    parts, found = held["sections"], held["mentions"]
     edges = parts.select(*edge(text("doc_id"), F.col("section_id"), "HAS_SECTION"))
     edges = edges.unionByName(parts.where("parent_id <> ''").select(*edge(F.col("parent_id"), F.col("section_id"), "CONTAINS_SECTION")))
-    edges = edges.unionByName(code.select(*edge(text("doc_id"), F.col("id"), "CONTAINS_CODE")))
+    edges = edges.unionByName(held["code_blocks"].select(*edge(text("doc_id"), F.col("id"), "CONTAINS_CODE")))
     edges = edges.unionByName(found.distinct().select(*edge(text("doc_id"), F.col("term"), "MENTIONS_TERM")))
-    edges = edges.unionByName(refs.select(*edge(text("doc_id"), F.col("id"), "REFERENCES_URL")))
-    near = related(found, max_df)
-    edges = edges.unionByName(near.select(*edge(text("src"), text("dst"), "RELATED_TO", F.col("via_term"))))
-    return {"documents": documents, "sections": parts, "code_blocks": code.drop("code"), "links": refs, "terms": terms(found), "mentions": found, "edges": edges}
+    edges = edges.unionByName(held["links"].select(*edge(text("doc_id"), F.col("id"), "REFERENCES_URL")))
+    if pairs:
+        edges = edges.unionByName(related(found, max_df).select(*edge(text("src"), text("dst"), "RELATED_TO", F.col("via_term"))))
+    return {"terms": terms(found), "edges": edges}
+
+
+def build(docs: DataFrame, most: int = 50, max_df: int | None = None, pairs: bool = True) -> dict[str, DataFrame]:
+    """Tables of the graph of a corpus (doc_id, content): those of ``extracted`` and of
+    ``derived``. Extraction reads the corpus; cache or write it first if it is dear."""
+    held = extracted(docs, most)
+    return held | derived(held, max_df, pairs)
 
 
 def related(found: DataFrame, max_df: int | None = None, order: DataFrame | None = None) -> DataFrame:
@@ -102,46 +115,73 @@ def edge_counts(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def related_documents(found: DataFrame, doc_id, hops: int = 2, limit: int = 20) -> DataFrame:
-    """(doc_id, strength): directed RELATED_TO paths of at most ``hops`` (1 or 2) from a
-    document to each other one, one edge a shared term. Paths are counted, not listed:
-    each hop sums over terms and back over documents, so frequent terms cost no more."""
+    """(doc_id, strength): directed RELATED_TO paths of at most ``hops`` (1 to 3) edges from a
+    document, one edge a shared term, no edge twice in a path. Paths are counted, not
+    listed: each hop sums over terms and back over documents, so frequent terms cost no
+    more."""
+    if not 1 <= hops <= MAX_HOPS:
+        raise ValueError(f"hops must be between 1 and {MAX_HOPS}")
     held = found.select("doc_id", "term").distinct()
+    sizes = held.groupBy("doc_id").agg(F.count("*").alias("n"))
     own = held.where(F.col("doc_id") == doc_id).select("term")
-    first = held.join(own, "term", "left_semi").groupBy("doc_id").agg(F.count("*").alias("paths")).where(F.col("doc_id") != doc_id)
-    if hops < 2:
-        out = first.select("doc_id", F.col("paths").alias("strength"))
-    else:
-        through = held.join(first, "doc_id").groupBy("term").agg(F.sum("paths").alias("w"))
-        second = held.join(through, "term").groupBy("doc_id").agg(F.sum("w").alias("w"))
-        sizes = held.groupBy("doc_id").agg(F.count("*").alias("n"))
+    first = held.join(own, "term", "left_semi").groupBy("doc_id").agg(F.count("*").alias("w")).where(F.col("doc_id") != doc_id)
+    at, every = first, first
+    for k in range(2, hops + 1):
+        through = held.join(at, "doc_id").groupBy("term").agg(F.sum("w").alias("w"))
+        back = held.join(through, "term").groupBy("doc_id").agg(F.sum("w").alias("s"))
         # less the steps from a document to itself
-        both = second.join(first, "doc_id", "left").join(sizes, "doc_id").select("doc_id", (F.coalesce("paths", F.lit(0)) + F.col("w") - F.coalesce("paths", F.lit(0)) * F.col("n")).alias("strength"))
-        out = both.where("strength > 0")
+        at = back.join(at, "doc_id", "left").join(sizes, "doc_id").select("doc_id", (F.col("s") - F.coalesce("w", F.lit(0)) * F.col("n")).alias("w")).where("w > 0")
+        paths = at
+        if k == 3:  # there, back and there again by one term: the same edge twice
+            twice = first.select("doc_id", (F.col("w") * F.col("w")).alias("t"))
+            paths = at.join(twice, "doc_id", "left").select("doc_id", (F.col("w") - F.coalesce("t", F.lit(0))).alias("w"))
+        every = every.unionByName(paths)
+    out = every.groupBy("doc_id").agg(F.sum("w").alias("strength")).where("strength > 0")
     return out.orderBy(F.col("strength").desc(), "doc_id").limit(limit)
 
 
 def keyword_search(documents: DataFrame, nodes: DataFrame, query: str, per_term: int = 10, limit: int = 10) -> DataFrame:
-    """(doc_id, title, related_count): documents by the distinct nodes (doc_id, node, name)
-    whose name, or whose document's title, contains one of the first three query words."""
+    """(doc_id, title, related_count): documents by the distinct nodes (doc_id, node, name,
+    and title if they have one) whose name or title, or whose document's title, contains one
+    of the first three query words. Nodes and documents without any of the words are left
+    out before they are joined."""
     spark = documents.sparkSession
     words = spark.range(1).select(F.slice(F.array_distinct(query_tokens(F.lit(query))), 1, 3).alias("w")).first()["w"]
-    rows = nodes.join(documents, "doc_id").select("doc_id", "title", "node", F.lower(F.coalesce("name", F.lit(""))).alias("name"), F.lower(F.coalesce("title", F.lit(""))).alias("low"))
     if not words:
-        return rows.limit(0).select("doc_id", "title", F.lit(0).cast("long").alias("related_count"))
-    rows = rows.withColumn("word", F.explode(F.array(*[F.lit(w) for w in words]))).where(F.contains("name", "word") | F.contains("low", "word"))
-    counts = rows.groupBy("word", "doc_id", "title").agg(F.countDistinct("node").alias("n"))
+        return documents.limit(0).select("doc_id", "title", F.lit(0).cast("long").alias("related_count"))
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    fields = [c for c in ("name", "title") if c in nodes.columns]
+    hit = lambda columns: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.exists(F.array(*[low(c) for c in columns]), lambda x: F.contains(x, w)))
+    own = nodes.select("doc_id", "node", F.explode(hit(fields)).alias("word"))
+    named = documents.select("doc_id", F.explode(hit(["title"])).alias("word"))
+    own = own.unionByName(nodes.select("doc_id", "node").join(named, "doc_id").select("doc_id", "node", "word"))
+    counts = own.join(documents.select("doc_id"), "doc_id", "left_semi").distinct().groupBy("word", "doc_id").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.col("n").desc(), "doc_id"))
-    counts = counts.withColumn("rank", rank).where(F.col("rank") <= per_term)
-    return counts.groupBy("doc_id", "title").agg(F.sum("n").alias("related_count")).orderBy(F.col("related_count").desc(), "doc_id").limit(limit)
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= per_term).groupBy("doc_id").agg(F.sum("n").alias("related_count"))
+    best = best.orderBy(F.col("related_count").desc(), "doc_id").limit(limit)
+    return documents.select("doc_id", "title").join(F.broadcast(best), "doc_id").orderBy(F.col("related_count").desc(), "doc_id")
+
+
+def of_labels(nodes: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """Nodes of any of the labels."""
+    return nodes.where(F.col("label").isin(*labels))
+
+
+def _bounded(front: DataFrame) -> DataFrame:
+    """A frontier of at most FRONTIER rows as rows of the plan, which Spark broadcasts, so
+    that a hop scans the edges and shuffles none; a larger one as it is."""
+    rows = front.limit(FRONTIER + 1).collect()
+    return front if len(rows) > FRONTIER else F.broadcast(front.sparkSession.createDataFrame(rows, front.schema))
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 50, compat: bool = False) -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 50, compat: bool = False, nodes: DataFrame | None = None, labels: tuple[str, ...] | None = None) -> DataFrame:
     """(id, hops, chain) of the nodes within ``hops`` (held to 1..3) of the seeds (id), over
     edges (src, dst, type) in either direction; seeds and blank ids are left out. Of the
     shortest paths to a node the least chain stays: steps TYPE:direction, joined by ">".
-    Each hop is an equi-join with the frontier and a grouped minimum; one more minimum over
-    the hops leaves the shortest paths.
-    With ``compat``, steps after the first are all incoming, as none leaves the seed."""
+    Each hop is an equi-join with the frontier (a broadcast while it is small), a grouped
+    minimum, and an anti-join with what is known. With ``compat``, steps after the first are
+    all incoming, as none leaves the seed. With ``labels``, only nodes (id, label) of these
+    are found; paths go through any."""
     hops = max(1, min(MAX_HOPS, hops))
     step = edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.concat("type", F.lit(":outgoing")).alias("step"))
     step = step.unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"), F.concat("type", F.lit(":incoming")).alias("step"))).where("id <> to and id <> '' and to <> ''")
@@ -150,9 +190,12 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None
     for k in range(1, hops + 1):
         if compat and k == 2:
             step = step.withColumn("step", F.regexp_replace("step", ":outgoing$", ":incoming"))
-        front = front.join(step, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.concat_ws(">", F.nullif("chain", F.lit("")), "step")).alias("chain"))
+        front = _bounded(front)
+        after = step.join(front, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.concat_ws(">", F.nullif("chain", F.lit("")), "step")).alias("chain"))
+        seen = known if reached is None else known.unionByName(reached.select("id"))
+        front = after.join(seen, "id", "left_anti")
         rows = front.select("id", F.lit(k).alias("hops"), "chain")
         reached = rows if reached is None else reached.unionByName(rows)
-    # what a hop comes back to has fewer hops already, so the least (hops, chain) is right
-    found = reached.groupBy("id").agg(F.min(F.struct("hops", "chain")).alias("m")).select("id", "m.*").join(known, "id", "left_anti")
-    return found.orderBy("hops", "id").limit(limit) if limit else found
+    if labels is not None:
+        reached = reached.join(of_labels(nodes, labels).select("id"), "id", "left_semi")
+    return reached.orderBy("hops", "id").limit(limit) if limit else reached

@@ -32,12 +32,14 @@ def upsert_nodes(nodes: DataFrame, changes: DataFrame, columns: tuple[str, ...]
 
 
 def upsert_edges(edges: DataFrame, changes: DataFrame, nodes: DataFrame, types: tuple[str, ...] = EDGE_TYPES) -> DataFrame:
-    """Edges (src, dst, type, weight) after changes (seq, ...): unique by ends and type, only
-    between known nodes, only of known types."""
+    """Edges (src, dst, type, any properties) after changes (seq, ...): unique by ends and
+    type, only between known nodes, only of known types; null leaves a property as it is."""
     known = nodes.select("id").distinct()
+    keys = ("src", "dst", "type", "seq")
+    kept = list(dict.fromkeys(c for c in (*edges.columns, *changes.columns) if c not in keys))
     good = changes.where(F.col("type").isin(*types)).join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    both = edges.withColumn("seq", F.lit(-1).cast("long")).unionByName(good.select("src", "dst", "type", "weight", F.col("seq").cast("long").alias("seq")))
-    return both.groupBy("src", "dst", "type").agg(_latest("weight"))
+    both = edges.withColumn("seq", F.lit(-1).cast("long")).unionByName(good.withColumn("seq", F.col("seq").cast("long")), allowMissingColumns=True)
+    return both.groupBy("src", "dst", "type").agg(*[_latest(c) for c in kept]) if kept else both.select("src", "dst", "type").distinct()
 
 
 def unmatched_edges(changes: DataFrame, nodes: DataFrame) -> DataFrame:

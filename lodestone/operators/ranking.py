@@ -32,8 +32,10 @@ def display_order(score_col: str = "score", pos_col: str = "pos") -> list[Column
 def fuse(vectors: DataFrame, graph: DataFrame, graph_weight: float = 0.5, vector_weight: float = 0.5, limit: int = 10) -> DataFrame:
     """Weighted fusion of vector rows (doc_id, content, score; several a document) and
     graph rows (doc_id, score): graph scores over their maximum, vector scores as they
-    are, a missing side 0. Columns: doc_id, content, vector_score, graph_score, score."""
-    v = vectors.groupBy("doc_id").agg(F.max("score").alias("vector_score"), F.max_by("content", F.struct("score", F.col("content"))).alias("content"))
+    are, a missing side 0. Columns: doc_id, content, vector_score, graph_score, score. Of
+    contents with equal scores the first by ``pos`` stays, where vectors have it."""
+    first = -F.col("pos") if "pos" in vectors.columns else F.col("content")
+    v = vectors.groupBy("doc_id").agg(F.max("score").alias("vector_score"), F.max_by("content", F.struct(F.col("score"), first.alias("first"))).alias("content"))
     g = graph.groupBy("doc_id").agg(F.max("score").cast("double").alias("graph_score"))
     top = g.where("graph_score > 0").agg(F.coalesce(F.max("graph_score"), F.lit(1.0)).alias("top"))  # one row
     both = v.join(g, "doc_id", "full_outer").join(F.broadcast(top))

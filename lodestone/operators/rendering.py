@@ -38,6 +38,8 @@ RELATIONS = {
 }
 # Headings and messages of search results.
 RESULTS, EMPTY_QUERY, NO_MATCH = "# Search Results", "> **Empty query provided.** Please provide a search term.", "> No results matched your query. Try rephrasing or using different keywords."
+EMPTY_RESPONSE = f"{RESULTS}\n\n{EMPTY_QUERY}"
+TOOL = "search_knowledge_graph"
 SECTIONS = {"KnowledgeConcept": "concept_header", "Hardware": "hardware_header", "Strategy": "strategy_header", "Narrative": "narrative_header"}
 ABSENT = "N/A"
 
@@ -101,9 +103,11 @@ def relationships(rels: DataFrame, language: str = "th", by: str | None = None)
     return groups.groupBy(*keys).agg(F.concat(F.lit(head), joined(text, F.col("pos"), "\n")).alias("block"))
 
 
-def assemble(nodes: DataFrame, language: str = "th", creative: bool = True, by: str = "query") -> DataFrame:
+def assemble(nodes: DataFrame, language: str = "th", creative: bool = True, by: str = "query", rels: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """(query, context): nodes (pos, id, label, ...) once each, in sections by label, known
-    ones first, others by name; in a section by score."""
+    ones first, others by name; in a section by score; then relationships (query, pos, type,
+    source, target) if there are any. Queries of ``asked`` that have neither get the text
+    that says so."""
     rows = first_of_each(nodes.withColumn("key", F.concat_ws("\x1f", by, "id")).where("id is not null and id <> ''"), "key")
     rows = rows.withColumn("label", F.coalesce("label", F.lit("Other")))
     scored = F.coalesce(F.col("score") > 0, F.lit(False))
@@ -113,7 +117,20 @@ def assemble(nodes: DataFrame, language: str = "th", creative: bool = True, by:
     for k, (name, key) in enumerate(SECTIONS.items()):
         rank, head = F.when(F.col("label") == name, k).otherwise(rank), F.when(F.col("label") == name, F.lit(label(key, language))).otherwise(head)
     text = F.concat(head, F.lit("\n\n"), "blocks")
-    return sections.groupBy(by).agg(joined(text, F.struct(rank.alias("r"), F.col("label")), "\n\n").alias("context"))
+    out = sections.groupBy(by).agg(joined(text, F.struct(rank.alias("r"), F.col("label")), "\n\n").alias("context"))
+    if rels is not None:
+        out = out.join(relationships(rels, language, by), by, "full_outer").select(by, F.concat_ws("\n\n", "context", "block").alias("context"))
+    if asked is not None:
+        out = asked.select(by).distinct().join(out, by, "left").withColumn("context", F.coalesce("context", F.lit(label("no_results", language))))
+    return out
+
+
+def no_results(query: Column) -> Column:
+    return F.concat(F.lit('> **No results found** for query: "'), query, F.lit('"\n> Vector search returned zero matching nodes.\n'))
+
+
+def no_valid_nodes(query: Column) -> Column:
+    return F.concat(F.lit('> **No valid nodes** for query: "'), query, F.lit('"\n> Vector search returned results but none contained a node ID.\n'))
 
 
 def tool_response(query: Column, total: Column, block: Column) -> Column:
@@ -121,7 +138,25 @@ def tool_response(query: Column, total: Column, block: Column) -> Column:
     asked = F.trim(query)
     head = F.concat(F.lit(f'{RESULTS} for: "'), asked, F.lit('"\n\n**Found '), F.coalesce(total, F.lit(0)).cast("string"), F.lit(" related nodes**\n\n"))
     body = F.coalesce(F.nullif(block, F.lit("")), F.lit(f"{NO_MATCH}\n"))
-    return F.when(F.coalesce(asked, F.lit("")) == "", F.lit(f"{RESULTS}\n\n{EMPTY_QUERY}")).otherwise(F.concat(head, body))
+    return F.when(F.coalesce(asked, F.lit("")) == "", F.lit(EMPTY_RESPONSE)).otherwise(F.concat(head, body))
+
+
+def tool_text(query: str, total: int, block: str) -> str:
+    """The same of one search."""
+    return f'{RESULTS} for: "{query}"\n\n**Found {total} related nodes**\n\n' + (block or f"{NO_MATCH}\n")
+
+
+def tool_timeout(query: str, seconds: float) -> str:
+    return f'{RESULTS} for: "{query}"\n\n> ⏱ **Search timed out.** The query took longer than {seconds:g} seconds. Please try a shorter or more specific query.\n'
+
+
+def tool_error(query: str, message: str, most: int = 500) -> str:
+    told = message if len(message) <= most else message[: most - 3] + "..."
+    return f'{RESULTS} for: "{query}"\n\n> ❌ **Search error:** {told}\n'
+
+
+def unknown_tool(name: str) -> str:
+    return f'# Tool Error\n\n> Unknown tool: "{name}"'
 
 
 def short_message(message: Column, most: int = 500) -> Column:
@@ -131,4 +166,4 @@ def short_message(message: Column, most: int = 500) -> Column:
 def tool_schema() -> str:
     """JSON description of the search tool."""
     told = {"type": "string", "description": "What to look for, in Thai or English."}
-    return json.dumps({"type": "function", "function": {"name": "search_knowledge_graph", "description": "Search documents by vectors and their graph.", "parameters": {"type": "object", "properties": {"search_query": told}, "required": ["search_query"]}}})
+    return json.dumps({"type": "function", "function": {"name": TOOL, "description": "Search documents by vectors and their graph.", "parameters": {"type": "object", "properties": {"search_query": told}, "required": ["search_query"]}}})

@@ -124,13 +124,60 @@ class HashingEmbedder:
         return out / np.where(n == 0, 1, n)
 
 
+class ExternalEmbedder:
+    """An embedding service: ``post(url, body)`` sends {"model", "input"} and returns the
+    answer, whose "data" lists an "embedding" for each text."""
+
+    def __init__(self, url: str, model: str, post: Callable[[str, dict], dict] | None = None, seconds: float = 60.0):
+        self.url, self.model, self.post, self.seconds = url, model, post or self._post, seconds
+
+    def _post(self, url: str, body: dict) -> dict:
+        import json
+        import urllib.request
+
+        request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.seconds) as answer:
+            return json.load(answer)
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        told = self.post(f"{self.url}/embeddings", {"model": self.model, "input": texts})
+        found = [item.get("embedding", []) for item in told.get("data", [])]
+        if len(found) != len(texts):
+            raise RuntimeError(f"{len(found)} embeddings for {len(texts)} texts")
+        return np.array(found)
+
+
+def valid_embedder(model: Callable[[], object], dimensions: int | None = None) -> bool:
+    """Whether a model can be made and gives vectors, of that many dimensions if told."""
+    try:
+        shape = np.asarray(model().encode(["dimension check"])).shape
+    except Exception:
+        return False
+    return len(shape) == 2 and shape[0] == 1 and shape[1] > 0 and dimensions in (None, shape[1])
+
+
 def embed(text: Column, model: Callable[[], object] = HashingEmbedder) -> Column:
-    """Vectors of texts by ``model().encode(list)``; the model is made once a task."""
+    """Vectors of texts by ``model().encode(list)``; the model is made once a task. Texts
+    of a call that fails are tried one by one, and those that fail get an empty array."""
+
+    def one(made, told: str) -> list:
+        try:
+            return np.asarray(made.encode([told])[0], np.float32).tolist()
+        except Exception:
+            return []
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made = model()
+        try:
+            made = model()
+        except Exception:
+            made = None
         for texts in batches:
-            yield pd.Series(list(made.encode(texts.fillna("").tolist())), dtype=object)
+            told = texts.fillna("").tolist()
+            try:
+                rows = list(made.encode(told))
+            except Exception:
+                rows = [one(made, t) for t in told]
+            yield pd.Series(rows, dtype=object)
 
     return run(text)

@@ -4,13 +4,35 @@ terms. Fragments with @name@ are put in from PARTS."""
 
 from __future__ import annotations
 
-import re
-
-from lodestone.functions.classify import DOMAIN_KEYWORDS, MODEL_DOMAINS
-from lodestone.functions.markdown import HTML_STEPS
-from lodestone.operators.llm_json import TEMPLATES
-from lodestone.operators.metrics import BUCKETS, COUNTERS, DURATION, ERROR_RATE, GAUGES
-from lodestone.operators.rendering import RELATIONS, SECTIONS, label
+# Fixed values, written out here so that the SQL takes nothing from what it checks.
+DOMAIN_KEYWORDS = {
+    "finance": "trading strategy alpha quant portfolio risk market stock bond derivative".split(),
+    "hardware": "server ic latency fpga network cpu gpu memory cache".split(),
+    "engineering": "architecture system design pattern algorithm optimization".split(),
+    "fiction": "character plot story narrative chapter scene".split(),
+}
+MODEL_DOMAINS = "finance hardware engineering fiction science technology mathematics medicine law general".split()
+# HTML to Markdown, in RE2's terms.
+HTML_STEPS = (
+    (r"(?is)<(script|style|head|title)\b.*?</(script|style|head|title)>", ""), (r"(?s)<!--.*?-->", ""),
+    (r"(?i)<h1[^>]*>", "\n# "), (r"(?i)<h2[^>]*>", "\n## "), (r"(?i)<h3[^>]*>", "\n### "), (r"(?i)</h[1-6]>|</p>|</div>|</li>|<br[^>]*>", "\n"), (r"(?i)<li[^>]*>", "- "),
+    (r"""(?is)<a\s+href="([^"]*)"[^>]*>(.*?)</a>""", r"[\2](\1)"), (r"(?s)<[^>]*>", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"), (r"\n{3,}", "\n\n"),
+)
+BUCKETS = ("0.5", "1.0", "2.5", "5.0", "10.0", "25.0", "50.0", "100.0", "250.0")
+GAUGES = {"service_up": "Whether the service is up.", "active_requests": "Number of currently active requests."}
+COUNTERS = {"requests_total": "Total number of HTTP requests.", "requests_success_total": "Total number of successful requests.", "requests_failed_total": "Total number of failed requests."}
+ERROR_RATE = "Current error rate (failed / total requests)."
+DURATION = "conversion_duration_seconds"
+HEADS = {"KnowledgeConcept": "## Key Concepts", "Hardware": "## Hardware", "Strategy": "## Strategies", "Narrative": "## Narratives"}
+OTHER_HEAD, RELATIONSHIPS_HEAD = "## Additional Information", "## Relationships"
+CARD = [("**Domain:**", "domain"), ("**Technical Description:**", "technical_desc_en"), ("**Simple Explanation:**", "layman_explanation"), ("**Analogy:**", "analogy"), ("**Creative Seed:**", "null"), ("**Visual Concept:**", "null")]
+SENTENCES_OF_A_TERM = {
+    "technical_desc_en": "Extracted key term: {term}",
+    "layman_explanation": "A key concept named '{term}' identified in the source document. Further analysis is needed to provide a detailed explanation.",
+    "analogy": "Like finding a notable landmark while exploring an unfamiliar city — '{term}' stands out as something worth understanding more deeply.",
+    "visual_concept": "A conceptual diagram centered around the term '{term}', with connecting lines to related ideas and examples.",
+    "fiction_seed": "In a world where '{term}' holds the key to an unexpected discovery, a protagonist must unravel its secrets before time runs out.",
+}
 
 
 def _strip(x: str) -> str:
@@ -24,7 +46,7 @@ def _quoted(x: str) -> str:
 def _markdown() -> str:
     out = "coalesce(html, '')"
     for pattern, to in HTML_STEPS:
-        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(re.sub(r'[$](\d)', r'\\\1', to))}, 'g')"
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
     return _strip(out)
 
 
@@ -43,6 +65,12 @@ def _cosine(a: str, b: str) -> str:
 
 PARTS = {
     "sentences": rf"list_filter(list_transform(string_split(replace(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '')",
+    # sentences of over 1,500 bytes are cut there, between characters
+    "safe": """raw as (select doc_id, unnest(@sentences@) as s, unnest(range(len(@sentences@))) as i from docs),
+        cuts as (select doc_id, i, s, case when strlen(s) > 1500 then list_reduce(list_transform(string_split(s, ''), lambda x: {'out': []::int[], 'n': strlen(x)::int, 'k': 0}),
+          lambda a, x: case when a.n + x.n > 1500 then {'out': list_append(a.out, a.k), 'n': x.n, 'k': a.k + 1} else {'out': a.out, 'n': a.n + x.n, 'k': a.k + 1} end, {'out': []::int[], 'n': 0, 'k': 0}) end as f from raw),
+        ranges as (select doc_id, i, s, case when f is null then [0] else list_concat([0], f.out) end as a, case when f is null then [length(s)::int] else list_append(f.out, f.k) end as b from cuts),
+        safe as (select doc_id, i, unnest(range(len(a))) as j, substr(s, unnest(a) + 1, unnest(b) - unnest(a)) as s from ranges)""",
     "docs": "docs as (select doc_id, coalesce(text, '') as content from documents)",
     "pages": f"docs as (select page_id as doc_id, {_markdown()} as content from pages)",
     "talks": "docs as (select conv_id as doc_id, string_agg(repeat('#', (1 + (turn * 7) % 4)::int) || ' ' || role || ' ' || turn || chr(10) || coalesce(text, ''), chr(10) order by turn) as content from conversations group by 1)",
@@ -77,8 +105,9 @@ PARTS = {
 
 
 def sql(name: str, text: str) -> None:
-    for key, part in PARTS.items():
-        text = text.replace(f"@{key}@", part)
+    for _ in range(2):  # parts may hold parts
+        for key, part in PARTS.items():
+            text = text.replace(f"@{key}@", part)
     ORACLE_SQL[name] = text
 
 
@@ -88,19 +117,26 @@ sql("sentence_split", "with @docs@, s as (select doc_id, @sentences@ as l from d
 STATE = "{'out': []::varchar[], 'cur': null::varchar, 'n': 0}"
 WORDS = rf"""list_reduce(list_transform(list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''), lambda w: {{'out': []::varchar[], 'cur': w, 'n': length(w)::int}}),
     lambda a, w: case when a.n + w.n + 1 > 500 and a.cur is not null then {{'out': list_append(a.out, a.cur), 'cur': w.cur, 'n': w.n + 1}} else {{'out': a.out, 'cur': case when a.cur is null then w.cur else a.cur || ' ' || w.cur end, 'n': a.n + w.n + 1}} end, {STATE})"""
-sql(
-    "chunk_character",
-    f"""with @docs@, s as (select doc_id, unnest(@sentences@) as s, unnest(range(len(@sentences@))) as i from docs),
-    w as (select doc_id, i, s, case when length(s) > 500 then {WORDS} end as w from s),
-    l as (select doc_id, list({{'out': case when w is null then []::varchar[] else list_append(w.out, w.cur) end, 'cur': s, 'n': length(s)::int}} order by i) as l from w group by 1),
+OVERLAP = "case when len(l) = 0 then 0 else least(trunc(list_sum(list_transform(l, lambda x: length(x))) / len(l)::double * 0.15)::int, 75) end::int"
+
+
+def _chunks(overlap: str) -> str:
+    kept = "string_split(case when o < length(a.cur) then right(a.cur, o) else a.cur end, ' ')[-1]"
+    return f"""w as (select doc_id, i, j, s, case when length(s) > 500 then {WORDS} end as w from safe),
+    l as (select doc_id, list({{'out': case when w is null then []::varchar[] else list_append(w.out, w.cur) end, 'cur': s, 'n': length(s)::int}} order by i, j) as l from w group by 1),
+    o as (select l.*, {overlap} as o from l join docs using (doc_id)),
     f as (select doc_id, list_reduce(l, lambda a, s: case
         when s.n > 500 then {{'out': list_concat(list_concat(a.out, case when a.cur is null then []::varchar[] else [a.cur] end), s.out), 'cur': null::varchar, 'n': 0}}
-        when a.n + s.n > 500 and a.cur is not null then {{'out': list_append(a.out, a.cur), 'cur': string_split(right(a.cur, 75), ' ')[-1] || ' ' || s.cur, 'n': (length(string_split(right(a.cur, 75), ' ')[-1]) + s.n + 1)::int}}
-        else {{'out': a.out, 'cur': case when a.cur is null then s.cur else a.cur || ' ' || s.cur end, 'n': a.n + s.n + 1}} end, {STATE}) as f from l),
+        when a.n + s.n > 500 and a.cur is not null then {{'out': list_append(a.out, a.cur), 'cur': case when o > 0 then {kept} || ' ' || s.cur else s.cur end, 'n': (case when o > 0 then length({kept}) else 0 end + s.n + 1)::int}}
+        else {{'out': a.out, 'cur': case when a.cur is null then s.cur else a.cur || ' ' || s.cur end, 'n': a.n + s.n + 1}} end, {STATE}) as f from o),
     c as (select doc_id, case when f.cur is null then f.out else list_append(f.out, f.cur) end as c from f)
-    select doc_id || '_chunk_' || unnest(range(len(c))) as point_id, doc_id, unnest(range(len(c)))::int as chunk_id, unnest(c) as content from c""",
-)
-sql("overlap_size", "with @docs@, s as (select doc_id, @sentences@ as l from docs) select doc_id, case when len(l) = 0 then 0 else least(trunc(list_sum(list_transform(l, lambda x: length(x))) / len(l)::double * 0.15)::int, 75) end::int as overlap from s")
+    select doc_id || '_chunk_' || unnest(range(len(c))) as point_id, doc_id, unnest(range(len(c)))::int as chunk_id, unnest(c) as content from c"""
+
+
+sql("chunk_character", f"with @docs@, @safe@, {_chunks('75')}")
+sql("chunk_ratio", f"with @docs@, @safe@, {_chunks(OVERLAP.replace('len(l)', 'len(@sentences@)').replace('(l,', '(@sentences@,'))}")
+sql("chunk_bytes", "with docs as (select page_id as doc_id, repeat('漢字かな😀', 200 + (page_id % 7)::int) || 'x' || page_id as content from pages), @safe@, " + _chunks("75"))
+sql("overlap_size", "with @docs@, s as (select doc_id, @sentences@ as l from docs) select doc_id, " + OVERLAP + " as overlap from s")
 sql(
     "tts_split",
     f"""with @docs@, s as (select doc_id, content, list_filter(list_transform(string_split(regexp_replace(replace(regexp_replace(content, '([.!?।])\\s+', '\\1' || chr(1), 'g'), chr(10), chr(1)), '۔', '۔' || chr(1), 'g'), chr(1)), lambda x: {_strip("x")}), lambda x: x <> '') as l from docs),
@@ -144,25 +180,16 @@ sql(
 )
 sql("key_terms", "with @docs@, @terms@ select doc_id, pos::int as pos, term from kt")
 sql("term_graph", "with @docs@, @terms@ select term as name, count(*) as count from mentions group by 1")
-RELATED = "held as (select distinct doc_id, term from mentions), df as (select term from held group by 1 having count(*) between 2 and {df}), rel as (select a.doc_id as src, b.doc_id as dst, a.term as via_term from held a join held b using (term) join df using (term) where a.doc_id <> b.doc_id)"
 sql(
     "graph_edges",
-    f"""with @pages@, @sections@, @terms@, {RELATED.format(df=10)},
-    lk as (select doc_id, unnest(range(len(regexp_extract_all(content, '\\[([^\\]]+)\\]\\(([^)]+)\\)')))) as i from docs),
-    e as (select doc_id::varchar as src, section_id as dst, 'HAS_SECTION' as type from sec union all select parent_id, section_id, 'CONTAINS_SECTION' from sec where parent_id <> '' union all select doc_id::varchar, term, 'MENTIONS_TERM' from held
-      union all select doc_id::varchar, doc_id || '_link_' || i, 'REFERENCES_URL' from lk union all select src::varchar, dst::varchar, 'RELATED_TO' from rel)
-    select type, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from e group by 1""",
-)
-sql("related_edges", f"with @docs@, @terms@, {RELATED.format(df=10)} select * from rel")
-sql(
-    "graph_edges_all",
     """with @pages@, @sections@, @terms@, held as (select distinct doc_id, term from mentions),
     lk as (select doc_id, unnest(range(len(regexp_extract_all(content, '\\[([^\\]]+)\\]\\(([^)]+)\\)')))) as i from docs),
     e as (select doc_id::varchar as src, section_id as dst, 'HAS_SECTION' as type from sec union all select parent_id, section_id, 'CONTAINS_SECTION' from sec where parent_id <> '' union all select doc_id::varchar, term, 'MENTIONS_TERM' from held
       union all select doc_id::varchar, doc_id || '_link_' || i, 'REFERENCES_URL' from lk union all select a.doc_id::varchar, b.doc_id::varchar, 'RELATED_TO' from held a join held b using (term) where a.doc_id <> b.doc_id)
     select type, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from e group by 1""",
 )
-sql("related_members", "with @docs@, @terms@, held as (select distinct doc_id, term from mentions) select term as via_term, doc_id, count(*) over (partition by term) as n_docs from held qualify n_docs > 1")
+sql("related_edges", "with @docs@, @terms@, held as (select distinct doc_id, term from mentions) select term as via_term, doc_id, count(*) over (partition by term) as n_docs from held qualify n_docs > 1")
+sql("related_pairs", "with docs as (select item_id as doc_id, text as content from benchmark), @terms@, held as (select distinct doc_id, term from mentions) select a.doc_id as src, b.doc_id as dst, a.term as via_term from held a join held b using (term) where a.doc_id <> b.doc_id")
 sql(
     "graph_search",
     """with @pages@, @sections@, @terms@, @titled@,
@@ -175,6 +202,11 @@ sql(
     "related_docs",
     f"with @docs@, @terms@, {PATHS}, p as (select y, n from c where x = 0 union all select b.y, a.n * b.n from c a join c b on a.x = 0 and a.y = b.x) select y as doc_id, sum(n)::bigint as strength from p group by 1 order by strength desc, doc_id limit 20",
 )
+sql(
+    "related_paths",
+    f"with docs as (select item_id as doc_id, text as content from benchmark), @terms@, {PATHS}, p as (select y, n from c where x = 0 union all select b.y, a.n * b.n from c a join c b on a.x = 0 and a.y = b.x "
+    "union all select d.y, a.n * b.n * d.n - case when a.y = d.y and b.y = 0 then a.n * b.n else 0 end from c a join c b on a.x = 0 and a.y = b.x join c d on b.y = d.x) select y as doc_id, sum(n)::bigint as strength from p group by 1 having sum(n) > 0 order by strength desc, doc_id limit 20",
+)
 HOP = "h{k} as (select nxt as id, {k} as hops, min({chain}) as chain from {front} join step using (id) where {known} group by 1)"
 
 
@@ -188,9 +220,9 @@ def _hops(seeds: str, n: int) -> str:
 
 sql("expand_hops", f"with @star@, {_hops("'nation:3', 'region:1'", 2)} select * from found")
 sql("expand_limit", f"with @star@, {_hops("'nation:3'", 3)} select * from found order by hops, id limit 50")
+sql("expand_labels", f"with @star@, {_hops("'nation:3', 'region:1'", 2)} select * from found where starts_with(id, 'customer:') or starts_with(id, 'region:')")
 sql("vector_topk", f"with q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id as id, {_cosine('embedding', 'e')} as s from embeddings, q) select id, round(s, 6) as score from s order by s desc, id limit 10")
-sql("vector_topk_many", f"with q as (select vec_id as query, embedding as e from embeddings where vec_id < 5), s as (select query, vec_id as id, (1 + {_cosine('embedding', 'e')}) / 2 as s from embeddings, q), r as (select *, row_number() over (partition by query order by s desc, id)::int as rank from s) select query, id, round(s, 6) as score, rank from r where rank <= 10")
-sql("vector_topk_twentieth", f"with q as (select vec_id as query, embedding as e from embeddings where vec_id % 20 = 0), s as (select query, vec_id as id, (1 + {_cosine('embedding', 'e')}) / 2 as s from embeddings, q), r as (select *, row_number() over (partition by query order by s desc, id)::int as rank from s) select query, id, round(s, 6) as score, rank from r where rank <= 10")
+sql("vector_topk_many", f"with q as (select vec_id as query, embedding as e from embeddings where vec_id % 20 = 0), s as (select query, vec_id as id, (1 + {_cosine('embedding', 'e')}) / 2 as s from embeddings, q), r as (select *, row_number() over (partition by query order by s desc, id)::int as rank from s) select query, id, round(s, 6) as score, rank from r where rank <= 10")
 sql("semantic_groups", f"with l as (select vec_id as id, label, embedding as a, lag(embedding) over (partition by label order by vec_id) as b from embeddings), k as (select id, label, case when b is null then 0 when {_cosine('a', 'b')} >= 0.1 then 0 else 1 end as br from l) select id, label, sum(br) over (partition by label order by id)::bigint as \"group\" from k")
 sql(
     "hybrid_fusion",
@@ -235,7 +267,7 @@ sql("schema_check", "select n_name as name, n_nationkey % 4 <> 0 as found from n
 sql("schema_duplicates", "select c_mktsegment as label, c_custkey % 1000 as id, count(*) as n from customer group by all having count(*) > 1")
 sql(
     "context_block",
-    """with @cards@, u as (select *, null::int as hops, 0 as src from cards where pos <= 100 union all select * replace (0 as score), (pos % 2 + 1)::int, 1 from cards where pos > 60 and pos <= 150),
+    """with @cards@, u as (select *, null::int as hops, 0 as src from cards where pos % 3 < 2 union all select * replace (0 as score), (pos % 2 + 1)::int, 1 from cards where pos % 3 > 0),
     f as (select * from u qualify row_number() over (partition by id order by src, pos) = 1),
     i as (select *, row_number() over (order by score > 0 desc, case when score > 0 then score end desc nulls last, src, pos, id) as idx from f),
     b as (select idx, concat_ws(chr(10), '## ' || idx || '. ' || case when name_th is not null and name_en is not null then name_th || ' (' || name_en || ')' else coalesce(name_th, name_en, id) end, '*Type: ' || label || '*' || chr(10),
@@ -243,21 +275,19 @@ sql(
     c as (select '# Search Results' || chr(10) || chr(10) || string_agg(b, chr(10) order by idx) as c, count(*) as n from b)
     select 0 as query, md5(c) as digest, n as total_nodes, length(c)::int as n from c""",
 )
-sql("context_block_all", ORACLE_SQL["context_block"].replace("pos <= 100 union", "pos % 3 < 2 union").replace("pos > 60 and pos <= 150", "pos % 3 > 0"))
-_HEADS = " ".join(f"when '{k}' then {_quoted(label(v, 'en'))}" for k, v in SECTIONS.items())
-_RANKS = " ".join(f"when '{k}' then {i}" for i, k in enumerate(SECTIONS))
-_FIELDS = [("domain", "domain"), ("description", "technical_desc_en"), ("layman", "layman_explanation"), ("analogy", "analogy"), ("fiction_seed", "null"), ("visual_concept", "null")]
+_HEADS = " ".join(f"when '{k}' then {_quoted(v)}" for k, v in HEADS.items())
+_RANKS = " ".join(f"when '{k}' then {i}" for i, k in enumerate(HEADS))
 sql(
     "assemble_context",
     f"""with @cards@, f as (select * from cards qualify row_number() over (partition by id order by pos) = 1),
-    b as (select label, score, pos, '## ' || coalesce(name_en, name_th, id) || chr(10) || {" || chr(10) || ".join(f"'{label(k, 'en')} ' || coalesce({c}, 'N/A')" for k, c in _FIELDS)} || chr(10) as b from f),
-    s as (select label, case label {_HEADS} else {_quoted(label("other_header", "en"))} end || chr(10) || chr(10) || string_agg(b, chr(10) order by score > 0 desc, case when score > 0 then -score end nulls first, pos) as s from b group by label),
+    b as (select label, score, pos, '## ' || coalesce(name_en, name_th, id) || chr(10) || {" || chr(10) || ".join(f"'{k} ' || coalesce({c}, 'N/A')" for k, c in CARD)} || chr(10) as b from f),
+    s as (select label, case label {_HEADS} else {_quoted(OTHER_HEAD)} end || chr(10) || chr(10) || string_agg(b, chr(10) order by score > 0 desc, case when score > 0 then -score end nulls first, pos) as s from b group by label),
     c as (select string_agg(s, chr(10) || chr(10) order by case label {_RANKS} else 4 end, label) as c from s) select 0 as query, md5(c) as digest, length(c)::int as n from c""",
 )
 sql(
     "relationships_block",
-    f"""with r as (select n_nationkey as pos, case n_regionkey when 0 then {_quoted(RELATIONS["depends_on"]["en"])} when 1 then {_quoted(RELATIONS["causes"]["en"])} else 'near' end as name, '- ' || n_name || ' → ' || case when n_nationkey % 2 = 0 then n_regionkey::varchar else '…' end as line from nation),
-    g as (select name, min(pos) as pos, '**' || name || ':**' || chr(10) || chr(10) || string_agg(line, chr(10) order by pos) || chr(10) as t from r group by 1) select {_quoted("### " + label("relationships_header", "en"))} || chr(10) || chr(10) || string_agg(t, chr(10) order by pos) as block from g""",
+    f"""with r as (select n_nationkey as pos, case n_regionkey when 0 then 'depends on' when 1 then 'causes' else 'near' end as name, '- ' || n_name || ' → ' || case when n_nationkey % 2 = 0 then n_regionkey::varchar else '…' end as line from nation),
+    g as (select name, min(pos) as pos, '**' || name || ':**' || chr(10) || chr(10) || string_agg(line, chr(10) order by pos) || chr(10) as t from r group by 1) select {_quoted("### " + RELATIONSHIPS_HEAD)} || chr(10) || chr(10) || string_agg(t, chr(10) order by pos) as block from g""",
 )
 sql(
     "tool_response",
@@ -305,15 +335,29 @@ sql("batch_result", "with t as (select count(*) as total, count(*) filter (not e
 sql("json_repair", "select event_id, props as json from events")
 sql(
     "extraction_validate",
-    """with x as (select n_nationkey, n_name, n_nationkey % 5 <> 0 as good from nation) select n_nationkey, false as complete, case when good then 0 end::int as hardware, case when good then pos end::int as pos, case when good then case pos when 0 then sha256(n_name || '|concepts|0') else 'x' end end as id,
-    case when good then 'unknown' end as domain, case when good then '' end as name_th, case when good then case pos when 0 then n_name else '' end end as name_en from x, (values (0), (1)) as p(pos) where good or pos = 0""",
+    """with x as (select n_nationkey, n_name, n_nationkey % 5 <> 0 as good from nation),
+    y as (select *, case pos when 0 then sha256(n_name || '|concepts|0') else 'x' end as made from x, (values (0), (1)) as p(pos) where good or pos = 0)
+    select n_nationkey, false as complete, case when good then 0 end::int as hardware, case when good then pos end::int as pos, case when good then made end as id,
+    case when good then 'unknown' end as domain, case when good then '' end as name_th, case when good then case pos when 0 then n_name else '' end end as name_en,
+    case when good then case pos when 0 then '{"name_en":"' || n_name || '","tags":[1,2],"id":"' || made || '","domain":"unknown","name_th":""}' else '{"id":"x","domain":"unknown","name_th":"","name_en":""}' end end as json,
+    case when good then '{"source":"' || n_name || '","target":"x","type":"USES","id":"' || sha256(n_name || '|relationships|0') || '","domain":"unknown","name_th":"","name_en":""}' end as link from y""",
 )
-_LAYMAN = TEMPLATES["layman_explanation"]
+_MADE = ", ".join(f"replace({_quoted(v)}, '{{term}}', term) as {k}" for k, v in SENTENCES_OF_A_TERM.items())
 sql(
     "heuristic_extract",
-    f"""with @docs@, @terms@, t as (select doc_id, term, pos from kt where pos < 5),
-    b as (select doc_id, {_domain("substr(content, 1, 2000)")} as b from docs)
-    select doc_id, pos::int as pos, sha256(doc_id || '|concepts|' || pos) as id, case when b.n = 0 then 'general' else b.domain end as domain, term as name_en, replace({_quoted(_LAYMAN)}, '{{term}}', term) as layman_explanation from t join b using (doc_id)""",
+    f"""with @docs@, @terms@, b as (select doc_id, {_domain("substr(content, 1, 2000)")} as b from docs)
+    select doc_id, pos::int as pos, sha256(doc_id || '|concepts|' || pos) as id, case when b.n = 0 then 'general' else b.domain end as domain, term as name_en, '' as name_th, '' as technical_desc_th, {_MADE} from kt join b using (doc_id)""",
 )
 sql("script_names", "select o_orderkey, regexp_replace(o_orderpriority, '[^A-Za-z0-9_ -]', '', 'g').replace(' ', '_') || '__plan_en_' || strftime(o_orderdate, '%Y-%m-%dT%H-%M-%S') || '.txt' as name from orders")
 sql("visual_prompts", "select o_orderkey, case when o_orderkey % 3 = 0 then o_orderpriority || ' x' else 'Illustration of ' || o_orderstatus end as prompt, case when o_orderkey % 2 <> 0 then 'default' when o_orderkey % 4 = 0 then 'e2' else 'e1' end as voice from orders")
+sql("empty_search", """select 'what is there' as query, '> **No results found** for query: "what is there"' || chr(10) || '> Vector search returned zero matching nodes.' || chr(10) as context_block, 0::bigint as total_nodes""")
+sql("assemble_nothing", "select o_orderkey as query, case when o_orderkey % 3 = 0 then '## Additional Information' || chr(10) || chr(10) || '## ' || o_orderpriority || chr(10) || '**Domain:** N/A' || chr(10) || '**Technical Description:** N/A' || chr(10) || '**Simple Explanation:** N/A' || chr(10) when o_orderkey % 3 = 1 then '### ## Relationships' || chr(10) || chr(10) || '**supports:**' || chr(10) || chr(10) || '- a → ' || o_orderstatus || chr(10) else '> **No results** — nothing to display' end as context from orders")
+sql(
+    "reingest",
+    """with old as (select doc_id, 'old ' || lang as content from documents), new as (select doc_id, 'new ' || source as content from documents where doc_id % 4 = 1 union all select doc_id + 1000000000, 'more ' || lang from documents where doc_id % 10 = 0)
+    select doc_id || '_chunk_0' as point_id, doc_id, content from (select * from old where doc_id not in (select doc_id from new) union all select * from new)""",
+)
+sql("thai_terms", "with t as (select conv_id, string_split(regexp_replace(text, '^ +| +$', '', 'g'), ' ') as l from conversations where text is not null), u as (select conv_id, unnest(l) as w from t), c as (select conv_id, w from u where length(w) > 2 group by all having count(*) >= 2) select conv_id, count(*) as n, md5(string_agg(w, ' ' order by w)) as digest from c group by 1")
+sql("edge_properties", "with e as (select 'o' || l_orderkey as src, 'p' || l_partkey as dst, datediff('day', date '1970-01-01', l_shipdate::date) * 10 + l_linenumber as seq, case when l_linenumber % 2 = 0 then l_shipdate end as since, 'f' || (l_linenumber % 3) as flag from lineitem) select src, dst, 'APPLIES_TO' as type, arg_max(since, seq) filter (since is not null) as since, arg_max(flag, seq) as flag from e group by src, dst")
+sql("failing_embedder", "select p_partkey, case when p_partkey % 5 = 0 then 0 else 64 end::int as size from part")
+sql("document_routing", "select s_suppkey, case s_suppkey % 4 when 3 then false else true end as success, case s_suppkey % 4 when 0 then s_name when 1 then '' when 2 then 'from pub' else '' end as text, case when s_suppkey % 4 in (0, 2) then 1 else 0 end::bigint as pages from supplier")

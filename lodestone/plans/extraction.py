@@ -20,7 +20,7 @@ def extract(chunks: DataFrame, chat: Callable[[str], str], tries: int = 3, wait:
     rows = chunks.join(answers, F.col("content") == F.col("item"), "left").withColumn("json", llm_json.repaired(F.col("result")))
     told = llm_json.validated(F.col("json"), F.col("key").cast("string"))
     made = llm_json.heuristic(markdown.key_terms(F.col("content"), most), classify.domain(F.substring("content", 1, 2000))["domain"], F.col("key").cast("string"))
-    plain = F.transform(made, lambda e: F.struct(e["id"], e["domain"], e["name_th"], e["name_en"]))
+    plain = F.transform(made, lambda e: F.struct(e["id"], e["domain"], e["name_th"], e["name_en"], F.to_json(e).alias("json")))
     rows = rows.withColumn("told", told)
     return rows.select("key", F.col("told").isNotNull().alias("answered"), F.coalesce("told.concepts", plain).alias("entities"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import concurrent.futures
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.operators import graph, rendering, vectors
 
-NOTHING = "# Search Results\n\n> **No results found.**"
+SEARCH_SECONDS = 30.0
 
 
 def hybrid_search(points: DataFrame, edges: DataFrame, nodes: DataFrame, query: list[float], top_k: int = 3, hops: int = 2, limit: int | None = 50, mode: str = "cosine") -> DataFrame:
@@ -21,11 +24,52 @@ def hybrid_search(points: DataFrame, edges: DataFrame, nodes: DataFrame, query:
     return rows.join(nodes, "id", "left")
 
 
-def search_context(rows: DataFrame) -> DataFrame:
-    """One row: query, context_block and total_nodes of hybrid_search's rows."""
+def search_context(rows: DataFrame, query: str | Column = "") -> DataFrame:
+    """One row: query, context_block and total_nodes of hybrid_search's rows. Where nothing
+    was found, or nothing that has an id, the block says so."""
+    spark, asked = rows.sparkSession, F.lit(query) if isinstance(query, str) else query
     rows = rows.withColumn("query", F.lit(0)).withColumn("pos", F.struct("hops", "id"))
-    first = rows.where("score > 0").withColumn("hops", F.lit(None).cast("int"))
-    return rendering.context_block(first, rows.where("score = 0"))
+    first = rows.where("score > 0 or hops = 0").withColumn("hops", F.lit(None).cast("int"))
+    told = rendering.context_block(first, rows.where("hops > 0"))
+    seeds = rows.where("hops = 0").agg(F.count("*").alias("seeds"))
+    one = spark.range(1).select(F.lit(0).alias("query")).crossJoin(F.broadcast(seeds)).join(told, "query", "left")
+    empty = F.when(F.col("seeds") == 0, rendering.no_results(asked)).otherwise(rendering.no_valid_nodes(asked))
+    return one.select(asked.alias("query"), F.coalesce("context_block", empty).alias("context_block"), F.coalesce("total_nodes", F.lit(0)).cast("long").alias("total_nodes"))
+
+
+def run_tool(spark: SparkSession, search: Callable[[str], DataFrame], query: str | bytes, seconds: float = SEARCH_SECONDS) -> str:
+    """A search tool's answer: ``search(query)`` gives search_context's row. Never raises: a
+    blank query, one that takes longer than ``seconds``, and a failing one are told so."""
+    text = (query.decode("utf-8", "replace") if isinstance(query, bytes) else query).strip()
+    if not text:
+        return rendering.EMPTY_RESPONSE
+    pool = concurrent.futures.ThreadPoolExecutor(1)
+    tag = f"lodestone-search-{id(pool)}"
+
+    def work():
+        spark.addTag(tag)
+        try:
+            return search(text).first()
+        finally:
+            spark.removeTag(tag)
+
+    try:
+        row = pool.submit(work).result(timeout=seconds)
+        return rendering.tool_text(text, row["total_nodes"], row["context_block"])
+    except concurrent.futures.TimeoutError:
+        spark.interruptTag(tag)
+        return rendering.tool_timeout(text, seconds)
+    except Exception as e:
+        return rendering.tool_error(text, str(e))
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def execute_tool(spark: SparkSession, name: str, arguments: dict, search: Callable[[str], DataFrame]) -> str:
+    """Answers a call of the search tool by its name; an unknown name is told so."""
+    if name != rendering.TOOL:
+        return rendering.unknown_tool(name)
+    return run_tool(spark, search, arguments.get("search_query", ""))
 
 
 class Stores:

@@ -9,6 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def retry(call: Callable, tries: int = 3, wait: float = 1.0):
+    """``call()``, again after doubling waits while it raises; the last failure is raised."""
+    for n in range(tries):
+        try:
+            return call()
+        except Exception:
+            if n + 1 == tries:
+                raise
+            time.sleep(wait * 2**n)
+
+
 def run_tasks(items: DataFrame, function: Callable[[str], str], item_col: str = "item", tries: int = 1, wait: float = 0.0) -> DataFrame:
     """(item, success, result, error) of ``function`` on each item, on the executors; each is
     tried up to ``tries`` times with doubling waits."""

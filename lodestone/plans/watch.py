@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 @dataclass
 class Indexes:
-    """Named indexes: what they cover, and for vectors an approximate model if asked for.
-    Exact searches never need one."""
+    """Named indexes: what they cover, and for vectors their dimensions. Exact searches
+    never need one; ``verify`` says whether tables hold what an index tells."""
 
     held: dict[str, dict] = field(default_factory=dict)
 
-    def create(self, name: str, kind: str, labels: tuple[str, ...], properties: tuple[str, ...]) -> bool:
+    def create(self, name: str, kind: str, labels: tuple[str, ...], properties: tuple[str, ...], dimensions: int | None = None) -> bool:
         if name in self.held:
             return False
-        self.held[name] = {"name": name, "type": kind, "labels": ",".join(labels), "properties": ",".join(properties)}
+        self.held[name] = {"name": name, "type": kind, "labels": ",".join(labels), "properties": ",".join(properties), "dimensions": dimensions}
         return True
 
     def exists(self, name: str) -> bool:
@@ -30,8 +30,48 @@ class Indexes:
     def drop(self, name: str) -> bool:
         return self.held.pop(name, None) is not None
 
+    def verify(self, name: str, nodes: DataFrame) -> bool:
+        """Whether nodes (label, ...) have the properties of an index, and vectors of its
+        dimensions under its labels."""
+        told = self.held.get(name)
+        if told is None or not {"label", *told["properties"].split(",")} <= set(nodes.columns):
+            return False
+        if told["type"] != "VECTOR" or told["dimensions"] is None:
+            return True
+        wrong = F.lit(False)
+        for c in told["properties"].split(","):
+            wrong = wrong | (F.col(c).isNotNull() & (F.size(c) != told["dimensions"]))
+        return nodes.where(F.col("label").isin(*told["labels"].split(","))).where(wrong).isEmpty()
+
     def table(self, spark) -> DataFrame:
-        return spark.createDataFrame([tuple(v.values()) for v in self.held.values()], "name string, type string, labels string, properties string")
+        return spark.createDataFrame([tuple(v.values()) for v in self.held.values()], "name string, type string, labels string, properties string, dimensions int")
+
+
+class ModelSlot:
+    """Room for one model at a time: loading one unloads the one before, under a lock."""
+
+    def __init__(self):
+        self._lock = threading.RLock()
+        self.kind: str | None = None
+        self.model: object | None = None
+        self.history: list[tuple[str, str]] = []
+
+    def load(self, kind: str, make: Callable[[], object]) -> object:
+        with self._lock:
+            if self.kind != kind:
+                self.unload()
+                self.model = make()
+                self.kind = kind
+                self.history.append(("load", kind))
+            return self.model
+
+    def unload(self) -> bool:
+        with self._lock:
+            if self.kind is None:
+                return False
+            self.history.append(("unload", self.kind))
+            self.kind = self.model = None
+            return True
 
 
 def approximate(points: DataFrame, query: list[float], k: int, width: float = 0.5, tables: int = 8) -> DataFrame:

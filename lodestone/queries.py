@@ -58,6 +58,17 @@ def chunk_character(spark, d):
     return ingest.chunks(_docs(spark, d))
 
 
+@query
+def chunk_ratio(spark, d):
+    return ingest.chunks(_docs(spark, d), overlap=None)
+
+
+@query
+def chunk_bytes(spark, d):
+    told = F.concat(F.expr("repeat('漢字かな😀', cast(200 + page_id % 7 as int))"), F.lit("x"), F.col("page_id").cast("string"))
+    return ingest.chunks(tables.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), told.alias("content")))
+
+
 @query
 def overlap_size(spark, d):
     return _docs(spark, d).select("doc_id", text.overlap_chars(text.sentences(F.col("content"))).alias("overlap"))
@@ -143,25 +154,28 @@ def term_graph(spark, d):
 
 @query
 def graph_edges(spark, d):
-    edges = graph.build(_pages(spark, d), max_df=10)["edges"]
-    return edges.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    # RELATED_TO edges, the pairs of a term's documents, are counted and not listed
+    made = graph.build(_pages(spark, d), pairs=False)
+    return graph.edge_counts(made["edges"], made["mentions"])
 
 
 @query
 def related_edges(spark, d):
-    return graph.related(graph.mentions(_docs(spark, d)), max_df=10)
+    return graph.related_members(graph.mentions(_docs(spark, d)))
+
+
+def _items(spark, d):
+    return tables.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("content"))
 
 
 @query
-def graph_edges_all(spark, d):
-    # max_df=1: build lists no RELATED_TO edges, edge_counts counts all of them
-    made = graph.build(_pages(spark, d), max_df=1)
-    return graph.edge_counts(made["edges"], made["mentions"])
+def related_pairs(spark, d):
+    return graph.related(graph.mentions(_items(spark, d)))
 
 
 @query
-def related_members(spark, d):
-    return graph.related_members(graph.mentions(_docs(spark, d)))
+def related_paths(spark, d):
+    return graph.related_documents(graph.mentions(_items(spark, d)), 0, 3)
 
 
 @query
@@ -197,19 +211,20 @@ def expand_limit(spark, d):
 
 
 @query
-def vector_topk(spark, d):
-    return vectors.top_k(_points(spark, d).drop("label"), _vector(spark, d), 10).withColumn("score", F.round("score", 6))
+def expand_labels(spark, d):
+    edges = _star(spark, d)
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    nodes = ids.select("id", F.initcap(F.element_at(F.split("id", ":"), 1)).alias("label"))
+    return graph.expand(edges, spark.createDataFrame([("nation:3",), ("region:1",)], "id string"), 2, None, nodes=nodes, labels=("Customer", "Region"))
 
 
 @query
-def vector_topk_many(spark, d):
-    points = _points(spark, d)
-    found = vectors.top_k_many(points, points.where("id < 5").select(F.col("id").alias("query"), "embedding"), 10, mode="unit")
-    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("int"))
+def vector_topk(spark, d):
+    return vectors.top_k(_points(spark, d).drop("label"), _vector(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
 @query
-def vector_topk_twentieth(spark, d):
+def vector_topk_many(spark, d):
     points = _points(spark, d)
     found = vectors.top_k_many(points, points.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding"), 10, mode="unit")
     return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("int"))
@@ -351,7 +366,7 @@ def migrate_nodes(spark, d):
 
 @query
 def migrate_edges(spark, d):
-    return mutation.migrate_edges(graph.build(_talks(spark, d, HEADINGS), max_df=2)["edges"], chapters=True)
+    return mutation.migrate_edges(graph.build(_talks(spark, d, HEADINGS), pairs=False)["edges"], chapters=True)
 
 
 @query
@@ -376,13 +391,6 @@ def _cards(spark, d):
 
 @query
 def context_block(spark, d):
-    cards = _cards(spark, d)
-    out = rendering.context_block(cards.where("pos <= 100"), cards.where("pos > 60 and pos <= 150").withColumn("score", F.lit(0.0)).withColumn("hops", (F.col("pos") % 2 + 1).cast("int")))
-    return out.select("query", F.md5("context_block").alias("digest"), "total_nodes", F.char_length("context_block").alias("n"))
-
-
-@query
-def context_block_all(spark, d):
     cards = _cards(spark, d)
     out = rendering.context_block(cards.where("pos % 3 < 2"), cards.where("pos % 3 > 0").withColumn("score", F.lit(0.0)).withColumn("hops", (F.col("pos") % 2 + 1).cast("int")))
     return out.select("query", F.md5("context_block").alias("digest"), "total_nodes", F.char_length("context_block").alias("n"))
@@ -474,16 +482,17 @@ def json_repair(spark, d):
 @query
 def extraction_validate(spark, d):
     n = tables.table(spark, d, "nation")
-    told = F.concat(F.lit('{"concepts":[{"name_en":"'), "n_name", F.lit('"},{"id":"x","domain":null}],"hardware":"no"'), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(',"relationships":[]}'))
+    told = F.concat(F.lit('{"concepts":[{"name_en":"'), "n_name", F.lit('","tags":[1,2]},7,{"id":"x","domain":null}],"hardware":"no"'), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(F.concat(F.lit(',"relationships":[{"source":"'), "n_name", F.lit('","target":"x","type":"USES"}]}'))))
     out = n.select("n_nationkey", llm_json.validated(told, F.col("n_name")).alias("v"), llm_json.complete(told).alias("complete"))
-    return out.select("n_nationkey", "complete", F.size("v.hardware").alias("hardware"), F.posexplode_outer("v.concepts").alias("pos", "e")).select("n_nationkey", "complete", "hardware", "pos", "e.*")
+    out = out.select("n_nationkey", "complete", F.size("v.hardware").alias("hardware"), F.get("v.relationships", 0)["json"].alias("link"), F.posexplode_outer("v.concepts").alias("pos", "e"))
+    return out.select("n_nationkey", "complete", "hardware", "link", "pos", "e.*")
 
 
 @query
 def heuristic_extract(spark, d):
     docs = _docs(spark, d)
-    found = llm_json.heuristic(markdown.key_terms(F.col("content"), 5), classify.domain(F.substring("content", 1, 2000))["domain"], F.col("doc_id").cast("string"))
-    return docs.select("doc_id", F.posexplode(found).alias("pos", "e")).select("doc_id", "pos", "e.id", "e.domain", "e.name_en", "e.layman_explanation")
+    found = llm_json.heuristic(markdown.key_terms(F.col("content")), classify.domain(F.substring("content", 1, 2000))["domain"], F.col("doc_id").cast("string"))
+    return docs.select("doc_id", F.posexplode(found).alias("pos", "e")).select("doc_id", "pos", "e.*")
 
 
 @query
@@ -500,6 +509,79 @@ def visual_prompts(spark, d):
     return o.select("o_orderkey", classify.visual_prompt(script, F.col("o_orderstatus")).alias("prompt"), classify.voice(F.when(F.col("o_orderkey") % 2 == 0, "en").otherwise("xx"), F.when(F.col("o_orderkey") % 4 == 0, "e2").otherwise("zz"), voices).alias("voice"))
 
 
+@query
+def empty_search(spark, d):
+    points, edges, nodes = _corpus(spark, d)
+    rows = search.hybrid_search(points, edges, nodes, [0.0] * 64)  # a query that is like nothing
+    return search.search_context(rows, "what is there")
+
+
+@query
+def assemble_nothing(spark, d):
+    o = tables.table(spark, d, "orders").withColumn("query", F.col("o_orderkey"))
+    nodes = o.where("query % 3 = 0").select("query", F.lit(0).alias("pos"), F.lit("n").alias("id"), F.lit("Note").alias("label"), F.lit(0.5).alias("score"), F.col("o_orderpriority").alias("name_en"), F.lit(None).cast("string").alias("name_th"))
+    rels = o.where("query % 3 = 1").select("query", F.lit(0).alias("pos"), F.lit("supports").alias("type"), F.lit("a").alias("source"), F.col("o_orderstatus").alias("target"))
+    return rendering.assemble(nodes, "en", False, rels=rels, asked=o)
+
+
+@query
+def reingest(spark, d):
+    docs = tables.table(spark, d, "documents")
+    out = f"{tables.scratch(spark)}/reingest"
+    ingest.ingest(docs.select("doc_id", F.concat(F.lit("old "), "lang").alias("content")), out, pairs=False)
+    new = docs.where("doc_id % 4 = 1").select("doc_id", F.concat(F.lit("new "), "source").alias("content"))
+    more = docs.where("doc_id % 10 = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.concat(F.lit("more "), "lang").alias("content"))
+    ingest.ingest(new.unionByName(more), out, pairs=False)
+    return spark.read.parquet(f"{out}/points").select("point_id", "doc_id", "content")
+
+
+@query
+def thai_terms(spark, d):
+    tokens = text.segmented(F.col("text"), lambda: lambda t: t.split(" "))
+    found = tables.table(spark, d, "conversations").where("text is not null").select("conv_id", F.explode(tokens).alias("w")).groupBy("conv_id").agg(F.collect_list("w").alias("w"))
+    terms = found.select("conv_id", markdown.thai_key_terms(F.col("w"), 1_000_000).alias("t")).where(F.size("t") > 0)
+    return terms.select("conv_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("digest"))
+
+
+@query
+def edge_properties(spark, d):
+    li = tables.table(spark, d, "lineitem")
+    s = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    seq = F.unix_date(F.col("l_shipdate").cast("date")) * 10 + F.col("l_linenumber")
+    flag = F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string"))
+    changes = li.select(seq.alias("seq"), s("o", "l_orderkey").alias("src"), s("p", "l_partkey").alias("dst"), F.lit("APPLIES_TO").alias("type"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate")).alias("since"), flag.alias("flag"))
+    nodes = changes.select(F.col("src").alias("id")).unionByName(changes.select(F.col("dst").alias("id")))
+    return mutation.upsert_edges(changes.limit(0).drop("seq"), changes, nodes)
+
+
+class _Picky(vectors.HashingEmbedder):
+    """Fails on every fifth part."""
+
+    def encode(self, texts):
+        if any(t.endswith(("0", "5")) for t in texts):
+            raise RuntimeError("no embedding")
+        return super().encode(texts)
+
+
+@query
+def failing_embedder(spark, d):
+    told = F.concat(F.lit("part "), F.col("p_partkey").cast("string"))
+    return tables.table(spark, d, "part").select("p_partkey", F.size(vectors.embed(told, _Picky)).alias("size"))
+
+
+@query
+def document_routing(spark, d):
+    def pdf(path, content):
+        if path.endswith("3.pdf"):
+            raise ValueError("not a PDF")
+        return f" {content.decode()} ", 1
+
+    kind = F.element_at(F.array(F.lit("0.pdf"), F.lit("1.txt"), F.lit("2.pub"), F.lit("3.pdf")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    files = tables.table(spark, d, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit("-"), kind).alias("path"), F.encode("s_name", "UTF-8").alias("content"))
+    out = tables.convert(files, tables.by_extension(pdf, lambda path, content: b"from pub"))
+    return out.select(F.element_at(F.split("path", "-"), 1).cast("long").alias("s_suppkey"), "success", "text", "pages")
+
+
 @query
 def file_scan(spark, d):
     found = tables.scan_files(spark, d, ("parquet",))

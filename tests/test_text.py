@@ -1,9 +1,10 @@
+import random
+from collections import Counter
+
 import pytest
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify, markdown, text
-from lodestone.functions.text import _pieces
 from lodestone.plans import ingest
 
 
@@ -42,18 +43,31 @@ def test_chunks_check_arguments(spark):
     assert [r["point_id"] for r in ingest.chunks(docs).collect()] == ["1_chunk_0"]
 
 
-def test_byte_split():
-    assert _pieces("hello world", 5) == ["hello", " worl", "d"]
-    assert _pieces("สวัสดี", 5) == ["ส", "ว", "ั", "ส", "ด", "ี"]
-    assert _pieces("a😀b", 3) == ["a", "b"]
-    assert _pieces("", 3) == [] and _pieces(None, 3) == []
+def test_byte_split(spark):
+    cut = lambda value, most: one(spark, value, text.byte_split(F.col("c"), most))
+    assert cut("hello world", 5) == ["hello", " worl", "d"]
+    assert cut("สวัสดี", 5) == ["ส", "ว", "ั", "ส", "ด", "ี"]
+    assert cut("a😀b", 3) == ["a", "b"]
+    assert cut("", 3) == [] and cut(None, 3) == []
+
+
+def test_byte_split_keeps_all(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("ab é中😀ส\n") for _ in range(rng.randrange(60))),) for _ in range(200)]
+    df = spark.createDataFrame(rows, "c string")
+    for most in (4, 5, 7, 20):
+        for r in df.select("c", text.byte_split(F.col("c"), most).alias("x")).collect():
+            sizes = [len(p.encode()) for p in r["x"]]
+            assert "".join(r["x"]) == r["c"] and all(n <= most for n in sizes) and all(a + len(p[0].encode()) > most for a, p in zip(sizes, r["x"][1:]))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60), st.integers(4, 20))
-def test_byte_split_keeps_all(value, most):
-    pieces = _pieces(value, most)
-    assert "".join(pieces) == value and all(len(p.encode()) <= most for p in pieces)
+def test_frequent_words(spark):
+    rng = random.Random(5)
+    rows = [([rng.choice("abcdef") + rng.choice("xyz") for _ in range(rng.randrange(40))],) for _ in range(80)] + [([],), (None,)]
+    for least in (1, 2, 3):
+        for r in spark.createDataFrame(rows, "w array<string>").select("w", markdown.frequent(F.col("w"), least).alias("x")).collect():
+            counts = Counter(r["w"] or [])
+            assert r["x"] == [w for w, n in counts.items() if n >= least]
 
 
 def test_speech_chunks(spark):

@@ -27,6 +27,8 @@ from lodestone.llm.pretokenise import runs
 from lodestone.llm.shared import written
 
 ROUNDS = 120
+#: Most tasks that tokenise: each has a row of the histogram for each length.
+TASKS = 1 << 16
 #: Most bytes of rank bases that are broadcast; more of them are joined by a shuffle.
 BROADCAST = 32 << 20
 
@@ -208,7 +210,7 @@ def tokenised(df: DataFrame, path: str, end: int, window: int, id_col: str, text
                     ["id", "part", "tokens", "rest", "rank", "windows", "ids"],
                 )
 
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).coalesce(TASKS)
     kind = dict(source.dtypes)["id"]
     return written(source.mapInArrow(run, f"id {kind}, part int, tokens long, rest int, rank long, windows long, ids binary"), "tokenised")
 

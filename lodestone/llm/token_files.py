@@ -8,8 +8,9 @@ base + offset, so no task waits for another to know where it writes.
 
 Each task attempt writes files of its own name, and the manifest holds the names of the
 attempts that Spark committed; a lost executor or a second attempt leaves files that
-nothing reads. Documents lie in ascending id (null first, equal ids by text). Null and
-empty texts have the end id alone. Other columns of the table are ignored.
+nothing reads. Documents lie in ascending id; those without id come first (the manifest
+counts them), rows with equal ids by the first characters of their texts. Null and empty
+texts have the end id alone. Other columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from lodestone.llm.library import encoder
 from lodestone.llm.pretokenise import runs
 from lodestone.llm.shared import file_system, make_dirs, scratch, width, written
 
-NULL_ID = -(1 << 63)
 #: Bytes read at once from a store that has no memory mapping, and documents in a batch.
 READ, BATCH = 8 << 20, 4096
 
@@ -43,26 +43,27 @@ def write(df: DataFrame, path: str, folder: str | None = None, end: int = 0, id_
         where, at = file_system(folder)
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
-        docs = tokens = 0
+        docs = tokens = nulls = 0
         with where.open_output_stream(f"{at}/{name}.bin") as ids, where.open_output_stream(f"{at}/{name}.idx") as idx, where.open_output_stream(f"{at}/{name}.ids") as keys:
             idx.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
-                keys.write(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                nulls += batch.column(0).null_count
+                keys.write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 for _, some in runs(batch.column(1)):
                     flat, ends = encode.encoded(some, end)
                     ends = tokens + ends
                     idx.write(ends.astype("<i8").tobytes())
                     ids.write(flat.astype(flat.dtype.newbyteorder("<"), copy=False).tobytes())
                     docs, tokens = docs + len(some), int(ends[-1])
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "docs": docs, "tokens": tokens, "dtype": np.dtype(encode.dtype).name}])
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "docs": docs, "nulls": nulls, "tokens": tokens, "dtype": np.dtype(encode.dtype).name}])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     # one id, or one text of it, may have many rows: ranges go on through both
     parts = rows.repartitionByRange(width(df), "id", F.substring("text", 1, 32), "row").sortWithinPartitions("id", "text", "row").select("id", "text")
-    done = written(parts.mapInArrow(run, "shard long, name string, docs long, tokens long, dtype string"), "manifest")
+    done = written(parts.mapInArrow(run, "shard long, name string, docs long, nulls long, tokens long, dtype string"), "manifest")
     base, shards = 0, []
     for row in done.orderBy("shard").collect():  # one row for each shard
-        shards.append({"name": row["name"], "base": base, "docs": row["docs"], "tokens": row["tokens"], "dtype": row["dtype"]})
+        shards.append({"name": row["name"], "base": base, "docs": row["docs"], "nulls": row["nulls"], "tokens": row["tokens"], "dtype": row["dtype"]})
         base += row["tokens"]
     where, at = file_system(folder)
     with where.open_output_stream(f"{at}/manifest.json") as f:
@@ -124,7 +125,7 @@ def read(spark: SparkSession, folder: str, id_col: str = "doc_id", derive=None,
                     ends = np.asarray(shard.offsets[a : b + 1])
                     ids = np.asarray(shard.ids[a:b])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, mask=ids == NULL_ID), pa.array(shards[k]["base"] + ends[:-1]), pa.array(np.diff(ends)), pa.array([derive(shard[i]) for i in range(a, b)])],
+                        [pa.array(ids, mask=np.arange(a, b) < shards[k]["nulls"]), pa.array(shards[k]["base"] + ends[:-1]), pa.array(np.diff(ends)), pa.array([derive(shard[i]) for i in range(a, b)])],
                         [id_col, "start", "n_tokens", column],
                     )
 

@@ -101,6 +101,8 @@ def test_token_files(spark, docs, library):
     told = token_files.manifest(folder)
     assert told["tokens"] == at and {s["dtype"] for s in told["shards"]} == {"uint16"}
     assert token_files.read(spark, token_files.write(docs.limit(0), JSON)).count() == 0
+    least = spark.createDataFrame([(-(1 << 63), "a"), (None, "b"), (0, "c")], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in token_files.read(spark, token_files.write(least, JSON)).collect()) == ["-9223372036854775808", "0", "None"]
 
 
 def covered(pieces, library, rows, window):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm import bagminhash, packing, quality, secrets
 from lodestone.llm.queries import quality_model, table
-from lodestone.llm.shared import written
+from lodestone.llm.shared import held, written
 
 #: Documents that score less than this for quality go.
 KEEP = 0.5
@@ -31,20 +31,25 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document of smallest id of each class of near copies. Where rows repeat an id,
     one row of each id and text (of the smallest other columns) whose own text is no near
     copy of one of a smaller id, or of a smaller one of the same id.
-    Texts without words are near copies of none; rows without id stay."""
+    Texts without words, null and empty ones too, are near copies of none; rows without id
+    stay. Other columns, whatever their names, are carried along."""
     if bagminhash.repeated(docs.where("doc_id is not null"), "doc_id"):
         rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
         some = docs.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__none"), *rest)).alias("row")).select("doc_id", "text", "row.*")
         some = some.withColumn("__none", F.coalesce(bagminhash.text_key("doc_id", "text"), F.lit("")))
-        some = some.join(bagminhash.copies(docs).withColumnRenamed("key", "__none"), "__none", "left_anti")
-    else:
-        kept = bagminhash.classes(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-        some = docs.join(kept, "doc_id", "left_semi")
-    return some.select(docs.columns).unionByName(docs.where("doc_id is null")).select(docs.columns)
+        copies = written(bagminhash.copies(docs).withColumnRenamed("key", "__none").distinct(), "copies")
+        some = held(some, copies, "__none", "left_anti")
+        return some.select(docs.columns).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    # copies are fewer than documents: texts stay where they are while these are few
+    copies = written(bagminhash.classes(docs).where("not kept").select("doc_id").distinct(), "copies")
+    return held(docs, copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, values of secrets in their texts replaced and n_chars counted again."""
+    """All documents, values of secrets in their texts replaced and n_chars counted again.
+    Null texts stay null, with their n_chars; empty ones stay empty; every row, also one
+    that repeats another or has no id, is masked by itself. Other columns, whatever their
+    names, are carried along."""
     clean = secrets.masked(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars")))
@@ -52,7 +57,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their ids, by sequence and offset."""
+    """The pieces of all documents with their ids, by sequence and offset. Null and empty
+    texts are the end id alone; every row, also one that repeats another or has no id, is a
+    document. Other columns of docs are left out."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), derive=lambda ids: ids.astype(np.int32), derived="ids array<int>")
 
 

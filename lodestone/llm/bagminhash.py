@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm.pretokenise import portions, words
+from lodestone.llm.pretokenise import portions, trim, words
 from lodestone.llm.shared import components, dropped, held, joined, looked_up, written
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -169,6 +169,7 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         ],
                         ["id", "words", "weight", "bands", "signature"],
                     )
+        trim()
 
     return written(source.mapInArrow(run, f"id {kind}, words binary, weight long, bands array<long>, signature binary"), "signatures")
 
@@ -203,6 +204,7 @@ def bags_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for first, texts in portions(batch.column(1)):
                 bags = [np.sort(occurrences(s)) for s in bagged(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(b) for b in bags], pa.int64()), pa.array([b.tobytes() for b in bags], pa.binary())], ["id", "size", "bag"])
+        trim()
 
     return written(some.mapInArrow(run, f"id {kind}, size long, bag binary"), "bags")
 

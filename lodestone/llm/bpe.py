@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.pretokenise import PieceCache, cut, gathered, runs
+from lodestone.llm.pretokenise import PieceCache, cut, gathered, runs, trim
 
 #: Slices longer than this merge through a heap instead of a scan for the least rank.
 LONG = 100
@@ -38,7 +38,7 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.names = pa.array([b"%d " % i for i in range(len(self.tokens))], pa.large_binary())
         self.bytes = pa.array(self.tokens, pa.large_binary())
-        self.cache = PieceCache(lambda piece: np.array(self.merge(piece), np.uint32).tobytes(), 400_000)
+        self.cache = PieceCache(lambda piece: np.array(self.merge(piece), np.uint32).tobytes(), 300_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one slice: the pair of least rank merges first, the leftmost of equals."""
@@ -146,6 +146,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for first, some in runs(batch.column(1)):
                 columns = derive(vocab, *vocab.encode(some))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), *columns], [id_col, *fields])
+        trim()
 
     return source.mapInArrow(run, out)
 

@@ -35,7 +35,7 @@ class LibraryEncoder:
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "Ġ"]] = True
-        self.cache = PieceCache(lambda piece: np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes(), 400_000)
+        self.cache = PieceCache(lambda piece: np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes(), 300_000)
 
     def encoded(self, texts, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (an Arrow array or a list) laid end to end, each followed by the

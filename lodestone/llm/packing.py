@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.llm.library import encoder
-from lodestone.llm.pretokenise import runs
+from lodestone.llm.pretokenise import runs, trim
 from lodestone.llm.shared import written
 
 ROUNDS = 120
@@ -209,6 +209,7 @@ def tokenised(df: DataFrame, path: str, end: int, window: int, id_col: str, text
                     [batch.column(0).slice(first, len(some)), pa.array(np.full(len(some), part, np.int32)), pa.array(tokens), pa.array(rest.astype(np.int32)), pa.array(rank), pa.array(windows), ids],
                     ["id", "part", "tokens", "rest", "rank", "windows", "ids"],
                 )
+        trim()
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).coalesce(TASKS)
     kind = dict(source.dtypes)["id"]
@@ -261,6 +262,7 @@ def pack(df: DataFrame, path: str, window: int = 2048, end: int = 1, id_col: str
             if rows:
                 columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(origin)), *columns], [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", column])
+        trim()
 
     kind = dict(placed.dtypes)["id"]
     return placed.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, {derived}")

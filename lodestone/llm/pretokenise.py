@@ -257,7 +257,7 @@ def portions(column, most: int = 1 << 20, rows: int = 256):
         yield first, held
 
 
-def runs(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def runs(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
     """The same without Python strings: runs of about ``most`` bytes, as (first index, array)."""
     column = strings(column)
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else []
@@ -277,21 +277,34 @@ def gathered(values: list[bytes], indices: np.ndarray, ends: np.ndarray, dtype,
         indices, ends = np.insert(indices, ends, len(values)), ends + np.arange(1, len(ends) + 1)
         values = [*values, last]
     lengths = np.fromiter(map(len, values), np.int64, len(values)) // size
-    flat, begin = np.frombuffer(b"".join(values), dtype), np.cumsum(lengths) - lengths
-    single = lengths == 1
+    flat = np.frombuffer(b"".join(values), dtype)
     each = lengths[indices]
-    stop = np.cumsum(each)
-    out = np.empty(int(stop[-1]) if len(stop) else 0, dtype)
+    total = int(each.sum())
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    stop = np.cumsum(each, dtype=kind)
+    at = (np.cumsum(lengths) - lengths).astype(kind)[indices]
+    out = np.empty(total, dtype)
     # slices of one id, most of all, are one take; the others are spread
-    at = begin[indices]
-    one = single[indices]
-    out[(stop - 1)[one]] = flat[at[one]]
+    one = each == 1
+    out[stop[one] - 1] = flat[at[one]]
     more = np.flatnonzero(~one)
     if len(more):
-        n = each[more]
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(stop[more] - n, n) + inner] = flat[np.repeat(at[more], n) + inner]
-    return out, np.append(0, stop)[ends]
+        n = each[more].astype(kind)
+        ends_, shift = np.cumsum(n, dtype=kind), stop[more]
+        inner = np.arange(int(ends_[-1]), dtype=kind)
+        # places in out, then in flat, of the ids of each such slice
+        out[inner + np.repeat(shift - ends_, n)] = flat[inner + np.repeat(at[more] + n - ends_, n)]
+    return out, np.append(0, stop.astype(np.int64))[ends]
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system, where the C library can."""
+    import contextlib
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class PieceCache(dict):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.pretokenise import PieceCache, portions
+from lodestone.llm.pretokenise import PieceCache, portions, trim
 
 BUCKETS, DIM, GRAMS = 1 << 18, 12, (2, 3, 4)
 #: Most labelled documents to learn from; those of smallest hashed id are taken, as long as
@@ -166,6 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                     rows.append((np.frombuffer(buckets, "<i4"), np.frombuffer(counts, "<i4"), label))
         model = train(rows)
         yield pa.RecordBatch.from_arrays([pa.array([model.logits.tobytes()], pa.binary()), pa.array([model.bias])], ["logits", "bias"])
+        del rows, model
+        trim()
 
     counts = texts.mapInArrow(run, f"id {kind}, buckets binary, counts binary, label int")
     one = counts.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(learn, "logits binary, bias double")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.library import encoder
-from lodestone.llm.pretokenise import runs
+from lodestone.llm.pretokenise import runs, trim
 from lodestone.llm.shared import file_system, make_dirs, scratch, width, written
 
 #: Bytes read at once from a store that has no memory mapping, and documents in a batch.
@@ -55,6 +55,7 @@ def write(df: DataFrame, path: str, folder: str | None = None, end: int = 0, id_
                     idx.write(ends.astype("<i8").tobytes())
                     ids.write(flat.astype(flat.dtype.newbyteorder("<"), copy=False).tobytes())
                     docs, tokens = docs + len(some), int(ends[-1])
+        trim()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "docs": docs, "nulls": nulls, "tokens": tokens, "dtype": np.dtype(encode.dtype).name}])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))

@@ -67,7 +67,7 @@ def frequent(words: Column, least: int) -> Column:
     def runs(x: Column) -> Column:
         return F.filter(x, lambda w, i: F.equal_null(F.get(x, i + least - 1), w) & ~F.equal_null(F.get(x, i - 1), w))
 
-    return F.coalesce(F.array_intersect(words, once(F.array_sort(words), runs)), F.array().cast("array<string>"))
+    return F.coalesce(once(words, lambda x: F.array_intersect(x, once(F.sort_array(x), runs))), F.array().cast("array<string>"))
 
 
 def key_terms(content: Column, most: int = 50) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SENTENCE_END = r"(?U)(?<=[.!?])\s+|(?<=\n)\s*"
 SPEECH_END = r"(?U)(?<=[.!?।])\s+|(?<=\n)\s*|(?<=۔)"
@@ -81,6 +81,13 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def each(df: DataFrame, keep: list, array: Column, value: str, pos: str = "pos") -> DataFrame:
+    """``keep`` of df, and a row for each element of an array with its place. The generator
+    is an outer one: for an inner one Catalyst adds a filter on the array's size, and so
+    computes the array twice."""
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def byte_split(text: Column, most: int) -> Column:
     """A text cut every ``most`` UTF-8 bytes, never inside a character; a character wider
     than that is dropped. Null and empty texts have no pieces. Folded in the JVM, a step a
@@ -111,7 +118,8 @@ def byte_split(text: Column, most: int) -> Column:
 
 def byte_safe(parts: Column, most: int) -> Column:
     """Sentences, those of more than three bytes a character of a chunk cut at that."""
-    return F.flatten(F.transform(parts, lambda s: F.when(F.octet_length(s) <= 3 * most, F.array(s)).otherwise(byte_split(s, 3 * most))))
+    cut = F.flatten(F.transform(parts, lambda s: F.when(F.octet_length(s) <= 3 * most, F.array(s)).otherwise(byte_split(s, 3 * most))))
+    return F.when(F.exists(parts, lambda s: F.octet_length(s) > 3 * most), cut).otherwise(parts)
 
 
 def check_chunking(most: int, ratio: float, overlap: int | None) -> None:

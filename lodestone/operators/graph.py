@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions import markdown
-from lodestone.functions.text import query_tokens, strip
+from lodestone.functions.text import each, query_tokens, strip
 
 LABELS = ("KnowledgeConcept", "Hardware", "Strategy", "Narrative", "ContentAsset")
 EDGE_TYPES = ("PREDICTS", "APPLIES_TO", "CORRELATES_WITH", "REQUIRES_INFRA", "INSPIRES_PLOT", "IS_EXAMPLE_OF", "CONTRADICTS", "HAS_CHAPTER", "NEXT_CHAPTER", "REFERENCES_CONCEPT")
@@ -20,7 +20,7 @@ def sections(docs: DataFrame, id_col: str = "doc_id", content_col: str = "conten
     heading; the parent is the nearest one before it of a smaller level. A window by
     document: no join."""
     every = docs.select(F.col(id_col).alias("doc_id"), markdown.lines(F.coalesce(F.col(content_col), F.lit(""))).alias("lines"))
-    rows = every.select("doc_id", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("start_line", "line"))
+    rows = each(every, ["doc_id", F.size("lines").alias("n_lines")], F.col("lines"), "line", "start_line")
     rows = rows.withColumn("marks", F.regexp_extract("line", markdown.HEADING, 1)).where("marks <> ''")
     rows = rows.select("doc_id", "n_lines", "start_line", F.length("marks").alias("level"), strip(F.regexp_extract("line", markdown.HEADING, 2)).alias("title"))
     w = Window.partitionBy("doc_id").orderBy("start_line")
@@ -35,14 +35,14 @@ def sections(docs: DataFrame, id_col: str = "doc_id", content_col: str = "conten
 
 def items(docs: DataFrame, values: Column, kind: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, idx, id ({doc}_{kind}_{idx}) and the fields of each value of an array."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(values).alias("idx", "item"))
+    rows = each(docs, [F.col(id_col).alias("doc_id")], values, "item", "idx")
     return rows.select("doc_id", "idx", F.concat_ws("_", F.col("doc_id").cast("string"), F.lit(kind), F.col("idx").cast("string")).alias("id"), "item.*")
 
 
 def mentions(docs: DataFrame, most: int = 50, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """(doc_id, term) of each extracted key term, lower-cased; terms that differ in case
     only give a row each."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(markdown.key_terms(F.col(content_col), most)).alias("term")).select("doc_id", F.trim(F.lower("term")).alias("term")).where("term <> ''")
+    return each(docs, [F.col(id_col).alias("doc_id")], markdown.key_terms(F.col(content_col), most), "term").select("doc_id", F.trim(F.lower("term")).alias("term")).where("term <> ''")
 
 
 def terms(found: DataFrame) -> DataFrame:
@@ -143,8 +143,8 @@ def related_documents(found: DataFrame, doc_id, hops: int = 2, limit: int = 20)
 def keyword_search(documents: DataFrame, nodes: DataFrame, query: str, per_term: int = 10, limit: int = 10) -> DataFrame:
     """(doc_id, title, related_count): documents by the distinct nodes (doc_id, node, name,
     and title if they have one) whose name or title, or whose document's title, contains one
-    of the first three query words. Nodes and documents without any of the words are left
-    out before they are joined."""
+    of the first three query words. Nodes are matched before they are joined, and only the
+    words that match go along."""
     spark = documents.sparkSession
     words = spark.range(1).select(F.slice(F.array_distinct(query_tokens(F.lit(query))), 1, 3).alias("w")).first()["w"]
     if not words:
@@ -152,10 +152,9 @@ def keyword_search(documents: DataFrame, nodes: DataFrame, query: str, per_term:
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     fields = [c for c in ("name", "title") if c in nodes.columns]
     hit = lambda columns: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.exists(F.array(*[low(c) for c in columns]), lambda x: F.contains(x, w)))
-    own = nodes.select("doc_id", "node", F.explode(hit(fields)).alias("word"))
-    named = documents.select("doc_id", F.explode(hit(["title"])).alias("word"))
-    own = own.unionByName(nodes.select("doc_id", "node").join(named, "doc_id").select("doc_id", "node", "word"))
-    counts = own.join(documents.select("doc_id"), "doc_id", "left_semi").distinct().groupBy("word", "doc_id").agg(F.count("*").alias("n"))
+    own = nodes.select("doc_id", "node", hit(fields).alias("own")).join(documents.select("doc_id", hit(["title"]).alias("told")), "doc_id")
+    own = each(own, ["doc_id", "node"], F.array_union("own", "told"), "word")
+    counts = own.groupBy("word", "doc_id").agg(F.countDistinct("node").alias("n"))
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.col("n").desc(), "doc_id"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= per_term).groupBy("doc_id").agg(F.sum("n").alias("related_count"))
     best = best.orderBy(F.col("related_count").desc(), "doc_id").limit(limit)
@@ -167,11 +166,11 @@ def of_labels(nodes: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     return nodes.where(F.col("label").isin(*labels))
 
 
-def _bounded(front: DataFrame) -> DataFrame:
-    """A frontier of at most FRONTIER rows as rows of the plan, which Spark broadcasts, so
-    that a hop scans the edges and shuffles none; a larger one as it is."""
-    rows = front.limit(FRONTIER + 1).collect()
-    return front if len(rows) > FRONTIER else F.broadcast(front.sparkSession.createDataFrame(rows, front.schema))
+def bounded(rows: DataFrame, most: int = FRONTIER) -> DataFrame:
+    """A table of at most ``most`` rows as rows of the plan, which Spark broadcasts and
+    computes once; a larger one as it is."""
+    some = rows.limit(most + 1).toArrow()
+    return rows if some.num_rows > most else rows.sparkSession.createDataFrame(some, rows.schema)
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 50, compat: bool = False, nodes: DataFrame | None = None, labels: tuple[str, ...] | None = None) -> DataFrame:
@@ -185,15 +184,15 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None
     hops = max(1, min(MAX_HOPS, hops))
     step = edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.concat("type", F.lit(":outgoing")).alias("step"))
     step = step.unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"), F.concat("type", F.lit(":incoming")).alias("step"))).where("id <> to and id <> '' and to <> ''")
-    known = seeds.where("id is not null and id <> ''").select("id").distinct()
+    known = bounded(seeds.where("id is not null and id <> ''").select("id").distinct())
     front, reached = known.withColumn("chain", F.lit("")), None
     for k in range(1, hops + 1):
         if compat and k == 2:
             step = step.withColumn("step", F.regexp_replace("step", ":outgoing$", ":incoming"))
-        front = _bounded(front)
         after = step.join(front, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.concat_ws(">", F.nullif("chain", F.lit("")), "step")).alias("chain"))
         seen = known if reached is None else known.unionByName(reached.select("id"))
         front = after.join(seen, "id", "left_anti")
+        front = bounded(front) if k < hops else front
         rows = front.select("id", F.lit(k).alias("hops"), "chain")
         reached = rows if reached is None else reached.unionByName(rows)
     if labels is not None:

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lodestone.functions.text import MAX_CHUNK, OVERLAP_CHARS, OVERLAP_RATIO, byte_safe, check_chunking, overlap_chars, pack, segmented, sentences
+from lodestone.functions.text import MAX_CHUNK, OVERLAP_CHARS, OVERLAP_RATIO, byte_safe, check_chunking, each, overlap_chars, pack, segmented, sentences
 from lodestone.operators import graph, vectors
 
 MODES = ("character", "thai", "semantic")
@@ -33,7 +33,7 @@ def chunks(docs: DataFrame, most: int = MAX_CHUNK, overlap: int | None = OVERLAP
     o = F.lit(overlap) if overlap is not None else overlap_chars(F.col("s"), ratio, most)
     rows = rows.select("doc_id", o.alias("o"), byte_safe(F.col("s"), most).alias("s"))
     if mode == "semantic" and model:
-        sents = rows.select("doc_id", "o", F.posexplode("s").alias("pos", "sentence")).withColumn("embedding", vectors.embed(F.col("sentence"), model))
+        sents = each(rows, ["doc_id", "o"], F.col("s"), "sentence").withColumn("embedding", vectors.embed(F.col("sentence"), model))
         failed = F.max(F.size("embedding") == 0).over(Window.partitionBy("doc_id"))
         groups = vectors.semantic_groups(sents, "doc_id", "pos", "embedding", threshold).withColumn("group", F.when(failed, 0).otherwise(F.col("group")))
         lists = groups.groupBy("doc_id", "o", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("s"))
@@ -42,7 +42,7 @@ def chunks(docs: DataFrame, most: int = MAX_CHUNK, overlap: int | None = OVERLAP
         rows = lists.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("group", "c"))), lambda x: x["c"])).alias("c"))
     else:
         rows = rows.select("doc_id", pack("s", most, "o" if overlap is None else overlap).alias("c"))
-    rows = rows.select("doc_id", F.posexplode("c").alias("chunk_id", "content"))
+    rows = each(rows, ["doc_id"], F.col("c"), "content", "chunk_id")
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_id").cast("string")).alias("point_id"), "doc_id", "chunk_id", "content")
 
 

@@ -18,7 +18,7 @@ def hybrid_search(points: DataFrame, edges: DataFrame, nodes: DataFrame, query:
     ...). The plan is a top-k scan, one equi-join a hop, and a join for the fields."""
     if not 1 <= top_k <= 50:
         raise ValueError("top_k must be between 1 and 50")
-    found = vectors.top_k(points.select("id", "embedding"), query, top_k, mode=mode)
+    found = graph.bounded(vectors.top_k(points.select("id", "embedding"), query, top_k, mode=mode))
     near = graph.expand(edges, found.select("id"), hops, limit)
     rows = found.select("id", "score", F.lit(0).alias("hops"), F.lit("").alias("chain")).unionByName(near.select("id", F.lit(0.0).alias("score"), "hops", "chain"))
     return rows.join(nodes, "id", "left")

@@ -50,7 +50,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sentence_split(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(text.sentences(F.col("content"))).alias("pos", "sentence"))
+    return text.each(_docs(spark, d), ["doc_id"], text.sentences(F.col("content")), "sentence")
 
 
 @query
@@ -76,17 +76,17 @@ def overlap_size(spark, d):
 
 @query
 def tts_split(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(text.speech_chunks("content")).alias("pos", "chunk"))
+    return text.each(_docs(spark, d), ["doc_id"], text.speech_chunks("content"), "chunk")
 
 
 @query
 def stream_slices(spark, d):
-    return tables.table(spark, d, "pages").select("page_id", F.posexplode(tables.text_slices(F.col("html"))).alias("pos", "slice"))
+    return text.each(tables.table(spark, d, "pages"), ["page_id"], tables.text_slices(F.col("html")), "slice")
 
 
 @query
 def byte_split(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(text.byte_split(F.col("content"), 1500)).alias("pos", "piece")).select("doc_id", "pos", F.octet_length("piece").alias("bytes"), F.md5("piece").alias("digest"))
+    return text.each(_docs(spark, d), ["doc_id"], text.byte_split(F.col("content"), 1500), "piece").select("doc_id", "pos", F.octet_length("piece").alias("bytes"), F.md5("piece").alias("digest"))
 
 
 @query
@@ -144,7 +144,7 @@ def code_blocks(spark, d):
 
 @query
 def key_terms(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(markdown.key_terms(F.col("content"))).alias("pos", "term"))
+    return text.each(_docs(spark, d), ["doc_id"], markdown.key_terms(F.col("content")), "term")
 
 
 @query
@@ -492,7 +492,7 @@ def extraction_validate(spark, d):
 def heuristic_extract(spark, d):
     docs = _docs(spark, d)
     found = llm_json.heuristic(markdown.key_terms(F.col("content")), classify.domain(F.substring("content", 1, 2000))["domain"], F.col("doc_id").cast("string"))
-    return docs.select("doc_id", F.posexplode(found).alias("pos", "e")).select("doc_id", "pos", "e.*")
+    return text.each(docs, ["doc_id"], found, "e").select("doc_id", "pos", "e.*")
 
 
 @query

@@ -3,6 +3,7 @@ import time
 import wave
 from collections import Counter
 from io import BytesIO
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -119,7 +120,7 @@ def test_reingest_replaces_by_document(spark, tmp_path):
 
 
 def test_a_failed_ingest_leaves_what_was_there(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ingest.time, "sleep", lambda s: None)
+    monkeypatch.setattr(ingest, "time", SimpleNamespace(sleep=lambda s: None))  # not the module's own, which others wait by
     out = f"file://{tmp_path}/store"
     docs = spark.createDataFrame([(1, "on Alpha Beta. Text."), (2, "Alpha Beta again.")], "doc_id long, content string")
     ingest.ingest(docs, out)

@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm import bagminhash, bpe, html_text, packing, pivots, quality, secrets, token_files, vectors, warc
+from lodestone.llm import bagminhash, bpe, html_text, language, packing, periodic, pivots, quality, resampling, secrets, token_files, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +86,48 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op3_cross_polytope": op3_cross_polytope, "op4_bpe": op4_bpe, "op5_pivots": op5_pivots, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_html": op8_html, "op9_warc": op9_warc, "op10_bagminhash": op10_bagminhash}
+def language_model(docs: DataFrame) -> language.Model:
+    """Learned from documents that are not held out."""
+    return language.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+
+
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs.select("doc_id", "text"), language_model(docs)).drop("text")
+    unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return out.select("doc_id", F.coalesce(unseen, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """docs with text repeated from a place on, with a period, in those whose hashed id ends
+    with 0: place and period come from the hash. Words are then joined by one space."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10)))
+    rows = rows.withColumn("w", F.when(F.col("g").isNotNull(), F.array_remove(F.split("text", "[ \\t-\\r]"), "")))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    told = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", place(i))), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), told).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digests(words, runs):
+        best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=(None, None, None))
+        listed = "".join(f"{a},{n},{q}\n" for a, n, q in runs)
+        kept = b" ".join(periodic.unrolled(words, runs))
+        return len(runs), *best, best[1] and 1000 * best[1] // best[2], hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept).hexdigest()
+
+    names = ("n_runs", "start", "length", "period", "exponent_milli")
+    derived = [*[(f"{n} long", pa.int64()) for n in names], ("runs_sha256 string", pa.string()), ("collapsed_sha256 string", pa.string())]
+    return periodic.detect(looped(table(spark, sf_dir, "documents").select("doc_id", "text")), derive=digests, derived=derived)
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op3_cross_polytope": op3_cross_polytope, "op4_bpe": op4_bpe, "op5_pivots": op5_pivots, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_html": op8_html, "op9_warc": op9_warc, "op10_bagminhash": op10_bagminhash, "op11_language": op11_language, "op12_periodic": op12_periodic, "op13_resample": op13_resample}
 ORACLE_SQL = {
     "op3_cross_polytope": """
         with recursive v as (select vec_id, label, embedding::double[] as e from embeddings

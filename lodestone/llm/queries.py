@@ -164,4 +164,28 @@ ORACLE_SQL = {
                case when page_id > first then 'revisit' else 'response' end as record_type,
                case when page_id > first then first end as refers_to
         from p left join f on p.d = f.d and n >= 100""",
+    "op13_resample": """
+        with recursive poly(i, k, c) as (select i, 0, i from range(256) r(i) union all
+                    select i, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from poly where k < 8),
+        tab as materialized (select list(c order by i) as tab from poly where k = 8),
+        corpus as (select doc_id, row_number() over () as k, 's' as side, text from documents),
+        every as (select * from corpus union all select null, row_number() over (), 't', text from benchmark),
+        w as materialized (select doc_id, k, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from every),
+        g as materialized (select k, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                                            list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as g from w),
+        d as materialized (select g, hex(encode(g)) as x from (select distinct g from g)),
+        h as materialized (select g, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: ((instr('0123456789ABCDEF', x[i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1]) - 1)::bigint),
+                                   lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 10000 as b from d, tab),
+        n as materialized (select k, side, b, count(*) as n from g join h using (g) group by all),
+        a as (select b, coalesce(sum(n) filter (side = 's'), 0)::double as s, coalesce(sum(n) filter (side = 't'), 0)::double as t from n group by b),
+        z as (select sum(s) as s, sum(t) as t from a),
+        o as materialized (select b, floor(1000 * ln(((a.t + 1) * (z.s + 10000)) / ((a.s + 1) * (z.t + 10000))))::bigint as gain from a, z),
+        e as (select k, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from n join o using (b) where side = 's' group by k),
+        r as (select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                     coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296.0::double)))::bigint as score
+              from w left join e on e.k = w.k where side = 's'),
+        q as (select *, row_number() over (order by score desc, doc_id nulls first, n_features) as rank, count(*) over () as able from r where n_words >= 20)
+        select doc_id, n_features, weight, score, case when rank <= 5 * able // 100 then rank end as rank from q
+        union all select doc_id, n_features, weight, score, null from r where n_words < 20""",
 }

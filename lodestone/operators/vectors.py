@@ -9,10 +9,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Most queries that one call sends to all tasks; more are asked in several calls.
-MAX_QUERIES = 1024
+from lodestone.operators import cells
+
+#: Most points and queries of a cell of a many-query search, by the mean; queries of it that
+#: are scored together.
+MAX_POINTS, MAX_QUERIES, SLICE = 1 << 15, 1 << 14, 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,56 +51,65 @@ def top_k(points: DataFrame, query: list[float], k: int = 10, id_col: str = "id"
     return rows.where("score is not null").orderBy(F.col("score").desc(), id_col).limit(k)
 
 
-def _best(points: DataFrame, asked: pa.Table, query_kind: str, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """(query, id, score) of at least the k best points of each task for each query."""
-    names = asked.column(0).to_pylist()
-    q = np.array(asked.column(1).to_pylist(), np.float64).reshape(len(names), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    held = points.sparkSession.sparkContext.broadcast(q)
-    kind = dict(points.dtypes)[id_col]
-    id_type = None
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        best: list[tuple] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nonlocal id_type
-            id_type = batch.schema.field(0).type
-            ids = batch.column(0).to_pylist()
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            n = np.linalg.norm(v, axis=1)
-            s = held.value @ (v / np.maximum(n, 1e-300)[:, None]).T
-            s[:, n == 0] = -np.inf
-            for r in range(len(s)):
-                top = np.argpartition(-s[r], min(k, len(ids)) - 1)[:k] if len(ids) > k else np.arange(len(ids))
-                limit = s[r, top].min()
-                best += [(r, -s[r, i], ids[i]) for i in np.flatnonzero(s[r] >= limit) if s[r, i] > -np.inf]
-            best.sort()
-            kept, seen = [], {}
-            for b in best:
-                seen[b[0]] = seen.get(b[0], 0) + 1
-                if seen[b[0]] <= k:
-                    kept.append(b)
-            best = kept
-        if best:
-            yield pa.RecordBatch.from_arrays([pa.array([names[b[0]] for b in best]), pa.array([b[2] for b in best], id_type), pa.array([-b[1] for b in best])], ["query", "id", "score"])
-
-    return points.where(F.col(vector_col).isNotNull()).select(id_col, F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, f"query {query_kind}, id {kind}, score double")
+def matrix(column: pa.ChunkedArray | pa.Array, kind=np.float64) -> np.ndarray:
+    """Lists of one length as rows of a matrix; one is copied at most."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a zero row becomes one of nan, whose cosines are no numbers."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, np.nan, n)
+
+
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best scores of each row, nan left out; all that tie with the
+    last one go along."""
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    else:
+        least = np.full((len(scores), 1), -np.inf)
+    rows, columns = np.nonzero((scores >= least) & (scores > -np.inf))
+    # ties with the last one may be many: the smallest ids of them are enough
+    order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.searchsorted(rows, rows)
+    kept = np.arange(len(rows)) - first < k
+    return rows[kept], columns[kept]
+
+
+def orders(ids: pa.ChunkedArray) -> np.ndarray:
+    """The rank of each id among them: what ties are decided by."""
+    column = ids.combine_chunks()
+    out = np.empty(len(column), np.int64)
+    out[pa.compute.array_sort_indices(column).to_numpy()] = np.arange(len(column))
+    return out
 
 
 def top_k_many(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "embedding", mode: str = "cosine") -> DataFrame:
-    """(query, id, score, rank) for the query vectors in ``queries`` (query, embedding),
-    which the driver holds: each task multiplies its points with MAX_QUERIES of them at a
-    time, a scan of the points for each such block, and keeps k a query; those are ranked."""
-    asked = queries.select("query", F.col("embedding").cast("array<double>")).orderBy("query").toArrow()
-    found, query_kind = None, dict(queries.dtypes)["query"]
-    for first in range(0, max(1, asked.num_rows), MAX_QUERIES):
-        some = _best(points, asked.slice(first, MAX_QUERIES), query_kind, k, id_col, vector_col)
-        found = some if found is None else found.unionByName(some)
-    found = found.withColumn("score", scored(F.col("score"), mode))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(query, id, score, rank) of the k best points for each query vector in ``queries``
+    (query, embedding). A grid of blocks of points and of queries, of the same vector length
+    (others are never compared): each cell keeps k a query, and those are ranked. Null,
+    empty and zero vectors are like nothing."""
+    vector = lambda c: F.col(c).cast("array<double>").alias("v")
+    sized = lambda df: df.where(F.size("v") > 0).withColumn("size", F.size("v"))
+    held, asked = sized(points.select(F.col(id_col).alias("id"), vector(vector_col))), sized(queries.select("query", vector("embedding")))
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        v, q, order = unit(matrix(left["v"])).T, unit(matrix(right["v"])), orders(left["id"])
+        parts = []
+        for a in range(0, len(q), SLICE):
+            rows, columns = best(scores := q[a : a + SLICE] @ v, order, k)
+            found = [right["query"].take(pa.array(rows + a)), left["id"].take(pa.array(columns)), pa.chunked_array([pa.array(scores[rows, columns])])]
+            parts.append(pa.Table.from_arrays(found, ["query", "id", "score"]))
+        return pa.concat_tables(parts)
+
+    schema = f"query {dict(asked.dtypes)['query']}, id {dict(held.dtypes)['id']}, score double"
+    found = cells.matched(held, asked, ["size"], cell, schema, MAX_POINTS, MAX_QUERIES)
+    return cells.ranked(found.withColumn("score", scored(F.col("score"), mode)), k)
 
 
 def semantic_groups(rows: DataFrame, by: str, pos: str, vector_col: str = "embedding", threshold: float = 0.6) -> DataFrame:

@@ -49,22 +49,36 @@ def unmatched_edges(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     return changes.join(both.select("src", "dst", "type", "seq"), ["src", "dst", "type", "seq"], "left_anti")
 
 
+def _last(changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row a key: the columns of its change of greatest ``seq``; without that column, and
+    among equal ones, of the greatest values. Changes without a key go."""
+    order = F.struct(*(["seq"] if "seq" in changes.columns else []), *columns)
+    rows = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("__last"))
+    return rows.select(key, *[F.col("__last")[c].alias(c) for c in columns])
+
+
 def set_embeddings(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Nodes with the embeddings of ``vectors`` (id, embedding) set, and whether one was."""
-    told = vectors.select("id", F.col("embedding").alias("__new"), F.lit(True).alias("__hit"))
+    """Nodes with the embeddings of ``vectors`` (id, embedding, and seq if they have it) set,
+    and whether one was. Of vectors that repeat an id the last by seq counts; a null one
+    leaves the embedding as it is. Every node stays one row."""
+    told = _last(vectors, "id", ["embedding"]).select("id", F.col("embedding").alias("__new"), F.lit(True).alias("__hit"))
     rows = nodes.join(told, "id", "left").withColumn("embedding", F.coalesce("__new", "embedding")).withColumn("matched", F.coalesce("__hit", F.lit(False)))
     return rows.drop("__new", "__hit")
 
 
 def delete_embeddings(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    told = ids.select("id", F.lit(True).alias("matched"))
+    """Nodes without the embeddings of ``ids`` (id; repeats are one), and whether one is told."""
+    told = ids.select("id").distinct().withColumn("matched", F.lit(True))
     rows = nodes.join(told, "id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
     return rows.withColumn("embedding", F.when(~F.col("matched"), F.col("embedding")))
 
 
 def upsert_points(points: DataFrame, changes: DataFrame, key: str = "point_id") -> DataFrame:
-    """Points with those of ``changes`` put in or replaced whole."""
-    return points.join(changes.select(key), key, "left_anti").unionByName(changes)
+    """Points with those of ``changes`` (the columns of points, and seq if they have it) put
+    in or replaced whole, one row a key: of changes that repeat a key the last by seq
+    counts. Changes without a key go."""
+    last = _last(changes, key, [c for c in points.columns if c != key])
+    return points.join(last.select(key), key, "left_anti").unionByName(last.select(*points.columns))
 
 
 def delete_points(points: DataFrame, keys: DataFrame, key: str = "point_id") -> DataFrame:

@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.functions.text import MAX_CHUNK, OVERLAP_CHARS, OVERLAP_RATIO, byte_safe, check_chunking, each, overlap_chars, pack, segmented, sentences
 from lodestone.operators import graph, vectors
+from lodestone.sources.store import delete, exists, move
 
 MODES = ("character", "thai", "semantic")
 POINTS = "points"
@@ -126,29 +127,6 @@ def dual_write(first: Callable[[], None], second: Callable[[], None]) -> dict:
     return {"ok": any(good), "partial": good[0] != good[1], "errors": {r[0]: r[2] for r in results if not r[1]}}
 
 
-def _folder(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    jpath, where = _folder(spark, path)
-    return where.exists(jpath)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a table's folder through Hadoop's file system."""
-    jpath, where = _folder(spark, path)
-    where.delete(jpath, True)
-
-
-def move(spark: SparkSession, old: str, new: str) -> None:
-    (a, where), (b, _) = _folder(spark, old), _folder(spark, new)
-    where.mkdirs(b.getParent())
-    if not where.rename(a, b):
-        raise OSError(f"cannot move {old} to {new}")
-
-
 def _merged(old: str, new: DataFrame, ids: DataFrame) -> DataFrame:
     """A stored table without the rows of the documents in ``ids``, and the new rows."""
     spark = new.sparkSession
@@ -157,11 +135,12 @@ def _merged(old: str, new: DataFrame, ids: DataFrame) -> DataFrame:
     return spark.read.parquet(old).join(ids, "doc_id", "left_anti").select(new.columns).unionByName(new)
 
 
-def ingest(docs: DataFrame, out: str, model=vectors.HashingEmbedder, pairs: bool = True, most: int = 50, **chunking) -> list:
+def ingest(docs: DataFrame, out: str, model=vectors.HashingEmbedder, pairs: bool = False, most: int = 50, **chunking) -> list:
     """Writes chunks with embeddings and the graph's tables below ``out``; documents that
     are there already are replaced, by id, and all others stay. A saga: tables are staged
     beside the old ones, which they replace when all are there; what a failed step leaves
-    goes, and the old ones are as they were."""
+    goes, and the old ones are as they were. It writes whole tables: ``corpus.Corpus`` takes
+    batches at the cost of their buckets. RELATED_TO edges are listed only with ``pairs``."""
     spark = docs.sparkSession
     mark = uuid.uuid4().hex
     staged, kept = f"{out}/_staged-{mark}", f"{out}/_old-{mark}"

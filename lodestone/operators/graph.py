@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions import markdown
 from lodestone.functions.text import each, query_tokens, strip
+from lodestone.operators.adjacency import Adjacency, Steps
+from lodestone.sources.tables import scratch
 
 LABELS = ("KnowledgeConcept", "Hardware", "Strategy", "Narrative", "ContentAsset")
 EDGE_TYPES = ("PREDICTS", "APPLIES_TO", "CORRELATES_WITH", "REQUIRES_INFRA", "INSPIRES_PLOT", "IS_EXAMPLE_OF", "CONTRADICTS", "HAS_CHAPTER", "NEXT_CHAPTER", "REFERENCES_CONCEPT")
@@ -154,7 +156,12 @@ def keyword_search(documents: DataFrame, nodes: DataFrame, query: str, per_term:
     hit = lambda columns: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.exists(F.array(*[low(c) for c in columns]), lambda x: F.contains(x, w)))
     own = nodes.select("doc_id", "node", hit(fields).alias("own")).join(documents.select("doc_id", hit(["title"]).alias("told")), "doc_id")
     own = each(own, ["doc_id", "node"], F.array_union("own", "told"), "word")
-    counts = own.groupBy("word", "doc_id").agg(F.countDistinct("node").alias("n"))
+    return best_documents(documents, own.groupBy("word", "doc_id").agg(F.countDistinct("node").alias("n")), per_term, limit)
+
+
+def best_documents(documents: DataFrame, counts: DataFrame, per_term: int, limit: int) -> DataFrame:
+    """Of the ``per_term`` documents with most nodes for each word (word, doc_id, n), those
+    with most in all."""
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.col("n").desc(), "doc_id"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= per_term).groupBy("doc_id").agg(F.sum("n").alias("related_count"))
     best = best.orderBy(F.col("related_count").desc(), "doc_id").limit(limit)
@@ -167,32 +174,43 @@ def of_labels(nodes: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
 
 
 def bounded(rows: DataFrame, most: int = FRONTIER) -> DataFrame:
-    """A table of at most ``most`` rows as rows of the plan, which Spark broadcasts and
-    computes once; a larger one as it is."""
+    """Rows that are computed once: a table of at most ``most`` as rows of the plan, which
+    Spark broadcasts, a larger one as a table written to the shared folder."""
+    return _held(rows, most)[0]
+
+
+def _held(rows: DataFrame, most: int = FRONTIER) -> tuple[DataFrame, list | None]:
+    """The same, and the first column's values if the driver holds the rows."""
+    spark = rows.sparkSession
     some = rows.limit(most + 1).toArrow()
-    return rows if some.num_rows > most else rows.sparkSession.createDataFrame(some, rows.schema)
+    if some.num_rows <= most:
+        return spark.createDataFrame(some, rows.schema), some.column(0).to_pylist()
+    path = scratch(spark)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), None
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 50, compat: bool = False, nodes: DataFrame | None = None, labels: tuple[str, ...] | None = None) -> DataFrame:
+def expand(edges: DataFrame | Adjacency, seeds: DataFrame, hops: int = 2, limit: int | None = 50, compat: bool = False, nodes: DataFrame | None = None, labels: tuple[str, ...] | None = None) -> DataFrame:
     """(id, hops, chain) of the nodes within ``hops`` (held to 1..3) of the seeds (id), over
-    edges (src, dst, type) in either direction; seeds and blank ids are left out. Of the
-    shortest paths to a node the least chain stays: steps TYPE:direction, joined by ">".
-    Each hop is an equi-join with the frontier (a broadcast while it is small), a grouped
-    minimum, and an anti-join with what is known. With ``compat``, steps after the first are
-    all incoming, as none leaves the seed. With ``labels``, only nodes (id, label) of these
-    are found; paths go through any."""
+    edges (src, dst, type), or a stored Adjacency of them, in either direction; seeds and
+    blank ids are left out. Of the shortest paths to a node the least chain stays: steps
+    TYPE:direction, joined by ">". Each hop is an equi-join with the frontier (a broadcast
+    while it is small; stored edges are not shuffled in any case), a grouped minimum, and an
+    anti-join with what is known. With ``compat``, steps after the first are all incoming,
+    as none leaves the seed. With ``labels``, only nodes (id, label) of these are found;
+    paths go through any."""
     hops = max(1, min(MAX_HOPS, hops))
-    step = edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.concat("type", F.lit(":outgoing")).alias("step"))
-    step = step.unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("to"), F.concat("type", F.lit(":incoming")).alias("step"))).where("id <> to and id <> '' and to <> ''")
-    known = bounded(seeds.where("id is not null and id <> ''").select("id").distinct())
+    stored = edges if isinstance(edges, Adjacency) else Steps(edges)
+    known, ids = _held(seeds.where("id is not null and id <> ''").select("id").distinct())
     front, reached = known.withColumn("chain", F.lit("")), None
     for k in range(1, hops + 1):
-        if compat and k == 2:
+        step = stored.steps(front, ids)
+        if compat and k > 1:
             step = step.withColumn("step", F.regexp_replace("step", ":outgoing$", ":incoming"))
-        after = step.join(front, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.concat_ws(">", F.nullif("chain", F.lit("")), "step")).alias("chain"))
+        after = step.join(F.broadcast(front) if ids is not None else front, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.concat_ws(">", F.nullif("chain", F.lit("")), "step")).alias("chain"))
         seen = known if reached is None else known.unionByName(reached.select("id"))
         front = after.join(seen, "id", "left_anti")
-        front = bounded(front) if k < hops else front
+        front, ids = _held(front) if k < hops else (front, None)
         rows = front.select("id", F.lit(k).alias("hops"), "chain")
         reached = rows if reached is None else reached.unionByName(rows)
     if labels is not None:

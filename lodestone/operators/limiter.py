@@ -1,12 +1,18 @@
 """Rate limiters. A client's decisions depend on each other, so its requests are taken in
-time order; a task streams its clients and holds one client's short state, never its log."""
+time order; a task streams its clients and holds one client's short state, never its log.
+
+A gap that empties the state makes what comes after it independent of what came before, so a
+client's log is cut there into sessions, and tasks get sessions: a client that has most of the
+requests is many of them. Gaps are found in the first and last request of each time slot that
+a client uses, which are few however many requests there are. A client that never pauses is
+one session, as each of its decisions depends on the one before."""
 
 from __future__ import annotations
 
 from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_REQUESTS, WINDOW_SECONDS, SUB_WINDOWS = 100, 60, 10
 
@@ -48,19 +54,33 @@ class CounterLimiter:
         return ok, weighted
 
 
-def decide(requests: DataFrame, make, client: str, ts: str, tie: str) -> DataFrame:
-    """(client, tie, allowed, count) of each request by ``make()`` for each client."""
+def sessions(rows: DataFrame, slot: int, cut: Column) -> DataFrame:
+    """rows (client, us, ...) with ``session``: the number of cuts before it in its client's
+    log. ``slot`` is a length in microseconds within which there is none; cut tells of a
+    slot's ``first`` and ``slot`` number, and of ``last_before`` and ``slot_before``, those
+    of the one before it, whether there is one between them."""
+    rows = rows.withColumn("slot", F.floor(F.col("us") / slot))
+    used = rows.groupBy("client", "slot").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    w = Window.partitionBy("client").orderBy("slot")
+    used = used.withColumn("last_before", F.lag("last").over(w)).withColumn("slot_before", F.lag("slot").over(w))
+    number = F.sum(F.when(cut, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(used.select("client", "slot", number.alias("session")), ["client", "slot"]).drop("slot")
+
+
+def decide(requests: DataFrame, make, client: str, ts: str, tie: str, slot: int, cut: Column) -> DataFrame:
+    """(client, tie, allowed, count) of each request by ``make()`` for each client's session."""
     kinds = dict(requests.dtypes)
     rows = requests.where(F.col(client).isNotNull() & F.col(ts).isNotNull()).select(F.col(client).alias("client"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(tie).alias("tie"))
-    rows = rows.repartition("client").sortWithinPartitions("client", "us", "tie")
+    rows = sessions(rows, slot, cut).select("client", "us", "tie", "session")
+    rows = rows.repartition("client", "session").sortWithinPartitions("client", "session", "us", "tie")
 
     def run(batches):
         held, limiter = None, None
         for batch in batches:
             allowed, counts = [], []
-            for c, us in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if limiter is None or c != held:
-                    held, limiter = c, make()
+            for c, us, session in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                if limiter is None or (c, session) != held:
+                    held, limiter = (c, session), make()
                 ok, n = limiter.take(us)
                 allowed.append(ok)
                 counts.append(float(n))
@@ -72,10 +92,25 @@ def decide(requests: DataFrame, make, client: str, ts: str, tie: str) -> DataFra
 def log_limit(requests: DataFrame, most: int = MAX_REQUESTS, window: int = WINDOW_SECONDS, client: str = "client_id", ts: str = "ts", tie: str = "request_id") -> DataFrame:
     """Decisions of a sliding log; count is that of allowed requests in the window after it,
     remaining what is left."""
-    out = decide(requests, lambda: LogLimiter(most, window * 1_000_000), client, ts, tie)
+    span = window * 1_000_000
+    out = decide(requests, lambda: LogLimiter(most, span), client, ts, tie, span, F.col("first") - F.col("last_before") >= span)
     return out.withColumn("count", F.col("count").cast("long")).withColumn("remaining", F.greatest(F.lit(0), most - F.col("count")).cast("long"))
 
 
 def counter_limit(requests: DataFrame, most: int = MAX_REQUESTS, window: int = WINDOW_SECONDS, subs: int = SUB_WINDOWS, client: str = "client_id", ts: str = "ts", tie: str = "request_id") -> DataFrame:
     """Decisions of a sliding counter; count is the weighted count that a request finds."""
-    return decide(requests, lambda: CounterLimiter(most, window * 1_000_000, subs), client, ts, tie)
+    span = window * 1_000_000
+    return decide(requests, lambda: CounterLimiter(most, span, subs), client, ts, tie, span // subs, F.col("slot") - F.col("slot_before") >= 2)
+
+
+def offered_load(requests: DataFrame, window: int = WINDOW_SECONDS, client: str = "client_id", ts: str = "ts", tie: str = "request_id") -> DataFrame:
+    """(client, tie, offered): how many requests of its client there are in the window that
+    ends with each, allowed or not, those of the same time included. A range frame within
+    slots of one window, to which the slot before lends its requests: so a client's log is
+    cut by time and not held by one task. Requests without client or time go."""
+    span = window * 1_000_000
+    rows = requests.where(F.col(client).isNotNull() & F.col(ts).isNotNull()).select(F.col(client).alias(client), F.col(tie).alias(tie), F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"))
+    slot = F.floor(F.col("__us") / span)
+    rows = rows.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__slot", F.when(F.col("__own"), slot).otherwise(slot + 1))
+    frame = Window.partitionBy(client, "__slot").orderBy("__us").rangeBetween(1 - span, 0)
+    return rows.withColumn("offered", F.count("*").over(frame)).where("__own").select(client, tie, "offered")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.operators.graph import bounded
+
+#: Pieces that a range of values is cut into, and rows of a group that may be sorted.
+PIECES, SMALL = 1024, 1 << 16
 # Upper bounds of duration buckets.
 BUCKETS = (0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
 # Names and help texts of the exposition format, in its order.
@@ -60,12 +64,31 @@ def latest(history: DataFrame, keep: int = 1000, ts: str = "ts", tie: str = "id"
     return history.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(keep)
 
 
+def selected(rows: DataFrame, by: str, value: str, place: Column) -> DataFrame:
+    """(by, value): of each group the value at ``place`` (of its count ``n``, from 0) of its
+    sorted ones, exactly. Rounds of counts: the range where the value must lie is cut into
+    PIECES, whose counts, smallest and largest values are taken where the rows are; the one
+    that has the place is the next range. When ranges are small, or hold one value, their
+    rows are sorted. So no group is ever sorted whole, and rounds shrink what they look at."""
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, F.col(value).cast("double").alias("v"))
+    group = rows.groupBy(by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ranges = bounded(group.select(by, place.cast("long").alias("place"), "n", "low", "high"))
+    here = lambda: rows.join(ranges, by).where(F.col("v").between(F.col("low"), F.col("high")))
+    while not ranges.where((F.col("n") > SMALL) & (F.col("low") < F.col("high"))).isEmpty():
+        # halves first: the difference of two doubles may not be finite
+        piece = F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * PIECES)
+        piece = F.when(F.col("low") < F.col("high"), F.coalesce(piece, F.lit(0))).otherwise(0)
+        parts = here().groupBy(by, "place", piece.alias("piece")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        w = Window.partitionBy(by).orderBy("piece")  # PIECES rows and one
+        parts = parts.withColumn("before", F.sum("n").over(w) - F.col("n"))
+        ranges = bounded(parts.where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))).select(by, (F.col("place") - F.col("before")).alias("place"), "n", "low", "high"))
+    left = here().where("low < high").withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("v")) - 1)
+    return left.where("at = place").select(by, F.col("v").alias(value)).unionByName(ranges.where("low = high").select(by, F.col("low").alias(value)))
+
+
 def latency(requests: DataFrame, by: str, value: str = "duration") -> DataFrame:
-    """Mean, least, most, and the value at index int(0.95 n) of the sorted ones. Ranks come
-    from counts of equal values, so a group is never held whole."""
-    counts = requests.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(by)
-    upto = F.sum("n").over(w.orderBy(value))
-    rows = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(w))
-    p95 = F.min(F.when(F.col("upto") > F.floor(F.col("all") * 0.95), F.col(value)))
-    return rows.groupBy(by).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), p95.alias("p95"))
+    """Mean, least, most, and the value at index int(0.95 n) of the sorted ones, exactly."""
+    rows = requests.where(F.col(value).isNotNull())
+    out = rows.groupBy(by).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    p95 = selected(rows, by, value, F.floor(F.col("n") * 0.95)).withColumnRenamed(value, "p95")
+    return out.join(p95, by, "left")

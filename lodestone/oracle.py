@@ -361,3 +361,24 @@ sql("thai_terms", "with t as (select conv_id, string_split(regexp_replace(text,
 sql("edge_properties", "with e as (select 'o' || l_orderkey as src, 'p' || l_partkey as dst, datediff('day', date '1970-01-01', l_shipdate::date) * 10 + l_linenumber as seq, case when l_linenumber % 2 = 0 then l_shipdate end as since, 'f' || (l_linenumber % 3) as flag from lineitem) select src, dst, 'APPLIES_TO' as type, arg_max(since, seq) filter (since is not null) as since, arg_max(flag, seq) as flag from e group by src, dst")
 sql("failing_embedder", "select p_partkey, case when p_partkey % 5 = 0 then 0 else 64 end::int as size from part")
 sql("document_routing", "select s_suppkey, case s_suppkey % 4 when 3 then false else true end as success, case s_suppkey % 4 when 0 then s_name when 1 then '' when 2 then 'from pub' else '' end as text, case when s_suppkey % 4 in (0, 2) then 1 else 0 end::bigint as pages from supplier")
+sql("vector_index_recall", "select 10 * count(*) as asked, true as good from embeddings where vec_id % 20 = 0")
+sql(
+    "vector_index_catalogue",
+    """with p as (select vec_id as id, label::varchar as label from embeddings)
+    select 'all' as name, 'VECTOR' as type, '' as labels, 'embedding' as properties, 64::int as dimensions, count(*) filter (id % 10 <> 1) + count(*) filter (id % 100 = 7) as vectors, true as ok from p
+    union all select 'some', 'VECTOR', '1,2,3', 'embedding', 64::int, count(*), true from p where label in ('1', '2', '3')""",
+)
+ORACLE_SQL["stream_reingest"] = ORACLE_SQL["reingest"]
+sql(
+    "point_changes",
+    """with c as (select case when o_orderkey % 3 = 0 then -o_custkey else o_custkey end as point_id, arg_max(o_orderpriority, o_orderkey) as content, arg_max(o_totalprice, o_orderkey) as total from orders group by 1)
+    select * from c union all select c_custkey, c_name, 0.0 from customer where c_custkey not in (select point_id from c)""",
+)
+sql(
+    "embedding_changes",
+    """with c as (select vec_id // 2 as id, arg_max(embedding, vec_id) as e from embeddings where vec_id % 6 < 3 group by 1), g as (select distinct vec_id % 40 as id from embeddings where vec_id % 5 = 0)
+    select vec_id as id, c.id is not null as was_set, g.id is not null as was_deleted,
+           round(case when g.id is null then coalesce(c.e, case when vec_id % 2 = 0 then embedding end)[1]::double end, 6) as first
+    from embeddings left join c on c.id = vec_id left join g on g.id = vec_id""",
+)
+sql("offered_load", "select user_id as client_id, event_id as request_id, count(*) over (partition by user_id order by epoch_us(ts) range between 3599999999 preceding and current row) as offered from events where user_id is not null and ts is not null")

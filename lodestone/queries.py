@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import classify, markdown, text
-from lodestone.operators import graph, limiter, llm_json, metrics, mutation, ranking, rendering, vectors
-from lodestone.plans import ingest, search, tasks
-from lodestone.sources import tables
+from lodestone.operators import adjacency, graph, limiter, llm_json, metrics, mutation, ranking, rendering, text_index, vector_index, vectors
+from lodestone.plans import corpus, ingest, search, tasks
+from lodestone.sources import store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +40,9 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vector(spark: SparkSession, d: str, k: int = 0) -> list[float]:
-    return _points(spark, d).where(F.col("id") == k).first()["embedding"]
+    """The vector of id k; empty, which finds nothing, if there is none."""
+    row = _points(spark, d).where((F.col("id") == k) & F.col("embedding").isNotNull()).first()
+    return row["embedding"] if row else []
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -180,10 +182,14 @@ def related_paths(spark, d):
 
 @query
 def graph_search(spark, d):
-    docs = _pages(spark, d)
-    nodes = graph.sections(docs).select("doc_id", F.col("section_id").alias("node"), F.col("title").alias("name"))
-    nodes = nodes.unionByName(graph.mentions(docs).select("doc_id", F.col("term").alias("node"), F.col("term").alias("name")))
-    return graph.keyword_search(docs.select("doc_id", markdown.title(F.col("content")).alias("title")), nodes, "The and of ation, the tion")
+    def build(name):
+        docs = _pages(spark, d)
+        nodes = graph.sections(docs).select("doc_id", F.col("section_id").alias("node"), F.col("title").alias("name"))
+        nodes = nodes.unionByName(graph.mentions(docs).select("doc_id", F.col("term").alias("node"), F.col("term").alias("name")))
+        text_index.TextIndex.build(docs.select("doc_id", markdown.title(F.col("content")).alias("title")), nodes, name)
+
+    # the nodes and their trigrams are stored once
+    return text_index.TextIndex(spark, _stored(spark, d, "names", ("pages",), build)).search("The and of ation, the tion")
 
 
 @query
@@ -199,10 +205,21 @@ def _star(spark, d):
     return out.unionByName(e(t("customer"), "customer:", "c_custkey", "nation:", "c_nationkey", "LIVES_IN")).unionByName(e(t("orders"), "customer:", "o_custkey", "order:", "o_orderkey", "PLACED"))
 
 
+def _stored(spark, d, kind, names, build):
+    """The name of stored tables made of some tables of d, once for the files as they are."""
+    name = f"lodestone_{kind}_{store.fingerprint(spark, *[f'{d}/{n}.parquet' for n in names])}"
+    if not spark.catalog.tableExists(f"{name}_done"):
+        build(name)
+        store.bucketed(spark.range(1), f"{name}_done", "id", 1)
+    return name
+
+
 @query
 def expand_hops(spark, d):
+    # the edges are stored once, by node
+    name = _stored(spark, d, "star", ("nation", "supplier", "customer", "orders"), lambda n: adjacency.Adjacency.build(_star(spark, d), f"{n}_edges"))
     seeds = spark.createDataFrame([("nation:3",), ("region:1",), ("",)], "id string")
-    return graph.expand(_star(spark, d), seeds, 2, None)
+    return graph.expand(adjacency.Adjacency(spark, f"{name}_edges"), seeds, 2, None)
 
 
 @query
@@ -230,6 +247,39 @@ def vector_topk_many(spark, d):
     return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("int"))
 
 
+def _indexes(spark):
+    return vector_index.VectorIndex(spark, f"{tables.scratch(spark)}/indexes")
+
+
+@query
+def vector_index_recall(spark, d):
+    """Of the exact neighbours of ids divisible by 20, whether the index finds 0.9."""
+    points, indexes = _points(spark, d), _indexes(spark)
+    asked = points.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding")
+    indexes.create("vectors", points)
+    told = vector_index.recall(indexes.search("vectors", asked), vectors.top_k_many(points, asked))
+    return told.select("asked", (F.col("recall") >= 0.9).alias("good"))
+
+
+@query
+def vector_index_catalogue(spark, d):
+    """Indexes that are made, made again, changed, and dropped, as the catalogue tells."""
+    points, indexes = _points(spark, d), _indexes(spark)
+    indexes.create("all", points)
+    indexes.create("some", points, 64, ("1", "2", "3"))
+    indexes.create("some", points.limit(0))
+    indexes.create("gone", points.where("label = 4"))
+    indexes.drop("gone")
+    # ids divisible by 10 turn round, those that leave 1 are no vectors any more, and new ones come
+    turned = F.when(F.col("id") % 10 == 0, F.transform("embedding", lambda x: -x))
+    changes = points.where("id % 10 < 2").withColumn("embedding", turned).withColumn("seq", F.lit(2))
+    changes = changes.unionByName(points.where("id % 10 = 0").withColumn("seq", F.lit(1))).unionByName(points.where("id % 100 = 7").withColumn("id", -F.col("id")).withColumn("seq", F.lit(1)))
+    indexes.put("all", changes)
+    good = {r["name"]: indexes.verify(r["name"])["ok"] for r in indexes.list().collect()}
+    ok = F.coalesce(*[F.when(F.col("name") == n, F.lit(v)) for n, v in good.items()])
+    return indexes.list().select("name", "type", "labels", "properties", "dimensions", "vectors", ok.alias("ok"))
+
+
 @query
 def semantic_groups(spark, d):
     return vectors.semantic_groups(_points(spark, d), "label", "id", "embedding", 0.1).select("id", "label", F.col("group").cast("long").alias("group"))
@@ -535,6 +585,47 @@ def reingest(spark, d):
     return spark.read.parquet(f"{out}/points").select("point_id", "doc_id", "content")
 
 
+@query
+def stream_reingest(spark, d):
+    """The batches of ``reingest`` by a stream of files, the second one put again."""
+    docs, out = tables.table(spark, d, "documents"), tables.scratch(spark)
+    held = corpus.Corpus(spark, f"{out}/corpus", 16)
+    source = spark.readStream.schema("doc_id long, content string").parquet(f"{out}/source/*")
+    docs.select("doc_id", F.concat(F.lit("old "), "lang").alias("content")).write.parquet(f"{out}/source/first")
+    held.follow(source, "documents", f"{out}/checkpoint").awaitTermination()
+    new = docs.where("doc_id % 4 = 1").select("doc_id", F.concat(F.lit("new "), "source").alias("content"))
+    new = new.unionByName(docs.where("doc_id % 10 = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.concat(F.lit("more "), "lang").alias("content")))
+    new.write.parquet(f"{out}/source/second")
+    held.follow(source, "documents", f"{out}/checkpoint").awaitTermination()
+    held.batch("again")(spark.read.parquet(f"{out}/source/second"), 1)
+    return held.read("points").select("point_id", "doc_id", "content")
+
+
+@query
+def point_changes(spark, d):
+    """Points of customers after their orders' changes, many to a point."""
+    old = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), F.col("c_name").alias("content"), F.lit(0.0).alias("total"))
+    new = tables.table(spark, d, "orders").select((F.col("o_custkey") * F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1)).alias("point_id"), F.col("o_orderpriority").alias("content"), F.col("o_totalprice").alias("total"), F.col("o_orderkey").alias("seq"))
+    return mutation.upsert_points(old, new)
+
+
+@query
+def embedding_changes(spark, d):
+    """Nodes whose embeddings are set several times, the last one counting, and deleted."""
+    points = _points(spark, d)
+    nodes = points.select("id", F.when(F.col("id") % 2 == 0, F.col("embedding")).alias("embedding"))
+    set_ = mutation.set_embeddings(nodes, points.where("id % 6 < 3").select(F.floor(F.col("id") / 2).alias("id"), "embedding", F.col("id").alias("seq"))).withColumnRenamed("matched", "was_set")
+    gone = points.where("id % 5 = 0").select((F.col("id") % 40).alias("id"))  # each many times
+    out = mutation.delete_embeddings(set_, gone)
+    return out.select("id", "was_set", F.col("matched").alias("was_deleted"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+@query
+def offered_load(spark, d):
+    requests = tables.table(spark, d, "events").select(F.col("user_id").alias("client_id"), "ts", F.col("event_id").alias("request_id"))
+    return limiter.offered_load(requests, 3600)
+
+
 @query
 def thai_terms(spark, d):
     tokens = text.segmented(F.col("text"), lambda: lambda t: t.split(" "))

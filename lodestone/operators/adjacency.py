@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestone.sources import store
 
 #: Most ids of a frontier that go to the scan as a filter.
-LOOKUP = 1000
+LOOKUP = 100
 
 
 def directed(edges: DataFrame) -> DataFrame:

@@ -75,11 +75,13 @@ def selected(rows: DataFrame, by: str, value: str, place: Column) -> DataFrame:
     ranges = bounded(group.select(by, place.cast("long").alias("place"), "n", "low", "high"))
     here = lambda: rows.join(ranges, by).where(F.col("v").between(F.col("low"), F.col("high")))
     while not ranges.where((F.col("n") > SMALL) & (F.col("low") < F.col("high"))).isEmpty():
-        # halves first: the difference of two doubles may not be finite
-        piece = F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * PIECES)
-        piece = F.when(F.col("low") < F.col("high"), F.coalesce(piece, F.lit(0))).otherwise(0)
+        # the ends are pieces of their own, so each round leaves them out whatever lies between;
+        # halves are subtracted, as the difference of two doubles may not be finite
+        inner = F.floor((F.col("v") / 2 - F.col("low") / 2) / F.nullif(F.col("high") / 2 - F.col("low") / 2, F.lit(0.0)) * PIECES)
+        inner = F.greatest(F.lit(0), F.least(F.lit(PIECES - 1), F.coalesce(inner.cast("int"), F.lit(0))))
+        piece = F.when(F.col("v") == F.col("low"), -1).when(F.col("v") == F.col("high"), PIECES).otherwise(inner)
         parts = here().groupBy(by, "place", piece.alias("piece")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        w = Window.partitionBy(by).orderBy("piece")  # PIECES rows and one
+        w = Window.partitionBy(by).orderBy("piece")  # at most PIECES rows and two
         parts = parts.withColumn("before", F.sum("n").over(w) - F.col("n"))
         ranges = bounded(parts.where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))).select(by, (F.col("place") - F.col("before")).alias("place"), "n", "low", "high"))
     left = here().where("low < high").withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("v")) - 1)

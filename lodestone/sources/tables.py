@@ -32,6 +32,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def make_folder(uri: str) -> None:
+    where, path = FileSystem.from_uri(uri)
+    where.create_dir(path, recursive=True)
+
+
 def scan_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, max_mb: int | None = BATCH_MB, content: bool = False) -> DataFrame:
     """Files of a folder by path: path, length, and content if asked for (the metadata
     scan alone opens no file). Larger files than ``max_mb`` are left out."""

@@ -24,13 +24,39 @@ DIMENSIONS = {"all-MiniLM-L6-v2": 768, "bge-m3": 1024, "nomic-embed-text": 768}
 DEFAULT_DIMENSIONS = 1024
 
 
+def half_even(x: Column, digits: int = 2) -> Column:
+    """x rounded to ``digits`` (7 at most) decimals by its exact binary value, exact halves to
+    the even one: what Python's ``round`` gives. Spark's own round the shortest decimal that
+    reads back as x. For |x| * 10**digits below 2**50; others, nan and infinities stay.
+
+    x splits into two doubles of half its bits, whose products with 2 * 10**digits are exact,
+    so it is compared exactly with the points midway between candidates."""
+    if not 0 <= digits <= 7:
+        raise ValueError("digits must be between 0 and 7")
+    unit, size = float(10**digits), F.abs(x)
+
+    def told(a: Column) -> Column:
+        shifted = a * 134217729.0
+        high = shifted - (shifted - a)
+        return once(F.struct(high.alias("high"), (a - high).alias("low"), F.floor(a * unit + 0.5).cast("double").alias("k")), near)
+
+    def near(c: Column) -> Column:
+        beyond = lambda m: (c["high"] * (2 * unit) - m) + c["low"] * (2 * unit)  # noqa: E731  of 2 * unit * x and m
+        below, above, even = beyond(2 * c["k"] - 1), beyond(2 * c["k"] + 1), c["k"] % 2 == 0
+        k = F.when((below < 0) | ((below == 0) & ~even), c["k"] - 1).when((above > 0) | ((above == 0) & ~even), c["k"] + 1).otherwise(c["k"])
+        return k / unit
+
+    good = size * unit < float(1 << 50)
+    return F.when(good, F.when(x < 0, -1.0).otherwise(1.0) * once(size, told)).otherwise(x)
+
+
 def language(text: Column) -> Column:
     """struct<language, confidence>: Thai, Latin or mixed, and the share of such characters."""
     # what a translation to nothing takes away: one pass, no matcher
     thai, latin = (F.char_length(text) - F.char_length(F.translate(text, chars, "")) for chars in (THAI, LATIN))
 
     def told(c: Column) -> Column:
-        share = F.least(F.lit(1.0), F.round((c["thai"] + c["latin"]) / c["n"], 2))
+        share = F.least(F.lit(1.0), half_even((c["thai"] + c["latin"]) / c["n"]))
         code = F.when((c["thai"] > 0) & (c["latin"] > 0), "mixed").when(c["thai"] > 0, "th").otherwise("en")
         confidence = F.when(F.coalesce(c["n"], F.lit(0)) == 0, F.lit(0.0)).when(c["thai"] + c["latin"] == 0, F.lit(0.1)).otherwise(share)
         return F.struct(F.coalesce(code, F.lit("en")).alias("language"), confidence.alias("confidence"))
@@ -38,9 +64,17 @@ def language(text: Column) -> Column:
     return once(F.struct(thai.alias("thai"), latin.alias("latin"), F.char_length(strip(text)).alias("n")), told)
 
 
-def domain(text: Column, mode: str = "auto", manual: str | None = None) -> Column:
+#: Confidence of a domain that a model names.
+MODEL_CONFIDENCE = 0.8
+
+
+def domain(text: Column, mode: str = "auto", manual: str | None = None, answer: Column | None = None) -> Column:
     """struct<domain, confidence>: the domain of which most keywords occur in the text, the
-    first of equals; "manual" gives the one named."""
+    first of equals; "manual" gives the one named; "llm" the one in a model's ``answer``,
+    with MODEL_CONFIDENCE, or where that is null, as after a failed call, that of "auto".
+    Blank texts are general, with confidence 0, in every mode."""
+    if mode not in ("auto", "manual", "llm"):
+        raise ValueError(f"domain mode {mode}")
     told = lambda d, c: F.struct(F.lit(d).alias("domain"), F.lit(float(c)).alias("confidence"))
     blank = text.isNull() | (strip(text) == "")
     if mode == "manual":
@@ -54,9 +88,13 @@ def domain(text: Column, mode: str = "auto", manual: str | None = None) -> Colum
         return F.array_max(F.array(*rows))
 
     def best(b: Column) -> Column:
-        return F.when(b["n"] == 0, told("general", 0)).otherwise(F.struct(b["domain"].alias("domain"), F.round(b["n"] / b["of"], 2).alias("confidence")))
+        return F.when(b["n"] == 0, told("general", 0)).otherwise(F.struct(b["domain"].alias("domain"), half_even(b["n"] / b["of"]).alias("confidence")))
 
-    return F.when(blank, told("general", 0)).otherwise(once(F.lower(text), lambda low: once(hits(low), best)))
+    auto = F.when(blank, told("general", 0)).otherwise(once(F.lower(text), lambda low: once(hits(low), best)))
+    if mode == "auto" or answer is None:
+        return auto
+    model = F.struct(model_domain(answer).alias("domain"), F.lit(MODEL_CONFIDENCE).alias("confidence"))
+    return F.when(~blank & answer.isNotNull(), model).otherwise(auto)
 
 
 def both(text: Column, mode: str = "auto", manual: str | None = None) -> Column:

@@ -103,6 +103,21 @@ def migrate_nodes(documents: DataFrame, sections: DataFrame, terms: DataFrame, d
     return out if done is None else out.join(done.select("id"), "id", "left_anti")
 
 
+#: Labels that migration takes away.
+LEGACY = ("Document", "Section", "Term")
+
+
+def remove_legacy_labels(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, labels, migrated, ...) without the legacy label of those that are migrated;
+    it goes to ``type_legacy``, where others keep what they have. Of several legacy labels
+    the last of LEGACY is told, and all go."""
+    known = "type_legacy" in nodes.columns
+    held, kept = F.array(*[F.lit(x) for x in LEGACY]), F.col("type_legacy") if known else F.lit(None).cast("string")
+    legacy = F.element_at(F.filter(held, lambda x: F.array_contains("labels", x)), -1)
+    done = F.coalesce(F.col("migrated"), F.lit(False)) & F.coalesce(F.arrays_overlap("labels", held), F.lit(False))
+    return nodes.withColumns({"type_legacy": F.when(done, legacy).otherwise(kept), "labels": F.when(done, F.array_except("labels", held)).otherwise(F.col("labels"))})
+
+
 def term_id(name: Column) -> Column:
     return F.concat(F.lit("term_"), F.regexp_replace(F.coalesce(name, F.lit("")), " ", "_"))
 

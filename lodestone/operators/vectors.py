@@ -51,6 +51,15 @@ def top_k(points: DataFrame, query: list[float], k: int = 10, id_col: str = "id"
     return rows.where("score is not null").orderBy(F.col("score").desc(), id_col).limit(k)
 
 
+def hits(found: DataFrame) -> DataFrame:
+    """Rows of a store's search in the schema that backends share: (id, content, score,
+    metadata), metadata a struct of doc_id ("" if unknown) and chunk_id (0 if unknown)."""
+    has = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in found.columns else F.lit(default)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")) if "doc_id" in found.columns else F.lit("")
+    metadata = F.struct(name.alias("doc_id"), has("chunk_id", 0).cast("int").alias("chunk_id"))
+    return found.select("id", has("content", "").alias("content"), has("score", 0.0).cast("double").alias("score"), metadata.alias("metadata"))
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, kind=np.float64) -> np.ndarray:
     """Lists of one length as rows of a matrix; one is copied at most."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

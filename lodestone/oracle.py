@@ -156,7 +156,7 @@ sql(
 )
 LANGUAGE = rf"""(select doc_id, content, length({_strip("content")}) as n, length(regexp_replace(content, '[^฀-๿]', '', 'g')) as th, length(regexp_replace(content, '[^A-z]', '', 'g')) as la from docs)"""
 CODE = "case when n = 0 then 'en' when th > 0 and la > 0 then 'mixed' when th > 0 then 'th' else 'en' end"
-sql("detect_language", f"with @docs@ select doc_id, {CODE} as language, case when n = 0 then 0.0 when th + la = 0 then 0.1 else least(1.0, round((th + la) / n::double, 2)) end::double as confidence from {LANGUAGE}")
+sql("detect_language", f"with @docs@ select doc_id, {CODE} as language, case when n = 0 then 0.0 when th + la = 0 then 0.1 else least(1.0, format('{{:.2f}}', (th + la) / n::double)::double) end::double as confidence from {LANGUAGE}")
 sql("detect_domain", f"with @docs@, b as (select doc_id, {_domain('content')} as b from docs) select doc_id, case when b.n = 0 then 'general' else b.domain end as domain, case when b.n = 0 then 0.0 else b.confidence end::double as confidence from b")
 sql("model_domain", f"select p_partkey, coalesce(list_filter([{', '.join(_quoted(x) for x in MODEL_DOMAINS)}], lambda x: contains('the domain is ' || lower(p_type) || case when p_partkey % 3 = 0 then ' medicine' when p_partkey % 3 = 1 then ' law' else '' end, x))[1], 'general') as domain from part")
 sql(
@@ -382,3 +382,27 @@ sql(
     from embeddings left join c on c.id = vec_id left join g on g.id = vec_id""",
 )
 sql("offered_load", "select user_id as client_id, event_id as request_id, count(*) over (partition by user_id order by epoch_us(ts) range between 3599999999 preceding and current row) as offered from events where user_id is not null and ts is not null")
+sql(
+    "legacy_labels",
+    """with l as (select c_custkey as id, case c_custkey % 4 when 0 then ['Document', c_mktsegment] when 1 then ['Term'] when 2 then ['Section', 'Term'] else [c_mktsegment] end as l, c_custkey % 5 < 3 as migrated from customer)
+    select id, array_to_string(case when migrated and id % 4 < 3 then list_filter(l, lambda x: x not in ('Document', 'Section', 'Term')) else l end, ',') as labels,
+           case when migrated then case id % 4 when 0 then 'Document' when 1 then 'Term' when 2 then 'Term' end end as type_legacy from l""",
+)
+sql("store_hits", f"with q as (select embedding as e from embeddings where vec_id = 0), h as (select vec_id as id, label, {_cosine('embedding', 'e')} as s from embeddings, q order by s desc, id limit 25) select id, '' as content, round(s, 6) as score, label::varchar as doc_id, (id % 7)::int as chunk_id from h")
+sql(
+    "domain_by_model",
+    """with d as (select doc_id, case when doc_id % 11 = 0 then ' ' else text || ' the market plot' end as text from documents),
+    k as (select unnest([0, 1, 2, 3]) as k, unnest(['finance', 'hardware', 'engineering', 'fiction']) as domain,
+      unnest([['trading', 'strategy', 'alpha', 'quant', 'portfolio', 'risk', 'market', 'stock', 'bond', 'derivative'], ['server', 'ic', 'latency', 'fpga', 'network', 'cpu', 'gpu', 'memory', 'cache'],
+              ['architecture', 'system', 'design', 'pattern', 'algorithm', 'optimization'], ['character', 'plot', 'story', 'narrative', 'chapter', 'scene']]) as words),
+    h as (select doc_id, domain, len(list_filter(words, lambda w: contains(lower(text), w))) as n, len(words) as t, k from d, k),
+    b as (select doc_id, arg_max(struct_pack(domain := domain, n := n, t := t), n * 10 - k) as b from h group by doc_id)
+    select doc_id, case when doc_id % 11 = 0 then 'general' when doc_id % 9 = 0 then 'law' when doc_id % 9 = 3 then 'general' when doc_id % 9 = 6 then 'fiction' else b.domain end as domain,
+           case when doc_id % 11 = 0 then 0.0 when doc_id % 3 = 0 then 0.8 else format('{:.2f}', b.n / b.t)::double end as confidence from b""",
+)
+sql(
+    "upload_pieces",
+    """with f as (select page_id // 50 as file, 4 + sum(octet_length(encode(coalesce(html, '')))) as n from pages where page_id is not null group by 1),
+    s as (select file, n, case when file % 3 = 0 then 400 when n > 400000 then 413 else 200 end as status from f)
+    select file, status::int as status, case when status = 200 then n end::bigint as bytes, case when status = 200 then ceil(n / 4096) end::bigint as pieces from s""",
+)

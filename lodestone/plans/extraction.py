@@ -26,7 +26,9 @@ def extract(chunks: DataFrame, chat: Callable[[str], str], tries: int = 3, wait:
 
 
 def domains(chunks: DataFrame, chat: Callable[[str], str]) -> DataFrame:
-    """(key, domain) by a chat model's answer; a failed call is general."""
-    answers = run_tasks(chunks.select(F.col("content").alias("item")).distinct(), chat).select("item", "result")
+    """(key, domain, confidence) of chunks (key, content) by a chat model's answer; where the
+    call fails, by keywords. Blank contents are not asked about."""
+    asked = chunks.where(F.trim("content") != "").select(F.col("content").alias("item")).distinct()
+    answers = run_tasks(asked, chat).where("success").select("item", "result")
     rows = chunks.join(answers, F.col("content") == F.col("item"), "left")
-    return rows.select("key", classify.model_domain(F.coalesce("result", F.lit(""))).alias("domain"))
+    return rows.select("key", classify.domain(F.col("content"), "llm", answer=F.col("result")).alias("d")).select("key", "d.*")

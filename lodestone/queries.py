@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestone.functions import classify, markdown, text
 from lodestone.operators import adjacency, graph, limiter, llm_json, metrics, mutation, ranking, rendering, text_index, vector_index, vectors
 from lodestone.plans import corpus, ingest, search, tasks
-from lodestone.sources import store, tables
+from lodestone.sources import store, tables, uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -626,6 +626,43 @@ def offered_load(spark, d):
     return limiter.offered_load(requests, 3600)
 
 
+@query
+def legacy_labels(spark, d):
+    """Legacy labels of customers that were migrated, removed."""
+    c = tables.table(spark, d, "customer")
+    labels = F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("Document"), F.col("c_mktsegment"))).when(F.col("c_custkey") % 4 == 1, F.array(F.lit("Term"))).when(F.col("c_custkey") % 4 == 2, F.array(F.lit("Section"), F.lit("Term"))).otherwise(F.array("c_mktsegment"))
+    out = mutation.remove_legacy_labels(c.select(F.col("c_custkey").alias("id"), labels.alias("labels"), F.when(F.col("c_custkey") % 5 != 4, F.col("c_custkey") % 5 < 3).alias("migrated")))
+    return out.select("id", F.array_join("labels", ",").alias("labels"), "type_legacy")
+
+
+@query
+def store_hits(spark, d):
+    """The nearest points of a vector in the schema that stores share."""
+    found = vectors.top_k(_points(spark, d).withColumn("doc_id", F.col("label")).withColumn("chunk_id", F.col("id") % 7), _vector(spark, d), 25)
+    return vectors.hits(found).select("id", "content", F.round("score", 6).alias("score"), F.col("metadata.doc_id").alias("doc_id"), F.col("metadata.chunk_id").alias("chunk_id"))
+
+
+@query
+def domain_by_model(spark, d):
+    """Domains of documents by a model that fails for some."""
+    docs = tables.table(spark, d, "documents")
+    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("It is "), F.element_at(F.array(*[F.lit(x) for x in ("Law", "physics", "fiction or law")]), (F.col("doc_id") % 9 / 3 + 1).cast("int"))))
+    content = F.when(F.col("doc_id") % 11 == 0, " ").otherwise(F.concat(F.col("text"), F.lit(" the market plot")))
+    return docs.select("doc_id", classify.domain(content, "llm", answer=answer).alias("l")).select("doc_id", "l.*")
+
+
+@query
+def upload_pieces(spark, d):
+    """Files of 50 pages each, read in pieces: those of a third are of no known kind."""
+    folder = f"{tables.scratch(spark)}/files"
+    rows = tables.table(spark, d, "pages").where("page_id is not null").select(F.floor(F.col("page_id") / 50).alias("file"), F.col("page_id").alias("id"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("data"))
+    uploads.write_files(rows.withColumn("name", F.concat(F.col("file").cast("string"), F.lit(".pdf"))), F.when(F.col("file") % 3 > 0, "%PDF").otherwise("HTML"), folder)
+    told = uploads.statuses(uploads.uploads(spark, folder, piece=4096, cap=400_000))
+    name = F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long")
+    taken = lambda c: F.when(F.col("status") == 200, F.col(c)).alias(c)
+    return told.select(name.alias("file"), "status", taken("bytes"), taken("pieces"))
+
+
 @query
 def thai_terms(spark, d):
     tokens = text.segmented(F.col("text"), lambda: lambda t: t.split(" "))

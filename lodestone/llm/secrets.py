@@ -4,8 +4,12 @@ The lexer reads source and configuration syntax into name-literal pairs: ``name
 ``name: value``, ``"name": "value"``, ``name := ...``, ``name => ...``, ``export
 NAME=value``, elements of lists, keys inside objects, blocks below ``name: |`` and
 ``name: >``, ``<name>value</name>``, ``name="key" value="literal"``, ``${NAME:-value}``,
-``set_name("literal")`` and ``put("name", "literal")``; comments are lexed as text of their
-own. A name assigned from other names or joined from parts (``+`` or juxtaposed strings)
+``set_name("literal")``, ``put("name", "literal")`` and ``--name literal``; comments are lexed
+as text of their own. The literals of an object also go to the object's name, those in the
+arguments of a call that decodes them or has them as defaults (PASSES) to the name that the
+call is assigned to; the called name is no literal, nor are names of environment variables
+and bare words among the arguments. A string with a prefix
+(``f"..."``) is one, and takes the names in its braces along. A name assigned from other names or joined from parts (``+`` or juxtaposed strings)
 takes their literals, wherever in the text those are written, so ``k = "..."`` and later
 ``password = k`` reports the literal of ``k``. A literal is scored by how sensitive the names
 are that it reaches and by how much it, or the value that it is joined into, looks like a
@@ -20,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -54,6 +59,13 @@ KEYED = re.compile(r"""\b(?:key|name)\s*=\s*(["'])([\w.:-]+)\1\s+value\s*=\s*(["
 DEFAULT = re.compile(r"\$\{([A-Za-z_]\w*):?[-=]([^{}\s]+)\}", re.A)
 CALL = re.compile(r"""(?<![\w.])([A-Za-z_][\w.]*+)\(\s*(["'])([^"'\n]*)\2\s*(?:,\s*(["'])([^"'\n]*)\4\s*)?(?=[,)])""", re.A)
 HANGING = re.compile(r"""^([ \t]*)(?:-[ \t]+)?["']?([\w.-]+)["']?[ \t]*:[ \t]*[|>][+-]?[0-9]*[ \t]*\n((?:[ \t]*\n)*(\1[ \t]+)[^\s][^\n]*(?:\n(?:\4[^\n]*|[ \t]*(?=\n|\Z)))*)""", re.A | re.M)
+FLAG = re.compile(r"""(?<![\w-])--([A-Za-z][\w-]*)[ \t]+(["']?)([^\s"'=-][^\s"']*)\2(?!\S)""", re.A)
+#: Flags that tell where something is, and strings that are names of environment variables.
+WHERE, VARIABLE = re.compile(r"(?:file|path|dir|url|uri|name|type|ttl|size|length)$", re.I), re.compile(r"[A-Z]+(?:_[A-Z0-9]+)*")
+#: Calls whose result is one of their arguments, decoded or as it is: of others, arguments
+#: say where a value is, not what it is.
+PASSES = re.compile(r"(?:^|[._])(?:getenv|env|environ\.get|\w*decode\w*|\w*encode|fromhex|unhexlify|bytes|bytearray|str|string|strip|trim|unquote|secretstr|secret|buffer\.from|atob)$", re.I | re.A)
+PREFIX, BRACES = re.compile(r"[rRbBfFuU]{1,2}"), re.compile(r"(?<!\{)\{([A-Za-z_][\w.]*)[^{}]*\}", re.A)
 SETTER = re.compile(r"^(?:set|with|put|use|add)[_A-Z]|(?:^|[._])set[A-Z_]")
 
 
@@ -110,18 +122,40 @@ def pairs(text: str) -> Pairs:
             yield m[3], value
         if SETTER.search(m[1]):
             yield m[1], value
+    if "--" in text:
+        for m in FLAG.finditer(text):
+            if not WHERE.search(m[1]):
+                yield m[1], [("literal", m.start(3), m.end(3), bool(m[2]))]
     for m in HANGING.finditer(text):
         lines = [("literal", m.start(3) + x.start(), m.start(3) + x.end(), False) for x in re.finditer(r"[^\s](?:[^\n]*[^\s])?", m[3])]
         yield m[2], lines
 
 
+class Bracket(NamedTuple):
+    """An open bracket: the name that its elements go to after a comma, the name of the object
+    that it is, and whether it holds a call's arguments."""
+
+    sign: str
+    elements: str | None = None
+    whole: str | None = None
+    call: bool = False
+
+
 def assignments(text: str, begin: int, stop: int, code: bool) -> Pairs:
     """Those of the assignments between two places, of ``code`` or of a comment. Each
-    element of a list in [ ] or ( ) is an assignment to the list's name."""
+    element of a list in [ ] or ( ), and each argument of a call, is an assignment to the
+    list's name, and each value of an object in { } one to its key and to the object's name."""
     name = kind = None  # what stands before an assignment sign
-    target, parts, joined = None, [], False
-    opened: list[tuple[str, str | None]] = []  # brackets, and the name that their elements go to
+    target, parts, joined, sign = None, [], False, ""
+    opened: list[Bracket] = []
     element = False  # the target is that of a list, after a comma
+
+    def done() -> Pairs:
+        if target and parts:
+            yield target, parts
+            for whole in dict.fromkeys(o.whole for o in opened if o.whole and o.whole != target):
+                yield whole, parts
+
     for m in LEX.finditer(text, begin, stop):
         kind = m.lastgroup
         if kind == "comment":
@@ -132,57 +166,66 @@ def assignments(text: str, begin: int, stop: int, code: bool) -> Pairs:
             continue
         if kind == "assign" and name and element and parts:
             # a key or keyword inside a list is a name of its own
-            target, parts, joined, name, element = name, [], True, None, False
+            target, parts, joined, name, element, sign = name, [], True, None, False, m[0]
         elif kind == "assign" and name and (not target or not parts or (m[0] != ":" and parts[-1][0] == "name")):
             # "name: Type = ..." keeps the first name
             if not (target and parts and m[0] == "="):
-                if target and parts:
-                    yield target, parts
+                yield from done()
                 target = name
-            parts, joined, name, element = [], True, None, False
+            parts, joined, name, element, sign = [], True, None, False, m[0]
         elif kind in ("line", "end"):
-            inside = opened[-1][1] if opened else None
+            inside = opened[-1].elements if opened else None
             if kind == "line" and target and (inside or (parts and joined)):
                 continue  # a list or a join that goes on in the next line
-            if target and parts:
-                yield target, parts
+            yield from done()
             target, parts, element = None, [], False
             if m[0] != "]":  # as in names["KEY"] = ...
                 name = None
             if m[0] == "," and inside:
                 target, joined, element = inside, True, True
-            elif opened and opened[-1][0] + m[0] in ("[]", "()", "{}"):
+            elif opened and opened[-1].sign + m[0] in ("[]", "()", "{}"):
                 opened.pop()
         elif kind == "plus":
             joined = True
         elif kind == "string":
+            told = m[0][1:-1]
+            if target and parts and parts[-1][0] == "name" and parts[-1][3] in (m.start(), -m.start()) and PREFIX.fullmatch(parts[-1][1]):
+                inner = BRACES.finditer(told) if "f" in parts[-1][1].lower() else ()
+                parts[-1:] = [("name", x[1], 0, 0) for x in inner]
+                joined = True
             if target and (joined or (parts and parts[-1][0] == "literal")):
-                parts.append(("literal", m.start() + 1, m.end() - 1, True))
+                if not (opened and opened[-1].call and VARIABLE.fullmatch(told)):
+                    parts.append(("literal", m.start() + 1, m.end() - 1, True))
                 joined = False
-            name = m[0][1:-1] if NAME.fullmatch(m[0][1:-1]) else None
+            name = told if NAME.fullmatch(told) else None
         elif kind == "word":
             if target and joined:
                 if NAME.fullmatch(m[0]):
-                    parts.append(("name", m[0], m.start(), m.end()))
-                else:
+                    # what a call is given by name has no literal of its own: an empty span
+                    parts.append(("name", m[0], m.end(), -m.end()) if opened and opened[-1].call else ("name", m[0], m.start(), m.end()))
+                elif not (opened and opened[-1].call):
                     parts.append(("literal", m.start(), m.end(), False))
                 joined = False
             elif target and parts:
-                yield target, parts
+                yield from done()
                 target, parts, element = None, [], False
             name = m[0] if NAME.fullmatch(m[0]) else None
         elif kind == "other":
-            if m[0] in "[({":
-                # a list where a value is due; what follows a name is a call or a place
-                opened.append((m[0], target if joined and m[0] != "{" else None))
-                if m[0] == "{" and element:
-                    target, parts, element = None, [], False
+            if m[0] == "(" and target and parts and parts[-1][0] == "name" and parts[-1][3] in (m.start(), -m.start()):
+                # a call: what it passes on stands for the name that is called
+                passes = bool(PASSES.search(parts.pop()[1]))
+                opened.append(Bracket("(", target if passes else None, None, True))
+                joined = passes
+            elif m[0] == "{" and target and joined:
+                opened.append(Bracket("{", None, target if sign != "=>" else None))
+                target, parts, joined, element = None, [], False, False
+            elif m[0] in "[({":
+                # a list where a value is due; what follows a name is a place
+                opened.append(Bracket(m[0], target if joined and m[0] != "{" else None))
             elif m[0] not in "$@":
-                if target and parts:
-                    yield target, parts
-                    target, parts, element = None, [], False
-    if target and parts:
-        yield target, parts
+                yield from done()
+                target, parts, element = None, [], False
+    yield from done()
 
 
 def literals(text: str) -> list[tuple[int, int, float]]:
@@ -206,8 +249,9 @@ def literals(text: str) -> list[tuple[int, int, float]]:
         return Value(counts, quoted, good)
 
     def span(part: Part) -> tuple[int, int, bool]:
-        """Of a literal, or of a bare word that no assignment defines and so is a value."""
-        return part[1:] if part[0] == "literal" else (*part[2:], False)
+        """Of a literal, or of a bare word that no assignment defines and so is a value; an
+        argument's is empty."""
+        return part[1:] if part[0] == "literal" else (part[2], max(part[2], part[3]), False)
 
     def evaluate(first: str) -> None:
         """Values of a name and of those that it is made of, these first."""
@@ -257,7 +301,7 @@ def scan(text: str) -> list[tuple[str, int, int, int, float]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m.start(), 1.0) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), m.start(), 1.0) for m in HEX.finditer(text)]
-    if any(c in text for c in "=:(<") and sensitivity(text):  # else no literal reaches a sensitive name
+    if (any(c in text for c in "=:(<") or "--" in text) and sensitivity(text):  # else no literal reaches a sensitive name
         out += [("literal", a, b, a, s) for a, b, s in literals(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

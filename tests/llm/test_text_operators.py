@@ -236,6 +236,36 @@ def test_secrets_of_more_syntax(text, want):
     assert [text[f[1] : f[2]] for f in secrets.scan(text) if f[0] == "literal"] == want
 
 
+K = "Zx81kQw7Lp29"
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (f'const cfg = {{ password: p }}; const p = "{K}"', [K]),
+        (f'cfg = {{\n  auth: {{ secret: "{K}" }},\n  n: 3 }}', [K]),
+        (f'passwords = {{"prod": "{K}", "dev": "{K}b"}}', [K, K + "b"]),
+        (f'password = os.getenv("DB_PASS", "{K}")', [K]),
+        (f'password = base64.b64decode("{K}")', [K]),
+        (f'password = decode(encode("{K}"), 5)', [K]),
+        (f'password = decode(key=k)\nk = "{K}"', [K]),
+        (f'a = "Qw81kQw7Lp21"\npassword = f"{{a}}{K}"', ["Qw81kQw7Lp21", f"{{a}}{K}"]),
+        (f'password = r"{K}"', [K]),
+        (f"run --token {K} now", [K]),
+        (f'run --token "{K}"', [K]),
+        ("run --token-file path/to/file2.txt", []),
+        ("run --token next word", []),
+        ("password = decode(user2password99)", []),
+        ('password = os.getenv("DATABASE_PASSWORD")', []),
+        (f'password = base64.b64lookup("{K}")', []),
+        (f'x = token => {{ const k = "{K}" }}', []),
+    ],
+)
+def test_secrets_in_objects_calls_and_flags(text, want):
+    assert [text[f[1] : f[2]] for f in secrets.scan(text) if f[0] == "literal"] == want
+    assert not any(w in secrets.redact(text, secrets.scan(text)) for w in want)
+
+
 @pytest.mark.parametrize("text", ["passphrase=" + "a" * 300_000, "${a-" * 60_000 + "token", "<a " * 80_000 + "token:", "token " + "name   " * 40_000, "token:" + " \n" * 100_000, "k = k + k\n" * 20_000 + "token = k", "token: >\n" + "  a\n" * 60_000])
 def test_secrets_of_long_texts_take_no_long_time(text):
     begin = time.process_time()

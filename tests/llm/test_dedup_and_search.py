@@ -178,3 +178,35 @@ def test_top_k_of_many_lengths(spark):
     own = spark.createDataFrame([(50 * n, [0.5] * n) for n in (700, 1400, 2100, 2800)], "vec_id long, embedding array<float>")
     found = {tuple(r) for r in pivots.top_k(other.unionByName(own)).collect()}
     assert found == {(50 * n, 1, 50 * (n - 1) + 1, n * 128 * 256) for n in (700, 1400, 2100, 2800)}
+
+
+def test_annuli_alone_leave_out_clustered_rows():
+    """The share of (query, vector) pairs that whole annuli are left out by at the final
+    scores, and that by all bounds."""
+    rng, k = np.random.default_rng(0), 5
+    centres = rng.normal(size=(100, 64))
+    v = np.floor(pivots.SCALE * (centres[rng.integers(0, 100, 12000)] + 0.3 * rng.normal(size=(12000, 64))))
+    ids = np.arange(len(v))
+    it = pivots.Index(ids[: pivots.SAMPLE], v[: pivots.SAMPLE], k)
+    d, size = it.angles(v), pivots.lengths(v)
+    near = d.argmin(1)
+    r, q = d[ids, near], ids[::50]
+    order = np.lexsort((r, near))
+    rows = []
+    for p in np.unique(near):
+        mine = order[near[order] == p]
+        for a in range(0, len(mine), pivots.BLOCK):
+            some = mine[a : a + pivots.BLOCK]
+            rows.append({"pivot": p, "inner": r[some[0]], "outer": r[some[-1]], "least": size[some].min(), "most": size[some].max(), "ids": ids[some].astype("<i8").tobytes(), "vectors": v[some].tobytes()})
+    products = v[q] @ v.T
+    products[np.arange(len(q)), q] = -np.inf
+    best = np.sort(products, 1)[:, -k]
+    far = it.angles(v[q])
+    alone = sum((pivots.reach(far[:, x["pivot"]], x["inner"], x["outer"], x["least"], x["most"], size[q]) < best).sum() * len(x["ids"]) // 8 for x in rows) / products.size
+    group, visits = pivots.Group(it, np.arange(len(q)), q, v[q], it.first(q, v[q])), [0, 0]
+    pivots.expand(group, rows, k, visits)
+    assert alone >= 0.3 and visits[0] <= 0.02 * visits[1]
+    got = {int(i): sorted(((s, -j) for s, j in heap), key=lambda x: (-x[0], x[1])) for i, heap in zip(group.ids, group.best, strict=True)}
+    for n, i in enumerate(q):
+        top = np.lexsort((ids, -products[n]))[:k]
+        assert got[int(i)] == [(int(products[n, j]), int(j)) for j in top]

@@ -123,7 +123,7 @@ def related_documents(found: DataFrame, doc_id, hops: int = 2, limit: int = 20)
     more."""
     if not 1 <= hops <= MAX_HOPS:
         raise ValueError(f"hops must be between 1 and {MAX_HOPS}")
-    held = found.select("doc_id", "term").distinct()
+    held = _written(found.select("doc_id", "term").distinct())  # read by each hop
     sizes = held.groupBy("doc_id").agg(F.count("*").alias("n"))
     own = held.where(F.col("doc_id") == doc_id).select("term")
     first = held.join(own, "term", "left_semi").groupBy("doc_id").agg(F.count("*").alias("w")).where(F.col("doc_id") != doc_id)
@@ -185,9 +185,14 @@ def _held(rows: DataFrame, most: int = FRONTIER) -> tuple[DataFrame, list | None
     some = rows.limit(most + 1).toArrow()
     if some.num_rows <= most:
         return spark.createDataFrame(some, rows.schema), some.column(0).to_pylist()
-    path = scratch(spark)
+    return _written(rows), None
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """Rows as a table of the shared folder, so that they are computed once."""
+    path = scratch(rows.sparkSession)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path), None
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def expand(edges: DataFrame | Adjacency, seeds: DataFrame, hops: int = 2, limit: int | None = 50, compat: bool = False, nodes: DataFrame | None = None, labels: tuple[str, ...] | None = None) -> DataFrame:

@@ -44,11 +44,11 @@ def fuse(vectors: DataFrame, graph: DataFrame, graph_weight: float = 0.5, vector
     return both.orderBy(F.col("score").desc(), "doc_id").limit(limit)
 
 
-def merge_backends(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Rows (id, score, ...) of two stores, one an id: the higher score, the first store's
-    of equals; by falling score, not cut."""
+def merge_backends(first: DataFrame, second: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Rows (id, score, ...) of two stores, one an id, or one for each of ``keys``: the
+    higher score, the first store's of equals; by falling score, not cut."""
     rows = first.withColumn("backend", F.lit(0)).unionByName(second.withColumn("backend", F.lit(1)))
-    return best(rows.where(present()), ["id"], [F.col("score").desc(), F.col("backend")])
+    return best(rows.where(present()), keys or ["id"], [F.col("score").desc(), F.col("backend")])
 
 
 def parity(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ PARTS = {
     "cards": "cards as (select 0 as query, p_partkey as pos, 'p' || (p_partkey % 120) as id, ['KnowledgeConcept', 'Hardware', 'Strategy', 'Narrative', 'ContentAsset', 'Zeta'][p_partkey % 6 + 1] as label, case when p_partkey % 2 = 0 then p_brand end as name_th, "
     "case when p_partkey % 3 = 0 then p_name end as name_en, case when p_partkey % 5 <> 0 then p_retailprice / 1000 else 0 end as score, p_type as domain, p_name as technical_desc_en, case when p_partkey % 4 <> 0 then p_type end as layman_explanation, case when p_partkey % 4 = 0 then 'like it' end as analogy from part)",
     "titled": r"titled as (select doc_id, case when t = '' then 'Untitled Document' else t end as title from (select doc_id, regexp_replace(regexp_extract(content, '(?m)^#\s+(.+)$', 1), '^\s+|\s+$', '', 'g') as t from docs))",
-    "stores": "q as (select vec_id as query, embedding as e from embeddings where vec_id in (0, 7)), pts as (select query, vec_id as id, " + _cosine("embedding", "e") + " as c from embeddings, q), "
+    "stores": "q as (select vec_id as query, embedding as e from embeddings where vec_id % 20 = 0), pts as (select query, vec_id as id, " + _cosine("embedding", "e") + " as c from embeddings, q where vec_id <> query), "
     "fs as (select query, id, c as score from pts qualify row_number() over (partition by query order by c desc, id) <= 20), ss as (select query, id, (1 + c) / 2 as score from pts where id % 3 <> 0 qualify row_number() over (partition by query order by c desc, id) <= 20)",
 }
 
@@ -242,9 +242,9 @@ sql(
     select r.id, round(score, 6) as score, hops, chain, case when d.doc_id is not null then 'ContentAsset' end as label, upper(lang) || ' ' || source as name_en from r left join documents d on r.id = 'doc:' || d.doc_id""",
 )
 sql("dedupe_rank", "with r as (select vec_id % 100 as id, embedding[1]::double as s, vec_id as pos from embeddings) select id, pos, round(s, 6) as score from r qualify row_number() over (partition by id order by s desc, pos) = 1")
-sql("dual_merge", "with @stores@, u as (select *, 0 as backend from fs where query = 0 union all select *, 1 from ss where query = 0) select id, round(score, 6) as score, backend from u qualify row_number() over (partition by id order by score desc, backend) = 1")
+sql("dual_merge", "with @stores@, u as (select *, 0 as backend from fs union all select *, 1 from ss) select query, id, round(score, 6) as score, backend from u qualify row_number() over (partition by query, id order by score desc, backend) = 1")
 sql("parity_report", "with @stores@ select query, id, round(abs(fs.score - ss.score), 6) as delta from fs join ss using (query, id)")
-sql("parity_counts", "with @stores@, f as (select query, count(*) as n from fs group by 1), s as (select query, count(*) as n from ss group by 1) select f.query::int as query, f.n as first_count, s.n as second_count, (select count(*) from fs join ss using (query, id) where fs.query = f.query) as overlap from f join s using (query)")
+sql("parity_counts", "with @stores@, f as (select query, count(*) as n from fs group by 1), s as (select query, count(*) as n from ss group by 1), o as (select query, count(*) as n from fs join ss using (query, id) group by 1) select f.query, f.n as first_count, s.n as second_count, coalesce(o.n, 0) as overlap from f join s using (query) left join o using (query)")
 CHANGES = "ch as (select o_orderkey as seq, case when o_orderkey % 10 = 0 then 'Unknown' else 'ContentAsset' end as label, 'c' || o_custkey as id, case when o_orderkey % 2 = 1 then o_orderpriority end as name_en, o_orderstatus as domain from orders)"
 sql("node_upsert", f"with {CHANGES}, u as (select -1 as seq, 'ContentAsset' as label, 'c' || c_custkey as id, c_name as name_en, c_mktsegment as domain from customer union all select * from ch where label <> 'Unknown') select label, id, arg_max(domain, seq) filter (domain is not null) as domain, arg_max(name_en, seq) filter (name_en is not null) as name_en from u group by all")
 sql("node_rejects", f"with {CHANGES} select 'unknown label' as reason, count(*) as n from ch where label = 'Unknown' having count(*) > 0")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import classify, markdown, text
-from lodestone.operators import adjacency, graph, limiter, llm_json, metrics, mutation, ranking, rendering, text_index, vector_index, vectors
+from lodestone.operators import adjacency, cells, graph, limiter, llm_json, metrics, mutation, ranking, rendering, text_index, vector_index, vectors
 from lodestone.plans import corpus, ingest, search, tasks
 from lodestone.sources import store, tables, uploads
 
@@ -300,7 +300,7 @@ def _corpus(spark, d):
     edges = docs.select(name.alias("src"), F.concat(F.lit("source:"), "source").alias("dst"), F.lit("FROM_SOURCE").alias("type"))
     points = _points(spark, d)
     edges = edges.unionByName(points.select(F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("label:"), F.col("label").cast("string")).alias("dst"), F.lit("HAS_LABEL").alias("type")))
-    nodes = docs.select(name.alias("id"), F.lit("ContentAsset").alias("label"), F.concat_ws(" ", F.upper("lang"), "source").alias("name_en"), F.substring("text", 1, 60).alias("layman_explanation"))
+    nodes = docs.select(name.alias("id"), F.lit("ContentAsset").alias("label"), F.concat_ws(" ", F.upper("lang"), "source").alias("name_en"))
     return points.select(F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("id"), "embedding"), edges, nodes
 
 
@@ -318,20 +318,18 @@ def dedupe_rank(spark, d):
 
 
 def _two_stores(spark, d):
+    """The nearest other points of ids divisible by 20 in two stores, of which the second
+    lacks some points and scores otherwise."""
     points = _points(spark, d).drop("label")
-    found = None
-    for k in (0, 7):
-        v = _vector(spark, d, k)
-        a = vectors.top_k(points, v, 20).withColumn("query", F.lit(k)).withColumn("store", F.lit(1))
-        b = vectors.top_k(points.where("id % 3 <> 0"), v, 20, mode="unit").withColumn("query", F.lit(k)).withColumn("store", F.lit(2))
-        found = (found.unionByName(a) if found else a).unionByName(b)
-    return found.where("store = 1").drop("store"), found.where("store = 2").drop("store")
+    asked = points.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding")
+    near = lambda p, mode: cells.ranked(vectors.top_k_many(p, asked, 21, mode=mode).drop("rank").where("id <> query"), 20).drop("rank")
+    return near(points, "cosine"), near(points.where("id % 3 <> 0"), "unit")
 
 
 @query
 def dual_merge(spark, d):
     a, b = _two_stores(spark, d)
-    return ranking.merge_backends(a.where("query = 0"), b.where("query = 0")).select("id", F.round("score", 6).alias("score"), "backend")
+    return ranking.merge_backends(a, b, ["query", "id"]).select("query", "id", F.round("score", 6).alias("score"), "backend")
 
 
 @query

@@ -406,3 +406,19 @@ sql(
     s as (select file, n, case when file % 3 = 0 then 400 when n > 400000 then 413 else 200 end as status from f)
     select file, status::int as status, case when status = 200 then n end::bigint as bytes, case when status = 200 then ceil(n / 4096) end::bigint as pieces from s""",
 )
+sql(
+    "expand_compat",
+    """with @star@, steps as (select src as id, dst as nxt, type || ':outgoing' as step from star union all select dst, src, type || ':incoming' from star),
+    one as (select nxt as id, min(step) as chain from steps where id in ('nation:3', 'region:1') and nxt not in ('nation:3', 'region:1') group by 1),
+    two as (select nxt as id, min(chain || '>' || regexp_replace(step, ':outgoing$', ':incoming')) as chain from steps join one using (id) where nxt not in ('nation:3', 'region:1') and nxt not in (select id from one) group by 1)
+    select id, 1 as hops, chain from one union all select id, 2, chain from two""",
+)
+sql("related_before", "with docs as (select item_id as doc_id, text as content from benchmark), @terms@, held as (select distinct doc_id, term from mentions) select a.doc_id as src, b.doc_id as dst, a.term as via_term from held a join held b using (term) where a.doc_id < b.doc_id")
+sql(
+    "keyword_fields",
+    """with m as (select w, n_nationkey as doc_id, n_name as title, count(distinct c_custkey) as c from customer join nation on c_nationkey = n_nationkey, (select unnest(['000001', 'build', 'nation_1']) as w)
+      where contains(lower(c_mktsegment), w) or contains(lower(c_name), w) or contains(lower(n_name), w) group by w, n_nationkey, n_name qualify row_number() over (partition by w order by count(distinct c_custkey) desc, n_nationkey) <= 10)
+    select doc_id::bigint as doc_id, title, sum(c)::bigint as related_count from m group by all order by related_count desc, doc_id limit 10""",
+)
+sql("stage_resume", "select o_orderkey % 10 as x, count(*) as n, 2 * max(o_orderkey) as most from orders group by 1")
+sql("entity_extraction", "select item_id as key, length(text) % 2 = 0 as answered, case when length(text) % 2 = 0 then 'c' || length(text) else '' end as names from benchmark")

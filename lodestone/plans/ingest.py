@@ -135,12 +135,13 @@ def _merged(old: str, new: DataFrame, ids: DataFrame) -> DataFrame:
     return spark.read.parquet(old).join(ids, "doc_id", "left_anti").select(new.columns).unionByName(new)
 
 
-def ingest(docs: DataFrame, out: str, model=vectors.HashingEmbedder, pairs: bool = False, most: int = 50, **chunking) -> list:
+def ingest(docs: DataFrame, out: str, model=vectors.HashingEmbedder, pairs: bool = True, most: int = 50, **chunking) -> list:
     """Writes chunks with embeddings and the graph's tables below ``out``; documents that
     are there already are replaced, by id, and all others stay. A saga: tables are staged
     beside the old ones, which they replace when all are there; what a failed step leaves
     goes, and the old ones are as they were. It writes whole tables: ``corpus.Corpus`` takes
-    batches at the cost of their buckets. RELATED_TO edges are listed only with ``pairs``."""
+    batches at the cost of their buckets, and lists no RELATED_TO edges, which grow with the
+    square of a term's documents: ``pairs=False`` leaves them out here."""
     spark = docs.sparkSession
     mark = uuid.uuid4().hex
     staged, kept = f"{out}/_staged-{mark}", f"{out}/_old-{mark}"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import classify, markdown, text
 from lodestone.operators import adjacency, cells, graph, limiter, llm_json, metrics, mutation, ranking, rendering, text_index, vector_index, vectors
-from lodestone.plans import corpus, ingest, search, tasks
+from lodestone.plans import corpus, extraction, ingest, search, tasks
 from lodestone.sources import store, tables, uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +175,46 @@ def related_pairs(spark, d):
     return graph.related(graph.mentions(_items(spark, d)))
 
 
+@query
+def related_before(spark, d):
+    """Shared terms with the items ingested before, which came by falling id."""
+    items = _items(spark, d)
+    return graph.related(graph.mentions(items), order=items.select("doc_id", (-F.col("doc_id")).alias("seq")))
+
+
+@query
+def keyword_fields(spark, d):
+    """Search of customers' names and segments, and of their nations' names."""
+    docs = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("title"))
+    nodes = tables.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("name"), F.col("c_name").alias("title"))
+    return graph.keyword_search(docs, nodes, "000001 BUILD nation_1 more")
+
+
+@query
+def stage_resume(spark, d):
+    """Stages that are resumed at the second: the first is read as it was."""
+    folder = tables.scratch(spark)
+    rows = tables.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    one = lambda c: ("one", lambda df: df.withColumn("x", F.col("o_orderkey") + c))
+    two = lambda c: ("two", lambda df: df.groupBy((F.col("x") % 10).alias("x")).agg(F.count("*").alias("n"), (F.max("o_orderkey") * c).alias("most")))
+    ingest.stages(rows, [one(0), two(1)], folder)
+    return ingest.stages(rows, [one(5), two(2)], folder, resume="two")
+
+
+@query
+def entity_extraction(spark, d):
+    """Entities of items by a model that answers for even ids and fails for others."""
+
+    def chat(content):
+        if len(content) % 2:
+            raise RuntimeError("no answer")
+        return f'```json\n{{"concepts": [{{"name_en": "c{len(content)}", }}]}}\n```'
+
+    rows = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("content"))
+    out = extraction.extract(rows, chat, tries=1)
+    return out.select("key", "answered", F.when(F.col("answered"), F.array_join(F.transform("entities", lambda e: e["name_en"]), ",")).otherwise("").alias("names"))
+
+
 @query
 def related_paths(spark, d):
     return graph.related_documents(graph.mentions(_items(spark, d)), 0, 3)
@@ -222,6 +262,12 @@ def expand_hops(spark, d):
     return graph.expand(adjacency.Adjacency(spark, f"{name}_edges"), seeds, 2, None)
 
 
+@query
+def expand_compat(spark, d):
+    """Two hops, the second with incoming steps alone, by name."""
+    return graph.expand(_star(spark, d), spark.createDataFrame([("nation:3",), ("region:1",)], "id string"), 2, None, compat=True)
+
+
 @query
 def expand_limit(spark, d):
     return graph.expand(_star(spark, d), spark.createDataFrame([("nation:3",)], "id string"), 3, 50)

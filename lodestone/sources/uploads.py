@@ -4,6 +4,8 @@ task holds a whole file."""
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -117,8 +119,8 @@ def statuses(pieces: DataFrame) -> DataFrame:
 
 def write_files(parts: DataFrame, head: Column, folder: str) -> int:
     """Writes files of parts (name, id, data): ``head``, then the data by id. A file is
-    streamed by one task, which holds a part of it at a time; a task that runs again writes
-    the same file. Returns how many files there are."""
+    streamed by one task, which holds a part of it at a time, under a name of its own that it
+    is moved from, so a task that fails or runs again leaves whole files. Returns how many files there are."""
     from lodestone.sources.tables import make_folder
 
     make_folder(folder)
@@ -128,17 +130,23 @@ def write_files(parts: DataFrame, head: Column, folder: str) -> int:
         from pyarrow import fs
 
         where, path = fs.FileSystem.from_uri(folder)
-        name, out, count = None, None, 0
+        name, out, part, count = None, None, "", 0
+
+        def finish():
+            out.close()
+            where.move(part, f"{path}/{name}")  # a file is there when it is whole
+
         for batch in batches:
             for told, data, head in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 if told != name:
                     if out:
-                        out.close()
-                    name, out, count = told, where.open_output_stream(f"{path}/{told}"), count + 1
+                        finish()
+                    name, part, count = told, f"{path}/.{uuid.uuid4().hex}", count + 1
+                    out = where.open_output_stream(part)
                     out.write(head)
                 out.write(data)
         if out:
-            out.close()
+            finish()
         yield pa.RecordBatch.from_pydict({"n": [count]})
 
     return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

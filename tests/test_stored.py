@@ -193,7 +193,7 @@ def test_corpus_is_what_ingest_writes(spark, tmp_path):
         want = spark.read.parquet(f"{out}/{n}" if n == "points" else f"{out}/graph/{n}")
         same = [c for c in want.columns if c != "embedding"]
         assert sorted(map(tuple, held.read(n).select(*same).collect())) == sorted(map(tuple, want.select(*same).collect())), n
-    for n, df in held.graph().items():
+    for n, df in held.graph(pairs=True).items():
         assert sorted(map(tuple, df.collect())) == sorted(map(tuple, spark.read.parquet(f"{out}/graph/{n}").select(*df.columns).collect())), n
     held.remove(spark.createDataFrame([(20,), (99,)], "doc_id long"))
     assert held.read("documents").where("doc_id = 20").count() == 0 and held.read("documents").count() == 12

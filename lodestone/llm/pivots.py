@@ -14,7 +14,7 @@ inequality says that no annulus left can hold a better one. Inside an annulus th
 distances to all pivots together bound each vector: they give its part in the pivots' span,
 and the lengths of what is left of both bound the rest. Only vectors that this leaves are
 visited, that is, scored. Annuli are thin, so that on clustered vectors the triangle
-inequality leaves out many of them whole (half, in the test of it). On vectors without any
+inequality leaves out many of them whole (two fifths, in the test of it). On vectors without any
 structure (independent components) it excludes none, as all are about as far from every
 pivot as from each other, and the bound by all pivots does the work.
 
@@ -45,7 +45,7 @@ SCALE = 256
 SAMPLE, PIVOTS = 4096, 512
 #: Share of the sample's squared lengths that may lie outside the span of the pivots.
 OUTSIDE = 0.25
-BLOCK, QUERIES = 64, 512
+BLOCK, QUERIES = 128, 512
 #: Bytes of queries that one pass through the annuli takes.
 PASS = 32 << 20
 #: Slack of bounds against rounding, relative to the product of the lengths.
@@ -163,7 +163,7 @@ def annuli(rows: DataFrame, index, k: int) -> DataFrame:
             if batch.num_rows:
                 held.append(batch)
                 count += batch.num_rows
-            if count >= 64 * BLOCK:
+            if count >= 32 * BLOCK:
                 yield rows_of(pa.Table.from_batches(held))
                 held, count = [], 0
         if held:

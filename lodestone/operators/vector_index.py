@@ -22,7 +22,7 @@ from lodestone.operators.vectors import best, matrix, orders, scored, unit
 from lodestone.sources import store
 
 #: Most lists of an index; most vectors, and numbers in them, that its model learns from.
-MAX_LISTS, SAMPLE, NUMBERS = 4096, 1 << 17, 1 << 25
+MAX_LISTS, SAMPLE, NUMBERS = 4096, 1 << 17, 1 << 23
 #: Numbers of a vector that one code byte stands for, and most code words.
 PIECE, WORDS = 8, 256
 #: Sample queries that tell how many lists to probe, and the neighbours they ask for.

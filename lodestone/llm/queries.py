@@ -78,7 +78,8 @@ def op5_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = html_text.extract(pages, weights=html_text.fit(pages))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -5,6 +5,7 @@ import html
 import os
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -48,12 +49,75 @@ def test_the_cut_decides():
     assert {"So be it", "Agreed", "Yes", "I", "II"} <= set(turned)
 
 
-def test_articles_of_the_test_pages():
-    """Each test page's text is that of its article element."""
+def given() -> list[str]:
     path = "/root/testdata/sf0.1/pages.parquet"
     if not os.path.exists(path):
         pytest.skip("no test tables")
-    for page in pq.read_table(path, columns=["html"]).column(0).to_pylist():
-        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
-        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1|ul|li|h2|div)\b[^>]*>", inner)]
-        assert html_text.main_text(page) == "\n".join(x for x in parts if x)
+    return pq.read_table(path, columns=["html"]).column(0).to_pylist()
+
+
+def of_articles(page):
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1|ul|li|h2|div)\b[^>]*>", inner)]
+    return [x for x in parts if x]
+
+
+def test_articles_of_the_test_pages():
+    """Each test page's text is that of its article element."""
+    for page in given():
+        assert html_text.main_text(page) == "\n".join(of_articles(page))
+
+
+def test_classifier_and_cut(spark):
+    """With learned weights, which see no element around a block, blocks err by themselves and
+    the cut mends all of it, on the given pages and on those above."""
+    pages = given()
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id long, html string")
+    weights = html_text.fit(df)
+    assert weights == html_text.fit(df.repartition(5)) and weights != html_text.PRIOR
+    blocks = turned = alone = 0
+    for page in pages:
+        found = html_text.labelled(page, weights)
+        want = "\n".join(of_articles(page))
+        assert "\n".join(text for text, _, keep in found if keep) == want
+        blocks += len(found)
+        turned += sum(keep != (score > 0) for _, score, keep in found)
+        alone += "\n".join(text for text, score, _ in found if score > 0) == want
+    print(f"the cut turns {turned} of {blocks} labels; without it {alone} of {len(pages)} pages are right")
+    assert turned > 0.01 * blocks and alone < 0.8 * len(pages)
+    for page in PAGES.values():
+        assert html_text.main_text(re.sub("[«»]", "", page), weights) == wanted(page)
+
+
+def test_fit_on_odd_tables(spark):
+    """Pages without an article or main element, null ones and none give the fixed weights;
+    repeated rows and columns of clashing names or without a hash do not matter."""
+    kind = "html string, hash string, x int, m map<string,int>"
+    page = re.sub("[«»]", "", PAGES["a list and a table of the article"])
+    none = spark.createDataFrame([(None, "h", 1, {}), ("", None, None, None), ("<p>Some text.", "h", 1, {"a": 1})], kind)
+    assert html_text.fit(none) == html_text.fit(none.limit(0)) == html_text.PRIOR
+    many = html_text.fit(spark.createDataFrame([(page, "h", 1, {})] * (html_text.PAGES + 500), kind).repartition(3))
+    same = html_text.fit(spark.createDataFrame([(page, "h", 1, {})] * html_text.PAGES, kind))
+    assert many == pytest.approx(same) and many != html_text.PRIOR
+
+
+def test_weights_by_slow_descent():
+    """Newton's weights are where the penalised likelihood has no slope."""
+    rng = np.random.default_rng(3)
+    x = rng.random((400, len(html_text.PRIOR)))
+    y = rng.random(400) < 0.4
+    w = np.array(list(html_text.learned(x, y).values()))
+    start = np.array(list(html_text.PRIOR.values()))
+    cost = lambda v: np.sum(np.logaddexp(0, x @ v) - y * (x @ v)) + np.sum((v - start) ** 2) / (2 * html_text.VARIANCE)
+    for k in range(len(w)):
+        for d in (1e-3, -1e-3):
+            other = w.copy()
+            other[k] += d
+            assert cost(other) > cost(w)
+
+
+def test_long_pages_are_learned_from_evenly():
+    page = "<article>" + "<p>One.<p>Two" * 1000 + "</article>"
+    x, y = html_text.examples(page)
+    assert len(x) <= html_text.BLOCKS and len(x) == len(y) and y.all() and html_text.examples(page, masked=True)[0][:, 4:].sum() == 0
+    assert [len(z) for z in html_text.examples("")] == [0, 0]

@@ -422,3 +422,16 @@ sql(
 )
 sql("stage_resume", "select o_orderkey % 10 as x, count(*) as n, 2 * max(o_orderkey) as most from orders group by 1")
 sql("entity_extraction", "select item_id as key, length(text) % 2 = 0 as answered, case when length(text) % 2 = 0 then 'c' || length(text) else '' end as names from benchmark")
+sql(
+    "folder_conversion",
+    """with f as (select page_id, trim(case when page_id % 3 = 1 then 'from pub: ' else '' end || coalesce(html, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t
+      from pages where page_id % 3 < 2 and page_id % 5 <> 0)
+    select page_id, length(t) as n, md5(t) as digest from f where t <> ''""",
+)
+sql("instruction_dataset", "select 'Summarise the document.' as instruction, '' as input, md5(text) as digest, count(*) as n from documents where doc_id % 7 <> 0 group by text")
+sql(
+    "stored_documents",
+    """with o as (select doc_id as id, text from documents where doc_id % 4 <> 0 and text <> ''), n as (select doc_id as id from documents union all select -1 - doc_id from documents)
+    select id, o.id is not null as matched, length(text) as n_chars, length(text) - length(replace(text, ' ', '')) as n_spaces from n left join o using (id)""",
+)
+sql("classify_both", f"select doc_id, d.domain, l.language, d.confidence as domain_confidence, l.confidence as language_confidence from ({ORACLE_SQL['detect_domain']}) d join ({ORACLE_SQL['detect_language']}) l using (doc_id)")

@@ -27,12 +27,12 @@ def hybrid_search(points: DataFrame, edges: DataFrame, nodes: DataFrame, query:
 def search_context(rows: DataFrame, query: str | Column = "") -> DataFrame:
     """One row: query, context_block and total_nodes of hybrid_search's rows. Where nothing
     was found, or nothing that has an id, the block says so."""
-    spark, asked = rows.sparkSession, F.lit(query) if isinstance(query, str) else query
+    asked = F.lit(query) if isinstance(query, str) else query
     rows = rows.withColumn("query", F.lit(0)).withColumn("pos", F.struct("hops", "id"))
     first = rows.where("score > 0 or hops = 0").withColumn("hops", F.lit(None).cast("int"))
     told = rendering.context_block(first, rows.where("hops > 0"))
     seeds = rows.where("hops = 0").agg(F.count("*").alias("seeds"))
-    one = spark.range(1).select(F.lit(0).alias("query")).crossJoin(F.broadcast(seeds)).join(told, "query", "left")
+    one = seeds.withColumn("query", F.lit(0)).join(told, "query", "left")
     empty = F.when(F.col("seeds") == 0, rendering.no_results(asked)).otherwise(rendering.no_valid_nodes(asked))
     return one.select(asked.alias("query"), F.coalesce("context_block", empty).alias("context_block"), F.coalesce("total_nodes", F.lit(0)).cast("long").alias("total_nodes"))
 

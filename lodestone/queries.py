@@ -754,6 +754,61 @@ def document_routing(spark, d):
     return out.select(F.element_at(F.split("path", "-"), 1).cast("long").alias("s_suppkey"), "success", "text", "pages")
 
 
+@query
+def folder_conversion(spark, d):
+    """Pages as files of three kinds that a folder's conversion makes Markdown files of, which
+    are read back: text files are not taken, every fifth page fails, a .pub file goes
+    through another format first."""
+    folder = tables.scratch(spark)
+    kind = F.element_at(F.array(*map(F.lit, ("pdf", "pub", "txt"))), (F.col("page_id") % 3 + 1).cast("int"))
+    pages = tables.table(spark, d, "pages").where("page_id is not null").select(F.concat_ws(".", "page_id", kind).alias("name"), F.col("html").alias("content"))
+    tables.write_files(pages, f"{folder}/in", suffix="")
+
+    def pdf(path, content):
+        if int(path.rsplit("/", 1)[-1].split(".")[0]) % 5 == 0:
+            raise ValueError("damaged")
+        return content.decode(), content.count(b"<p>")
+
+    tables.convert_folder(spark, f"{folder}/in", f"{folder}/out", tables.by_extension(pdf, lambda path, content: b"from pub: " + content))
+    found = tables.scan_files(spark, f"{folder}/out", ("md",), content=True, ordered=False)
+    told = F.decode("content", "UTF-8")
+    return found.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("page_id"), F.char_length(told).cast("long").alias("n"), F.md5("content").alias("digest"))
+
+
+@query
+def instruction_dataset(spark, d):
+    """Conversion results as a data set of instructions, written and read back."""
+    path = f"{tables.scratch(spark)}/dataset"
+    results = tables.table(spark, d, "documents").select(F.col("doc_id").alias("path"), (F.col("doc_id") % 7 != 0).alias("success"), "text")
+    tables.write_dataset(results, path, "Summarise the document.")
+    rows = spark.read.schema("instruction string, input string, output string").json(path)
+    return rows.groupBy("instruction", "input", F.md5("output").alias("digest")).agg(F.count("*").alias("n"))
+
+
+class _Sizes:
+    """Tells texts apart by their characters and spaces; fails on those of no character."""
+
+    def encode(self, texts):
+        if not all(texts):
+            raise ValueError("empty text")
+        return [[len(t), t.count(" ")] for t in texts]
+
+
+@query
+def stored_documents(spark, d):
+    """Nodes of documents with the embedding of the document's whole text; one in four
+    documents is not offered, and nodes of no document stay as they are."""
+    docs = tables.table(spark, d, "documents")
+    nodes = docs.select(F.col("doc_id").alias("id")).unionByName(docs.select((-1 - F.col("doc_id")).alias("id"))).withColumn("embedding", F.lit(None).cast("array<float>"))
+    told = ingest.embed_nodes(nodes, docs.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), _Sizes)
+    return told.select("id", "matched", F.get("embedding", 0).cast("long").alias("n_chars"), F.get("embedding", 1).cast("long").alias("n_spaces"))
+
+
+@query
+def classify_both(spark, d):
+    return _docs(spark, d).select("doc_id", classify.both(F.col("content")).alias("b")).select("doc_id", "b.*")
+
+
 @query
 def file_scan(spark, d):
     found = tables.scan_files(spark, d, ("parquet",))

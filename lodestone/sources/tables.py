@@ -37,14 +37,16 @@ def make_folder(uri: str) -> None:
     where.create_dir(path, recursive=True)
 
 
-def scan_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, max_mb: int | None = BATCH_MB, content: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, max_mb: int | None = BATCH_MB, content: bool = False, ordered: bool = True) -> DataFrame:
     """Files of a folder by path: path, length, and content if asked for (the metadata
-    scan alone opens no file). Larger files than ``max_mb`` are left out."""
+    scan alone opens no file). Larger files than ``max_mb`` are left out. Without ``ordered``
+    files stay where they are read, in no order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     files = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions))
     if max_mb is not None:
         files = files.where(F.col("length") <= max_mb * 1048576)
-    return files.select("path", "length", *(["content"] if content else [])).orderBy("path")
+    files = files.select("path", "length", *(["content"] if content else []))
+    return files.orderBy("path") if ordered else files
 
 
 def upload_status(content: Column, cap_mb: int = UPLOAD_MB) -> Column:
@@ -115,7 +117,7 @@ def convert(files: DataFrame, converter: Converter) -> DataFrame:
 def convert_folder(spark: SparkSession, folder: str, out: str, converter: Converter, max_mb: int | None = BATCH_MB) -> int:
     """Converts the PDF and PUB files of a folder to Markdown files in another one; returns
     how many gave a text."""
-    done = convert(scan_files(spark, folder, max_mb=max_mb, content=True), converter).where("success and text <> ''")
+    done = convert(scan_files(spark, folder, max_mb=max_mb, content=True, ordered=False), converter).where("success and text <> ''")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     return write_files(done.select(name.alias("name"), F.col("text").alias("content")), out)
 

@@ -8,18 +8,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def blocks(points: DataFrame, queries: DataFrame, keys: list[str], most_points: int, most_queries: int) -> DataFrame:
-    """(keys, p, q) of the keys that both have: how many blocks points and queries make."""
+#: Most numbers in the vectors of a block, by the mean.
+NUMBERS = 1 << 22
+
+
+def within(most: int, size: int | Column) -> Column:
+    """At most ``most`` vectors of a size to a block, fewer if they are long."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(NUMBERS) / size)))
+
+
+def blocks(points: DataFrame, queries: DataFrame, keys: list[str], most_points: int | Column, most_queries: int | Column) -> DataFrame:
+    """(keys, p, q) of the keys that both have: how many blocks points and queries make, of
+    at most so many rows by the mean, which may depend on the key."""
     count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
     size = lambda c, most: F.ceil(F.col(c) / most).cast("int")
     both = count(points, "n").join(count(queries, "m"), keys)
     return both.select(*keys, size("n", most_points).alias("p"), size("m", most_queries).alias("q"))
 
 
-def matched(points: DataFrame, queries: DataFrame, keys: list[str], cell: Callable[[pa.Table, pa.Table], pa.Table], schema: str, most_points: int, most_queries: int, told: DataFrame | None = None) -> DataFrame:
+def matched(points: DataFrame, queries: DataFrame, keys: list[str], cell: Callable[[pa.Table, pa.Table], pa.Table], schema: str, most_points: int | Column, most_queries: int | Column, told: DataFrame | None = None) -> DataFrame:
     """Rows that ``cell(points, queries)`` returns for each cell of blocks of both sides (the
     first column of each is its id). ``told`` are the blocks if they are known already."""
     told = blocks(points, queries, keys, most_points, most_queries) if told is None else told

@@ -12,6 +12,7 @@ index is made, on the sample that its model learns from, as the fewest that reac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ TRIALS, NEIGHBOURS = 256, 10
 RERANK = 32
 #: Most vectors and queries of a task's cell by the mean; queries scored together.
 MAX_POINTS, MAX_QUERIES, SLICE = 1 << 14, 1 << 12, 32
+#: Most numbers of a matrix that a task makes at once: distances, scores, queries by lists.
+AT_ONCE = 1 << 19
 ABOUT = "name string, type string, labels string, properties string, dimensions int, lists int, probes int, vectors long"
 
 
@@ -53,8 +56,8 @@ def means(x: np.ndarray, k: int, rng: np.random.Generator, spherical: bool, roun
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The nearest centre of each row."""
-    half = (centres**2).sum(1) / 2
-    return np.concatenate([np.empty(0, np.int64), *[(x[a : a + 4096] @ centres.T - half).argmax(1) for a in range(0, len(x), 4096)]])
+    half, step = (centres**2).sum(1) / 2, max(1, AT_ONCE // max(1, len(centres)))
+    return np.concatenate([np.empty(0, np.int64), *[(x[a : a + step] @ centres.T - half).argmax(1) for a in range(0, len(x), step)]])
 
 
 class Model:
@@ -94,15 +97,29 @@ def learned(x: np.ndarray, lists: int, recall: float, seed: int = 0) -> Model:
     words = [means(rest[:, p], min(WORDS, max(1, len(x) // 4)), rng, False) for p in pieces]
     model = Model(centroids, words, lists)
     asked = rng.choice(len(x), min(TRIALS, len(x)), replace=False)
-    scores = x[asked] @ x.T
-    scores[np.arange(len(asked)), asked] = np.nan
-    rows, columns = best(scores, np.arange(len(x)), NEIGHBOURS)
-    rank = np.argsort(model.nearby(x[asked], lists), axis=1)[rows, near[columns]]
+    ranks, step = [np.empty(0, np.int64)], max(1, AT_ONCE // max(1, len(x)))
+    for some in (asked[a : a + step] for a in range(0, len(asked), step)):
+        scores = x[some] @ x.T
+        scores[np.arange(len(some)), some] = np.nan
+        rows, columns = best(scores, np.arange(len(x)), NEIGHBOURS)
+        ranks.append(np.argsort(model.nearby(x[some], lists), axis=1)[rows, near[columns]])
+    rank = np.concatenate(ranks)
     if len(rank):
         model.probes = int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall * len(rank))) - 1)]) + 1
     return model
 
 
+def probed(batch: pa.RecordBatch, model: Model, probes: int) -> Iterator[pa.RecordBatch]:
+    """(query, embedding, list) of the lists to look into for each query of a batch, a few
+    queries at a time: what is held at once does not grow with queries or lists."""
+    step = max(1, AT_ONCE // max(1, len(model.centroids), probes * model.centroids.shape[1]))
+    for a in range(0, batch.num_rows, step):
+        some = batch.slice(a, step)
+        at = model.nearby(unit(matrix(some.column(1))), probes)
+        where = pa.array(np.repeat(np.arange(some.num_rows), at.shape[1]))
+        yield pa.RecordBatch.from_arrays([some.column(0).take(where), some.column(1).take(where), pa.array(at.ravel().astype(np.int32))], ["query", "embedding", "list"])
+
+
 class VectorIndex:
     """A catalogue of indexes below a folder that driver and executors share. Names are told
     apart as folders, so nothing is kept in the driver."""
@@ -269,10 +286,7 @@ class VectorIndex:
 
         def probe(batches):
             for batch in batches:
-                if batch.num_rows:
-                    at = held.value.nearby(unit(matrix(batch.column(1))), probes)
-                    where = pa.array(np.repeat(np.arange(batch.num_rows), at.shape[1]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(at.ravel().astype(np.int32))], ["query", "embedding", "list"])
+                yield from probed(batch, held.value, probes)
 
         path = store.scratch(self.spark)
         asked.mapInArrow(probe, f"query {kinds['query']}, embedding array<float>, list int").write.parquet(path)
@@ -298,7 +312,7 @@ class VectorIndex:
             return pa.concat_tables(parts)
 
         schema = f"query {kinds['query']}, id {dict(points.dtypes)['id']}, label string, score double"
-        found = cells.matched(points, asked, ["list"], cell, schema, MAX_POINTS, MAX_QUERIES)
+        found = cells.matched(points, asked, ["list"], cell, schema, cells.within(MAX_POINTS, told["dimensions"]), cells.within(MAX_QUERIES, told["dimensions"]))
         return cells.ranked(found.withColumn("score", scored(F.col("score"), mode)), k)
 
 

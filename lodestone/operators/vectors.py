@@ -16,7 +16,7 @@ from lodestone.operators import cells
 
 #: Most points and queries of a cell of a many-query search, by the mean; queries of it that
 #: are scored together.
-MAX_POINTS, MAX_QUERIES, SLICE = 1 << 15, 1 << 14, 128
+MAX_POINTS, MAX_QUERIES, SLICE = 1 << 14, 1 << 14, 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -117,7 +117,7 @@ def top_k_many(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
         return pa.concat_tables(parts)
 
     schema = f"query {dict(asked.dtypes)['query']}, id {dict(held.dtypes)['id']}, score double"
-    found = cells.matched(held, asked, ["size"], cell, schema, MAX_POINTS, MAX_QUERIES)
+    found = cells.matched(held, asked, ["size"], cell, schema, cells.within(MAX_POINTS, F.col("size")), cells.within(MAX_QUERIES, F.col("size")))
     return cells.ranked(found.withColumn("score", scored(F.col("score"), mode)), k)
 
 

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -301,3 +302,31 @@ def test_mutations_of_repeated_keys(spark):
     assert got == {"n": ([1.0], True), "m": (None, True)}
     ids = spark.createDataFrame([("n",), ("n",), (None,)], "id string")
     assert sorted((r["id"], r["embedding"], r["matched"]) for r in mutation.delete_embeddings(nodes, ids).collect()) == [("m", None, False), ("n", None, True)]
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_model_is_learned_a_few_trials_at_a_time():
+    x = vectors.unit(np.random.default_rng(1).normal(size=(60_000, 8)))
+    model, most = peak_mb(lambda: vector_index.learned(x, 16, 0.95))
+    # scores of all 256 trials are 123 MB, and choosing the best copies them
+    assert most < 60 and 1 <= model.probes <= 16
+
+
+def test_queries_are_dealt_to_lists_a_few_at_a_time():
+    x = np.random.default_rng(2).normal(size=(2000, 16)).astype("float32")
+    model = vector_index.learned(vectors.unit(x[:1200].astype(float)), 300, 0.95)
+    batch = pa.RecordBatch.from_pydict({"query": list(range(2000)), "embedding": list(x)}, pa.schema([("query", pa.int64()), ("embedding", pa.list_(pa.float32()))]))
+    parts = list(vector_index.probed(batch, model, 200))
+    assert max(p.num_rows for p in parts) * 16 <= vector_index.AT_ONCE and len(parts) > 10
+    got = pa.Table.from_batches(parts)
+    assert np.array_equal(got["query"].to_numpy(), np.repeat(np.arange(2000), 200))
+    assert np.array_equal(got["list"].to_numpy().reshape(2000, 200), model.nearby(vectors.unit(x.astype(float)), 200))
+    assert np.array_equal(vectors.matrix(got["embedding"]), np.repeat(x, 200, axis=0))

@@ -146,6 +146,17 @@ def test_validation(spark):
     assert out[1] is None and out[2] is None
 
 
+def test_heuristic_entities_compute_the_domain_once(spark):
+    rows = spark.createDataFrame([(1, ["Alpha", "pay $1 \\\\ now", None]), (2, [])], "id long, terms array<string>")
+    # a domain that is another one each time it is computed
+    found = rows.select("id", llm_json.heuristic(F.col("terms"), F.uuid(), F.col("id").cast("string")).alias("e"))
+    got = {r["id"]: r["e"] for r in found.collect()}
+    assert got[2] == [] and len({e["domain"] for e in got[1]}) == 1
+    for e, term in zip(got[1], ["Alpha", "pay $1 \\\\ now", None], strict=True):
+        for k, v in llm_json.TEMPLATES.items():
+            assert e[k] == (None if term is None and "{term}" in v else v.replace("{term}", term or ""))
+
+
 def test_rendering(spark):
     nodes = spark.createDataFrame([(0, 0, "a", "Hardware", "A", None, 0.5), (0, 1, "b", "Odd", None, "B", 0.9), (0, 2, "a", "Hardware", "Z", None, 1.0), (0, 3, None, "Odd", "Q", "Q", 1.0)], "query int, pos int, id string, label string, name_en string, name_th string, score double")
     text = rendering.assemble(nodes, "en").first()["context"]

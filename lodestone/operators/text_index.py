@@ -39,23 +39,26 @@ class TextIndex:
     def build(cls, documents: DataFrame, nodes: DataFrame, name: str, buckets: int | None = None) -> TextIndex:
         """Indexes documents (doc_id, title) and nodes (doc_id, node, name, and title if they
         have one)."""
-        fields = [c for c in ("name", "title") if c in nodes.columns]
+        spark, fields = documents.sparkSession, [c for c in ("name", "title") if c in nodes.columns]
+        # both are read several times, and what they come from may be dear
+        path = store.scratch(spark)
+        documents.select("doc_id", "title").write.parquet(f"{path}/documents")
+        nodes.where("node is not null").select("doc_id", "node", *fields).write.parquet(f"{path}/nodes")
+        documents, nodes = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/nodes")
         low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
         uses = documents.select("doc_id", F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("node"), low("title").alias("low"))
         for c in fields:
-            uses = uses.unionByName(nodes.where("node is not null").select("doc_id", "node", low(c).alias("low")))
+            uses = uses.unionByName(nodes.select("doc_id", "node", low(c).alias("low")))
         uses = uses.where("low <> ''").withColumn("text_id", F.xxhash64("low"))
-        path = store.scratch(documents.sparkSession)
-        uses.write.parquet(path)
-        uses = documents.sparkSession.read.parquet(path)
         store.bucketed(uses.select("text_id", "low").distinct(), f"{name}_texts", "text_id", buckets)
-        texts = documents.sparkSession.table(f"{name}_texts")
-        store.bucketed(each(texts, ["text_id"], trigrams(F.col("low")), "gram").select("gram", "text_id").distinct(), f"{name}_postings", "gram", buckets)
+        # a text's trigrams are distinct; where two texts have one hash, a search tells
+        grams = each(spark.table(f"{name}_texts"), ["text_id"], trigrams(F.col("low")), "gram").select("gram", "text_id")
+        store.bucketed(grams, f"{name}_postings", "gram", buckets)
         store.bucketed(uses.distinct(), f"{name}_uses", "text_id", buckets)
-        sizes = nodes.where("node is not null").groupBy("doc_id").agg(F.countDistinct("node").alias("n"))
-        store.bucketed(documents.select("doc_id", "title").join(sizes, "doc_id", "left"), f"{name}_documents", "doc_id", buckets)
-        store.delete(documents.sparkSession, path)
-        return cls(documents.sparkSession, name)
+        sizes = nodes.groupBy("doc_id").agg(F.countDistinct("node").alias("n"))
+        store.bucketed(documents.join(sizes, "doc_id", "left"), f"{name}_documents", "doc_id", buckets)
+        store.delete(spark, path)
+        return cls(spark, name)
 
     def matching(self, words: list[str]) -> DataFrame:
         """(word, text_id, low) of the names that contain each word (lower-cased)."""
@@ -69,7 +72,7 @@ class TextIndex:
             needed = {w: sum(x == w for x, _ in grams) for w, _ in grams}
             asked = spark.createDataFrame([(w, g, needed[w]) for w, g in grams], "word string, gram string, needed int")
             posts = self.table("postings").where(F.col("gram").isin(sorted({g for _, g in grams}))).join(F.broadcast(asked), "gram")
-            hits = posts.groupBy("word", "text_id", "needed").agg(F.count("*").alias("n")).where("n = needed").select("word", "text_id")
+            hits = posts.groupBy("word", "text_id", "needed").agg(F.countDistinct("gram").alias("n")).where("n = needed").select("word", "text_id")
             hits = hits.join(texts, "text_id").where(F.contains("low", F.col("word"))).select("word", "text_id", "low")
             found = hits if found is None else found.unionByName(hits)
         return found

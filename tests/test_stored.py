@@ -10,6 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import queries
+from lodestone.functions import markdown
 from lodestone.operators import cells, graph, mutation, vector_index, vectors
 from lodestone.operators.adjacency import Adjacency
 from lodestone.operators.text_index import TextIndex
@@ -330,3 +332,35 @@ def test_queries_are_dealt_to_lists_a_few_at_a_time():
     assert np.array_equal(got["query"].to_numpy(), np.repeat(np.arange(2000), 200))
     assert np.array_equal(got["list"].to_numpy().reshape(2000, 200), model.nearby(vectors.unit(x.astype(float)), 200))
     assert np.array_equal(vectors.matrix(got["embedding"]), np.repeat(x, 200, axis=0))
+
+
+def test_graph_search_converts_each_page_once(spark, data, tmp_path, monkeypatch):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    seen, plain = spark.sparkContext.accumulator(0), markdown.from_html
+
+    @F.udf("string")
+    def counted(html):
+        seen.add(1)
+        return html
+
+    monkeypatch.setattr(markdown, "from_html", lambda html: plain(counted(html)))
+    found = queries.QUERIES["graph_search"](spark, str(tmp_path)).collect()
+    assert seen.value == pages.count()
+    assert [tuple(r) for r in found] == [tuple(r) for r in queries.QUERIES["graph_search"](spark, data).collect()]
+
+
+def test_an_index_of_names_reads_its_nodes_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        seen.add(1)
+        return name
+
+    documents = spark.createDataFrame([(1, "Alpha"), (2, None)], "doc_id long, title string")
+    nodes = spark.createDataFrame([(1, "a", "Beta beta"), (1, "b", "gamma"), (2, "a", "Beta beta"), (2, None, "lost")], "doc_id long, node string, name string")
+    index = TextIndex.build(documents, nodes.withColumn("name", counted("name")), "names_once", 2)
+    assert seen.value == 3  # nodes that are none are not looked at
+    assert sorted(map(tuple, index.search("beta alp").collect())) == [(1, "Alpha", 3), (2, None, 1)]
+    index.drop()

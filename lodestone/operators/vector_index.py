@@ -295,6 +295,8 @@ class VectorIndex:
         points = points.where(F.col("list").isin(*lists)) if lists else points.limit(0)
 
         def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not (left.num_rows and right.num_rows):  # few to a block: one may be empty
+                return pa.Table.from_arrays([right["query"].slice(0, 0), left["id"].slice(0, 0), left["label"].slice(0, 0), pa.chunked_array([], pa.float64())], ["query", "id", "label", "score"])
             codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(left.num_rows, -1)
             v, q, order = unit(matrix(left["embedding"])), unit(matrix(right["embedding"])), orders(left["id"])
             at, parts = left["list"][0].as_py(), []

@@ -108,6 +108,8 @@ def top_k_many(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     held, asked = sized(points.select(F.col(id_col).alias("id"), vector(vector_col))), sized(queries.select("query", vector("embedding")))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):  # few to a block: one may be empty
+            return pa.Table.from_arrays([right["query"].slice(0, 0), left["id"].slice(0, 0), pa.chunked_array([], pa.float64())], ["query", "id", "score"])
         v, q, order = unit(matrix(left["v"])).T, unit(matrix(right["v"])), orders(left["id"])
         parts = []
         for a in range(0, len(q), SLICE):

@@ -364,3 +364,22 @@ def test_an_index_of_names_reads_its_nodes_once(spark):
     assert seen.value == 3  # nodes that are none are not looked at
     assert sorted(map(tuple, index.search("beta alp").collect())) == [(1, "Alpha", 3), (2, None, 1)]
     index.drop()
+
+
+def test_long_vectors_make_smaller_blocks(spark, monkeypatch):
+    rng, made, plain = np.random.default_rng(3), [], cells.matched
+    rows = [(i, rng.normal(size=4 if i < 100 else 32).tolist()) for i in range(120)]
+    points = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = points.where("id % 5 = 0").select(F.col("id").alias("query"), "embedding")
+    want = sorted(map(tuple, vectors.top_k_many(points, asked, 3).collect()))
+
+    def matched(points, queries, keys, cell, schema, most_points, most_queries, told=None):
+        made.extend(map(tuple, cells.blocks(points, queries, keys, most_points, most_queries).collect()))
+        return plain(points, queries, keys, cell, schema, most_points, most_queries, told)
+
+    monkeypatch.setattr(cells, "matched", matched)
+    monkeypatch.setattr(cells, "NUMBERS", 64)
+    got = sorted(map(tuple, vectors.top_k_many(points, asked, 3).collect()))
+    assert sorted(made) == [(4, 7, 2), (32, 10, 2)]  # 16 vectors of 4 numbers, 2 of 32
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want])

@@ -383,3 +383,10 @@ def test_long_vectors_make_smaller_blocks(spark, monkeypatch):
     assert sorted(made) == [(4, 7, 2), (32, 10, 2)]  # 16 vectors of 4 numbers, 2 of 32
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
     assert np.allclose([r[2] for r in got], [r[2] for r in want])
+
+
+def test_two_stores_give_the_same_in_blocks_of_any_size(spark, data, monkeypatch):
+    want = sorted(map(tuple, queries.QUERIES["dual_merge"](spark, data).collect()))
+    monkeypatch.setattr(cells, "NUMBERS", 64 * 100)
+    got = sorted(map(tuple, queries.QUERIES["dual_merge"](spark, data).collect()))
+    assert [(q, i, b) for q, i, _, b in got] == [(q, i, b) for q, i, _, b in want]

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lodestone.operators import cells
 
 #: Most points and queries of a cell of a many-query search, by the mean; queries of it that
-#: are scored together.
-MAX_POINTS, MAX_QUERIES, SLICE = 1 << 14, 1 << 14, 32
+#: are scored together; rows that are made unit vectors together.
+MAX_POINTS, MAX_QUERIES, SLICE, STEP = 1 << 14, 1 << 14, 32, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,6 +73,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, np.nan, n)
 
 
+def units(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    """``unit`` of lists of one length in doubles, made a few rows at a time, so that no more
+    than the result is held beside them."""
+    out = np.empty((len(column), size))
+    for a in range(0, len(out), STEP):
+        out[a : a + STEP] = unit(matrix(column.slice(a, STEP)))
+    return out
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k best scores of each row, nan left out; all that tie with the
     last one go along."""
@@ -102,18 +111,20 @@ def top_k_many(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     """(query, id, score, rank) of the k best points for each query vector in ``queries``
     (query, embedding). A grid of blocks of points and of queries, of the same vector length
     (others are never compared): each cell keeps k a query, and those are ranked. Null,
-    empty and zero vectors are like nothing."""
-    vector = lambda c: F.col(c).cast("array<double>").alias("v")
+    empty and zero vectors are like nothing. Floats become doubles in the cells: till then
+    they are half as many bytes."""
+    vector = lambda df, c: (F.col(c) if dict(df.dtypes)[c] == "array<float>" else F.col(c).cast("array<double>")).alias("v")
     sized = lambda df: df.where(F.size("v") > 0).withColumn("size", F.size("v"))
-    held, asked = sized(points.select(F.col(id_col).alias("id"), vector(vector_col))), sized(queries.select("query", vector("embedding")))
+    held, asked = sized(points.select(F.col(id_col).alias("id"), vector(points, vector_col))), sized(queries.select("query", vector(queries, "embedding")))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):  # few to a block: one may be empty
             return pa.Table.from_arrays([right["query"].slice(0, 0), left["id"].slice(0, 0), pa.chunked_array([], pa.float64())], ["query", "id", "score"])
-        v, q, order = unit(matrix(left["v"])).T, unit(matrix(right["v"])), orders(left["id"])
+        size = left["size"][0].as_py()
+        v, order = units(left["v"], size).T, orders(left["id"])
         parts = []
-        for a in range(0, len(q), SLICE):
-            rows, columns = best(scores := q[a : a + SLICE] @ v, order, k)
+        for a in range(0, right.num_rows, SLICE):
+            rows, columns = best(scores := units(right["v"].slice(a, SLICE), size) @ v, order, k)
             found = [right["query"].take(pa.array(rows + a)), left["id"].take(pa.array(columns)), pa.chunked_array([pa.array(scores[rows, columns])])]
             parts.append(pa.Table.from_arrays(found, ["query", "id", "score"]))
         return pa.concat_tables(parts)

@@ -390,3 +390,30 @@ def test_two_stores_give_the_same_in_blocks_of_any_size(spark, data, monkeypatch
     monkeypatch.setattr(cells, "NUMBERS", 64 * 100)
     got = sorted(map(tuple, queries.QUERIES["dual_merge"](spark, data).collect()))
     assert [(q, i, b) for q, i, _, b in got] == [(q, i, b) for q, i, _, b in want]
+
+
+def test_a_cell_holds_little_beside_its_vectors(spark, monkeypatch):
+    kept, plain = [], cells.matched
+
+    def matched(points, queries, keys, cell, *rest):
+        kept.append((points, cell))
+        return plain(points, queries, keys, cell, *rest)
+
+    monkeypatch.setattr(cells, "matched", matched)
+    points = spark.createDataFrame([(1, [1.0])], "id long, embedding array<float>")
+    vectors.top_k_many(points, points.withColumnRenamed("id", "query"), 3)
+    (held, cell), n, size = kept[0], 1 << 13, 256
+    assert dict(held.dtypes)["v"] == "array<float>"  # not twice as many bytes on their way
+    x = np.random.default_rng(5).normal(size=(n, size)).astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(x.ravel()))
+    left, right = (pa.table({name: np.arange(n), "v": lists, "size": np.full(n, size, np.int32)}) for name in ("id", "query"))
+    tracemalloc.start()
+    got = cell(left, right.slice(0, 2048))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * 8 * n * size  # the points in doubles, and less than as much again
+    u = vectors.unit(x.astype(float))
+    scores = u[:64] @ u.T
+    rows, columns = vectors.best(scores, np.arange(n), 3)
+    assert got["query"].to_pylist()[: 64 * 3] == rows.tolist() and got["id"].to_pylist()[: 64 * 3] == columns.tolist()
+    assert np.allclose(got["score"].to_numpy()[: 64 * 3], scores[rows, columns])
